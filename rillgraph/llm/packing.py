@@ -15,8 +15,11 @@ length are cut, never shortened; an empty table gives no sequences. Other column
 from __future__ import annotations
 
 import functools
+import os
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -30,10 +33,18 @@ BREAK = re.compile(rb"[ \t\n\r]+")  # a part of what the tokenizer takes as whit
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids array<int>"
 
 
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Chunks:
     """Ids of white-space separated chunks by the tokenizers library, remembered; ids are joined as bytes."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own only cost
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,14 +53,14 @@ class Chunks:
         self.tails = {p: self._ids(p.decode()) for p in (b".", b",")}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, chunks: set[bytes]) -> None:
         # A full stop or comma after an ASCII letter is a piece of its own.
         bare = {c[:-1] if c[-1] in b".," and len(c) > 1 and 97 <= c[-2] <= 122 else c for c in chunks}
         new = [c for c in bare if c not in self.cache]
         for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False)):
-            self.cache[c] = np.array(e.ids, "<u4").tobytes()
+            self.cache[c] = _little(e.ids)
         for c in chunks:
             if c not in self.cache:
                 self.cache[c] = self.cache[c[:-1]] + self.tails[c[-1:]]
