@@ -42,7 +42,7 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).filter("line <> '' and not line like '\\%%' and not line like '#%'").withColumn("id", F.monotonically_increasing_id())
     first = rows.agg(F.min("id").alias("first"))
     w = F.split("line", " +")
-    return rows.join(F.broadcast(first), rows.id > first.first).select((w[0].cast("long") - 1).alias("src"), (w[1].cast("long") - 1).alias("dst"))
+    return rows.join(F.broadcast(first), rows["id"] > first["first"]).select((w[0].cast("long") - 1).alias("src"), (w[1].cast("long") - 1).alias("dst"))
 
 
 def read_temporal(spark: SparkSession, path: str) -> DataFrame:
