@@ -13,7 +13,7 @@ from rillgraph.llm.queries import vocabulary
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language holds half, go."""
+    """Documents without letters, or of which no language holds three tenths, go."""
     return language.keep(docs, language.train(docs))
 
 

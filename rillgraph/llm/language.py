@@ -246,6 +246,6 @@ def _filter(model: Field, least: float):
     return own
 
 
-def keep(docs: DataFrame, model: Field, least: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, model: Field, least: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose language is known with a share of at least `least`."""
     return map_batches(docs, docs.columns, _filter, docs.schema, model, least)
