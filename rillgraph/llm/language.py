@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches
 
-SAMPLE, LANGUAGES, PLACES, ROUNDS, KNOWN = 100, 64, 1 << 15, 18, 400_000
+SAMPLE, LANGUAGES, PLACES, ROUNDS, KNOWN = 100, 64, 1 << 15, 18, 200_000
+SLICE = 1_500_000  # characters labelled at once, or one longer text
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -120,8 +121,19 @@ class Field:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.languages:
             return [("und", 0.0)] * len(texts)
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at] or "")
+            while end < len(texts) and size + len(texts[end] or "") <= SLICE:
+                size += len(texts[end] or "")
+                end += 1
+            out += self._documents(self.label(texts[at:end]))
+            at = end
+        return out
+
+    def _documents(self, marginals_of: list[np.ndarray]) -> list[tuple[str, float]]:
         out = []
-        for text, gamma in zip(texts, self.label(texts)):
+        for gamma in marginals_of:
             if not len(gamma):
                 out.append(("und", 0.0))
                 continue
