@@ -1,7 +1,7 @@
 """Language identification of words by a linear-chain conditional random field, and of documents by its marginals.
 
 Words are runs of letters, in lower case. Features: the word if it is in the learned lexicon, prefixes and suffixes of one to
-three letters, inner bigrams and trigrams, hashed to `PLACES`; learned transitions bind neighbouring words, so short words
+three letters, bigrams and trigrams, hashed to `PLACES`; learned transitions bind neighbouring words, so short words
 inside a switched passage follow their surroundings. Forward-backward gives each word's marginals; a document's language is
 the one with the largest sum of marginals weighted by letters, its score that share.
 
@@ -26,22 +26,46 @@ from .common import held_out, map_batches
 
 SAMPLE, LANGUAGES, PLACES, ROUNDS, KNOWN = 100, 64, 1 << 15, 18, 200_000
 SLICE = 1_500_000  # characters labelled at once, or one longer text
+BLOCK = 96  # words of a chain that step together; longer chains are cut, and joined by the products of their blocks
 LETTERS = regex.compile(r"\p{L}+")
+ASCII = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
-
-
-def features(word: str, lexicon) -> list[int]:
-    w = f"<{word}>"
-    n = len(w)
-    found = {w[:2], w[:3], w[:4], w[-2:], w[-3:], w[-4:]}
-    found.update([w[i : i + 3] for i in range(n - 2)])
-    found.update([w[i : i + 2] for i in range(1, n - 2)])
-    if word in lexicon:
-        found.add("=" + word)
-    return [crc32(f.encode()) & (PLACES - 1) for f in sorted(found)]
+    text = (text or "").lower()
+    if not text.isascii():
+        others = [c for c in set(text) if c > "\x7f" and not c.isalpha()]
+        if len(others) > 40:
+            return LETTERS.findall(text)
+        for c in others:
+            text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(ASCII).decode("utf-8", "surrogatepass").split()
+
+
+def features(words: list[str], lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the features of all words, word after word, and where each word's begin."""
+    c = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    first = ends - lengths
+    left = np.repeat(ends, lengths) - np.arange(len(c))  # letters from here to the end of the word
+    places, ok = np.zeros((len(c), 4), np.int32), np.zeros((len(c), 4), bool)
+    h = c
+    for width in (2, 3, 4):
+        h = h * np.uint32(0x01000193) + np.concatenate([c[width - 1 :], np.zeros(width - 1, np.uint32)])[: len(c)]
+        places[:, width - 2] = _place(h + np.uint32(width))
+        ok[:, width - 2] = left >= width if width < 4 else left == width
+    ok[first[lengths > 4], 2] = True
+    known = [k for k, w in enumerate(words) if w in lexicon]
+    places[first[known], 3] = [crc32(words[k].encode()) & (PLACES - 1) for k in known]
+    ok[first[known], 3] = True
+    counts = np.add.reduceat(ok.sum(axis=1), first)
+    return places[ok], np.cumsum(counts) - counts
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((h ^ (h >> np.uint32(12))) & np.uint32(PLACES - 1)).astype(np.int32)
 
 
 def runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,11 +126,12 @@ class Field:
             self.index, new = {}, list(kinds)
             self.table = self.table[:0]
         if new:
-            found = [features(w, self.lexicon) for w in new]
-            ends = np.cumsum([0] + [len(f) for f in found])
-            rows = np.add.reduceat(self.weights[np.concatenate([np.array(f) for f in found])], ends[:-1], axis=0)
+            rows = [self.table]
+            for at in range(0, len(new), 16384):  # bounded memory for texts of many different words
+                flat, starts = features(new[at : at + 16384], self.lexicon)
+                rows.append(np.add.reduceat(self.weights[flat], starts, axis=0))
             self.index.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, rows])
+            self.table = np.concatenate(rows)
         return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
 
     def label(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -153,10 +178,8 @@ class Field:
         self.lexicon = frozenset(w for w, k in kinds.items() if often[k] >= 5)
         lengths = np.array([len(c) for c, _ in chains])
         gold = np.repeat([y for _, y in chains], lengths)
-        found = [features(w, self.lexicon) for w in kinds]
-        ends = np.cumsum([0] + [len(f) for f in found])
-        flat = np.concatenate([np.array(f) for f in found])
-        of = np.repeat(np.arange(len(kinds)), np.diff(ends))
+        flat, begins = features(list(kinds), self.lexicon)
+        of = np.repeat(np.arange(len(kinds)), np.diff(np.append(begins, len(flat))))
         m = len(self.languages)
         truth = np.zeros((len(ids), m))
         truth[np.arange(len(ids)), gold] = 1
@@ -167,7 +190,7 @@ class Field:
         theta = [np.zeros((PLACES, m)), np.zeros((m, m))]
         first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
         for step in range(1, ROUNDS + 1):
-            emit = np.add.reduceat(theta[0][flat], ends[:-1], axis=0)[ids]
+            emit = np.add.reduceat(theta[0][flat], begins, axis=0)[ids]
             gamma, pair, _ = forward_backward(emit, lengths, theta[1])
             miss = gamma - truth
             by_kind = np.stack([np.bincount(ids, miss[:, k], len(kinds)) for k in range(m)], axis=1)
@@ -182,29 +205,59 @@ class Field:
 
 
 def marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """The first result of forward_backward alone."""
+    """The first result of forward_backward alone; the steps taken one after another are at most 2 BLOCK, and two a block of the longest chain."""
     lengths = lengths[lengths > 0]
     p, a = np.exp(emit - emit.max(axis=1, keepdims=True)), np.exp(move).astype(emit.dtype)
-    _, starts, active = runs(lengths)
+    turned = np.ascontiguousarray(a.T)
+    blocks = -(-lengths // BLOCK)
+    sizes = np.full(int(blocks.sum()), BLOCK, np.int64)
+    last = np.cumsum(blocks) - 1
+    sizes[last] = lengths - (blocks - 1) * BLOCK
+    enter, leave = np.ones((2, len(sizes), p.shape[1]), p.dtype)
+    if len(sizes) > len(lengths):
+        whole = _products(p, sizes, a)
+        _, firsts, active = runs(blocks)
+        for t in range(1, len(active)):
+            at = firsts[: active[t]] + t
+            state = np.einsum("nj,njk->nk", enter[at - 1], whole[at - 1]) @ a
+            enter[at] = state / state.sum(axis=1, keepdims=True)
+        for t in range(len(active) - 1, 0, -1):
+            at = firsts[: active[t]] + t
+            back = np.einsum("njk,nk->nj", whole[at], leave[at]) @ turned
+            leave[at - 1] = back / back.sum(axis=1, keepdims=True)
+    order, starts, active = runs(sizes)
+    enter, leave = enter[order], leave[order]
     gamma = np.empty_like(p)
-    state = None
     for t, n in enumerate(active):
         at = starts[:n] + t
-        state = p[at] if t == 0 else (state[:n] @ a) * p[at]
+        state = (enter if t == 0 else state[:n] @ a) * p[at]
         state /= state.sum(axis=1, keepdims=True)
         gamma[at] = state
-    back, turned = np.ones((0, p.shape[1]), p.dtype), np.ascontiguousarray(a.T)
+    back = leave[:0]
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
-        if len(back) < n:  # chains that end here
-            back = np.concatenate([back, np.ones((n - len(back), p.shape[1]), p.dtype)])
+        back = np.concatenate([back, leave[len(back) : n]])  # blocks that end here
         gamma[at] *= back
         back = (back * p[at]) @ turned
         back /= back.sum(axis=1, keepdims=True)
     return gamma / gamma.sum(axis=1, keepdims=True)
 
 
+def _products(p: np.ndarray, sizes: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """For each block the product that takes the vector before its first word to the one after its last, scaled to sum 1."""
+    order, starts, active = runs(sizes)
+    m = p.shape[1]
+    out = np.empty((len(sizes), m, m), p.dtype)
+    state = np.eye(m, dtype=p.dtype)[None] * p[starts][:, None, :]
+    for t, n in enumerate(active):
+        if t:
+            state[:n] = (state[:n].reshape(-1, m) @ a).reshape(n, m, m) * p[starts[:n] + t][:, None, :]
+            state[:n] /= state[:n].sum(axis=(1, 2), keepdims=True)
+    out[order] = state
+    return out
+
+
 def train(docs: DataFrame, bound: int = SAMPLE) -> Field:
     """Learn from about `bound` documents of each of at most LANGUAGES languages (the most frequent)."""
     rows = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
