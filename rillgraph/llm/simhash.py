@@ -145,13 +145,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def _marked(width: int):
+    return lambda b: {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": [fingerprint(t, width) for t in b["text"]]}
+
+
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs without all but one row of every component: its smallest doc_id's row (of equal rows, one)."""
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = cut(near_duplicates(docs, width).filter(same).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n")))
-    if kept.filter("n > 1").isEmpty():
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    once, often = kept.filter("n = 1"), kept.filter("n > 1")
-    single = docs.join(once, docs["doc_id"].eqNullSafe(once["kept_id"]), "left_semi")
-    double = docs.join(often, docs["doc_id"].eqNullSafe(often["kept_id"]), "left_semi")
-    return single.unionByName(double.dropDuplicates(["doc_id"]))
+    """docs without all but one row of every component: that of the smallest doc_id (nulls last), then of the smallest text hash.
+
+    Of rows equal in doc_id and text one stays; rows that share a doc_id but not a text are told apart. The rows that stay
+    are named by id and text hash and found by a merge join at every size, since their number grows with the input: texts
+    are shuffled once.
+    """
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = map_batches(marked, ["doc_id", "text", "text_hash"], _marked, "doc_id long, text_hash long, fp long", width)
+    rows = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
+    distinct = cut(rows.groupBy("fp").agg(F.min(own).alias("first")))
+    labels = components(links(distinct.select("fp")))
+    named = distinct.join(labels, distinct["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp")).agg(F.min("first").alias("first"))
+    kept = cut(named.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), F.col("first.n").alias("kept_n")))
+
+    def found(chosen: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(chosen["kept_id"]) & (F.xxhash64(docs["text"]) == chosen["kept_hash"])
+        return docs.join(chosen.hint("merge"), same, "left_semi")
+
+    repeated = kept.filter("kept_n > 1")
+    if repeated.isEmpty():
+        return found(kept)
+    return found(kept.filter("kept_n = 1")).unionByName(found(repeated).dropDuplicates(["doc_id", "text"]))

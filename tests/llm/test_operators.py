@@ -127,6 +127,18 @@ def test_one_of_each_group_stays(spark, odd):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "5", "6", "7", "8", "9", "None"])
 
 
+def test_rows_of_one_id_or_none_are_told_apart_by_text(spark):
+    text = ["ten green bottles hang on the wall", "a wholly other text about rivers and lakes", "nothing here looks like either of the two"]
+    rows = [(5, text[0], 1), (5, text[1], 2), (5, text[1], 3), (None, text[2], 4), (7, text[2], 5), (None, text[0] + " now and then", 6), (None, None, 7), (None, "", 8)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept_id int")).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("5", text[0]), ("5", text[1]), ("7", text[2]), ("None", text[0] + " now and then"), ("None", "")])
+
+
+def test_the_join_of_kept_rows_shuffles_at_every_size(documents):
+    plan = simhash.keep_one(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 # 4: packing
 
 
