@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches
 
-SAMPLE, LANGUAGES, PLACES, ROUNDS, KNOWN = 100, 64, 1 << 15, 18, 200_000
-SLICE = 1_500_000  # characters labelled at once, or one longer text
+SAMPLE, LANGUAGES, PLACES, ROUNDS, KNOWN = 100, 64, 1 << 15, 18, 100_000
+SLICE = 1_000_000  # characters labelled at once, or one longer text
 BLOCK = 96  # words of a chain that step together; longer chains are cut, and joined by the products of their blocks
 LETTERS = regex.compile(r"\p{L}+")
 ASCII = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))

@@ -43,13 +43,13 @@ def _little(ids: list[int]) -> bytes:
 class Chunks:
     """Ids of white-space separated chunks by the tokenizers library, remembered; ids are joined as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own only cost
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
-        self.most = 400_000
+        self.most = most
         self.tails = {p: self._ids(p.decode()) for p in (b".", b",")}
 
     def _ids(self, text: str) -> bytes:
@@ -204,14 +204,14 @@ class Groups:
 
 
 @functools.lru_cache(maxsize=4)
-def chunks(path: str) -> Chunks:
-    return Chunks(path)
+def chunks(path: str, most: int) -> Chunks:
+    return Chunks(path, most)
 
 
-def _packed(path: str, tiers, step_tokens: int, emit_ids: bool):
+def _packed(path: str, tiers, step_tokens: int, emit_ids: bool, remember: int):
     from pyspark import TaskContext
 
-    encoder, packer = chunks(path), Packer(tiers)
+    encoder, packer = chunks(path, remember), Packer(tiers)
     groups = Groups(TaskContext.get().partitionId() << 40, step_tokens)
 
     def rows(found) -> dict:
@@ -237,6 +237,9 @@ def _packed(path: str, tiers, step_tokens: int, emit_ids: bool):
     return own
 
 
-def pack(docs: DataFrame, path: str, tiers=TIERS, step_tokens: int = STEP_TOKENS, emit_ids: bool = False) -> DataFrame:
-    """One row per piece of docs(doc_id, text): see SCHEMA; `ids` holds the piece's ids if asked for, else null."""
-    return map_batches(docs, ["doc_id", "text"], _packed, SCHEMA, path, tuple(tiers), step_tokens, emit_ids, last=True)
+def pack(docs: DataFrame, path: str, tiers=TIERS, step_tokens: int = STEP_TOKENS, emit_ids: bool = False, remember: int = 400_000) -> DataFrame:
+    """One row per piece of docs(doc_id, text): see SCHEMA; `ids` holds the piece's ids if asked for, else null.
+
+    `remember` bounds the chunks whose ids a worker keeps (about 250 bytes each); it changes time and memory, no result.
+    """
+    return map_batches(docs, ["doc_id", "text"], _packed, SCHEMA, path, tuple(tiers), step_tokens, emit_ids, remember, last=True)
