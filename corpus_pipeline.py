@@ -28,7 +28,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("word_bpe_49k.json")).drop("ids")
+    """Workers are shared with the stages before, so each remembers fewer chunks than packing alone may."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), remember=100_000).drop("ids")
 
 
 STAGES = [("language ID", known_language), ("quality rules", good_quality), ("SimHash near-dedup", without_near_duplicates), ("packing", packed)]
