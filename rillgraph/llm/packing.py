@@ -23,13 +23,23 @@ from array import array
 from bisect import bisect_right, insort
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches
 
 TIERS = (2048, 1024, 512, 256)
 END, STEP_TOKENS, POOL_TOKENS = 1, 16384, 262_144
-BREAK = re.compile(rb"[ \t\n\r]+")  # a part of what the tokenizer takes as white space, so a chunk is encoded as it is in the text
+BREAK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+BUFFER = 4_000_000  # bytes of text that are worked on at once; a longer text is cut at white space
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+SPACE, OTHER, LETTER, DIGIT, MARK = range(5)
+#: ASCII capitals to small letters, as the tokenizer lowers them.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+KIND = np.array([SPACE if c in b" \t\n\r\x0b\x0c" else LETTER if 97 <= c <= 122 else DIGIT if 48 <= c <= 57 else MARK if c in MARKS else OTHER for c in range(256)], np.uint8)
+#: Where the tokenizer always starts a new piece: after an ASCII letter at a digit or mark, after a digit at any of the three.
+CUTS = np.zeros((5, 5), bool)
+CUTS[LETTER, [DIGIT, MARK]] = CUTS[DIGIT, [LETTER, DIGIT, MARK]] = True
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids array<int>"
 
 
@@ -41,7 +51,11 @@ def _little(ids: list[int]) -> bytes:
 
 
 class Chunks:
-    """Ids of white-space separated chunks by the tokenizers library, remembered; ids are joined as bytes."""
+    """Ids of texts by the tokenizers library, chunk by chunk: a chunk is encoded once, alone, as it is within its text.
+
+    Texts are cut with numpy at white space and between pieces of ASCII characters; Arrow finds the distinct chunks of a
+    buffer, only those are looked up or encoded, and the ids of all chunks are gathered by index.
+    """
 
     def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own only cost
@@ -49,38 +63,103 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.odd: set[bytes] = set()  # words of groups that were encoded one by one
         self.most = most
-        self.tails = {p: self._ids(p.decode()) for p in (b".", b",")}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def _ids(self, text: str) -> bytes:
-        return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [_little(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        # A full stop or comma after an ASCII letter is a piece of its own.
-        bare = {c[:-1] if c[-1] in b".," and len(c) > 1 and 97 <= c[-2] <= 122 else c for c in chunks}
-        new = [c for c in bare if c not in self.cache]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False)):
-            self.cache[c] = _little(e.ids)
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Words of letters are encoded joined by spaces; each must show as one end-of-word id, else its group goes one by one."""
+        known = self.cache
+        single, words = [], {}
         for c in chunks:
-            if c not in self.cache:
-                self.cache[c] = self.cache[c[:-1]] + self.tails[c[-1:]]
+            bare = c.rstrip(MARKS)
+            if bare and bare not in self.odd and bare.decode().isalpha():
+                words.setdefault(bare, []).append(c[len(bare) :])
+            else:
+                single.append(c)
+        todo = [w for w in words if w not in known]
+        for at in range(0, len(todo), 500):
+            group = todo[at : at + 500]
+            raw = self._batch([b" ".join(group).decode()])[0]
+            stops = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1) * 4
+            if len(stops) == len(group):
+                for w, a, b in zip(group, [0, *stops.tolist()], stops.tolist()):
+                    known[w] = raw[a:b]
+            else:
+                self.odd.update(group)
+                single += [w + tail for w in group for tail in words.pop(w)]
+        tails = list({t for ts in words.values() for t in ts if t and t not in known})
+        for some in (single, tails):
+            for at in range(0, len(some), 4096):
+                known.update(zip(some[at : at + 4096], self._batch([c.decode() for c in some[at : at + 4096]])))
+        for w, ts in words.items():
+            for tail in ts:
+                if tail:
+                    known[w + tail] = known[w] + known[tail]
+
+    def _buffer(self, data: bytes, stops: list[int]) -> list[bytes]:
+        """Ids of each text of `data`; texts end at `stops`, with white space between two of them."""
+        raw = LOWER[np.frombuffer(data, np.uint8)]
+        kind = KIND[raw]
+        solid = kind != SPACE
+        first = solid.copy()
+        first[1:] &= ~solid[:-1] | CUTS[kind[:-1], kind[1:]]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            return [b""] * len(stops)
+        packed, place = raw[solid], np.cumsum(solid, dtype=np.int32) - 1
+        offsets = np.append(place[starts], len(packed)).astype(np.int32)
+        chunks = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        distinct, index = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        missing = [c for c in distinct if c not in self.cache]
+        if len(self.cache) + len(missing) > self.most:
+            self.cache.clear()
+            self.odd.clear()
+            missing = distinct
+        self._learn(missing)
+        found = [self.cache[c] for c in distinct]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        n, at = sizes[index], (np.cumsum(sizes) - sizes)[index]
+        upto = np.cumsum(n)
+        ids = pool[np.repeat(at - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        ends = np.append(0, upto)[np.searchsorted(starts, stops)] * 4
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 512):
-            # ASCII capitals first: the tokenizer lowers them too. Texts that could hold a special token go whole.
-            parts = [None if "<|" in t else BREAK.split(t.encode().lower()) for t in texts[at : at + 512]]
-            needed = set().union(*filter(None, parts)) - {b""}
-            missing = needed.difference(self.cache)
-            if len(self.cache) + len(missing) > self.most:
-                self.cache.clear()
-                missing = needed
-            self._learn(missing)
-            self.cache[b""] = b""
-            for t, p in zip(texts[at : at + 512], parts):
-                out.append(self._ids(t) if p is None else b"".join([self.cache[c] for c in p]))
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts: list[bytes] = []
+        owners: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            stops = np.cumsum([len(p) + 1 for p in parts]).tolist()
+            for k, ids in zip(owners, self._buffer(b"\n".join(parts), stops) if parts else []):
+                out[k].append(ids)
+            parts.clear()
+            owners.clear()
+
+        for k, text in enumerate(texts):
+            if "<|" in text:  # it could hold a special token, so it goes whole
+                out[k] += self._batch([text])
+                continue
+            data, a = text.encode(), 0
+            while a < len(data):
+                space = BREAK.search(data, a + BUFFER)
+                b = space.start() if space else len(data)
+                parts.append(data[a:b])
+                owners.append(k)
+                held, a = held + b - a, b
+                if held >= BUFFER:
+                    flush()
+                    held = 0
+        flush()
+        return [b"".join(p) for p in out]
 
 
 class Packer:

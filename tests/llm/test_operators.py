@@ -177,6 +177,21 @@ def test_padding_is_little_and_steps_are_even(spark, documents):
     assert totals.most_common(1)[0][0] == packing.STEP_TOKENS and max(totals) == packing.STEP_TOKENS
 
 
+def test_chunks_encode_as_whole_texts(monkeypatch):
+    """Chunk by chunk, with small buffers and a small memory, gives the ids of the tokenizer on whole texts."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    letters = "aAbZz\u00e9 \u00c9\u00df\u0130\u0131\u03a3\u03c2\u01c5\u212b\u0958\u0928\u093c\u0338\u0301=<>'.,-19\u0663\u00b2 \t\n\r\x0b\x0c\x1c\x85\u00a0\u2028\u3000\x00\U0001f600\ud55c\u4e2d\ufb01|$_`s t re ll d m"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["don't we'll 'std a'b ''s .'s x's1 I'M", "<|endoftext|> a <|x", "", " ", "ab " * 5000, "a" * 5000]
+    monkeypatch.setattr(packing, "BUFFER", 2000)
+    path = vocabulary("word_bpe_49k.json")
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    got = packing.Chunks(path, 500).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
 # 5: quality rules
 
 
