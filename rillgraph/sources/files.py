@@ -82,3 +82,71 @@ def rmat(spark: SparkSession, scale: int, edges: int, a: float = 0.57, b: float
         src = src * 2 + (u >= a + b).cast("long")
         dst = dst * 2 + (((u >= a) & (u < a + b)) | (u >= a + b + c)).cast("long")
     return spark.range(edges).select(src.alias("src"), dst.alias("dst"), F.lit(1).alias("weight"))
+
+
+def read_archive_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """pos, line of a member of a zip or (gzipped) tar archive; one task streams one archive, as neither can be split."""
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def lines(batches):
+        import io
+        import tarfile
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = io.BytesIO(content)
+                opened = zipfile.ZipFile(raw).open(member) if zipfile.is_zipfile(raw) else tarfile.open(fileobj=io.BytesIO(content)).extractfile(member)
+                if opened is None:
+                    raise ValueError(f"{name}: {member} is not a regular file")
+                pos, held = 0, []
+                for line in io.TextIOWrapper(opened, encoding="ascii", errors="strict"):
+                    held.append(line.rstrip("\r\n"))
+                    if len(held) == 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array(range(pos, pos + len(held)), pa.int64()), pa.array(held, pa.string())], ["pos", "line"])
+                        pos, held = pos + len(held), []
+                yield pa.RecordBatch.from_arrays([pa.array(range(pos, pos + len(held)), pa.int64()), pa.array(held, pa.string())], ["pos", "line"])
+
+    return found.mapInArrow(lines, "pos long, line string")
+
+
+def read_loose_edges(spark: SparkSession, path: str) -> DataFrame:
+    """src, dst of every line that begins with two integers; comments, broken lines and size headers (third of three numbers above both) go."""
+    w = F.split("line", " +")
+    number = lambda k: F.get(w, F.lit(k)).try_cast("long")
+    rows = _lines(spark, path).filter("line <> '' and not line like '#%' and not line like '\\%%'")
+    rows = rows.select(F.size(w).alias("n"), number(0).alias("src"), number(1).alias("dst"), number(2).alias("third"))
+    header = F.expr("n = 3 and src > 0 and dst > 0 and third > src and third > dst")
+    return rows.filter("src is not null and dst is not null and (n < 3 or third is not null)").filter(~header).select("src", "dst")
+
+
+def read_update_graph(spark: SparkSession, path: str) -> tuple[int, DataFrame, DataFrame]:
+    """Vertices, static edges and updates of a `vertices static updates` file; pos is the order, diff 1 or -1.
+
+    A static line is `src dst [weight]`, an update `src dst [weight] operation` (0 deletes, 1 inserts). A bad line or
+    another number of lines than the header says raises.
+    """
+    from ..plans.materialize import numbered
+
+    text = spark.read.text(path).select(F.trim(F.translate("value", "\t\r", " ")).alias("line"), F.monotonically_increasing_id().alias("id"))
+    rows = numbered(text.filter("line <> '' and not line like '#%'"), ["id"]).select((F.col("pos") - 1).alias("pos"), F.split("line", " +").alias("w"), "line")
+    head = rows.filter("pos = -1").first()
+    if head is None or len(head["w"]) != 3:
+        raise ValueError("the header must be: vertices static updates")
+    vertices, static, updates = map(int, head["w"])
+    if vertices <= 0 or min(static, updates) < 0 or rows.count() != static + updates + 1:
+        raise ValueError("the number of rows is not the header's")
+    number = lambda k: F.get("w", k).try_cast("long")
+
+    def edges(own: DataFrame, fields: int) -> DataFrame:
+        n = F.size("w")
+        weight = F.when(n == fields + 1, number(F.lit(2))).otherwise(F.lit(1).cast("long"))
+        operation = F.element_at("w", -1).try_cast("long") if fields == 3 else F.lit(1).cast("long")
+        own = own.select("pos", "line", n.alias("n"), number(F.lit(0)).alias("src"), number(F.lit(1)).alias("dst"), weight.alias("weight"), operation.alias("op"))
+        ok = F.expr(f"n between {fields} and {fields + 1} and src between 0 and {vertices - 1} and dst between 0 and {vertices - 1} and weight between 1 and 4095 and op in (0, 1)")
+        src = F.when(F.coalesce(ok, F.lit(False)), F.col("src")).otherwise(F.raise_error(F.concat(F.lit("bad record: "), "line")).cast("long"))
+        return own.select("pos", src.alias("src"), "dst", "weight", (F.col("op") * 2 - 1).cast("int").alias("diff"))
+
+    return vertices, edges(rows.filter((F.col("pos") >= 0) & (F.col("pos") < static)), 2), edges(rows.filter(F.col("pos") >= static), 3)
