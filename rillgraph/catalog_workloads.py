@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import N, ORACLES, QUERIES, edges_of, hub, pairs_of, query, raw_edges, read, records_of, reciprocal, spans_of, updates_of, vertices_of  # noqa: F401
 from .functions import scalars as S
+from .operators import regression, selection
 from .operators import workloads as K
 from .plans.materialize import cut, numbered
 from .sources import generators as G
@@ -347,3 +348,24 @@ def f14_f16_logs(spark, sf):
     line = F.concat(F.lit("k="), F.col("event_id").cast("string"), F.lit(";t="), F.col("event_type"))
     found = F.str_to_map(line, F.lit(";"), F.lit("="))
     return read(spark, sf, "events").select("event_id", F.coalesce(F.length("event_type"), F.lit(0)).alias("size"), F.concat(F.lit("t="), found["t"]).alias("pair_"), (F.col("value") / 1e3).alias("seconds"))
+
+
+# Closed forms of loops, and fits: tested against brute force instead of SQL
+
+
+@query()
+def w23_capped_prefix(spark, sf):
+    return selection.vertex_capped_prefix(updates_of(spark, sf).select(F.col("seq").alias("pos"), "src", "dst"), 500, 1000)[0]
+
+
+@query()
+def d18_strided_inserts(spark, sf):
+    return selection.strided_inserts(edges_of(spark, sf), N, 64)
+
+
+@query()
+def c3_c5_fits(spark, sf):
+    rows = read(spark, sf, "lineitem")
+    features, target = ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
+    found = {"ridge": regression.ridge(rows, features, target)["coefficients"], "sets": regression.nonnegative_by_sets(rows, features, target), "descent": regression.nonnegative_by_descent(rows, features, target)}
+    return spark.createDataFrame([(m, f, round(c, 4)) for m, own in found.items() for f, c in own.items()], "method string, feature string, coefficient double")

@@ -18,6 +18,11 @@ def edge_bucket(src: Column, dst: Column, seed: int = SEED) -> Column:
     return (1000003 * src + 9176 * dst + 53 * seed) % HASH_MODULUS
 
 
+def sliced_weight(src: Column, dst: Column, salt: int) -> Column:
+    """The weights of slices: 31 values."""
+    return 1 + (131 * src + 17 * dst + 29 * salt) % 31
+
+
 def saturating_add(a: Column, b: Column) -> Column:
     return F.least(a + b, F.lit(U32))
 
