@@ -14,6 +14,11 @@ once more after that; then at most 8 bits are free, so at most 256 distinct fing
 Defined results: a null or empty text, or one of white space only, has no shingle and fingerprint zero, linked like any
 other; fewer than three words are one shingle. Repeated rows each come back; null ids take part and never become a
 component id unless a component has no other. An empty table gives no rows. Other columns of the input are not read.
+
+`keep_one` also links documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which few of 64
+bits do not show. Texts that share one of `BANDS` MinHash bands of `ROWS` values are candidates (a pair at 0.8 shares none
+with a chance of (1 - 0.8^5)^32, 3 in a million; nearer pairs with less); a component of candidates is solved exactly, over
+all its pairs, in one task.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches
 
 RADIUS, CAP, WIDTH, SEED = 3, 256, 3, 42
+# Five-word sets link at a Jaccard similarity of 4/5.
+SET_WIDTH, BANDS, ROWS = 5, 32, 5
+FACTORS, ADDED = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
+FACTORS |= np.uint64(1)
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -145,23 +154,108 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, width: int = SET_WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; fewer words than `width` are one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else (b" ".join(words),)
+    return np.unique(np.fromiter(map(_hash, shingles), np.uint64))
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """One key for each MinHash band of a set; an empty set has none."""
+    if not len(own):
+        return []
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(own), 1024):  # bounded memory for very long texts
+        low = np.minimum(low, (FACTORS * own[at : at + 1024] + ADDED).min(axis=1))
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def set_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, root) by place for each set but the roots of the components of links at a similarity of 4/5 or more."""
+    size = np.array(list(map(len, sets)))
+    order = np.argsort(size, kind="stable")
+    size, sets = size[order], [sets[k] for k in order]
+    word = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    mark, open_, out = np.zeros(int(word.max()) + 1, bool), size > 0, []
+    for first in range(len(sets)):
+        if not open_[first]:
+            continue
+        open_[first], todo = False, [first]
+        while todo:
+            k = todo.pop()
+            low, high = np.searchsorted(size, [-(-4 * size[k] // 5), 5 * size[k] // 4 + 1])
+            rest = low + np.flatnonzero(open_[low:high])
+            if not len(rest):
+                continue
+            own = word[ends[k] - size[k] : ends[k]]
+            mark[own] = True
+            both = np.array([np.count_nonzero(mark[word[ends[r] - size[r] : ends[r]]]) for r in rest])
+            mark[own] = False
+            near = rest[9 * both >= 4 * (size[rest] + size[k])]  # in whole numbers: common / all >= 4/5
+            open_[near] = False
+            todo += near.tolist()
+            out += [(int(order[r]), int(order[first])) for r in near]
+    return out
+
+
+def _set_forests():
+    def own(b: dict) -> dict:
+        edges = set()
+        for rows in b["rows"]:
+            fps = [r["fp"] for r in rows]
+            edges |= {(fps[a], fps[r]) for a, r in set_forest([shingle_set(r["text"]) for r in rows]) if fps[a] != fps[r]}
+        return {"a": [e[0] for e in edges], "b": [e[1] for e in edges]}
+
+    return own
+
+
+def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Spanning links (a, b) between fingerprints of texts that are similar as sets of shingles.
+
+    nodes: doc_id and text_hash of one row of each distinct (fp, shingles), with its bands. The texts of candidates alone are
+    shuffled, once each.
+    """
+    nodes = nodes.withColumn("node", F.xxhash64("fp", "shingles"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    low = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    labels = components(cut(keyed.join(low, "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()))
+    chosen = nodes.join(labels, "node").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), F.col("fp").alias("own_fp"), F.col("label").alias("own_label"))
+    same = docs["doc_id"].eqNullSafe(chosen["own_id"]) & (F.xxhash64(docs["text"]) == chosen["own_hash"])
+    texts = docs.select("doc_id", "text").join(chosen.hint("merge"), same).select("own_label", F.struct(F.col("own_fp").alias("fp"), "text").alias("row"))
+    grouped = texts.groupBy("own_label").agg(F.collect_list("row").alias("rows"))
+    return map_batches(grouped, ["rows"], _set_forests, "a long, b long").distinct()
+
+
 def _marked(width: int):
-    return lambda b: {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": [fingerprint(t, width) for t in b["text"]]}
+    def own(b: dict) -> dict:
+        sets = [shingle_set(t) for t in b["text"]]
+        return {
+            "doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": [fingerprint(t, width) for t in b["text"]],
+            "shingles": [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], "bands": list(map(bands, sets)),
+        }
+
+    return own
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without all but one row of every component: that of the smallest doc_id (nulls last), then of the smallest text hash.
 
-    Of rows equal in doc_id and text one stays; rows that share a doc_id but not a text are told apart. The rows that stay
-    are named by id and text hash and found by a merge join at every size, since their number grows with the input: texts
-    are shuffled once.
+    Links are those of fingerprints and those of shingle sets. Of rows equal in doc_id and text one stays; rows that share a
+    doc_id but not a text are told apart. The rows that stay are named by id and text hash and found by a merge join at every
+    size, since their number grows with the input.
     """
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = map_batches(marked, ["doc_id", "text", "text_hash"], _marked, "doc_id long, text_hash long, fp long", width)
-    rows = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    marks = cut(map_batches(marked, ["doc_id", "text", "text_hash"], _marked, "doc_id long, text_hash long, fp long, shingles long, bands array<long>", width))
+    rows = marks.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
     distinct = cut(rows.groupBy("fp").agg(F.min(own).alias("first")))
-    labels = components(links(distinct.select("fp")))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "bands")).alias("one")
+    nodes = cut(marks.groupBy("fp", "shingles").agg(one).select("fp", "shingles", "one.doc_id", "one.text_hash", "one.bands"))
+    labels = components(links(distinct.select("fp")).unionByName(set_links(docs, nodes)))
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp")).agg(F.min("first").alias("first"))
     kept = cut(named.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), F.col("first.n").alias("kept_n")))
 

@@ -134,6 +134,47 @@ def test_rows_of_one_id_or_none_are_told_apart_by_text(spark):
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("5", text[0]), ("5", text[1]), ("7", text[2]), ("None", text[0] + " now and then"), ("None", "")])
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_many_edits_go(spark):
+    rng, texts = random.Random(7), []
+    for n in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for edits in (0, 4, 6, 30):
+            at = set(rng.sample(range(300), edits))
+            texts.append(" ".join("x%d" % rng.randrange(5000) if i in at else w for i, w in enumerate(words)))
+    fps = [simhash.fingerprint(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert sum((fps[i] ^ fps[j]).bit_count() > simhash.RADIUS for i, j in near) > 10
+    label = list(range(len(texts)))
+    for _ in label:
+        for i, j in near + [(i, j) for i in label for j in range(i) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= simhash.RADIUS]:
+            label[i] = label[j] = min(label[i], label[j])
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label)) and len(set(label)) > 12
+
+
+def test_sets_link_as_by_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = [rng.integers(0, 10**6, 50).astype(np.uint64) for _ in range(5)]
+    sets = [np.unique(np.concatenate([rng.permutation(b)[:45], rng.integers(0, 10**6, k).astype(np.uint64)])) for b in base for k in (0, 1, 2, 5, 9, 20)]
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i in range(len(sets)):
+            for j in range(i):
+                if share(sets[i], sets[j]) >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+    root = {m: r for m, r in simhash.set_forest(sets)}
+    got = [root.get(k, k) for k in range(len(sets))]
+    assert len(set(label)) < len(sets) and all((got[i] == got[j]) == (label[i] == label[j]) for i in range(len(sets)) for j in range(i))
+
+
 def test_the_join_of_kept_rows_shuffles_at_every_size(documents):
     plan = simhash.keep_one(documents)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
