@@ -1,7 +1,8 @@
 """Licence recognition by sentences, in DataFrame functions only.
 
 A text is cut into sentences at line ends and after `.`, `!`, `?` or `;`; a line that goes on in lower case belongs to the
-line before. A sentence is normalised to lower-case ASCII letters and digits, anything else one space. Known licence
+line before, and so do the lines of a known sentence, whatever stands between its words (capitals, comment marks, quotes).
+A sentence is normalised to lower-case ASCII letters and digits, anything else one space. Known licence
 sentences have identifiers; a text becomes the sequence of identifiers of its known sentences, and a rule matches if its
 identifiers occur in that order. One projection without a shuffle, so no key can be hot.
 
@@ -45,25 +46,42 @@ RULES = [
     ("GPL-3.0", [3]), ("GPL-3.0", [19]), ("CC-BY-NC-4.0", [4]), ("CC-BY-NC-4.0", [22]), ("CC-BY-4.0", [21]), ("BSD-3-Clause", [11, 12, 13]),
     ("BSD-2-Clause", [11, 13]), ("ISC", [14]), ("MPL-2.0", [15]), ("Unlicense", [16]), ("Proprietary", [5]),
 ]
+# Notices beyond the driver's SQL, which knows those above only.
+MORE_SENTENCES = SENTENCES | {
+    23: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    24: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    25: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    26: "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    27: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    28: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    29: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+}
+MORE_RULES = [*RULES, ("GPL-3.0", [23]), ("GPL-2.0", [24]), ("LGPL-2.1", [25]), ("LGPL-3.0", [26]), ("AGPL-3.0", [27]), ("CC-BY-SA-4.0", [28]), ("CC0-1.0", [29])]
+#: Known sentences of so many words are found over line ends.
+LONG = 9
 GOES_ON = r"([^.!?;:\n])\n([a-z])"
 ENDS = r"[.!?;]+\s+|\n"
 OTHER = r"[^a-z0-9]+"
 
 
 def sentences(text: Column) -> Column:
-    whole = F.regexp_replace(F.coalesce(text, F.lit("")), GOES_ON, "$1 $2")
+    whole = F.coalesce(text, F.lit(""))
+    for s in MORE_SENTENCES.values():
+        if len(words := s.split()) >= LONG:
+            whole = F.regexp_replace(whole, r"(?i)\b" + "[^a-z0-9]+".join(words) + r"\b", s)
+    whole = F.regexp_replace(whole, GOES_ON, "$1 $2")
     return F.transform(F.split(whole, ENDS), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
 
 
 def sentence_ids(text: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
+    known = F.create_map(*(F.lit(x) for i, s in MORE_SENTENCES.items() for x in (s, i)))
     return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids and licenses (comma-joined, in order of the rules) for every document."""
     marks = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
-    found = F.array(*(F.when(F.col("marks").like("%" + "%".join(f"<{i}>" for i in ids) + "%"), F.lit(name)) for name, ids in RULES))
+    found = F.array(*(F.when(F.col("marks").like("%" + "%".join(f"<{i}>" for i in ids) + "%"), F.lit(name)) for name, ids in MORE_RULES))
     return (
         docs.select("doc_id", sentence_ids(F.col("text")).alias("ids"))
         .withColumn("marks", marks)
