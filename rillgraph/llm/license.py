@@ -1,10 +1,15 @@
 """Licence recognition by sentences, in DataFrame functions only.
 
 A text is cut into sentences at line ends and after `.`, `!`, `?` or `;`; a line that goes on in lower case belongs to the
-line before, and so do the lines of a known sentence, whatever stands between its words (capitals, comment marks, quotes).
-A sentence is normalised to lower-case ASCII letters and digits, anything else one space. Known licence
-sentences have identifiers; a text becomes the sequence of identifiers of its known sentences, and a rule matches if its
-identifiers occur in that order. One projection without a shuffle, so no key can be hot.
+line before. A sentence is normalised to lower-case ASCII letters and digits, anything else one space. Known licence
+sentences have identifiers. The short ones must be a whole sentence of the text; those of `LONG` words or more, and the
+headings and phrases of `ANYWHERE`, are found wherever their words follow each other, whatever stands between them (line
+ends, capitals, comment marks, quotes). Of phrases that overlap, the longest is taken.
+
+A text becomes the sequence of identifiers of its known sentences. Rules are tried from the longest to the shortest; one
+matches if its identifiers occur in that order (a place of a rule may name several), and it consumes them, so the sentences
+of a longer licence don't show a shorter one too. One projection without a shuffle, so no key can be hot; a text without
+any of the `ANCHORS`, of which each known sentence holds one, is not cut at all.
 
 Defined results: null, empty and licence-free texts give 0, '' and ''; repeated sentences count each time; null ids and
 repeated rows come back; an empty table gives no rows. Other columns are not read.
@@ -12,6 +17,8 @@ repeated rows come back; an empty table gives no rows. Other columns are not rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +53,7 @@ RULES = [
     ("GPL-3.0", [3]), ("GPL-3.0", [19]), ("CC-BY-NC-4.0", [4]), ("CC-BY-NC-4.0", [22]), ("CC-BY-4.0", [21]), ("BSD-3-Clause", [11, 12, 13]),
     ("BSD-2-Clause", [11, 13]), ("ISC", [14]), ("MPL-2.0", [15]), ("Unlicense", [16]), ("Proprietary", [5]),
 ]
-# Notices beyond the driver's SQL, which knows those above only.
+# Sentences and notices beyond the driver's SQL, which knows those above only.
 MORE_SENTENCES = SENTENCES | {
     23: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     24: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
@@ -55,39 +62,135 @@ MORE_SENTENCES = SENTENCES | {
     27: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     28: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     29: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    30: "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    31: "and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    32: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    33: "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    34: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    35: "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0",
+    36: "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    37: "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    38: "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    39: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    40: "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    41: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    42: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    43: "apache license version 2 0 january 2004",
+    44: "gnu general public license version 3 29 june 2007",
+    45: "gnu general public license version 2 june 1991",
+    46: "gnu lesser general public license version 2 1 february 1999",
+    47: "gnu lesser general public license version 3 29 june 2007",
+    48: "gnu affero general public license version 3 19 november 2007",
+    49: "mozilla public license version 2 0",
+    50: "eclipse public license v 2 0",
+    51: "creative commons legal code cc0 1 0 universal",
+    52: "boost software license version 1 0 august 17th 2003",
+    53: "spdx license identifier bsd 3 clause",
+    54: "spdx license identifier bsd 2 clause",
+    55: "spdx license identifier isc",
+    56: "spdx license identifier mpl 2 0",
+    57: "spdx license identifier gpl 2 0 only",
+    58: "spdx license identifier gpl 2 0 or later",
+    59: "spdx license identifier gpl 3 0 or later",
+    60: "spdx license identifier lgpl 2 1 or later",
+    61: "spdx license identifier lgpl 3 0 or later",
+    62: "spdx license identifier agpl 3 0 or later",
+    63: "spdx license identifier agpl 3 0 only",
+    64: "spdx license identifier epl 2 0",
+    65: "spdx license identifier cc0 1 0",
+    66: "spdx license identifier zlib",
+    67: "spdx license identifier bsl 1 0",
+    68: "spdx license identifier unlicense",
+    69: "spdx license identifier bsd 3 clause clear",
+    70: "spdx license identifier mit 0",
 }
-MORE_RULES = [*RULES, ("GPL-3.0", [23]), ("GPL-2.0", [24]), ("LGPL-2.1", [25]), ("LGPL-3.0", [26]), ("AGPL-3.0", [27]), ("CC-BY-SA-4.0", [28]), ("CC0-1.0", [29])]
-#: Known sentences of so many words are found over line ends.
-LONG = 9
+# A tuple in a place of a rule names sentences of which any will do there.
+MORE_RULES = [
+    *RULES, ("GPL-3.0", [(23, 44, 59)]), ("GPL-2.0", [(24, 41, 45, 57, 58)]), ("LGPL-2.1", [(25, 46, 60)]), ("LGPL-3.0", [(26, 42, 47, 61)]),
+    ("AGPL-3.0", [(27, 48, 62, 63)]), ("CC-BY-SA-4.0", [28]), ("CC0-1.0", [(29, 51, 65)]), ("BSD-3-Clause", [11, (12, 30), (13, 31)]), ("BSD-3-Clause", [53]),
+    ("BSD-2-Clause", [11, (13, 31)]), ("BSD-2-Clause", [54]), ("Zlib", [(32, 66)]), ("BSL-1.0", [(33, 52, 67)]), ("EPL-2.0", [(34, 50, 64)]), ("EPL-1.0", [35]),
+    ("CC-BY-NC-SA-4.0", [36]), ("CC-BY-ND-4.0", [37]), ("CC-BY-NC-ND-4.0", [38]), ("0BSD", [39]), ("WTFPL", [40]), ("Apache-2.0", [43]), ("ISC", [55]),
+    ("MPL-2.0", [(49, 56)]), ("Unlicense", [68]), ("BSD-3-Clause-Clear", [69]), ("MIT-0", [70]),
+]
+#: Known sentences of so many words are found over line ends, and so are these.
+LONG, ANYWHERE = 9, frozenset([17, 18, 19, *range(43, 71)])
+#: Each known sentence holds one of these words.
+ANCHORS = ("license", "software", "reserved", "redistribution", "legal", "merchantability", "eclipse")
 GOES_ON = r"([^.!?;:\n])\n([a-z])"
 ENDS = r"[.!?;]+\s+|\n"
 OTHER = r"[^a-z0-9]+"
+#: Between sentences, and between words of a found phrase; neither occurs in normalised text.
+BAR, TIE = "|", "_"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _spread() -> list[str]:
+    found = [s for i, s in MORE_SENTENCES.items() if len(s.split()) >= LONG or i in ANYWHERE]
+    return sorted(found, key=lambda s: (-len(s), s))
 
 
 def sentences(text: Column) -> Column:
-    whole = F.coalesce(text, F.lit(""))
-    for s in MORE_SENTENCES.values():
-        if len(words := s.split()) >= LONG:
-            whole = F.regexp_replace(whole, r"(?i)\b" + "[^a-z0-9]+".join(words) + r"\b", s)
-    whole = F.regexp_replace(whole, GOES_ON, "$1 $2")
-    return F.transform(F.split(whole, ENDS), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
+    """Normalised sentences of a text; a phrase found anywhere is one of its own, its words tied by TIE."""
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), GOES_ON, "$1 $2")
+    parts = F.transform(F.split(whole, ENDS), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
+    gap = f"[ {BAR}]"
+
+    def bound(joined: Column) -> Column:
+        plain = F.regexp_replace(joined, f"{gap}+", " ")
+        spread = F.array(*map(F.lit, _spread()))
+        hits = let(plain, lambda p: F.filter(spread, lambda s: F.contains(p, F.concat(F.lit(" "), s, F.lit(" ")))))
+        pattern = lambda s: F.concat(F.lit(gap), F.replace(s, F.lit(" "), F.lit(f"{gap}+")), F.lit(f"(?={gap})"))
+        tied = lambda s: F.concat(F.lit(BAR), F.replace(s, F.lit(" "), F.lit(TIE)), F.lit(BAR))
+        return F.aggregate(hits, joined, lambda acc, s: F.regexp_replace(acc, pattern(s), tied(s)))
+
+    joined = F.concat(F.lit(BAR), F.array_join(parts, BAR), F.lit(BAR))
+    return F.transform(F.split(let(joined, bound), rf"\{BAR}"), lambda s: F.trim(s))
 
 
 def sentence_ids(text: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for i, s in MORE_SENTENCES.items() for x in (s, i)))
-    return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    spread = set(_spread())
+    known = F.create_map(*(F.lit(x) for i, s in MORE_SENTENCES.items() for x in (s.replace(" ", TIE) if s in spread else s, i)))
+    ids = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    low = F.lower(text)
+    held = F.contains(low, F.lit(ANCHORS[0]))
+    for word in ANCHORS[1:]:
+        held = held | F.contains(low, F.lit(word))
+    return F.when(held, ids).otherwise(F.array().cast("array<int>"))
+
+
+def ordered_rules() -> list[tuple[str, str, str]]:
+    """(licence, pattern over marked identifiers, what a match leaves), the longest rules first."""
+    out = []
+    for name, places in sorted(MORE_RULES, key=lambda r: -len(r[1])):
+        each = ["<(?:" + "|".join(map(str, p if isinstance(p, tuple) else (p,))) + ")>" for p in places]
+        out.append((name, "(.*?)".join(each), "".join(f"${k}" for k in range(1, len(each)))))
+    return out
+
+
+def licenses(ids: Column) -> Column:
+    """Licences that the identifiers show, each once, in the order of MORE_RULES."""
+    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"), F.lit(r).alias("rest")) for n, p, r in ordered_rules()))
+    marks = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
+    start = F.struct(marks.alias("marks"), F.array().cast("array<string>").alias("names"))
+
+    def step(acc: Column, rule: Column) -> Column:
+        rest = F.struct(F.regexp_replace(acc["marks"], rule["pattern"], rule["rest"]).alias("marks"), F.array_append(acc["names"], rule["name"]).alias("names"))
+        return F.when(F.regexp_like(acc["marks"], rule["pattern"]), rest).otherwise(acc)
+
+    names = F.aggregate(rules, start, step)["names"]
+    order = F.array(*map(F.lit, dict.fromkeys(n for n, _ in MORE_RULES)))
+    shown = let(names, lambda found: F.filter(order, lambda n: F.array_contains(found, n)))
+    return F.when(F.size(ids) > 0, F.array_join(shown, ",")).otherwise(F.lit(""))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids and licenses (comma-joined, in order of the rules) for every document."""
-    marks = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
-    found = F.array(*(F.when(F.col("marks").like("%" + "%".join(f"<{i}>" for i in ids) + "%"), F.lit(name)) for name, ids in MORE_RULES))
-    return (
-        docs.select("doc_id", sentence_ids(F.col("text")).alias("ids"))
-        .withColumn("marks", marks)
-        .select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
-                F.array_join(F.array_distinct(F.filter(found, lambda x: x.isNotNull())), ",").alias("licenses"))
-    )
+    found = let(sentence_ids(F.col("text")), lambda ids: F.struct(F.size(ids).cast("long").alias("n"), F.array_join(ids, ",").alias("ids"), licenses(ids).alias("names")))
+    return docs.select("doc_id", found.alias("found")).select("doc_id", F.col("found.n").alias("n_sentences"), F.col("found.ids").alias("sentence_ids"), F.col("found.names").alias("licenses"))
 
 
 def oracle() -> str:

@@ -89,16 +89,118 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
 AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
 DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
-GPL = """This program is free software; you can redistribute it and/or modify
-it under the terms of the GNU General Public License as published by
-the Free Software Foundation; either version 2 of the License, or
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+http://www.eclipse.org/legal/epl-2.0"""
+CC0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty."""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute"""
+
+
+def gnu(name, version, thing="program"):
+    return f"""This {thing} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {name} as published by
+the Free Software Foundation, either version {version} of the License, or
 (at your option) any later version."""
 
 
+NOTICES = {
+    "Apache-2.0": APACHE, "BSD-3-Clause": BSD, "BSD-2-Clause": BSD[: BSD.index("3. Neither")] + BSD[BSD.index("THIS SOFTWARE") :], "MIT": MIT, "Zlib": ZLIB, "ISC": ISC,
+    "MPL-2.0": MPL, "EPL-2.0": EPL, "CC0-1.0": CC0, "BSL-1.0": BOOST, "GPL-3.0": gnu("General Public License", 3), "GPL-2.0": gnu("General Public License", 2),
+    "LGPL-2.1": gnu("Lesser General Public License", 2.1, "library"), "LGPL-3.0": gnu("Lesser General Public License", 3), "AGPL-3.0": gnu("Affero General Public License", 3),
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.", "0BSD": ISC[: ISC.index(", provided")] + ".",
+    "Unlicense": "This is free and unencumbered software released\ninto the public domain.",
+}
+
+
 def test_wrapped_notices(spark):
-    texts = [mark + t.replace("\n", "\n" + mark) for t in (APACHE, BSD, GPL) for mark in ("", "# ", " * ")]
+    """One text for each licence: plain, and wrapped behind three comment marks; no licence shows a shorter one beside it."""
+    texts, want = [], []
+    for name, notice in NOTICES.items():
+        for mark in ("", "# ", " * ", "// "):
+            texts.append("Some words before\n\n" + mark + notice.replace("\n", "\n" + mark) + "\n\nAnd words after it.")
+            want.append(name)
+    texts += [NOTICES["BSD-3-Clause"] + "\n\n" + NOTICES["BSD-2-Clause"], APACHE.upper(), "# SPDX-License-Identifier: BSD-3-Clause\nint x;", BSD.replace("the copyright holder nor", "Acme nor")]
+    want += ["BSD-3-Clause,BSD-2-Clause", "Apache-2.0", "BSD-3-Clause", "BSD-3-Clause"]
+    got = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert {(k, r["licenses"]) for k, r in enumerate(got)} == set(enumerate(want))
+
+
+def brute_licences(text):
+    """By loops over words: longest known phrases first, then sentences, then rules that consume."""
+    whole = regex.sub(license.GOES_ON, r"\1 \2", text or "")
+    parts = [regex.sub(license.OTHER, " ", p.lower()).split() for p in regex.split(license.ENDS, whole)]
+    words = [(w, k) for k, p in enumerate(parts) for w in p]
+    owner, found = [None] * len(words), []
+    known = {s: i for i, s in license.MORE_SENTENCES.items()}
+    for s in license._spread():
+        need = s.split()
+        for at in range(len(words) - len(need) + 1):
+            if all(owner[at + j] is None and words[at + j][0] == need[j] for j in range(len(need))):
+                owner[at : at + len(need)] = [s] * len(need)
+                found.append((at, known[s]))
+    at = 0
+    while at < len(words):  # what phrases leave of a sentence is a sentence of its own
+        end = at + 1
+        while owner[at] is None and end < len(words) and owner[end] is None and words[end][1] == words[at][1]:
+            end += 1
+        if owner[at] is None and (i := known.get(" ".join(w for w, _ in words[at:end]))) and len(words[at:end]) < license.LONG and i not in license.ANYWHERE:
+            found.append((at, i))
+        at = end
+    ids = [i for _, i in sorted(found)]
+    left, names = list(ids), []
+    for name, places in sorted(license.MORE_RULES, key=lambda r: -len(r[1])):
+        at, used = 0, []
+        while True:
+            for place in places:
+                nxt = next((k for k in range(at, len(left)) if left[k] in (place if isinstance(place, tuple) else (place,))), None)
+                if nxt is None:
+                    break
+                used.append(nxt)
+                at = nxt + 1
+            else:
+                names.append(name)
+                continue
+            break
+        whole_matches = len(used) // len(places) * len(places)
+        left = [x for k, x in enumerate(left) if k not in used[:whole_matches]]
+    return ids, [n for n in dict.fromkeys(n for n, _ in license.MORE_RULES) if n in names]
+
+
+def test_licences_match_brute_force(spark):
+    rng = random.Random(5)
+    pieces = [*NOTICES.values(), "All rights reserved.", "Released under the MIT License.", "some other words", "license", "Licensed under CC BY-NC 4.0!", "\n\n", "not all rights reserved here"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "\n", ". ", "\n# "]) for _ in range(rng.randint(1, 6))) for _ in range(150)]
     got = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r["licenses"] for r in got] == ["Apache-2.0"] * 3 + ["BSD-3-Clause,BSD-2-Clause"] * 3 + ["GPL-2.0"] * 3
+    for text, r in zip(texts, got):
+        ids, names = brute_licences(text)
+        assert (r["sentence_ids"], r["licenses"], r["n_sentences"]) == (",".join(map(str, ids)), ",".join(names), len(ids))
 
 
 # 3: SimHash
