@@ -59,7 +59,8 @@ PROBE = "</s>[INST] ok [/INST]"
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
+    values = ", ".join(f"(-1, {k}, '{role}', '{PROBE}')" for k, role in enumerate(("user", "assistant")))
+    probe = spark.sql(f"SELECT * FROM VALUES {values} AS t(conv_id, turn, role, text)")
     return chat.digests(chat.windows(rows.unionByName(probe)))
 
 

@@ -296,22 +296,49 @@ def test_near_copies_of_many_edits_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label)) and len(set(label)) > 12
 
 
-def test_sets_link_as_by_brute_force():
-    import numpy as np
-
+def test_common_counts_and_joining_pairs_match_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
     base = [rng.integers(0, 10**6, 50).astype(np.uint64) for _ in range(5)]
     sets = [np.unique(np.concatenate([rng.permutation(b)[:45], rng.integers(0, 10**6, k).astype(np.uint64)])) for b in base for k in (0, 1, 2, 5, 9, 20)]
-    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    label = list(range(len(sets)))
-    for _ in sets:
-        for i in range(len(sets)):
-            for j in range(i):
-                if share(sets[i], sets[j]) >= 0.8:
-                    label[i] = label[j] = min(label[i], label[j])
-    root = {m: r for m, r in simhash.set_forest(sets)}
-    got = [root.get(k, k) for k in range(len(sets))]
-    assert len(set(label)) < len(sets) and all((got[i] == got[j]) == (label[i] == label[j]) for i in range(len(sets)) for j in range(i))
+    got = simhash.common_counts(sets, sets[:20])
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[:20]] for a in sets]).all() and simhash.common_counts(sets[:1], []).shape == (1, 0)
+    labels = np.array([k // 2 for k in range(len(sets))])
+    near = simhash.alike(got, np.array(list(map(len, sets)))[:, None], np.array(list(map(len, sets[:20])))[None, :])
+    pairs = simhash.joining(near, labels, labels[:20])
+    merge = lambda found: {frozenset(g) for g in groups_of(range(15), [(labels[i], labels[j]) for i, j in found])}
+    assert merge(pairs) == merge(np.argwhere(near).tolist()) and len(pairs) < 15
+
+
+def groups_of(nodes, pairs):
+    label = {n: n for n in nodes}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return [[n for n in nodes if label[n] == r] for r in set(label.values())]
+
+
+@pytest.mark.parametrize("sizes", [(512, 4096, 2000), (3, 4, 5)])
+def test_groups_with_and_without_a_hub_match_brute_force(spark, monkeypatch, sizes):
+    """Copies of one text, near it but not each other; copies of a text that is not there; chains; and blocks, parts and hot keys of a few rows."""
+    for name, size in zip(("BLOCK", "PART", "HOT"), sizes):
+        monkeypatch.setattr(simhash, name, size)
+    rng, texts = random.Random(11), []
+    edit = lambda words, n: [f"y{rng.randrange(9999)}" if i in set(rng.sample(range(len(words)), n)) else w for i, w in enumerate(words)]
+    for kind in ("hub", "no hub", "chain", "alone"):
+        for _ in range(3):
+            words = [f"w{rng.randrange(5000)}" for _ in range(220)]
+            family = [words] if kind in ("hub", "alone") else []
+            for _ in range({"alone": 0}.get(kind, 14)):
+                near = edit(family[-1] if kind == "chain" and family else words, 4)
+                family.append(near)
+            texts += [" ".join(f) for f in family]
+    sets = [simhash.shingle_set(t) for t in texts]
+    fps = [simhash.fingerprint(t) for t in texts]
+    share = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if share(i, j) >= 0.8 or ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 3]
+    want = {min(g) for g in groups_of(range(len(texts)), pairs)}
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == want and len(want) < len(texts) / 2
 
 
 def test_the_join_of_kept_rows_shuffles_at_every_size(documents):
@@ -582,6 +609,86 @@ def test_chat_windows(spark):
     assert (got[1]["n_turns"], got[1]["loss_chars"], got[2]["n_turns"], got[2]["loss_chars"], got[3]["n_turns"]) == (12, len(loss), 2, 0, 1)
 
 
+def plain_windows(turns, budget, history, history_budget):
+    """By a loop: [(members, n_repeated)] of one conversation's ordered (role, text) turns."""
+    cost = [chat.TURN_TOKENS + -(-len(t) // 4) for _, t in turns]
+    lead = bool(turns) and turns[0][0] == "system"
+    room = max(budget - (cost[0] if lead else 0), 0)
+    aside = min(history_budget, room // 4)
+    stride = max((room - aside) // 2, 1)
+    spans, before, last = [], 0, None
+    for k in range(lead, len(turns)):
+        alone = cost[k] > stride
+        key = ("alone", k) if alone else ("bin", before // stride, last[2] if last and last[0] == "bin" else k)
+        if last is None or alone or last[0] == "alone" or key[1] != last[1]:
+            spans.append([])
+            key = key[:2] + (k,)
+        spans[-1].append(k)
+        last, before = key, before + cost[k]
+    out = []
+    for n, span in enumerate(spans or [[]]):
+        fits = max(room - cost[span[0]], 0) if span and cost[span[0]] > stride else aside
+        again = []
+        for k in range(span[0] - 1 if span else -1, -1, -1):
+            if k < lead or len(again) == history or sum(cost[j] for j in [k, *again]) > min(fits, aside):
+                break
+            again.insert(0, k)
+        if lead and n == 0:
+            out.append(([0, *span], 0))
+        else:
+            out.append(([0] * lead + again + span, lead + len(again)))
+    return out
+
+
+def test_windows_match_a_loop(spark):
+    rng, rows, want = random.Random(2), [], {}
+    budgets = (200, 3, 48)
+    for conv in range(60):
+        size = rng.choice([5, 40, 200, 900])
+        turns = [("system" if k == 0 and conv % 3 == 0 else "user" if k % 2 else "assistant", "<a> " + "é" * rng.randrange(size)) for k in range(rng.randint(1, 25))]
+        if conv == 6:
+            turns[0] = ("system", "x" * 3000)
+        rows += [(conv, k, r, t) for k, (r, t) in enumerate(turns)]
+        for n, (members, repeated) in enumerate(plain_windows(turns, *budgets)):
+            text, loss = "", []
+            for place, k in enumerate(members):
+                role, body = turns[k]
+                head = f"<s>[{role}]"
+                marked = body.replace("~", "~0").replace("<", "~1").replace("[", "~2").replace("]", "~3")
+                if place >= repeated and role == "assistant":
+                    loss.append((len(text) + len(head), len(marked)))
+                text += head + marked + "</s>"
+            want[conv, n] = (text, repeated, loss)
+            tokens = sum(chat.TURN_TOKENS + -(-len(turns[k][1]) // 4) for k in members)
+            assert tokens <= budgets[0] or len(members) <= 1 + (turns[0][0] == "system")
+    got = chat.windows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), *budgets).collect()
+    assert {(r["conv_id"], r["window"]): (r["text"], r["n_repeated"], [tuple(x) for x in r["loss"]]) for r in got} == want
+
+
+def test_odd_conversations(spark):
+    """Null ids, roles and turns, repeated rows, and columns whose names are those of the steps."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, None, None, None), (None, 1, "assistant", "a~1b"), (1, 1, "assistant", "same"), (1, 1, "assistant", "same"), (2, 0, "system", "only"), (3, 0, "system", "s" * 9000), (3, 1, "assistant", "x" * 9000), (3, 2, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    for name in ("k", "window", "before", "t", "c", "start", "loss", "body"):
+        df = df.withColumn(name, F.lit("other"))
+    got = {r["conv_id"]: r for r in chat.digests(chat.windows(df)).collect()}
+    assert {i: (r["n_turns"], r["loss_chars"]) for i, r in got.items()} == {None: (2, 4), 1: (2, 8), 2: (1, 0), 3: (3, 9000)}
+    assert got[None]["turns_sha256"] == hashlib.sha256(b"\n\nassistant\na~1b\n").hexdigest()
+
+
+def test_one_long_conversation(spark):
+    """Thousands of turns in one conversation: rows and windows grow in proportion, and no window is over its budget."""
+    from pyspark.sql import functions as F
+
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("word "), 100).alias("text"))
+    windows = chat.windows(turns)
+    assert windows.filter("over_budget").isEmpty()
+    got = chat.digests(windows).first()
+    assert (got["n_turns"], got["loss_chars"]) == (20_000, 5_000_000)
+
+
 # all of them
 
 
