@@ -9,7 +9,8 @@ orthogonal to all of them: its table keeps none of the differing bits and the pa
 
 A bucket of at most `CAP` distinct fingerprints is solved in one task, which returns a spanning forest and never all
 pairs. A larger one is dealt again by the same construction over the bits that its table leaves free (about half), and
-once more after that; then at most 8 bits are free, so at most 256 distinct fingerprints remain. Nothing is dropped.
+once more after that; then at most 8 bits are free, so at most 256 distinct fingerprints remain and all are solved. Nothing is
+dropped.
 
 Defined results: a null or empty text, or one of white space only, has no shingle and fingerprint zero, linked like any
 other; fewer than three words are one shingle. Repeated rows each come back; null ids take part and never become a
@@ -17,8 +18,11 @@ component id unless a component has no other. An empty table gives no rows. Othe
 
 `keep_one` also links documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which few of 64
 bits do not show. Texts that share one of `BANDS` MinHash bands of `ROWS` values are candidates (a pair at 0.8 shares none
-with a chance of (1 - 0.8^5)^32, 3 in a million; nearer pairs with less); a component of candidates is solved exactly, over
-all its pairs, in one task.
+with a chance of (1 - 0.8^5)^32, 3 in a million; nearer pairs with less), and every link is checked on the whole sets. First
+each bucket of candidates is compared with its most popular member only, so a large group of copies costs one comparison a
+copy. Then, in buckets whose members aren't all in one component, those outside the most frequent component are compared with
+all others, in blocks of at most `BLOCK` sets, and only links that join two components are told. Neither step gathers a
+bucket in one task or writes all its pairs, and no bucket is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ from .common import cut, map_batches
 RADIUS, CAP, WIDTH, SEED = 3, 256, 3, 42
 # Five-word sets link at a Jaccard similarity of 4/5.
 SET_WIDTH, BANDS, ROWS = 5, 32, 5
+# Sets of a block and their bytes; members compared with one copy of their bucket's most popular set.
+BLOCK, BLOCK_BYTES, PART = 512, 16 << 20, 4096
+#: A key is hot beyond the larger of HOT rows and a HOT_KEYS-th of all rows, so at most HOT_KEYS keys are; each HOT rows of it make a part.
+HOT, HOT_KEYS = 2_000, 10_000
 FACTORS, ADDED = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
 FACTORS |= np.uint64(1)
 
@@ -115,16 +123,17 @@ def links(fps: DataFrame) -> DataFrame:
     masks = F.array(*(F.lit(_signed(m)) for m in covering_masks(list(range(64)))))
     keyed = fps.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     found = None
-    for _ in range(3):
+    for deal in range(3):
         sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = cut(keyed.join(sizes, ["mask", "key"]))  # most fingerprints are alone in their buckets
-        own = shared.filter(F.col("n") <= CAP).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+        small = F.col("n") <= CAP if deal < 2 else F.lit(True)  # at most 8 free bits now: at most 256 distinct fingerprints
+        own = shared.filter(small).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
         own = map_batches(own, ["fps"], _forests, "a long, b long")
         found = own if found is None else found.unionByName(own)
-        large = shared.filter(F.col("n") > CAP)
+        large = shared.filter(~small)
         if large.isEmpty():
             break
-        keyed = map_batches(large, ["mask", "fp"], _deeper, "mask long, key long, fp long")
+        keyed = map_batches(large, ["mask", "fp"], _deeper, "mask long, key long, fp long").distinct()  # masks meet again on several ways
     return found.distinct()
 
 
@@ -142,16 +151,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def spread_join(rows: DataFrame, few: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """rows joined to few (one row a key) on key; rows of hot keys are dealt over parts, so no task gets more than about HOT of them.
+
+    counts: key and n, its number of rows. The hot keys are at most HOT_KEYS by the choice of their threshold, so their list is broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") > max(HOT, total // HOT_KEYS)).select(F.col(key).alias("hot_key"), F.ceil(F.col("n") / HOT).cast("int").alias("hot_parts"))
+    if hot.isEmpty():
+        return rows.join(few, key)
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("hot_part", F.coalesce(F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), F.col("hot_parts")).cast("int"), F.lit(0)))
+    copies = few.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), F.coalesce("hot_parts", F.lit(1)) - 1)))
+    return dealt.drop("hot_key", "hot_parts").join(copies.drop("hot_key", "hot_parts"), [key, "hot_part"]).drop("hot_part")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs(doc_id, text)."""
     fps = cut(map_batches(docs, ["doc_id", "text"], _fingerprints, "doc_id long, fp long", width))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     labels = components(links(distinct))
     named = labels.join(distinct, labels.node == distinct.fp).select("fp", "label", "first")
     named = named.join(named.groupBy("label").agg(F.min("first").alias("least")), "label").select("fp", "least")
     named = distinct.join(named, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return spread_join(fps, named, "fp", distinct).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, width: int = SET_WIDTH) -> np.ndarray:
@@ -163,71 +186,179 @@ def shingle_set(text: str | None, width: int = SET_WIDTH) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, shingles), np.uint64))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """One key for each MinHash band of a set; an empty set has none."""
+def signature(own: np.ndarray) -> bytes | None:
+    """The low 16 bits of each of BANDS * ROWS MinHash values of a set; an empty set has none."""
     if not len(own):
-        return []
+        return None
     low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(own), 1024):  # bounded memory for very long texts
         low = np.minimum(low, (FACTORS * own[at : at + 1024] + ADDED).min(axis=1))
-    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(low.reshape(BANDS, ROWS))]
-
-
-def set_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(member, root) by place for each set but the roots of the components of links at a similarity of 4/5 or more."""
-    size = np.array(list(map(len, sets)))
-    order = np.argsort(size, kind="stable")
-    size, sets = size[order], [sets[k] for k in order]
-    word = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    ends = np.cumsum(size)
-    mark, open_, out = np.zeros(int(word.max()) + 1, bool), size > 0, []
-    for first in range(len(sets)):
-        if not open_[first]:
-            continue
-        open_[first], todo = False, [first]
-        while todo:
-            k = todo.pop()
-            low, high = np.searchsorted(size, [-(-4 * size[k] // 5), 5 * size[k] // 4 + 1])
-            rest = low + np.flatnonzero(open_[low:high])
-            if not len(rest):
-                continue
-            own = word[ends[k] - size[k] : ends[k]]
-            mark[own] = True
-            both = np.array([np.count_nonzero(mark[word[ends[r] - size[r] : ends[r]]]) for r in rest])
-            mark[own] = False
-            near = rest[9 * both >= 4 * (size[rest] + size[k])]  # in whole numbers: common / all >= 4/5
-            open_[near] = False
-            todo += near.tolist()
-            out += [(int(order[r]), int(order[first])) for r in near]
+    return (low >> np.uint64(48) ^ low & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def band_keys(sig):
+    """One key for each band of a signature column."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(sig, 2 * ROWS * k + 1, F.lit(2 * ROWS))))
+
+
+def alike(common, size_a, size_b):
+    """common / all >= 4/5, in whole numbers."""
+    return 9 * common >= 4 * (size_a + size_b)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of left shares with each of right: products of 0/1 matrices over slices of the elements of both."""
+    sides = [np.concatenate(s) if s else np.empty(0, np.uint64) for s in (left, right)]
+    rows = [np.repeat(np.arange(len(s)), list(map(len, s))) for s in (left, right)]
+    shared = np.intersect1d(*sides)
+    out = np.zeros((len(left), len(right)), np.int64)
+    places = [np.searchsorted(shared, x) for x in sides]
+    keep = [(p < len(shared)) & (shared[np.minimum(p, max(len(shared) - 1, 0))] == x) if len(shared) else np.zeros(len(x), bool) for p, x in zip(places, sides)]
+    cells = [(r[k], p[k]) for r, p, k in zip(rows, places, keep)]
+    for at in range(0, len(shared), 4096):
+        part = [np.zeros((len(s), min(4096, len(shared) - at)), np.float32) for s in (left, right)]
+        for m, (r, p) in zip(part, cells):
+            inside = (p >= at) & (p < at + 4096)
+            m[r[inside], p[inside] - at] = 1
+        out += (part[0] @ part[1].T).astype(np.int64)
     return out
 
 
-def _set_forests():
-    def own(b: dict) -> dict:
-        edges = set()
-        for rows in b["rows"]:
-            fps = [r["fp"] for r in rows]
-            edges |= {(fps[a], fps[r]) for a, r in set_forest([shingle_set(r["text"]) for r in rows]) if fps[a] != fps[r]}
-        return {"a": [e[0] for e in edges], "b": [e[1] for e in edges]}
+def joining(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of the near pairs (row, column) those that join two labels which no earlier one has joined."""
+    rows, columns = np.nonzero(near & (left[:, None] != right[None, :]))
+    kinds = np.unique(np.stack([left[rows], right[columns]], axis=1), axis=0, return_index=True)[1] if len(rows) else []
+    up: dict = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for i, j in zip(rows[kinds], columns[kinds]):
+        a, b = top(left[i]), top(right[j])
+        if a != b:
+            up[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def _in_groups(df: DataFrame, key: list[str], solve, schema: str) -> DataFrame:
+    """solve(rows) for the rows of each group of `key`, `side` 0 first; groups are met one after another in sorted partitions, one in memory."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow, names = to_arrow_schema(_parse_datatype_string(schema)), df.columns
+
+    def run(batches):
+        own, at = None, None
+        for batch in batches:
+            rows = zip(*(batch.column(k) for k in range(batch.num_columns)))
+            out = []
+            for row in rows:
+                r = {n: v.as_py() for n, v in zip(names, row)}
+                if at != (here := tuple(r[k] for k in key)):
+                    if own is not None:
+                        out += own(None)
+                    own, at = solve(), here
+                out += own(r)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
+        if own is not None and (out := own(None)):
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    return df.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, schema)
+
+
+def _set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
+
+
+def _with_the_first():
+    """Links of the rows of side 1 with that of side 0, told one by one."""
+    first: list = []
+
+    def own(r):
+        if r is None:
+            return []
+        if not r["side"]:
+            first.append((r["fp"], _set(r["set"])))
+            return []
+        (fp, head), s = first[0], _set(r["set"])
+        if fp == r["fp"] or not alike(min(len(head), len(s)), len(head), len(s)):
+            return []
+        return [(r["fp"], fp)] if alike(len(np.intersect1d(head, s, assume_unique=True)), len(head), len(s)) else []
+
+    return own
+
+
+def _two_blocks():
+    """Links between a block of sides 0 and 1 that join labels; told when both are complete."""
+    held: tuple = ([], [])
+
+    def own(r):
+        if r is not None:
+            held[r["side"]].append((r["fp"], r["label"], _set(r["set"])))
+            return []
+        if not held[0] or not held[1]:
+            return []
+        sets = [[x[2] for x in h] for h in held]
+        sizes = [np.array(list(map(len, s))) for s in sets]
+        near = alike(common_counts(*sets), sizes[0][:, None], sizes[1][None, :])
+        pairs = joining(near, *(np.array([x[1] for x in h]) for h in held))
+        return [(held[0][i][0], held[1][j][0]) for i, j in pairs]
 
     return own
 
 
-def set_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Spanning links (a, b) between fingerprints of texts that are similar as sets of shingles.
+def set_links(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between fingerprints; with `known` their components are those of all pairs of texts that are similar as sets.
 
-    nodes: doc_id and text_hash of one row of each distinct (fp, shingles), with its bands. The texts of candidates alone are
-    shuffled, once each.
+    nodes: doc_id and text_hash of one row of each distinct (fp, shingles), with its signature. The texts of candidates alone
+    are shuffled, once.
     """
-    nodes = nodes.withColumn("node", F.xxhash64("fp", "shingles"))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    low = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    labels = components(cut(keyed.join(low, "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()))
-    chosen = nodes.join(labels, "node").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), F.col("fp").alias("own_fp"), F.col("label").alias("own_label"))
+    nodes = nodes.filter("sig IS NOT NULL").withColumn("node", F.xxhash64("fp", "shingles"))
+    keyed = cut(nodes.select("node", F.explode(band_keys(F.col("sig"))).alias("key")).distinct())
+    sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = cut(spread_join(keyed, sizes, "key", sizes))
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    chosen = nodes.join(weights, "node").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "node", "fp", "weight")
     same = docs["doc_id"].eqNullSafe(chosen["own_id"]) & (F.xxhash64(docs["text"]) == chosen["own_hash"])
-    texts = docs.select("doc_id", "text").join(chosen.hint("merge"), same).select("own_label", F.struct(F.col("own_fp").alias("fp"), "text").alias("row"))
-    grouped = texts.groupBy("own_label").agg(F.collect_list("row").alias("rows"))
-    return map_batches(grouped, ["rows"], _set_forests, "a long, b long").distinct()
+    texts = docs.select("doc_id", "text").join(chosen.hint("merge"), same).select("node", "fp", "weight", "text")
+    sets = cut(map_batches(texts, ["node", "fp", "weight", "text"], _sets, "node long, fp long, weight long, set binary").dropDuplicates(["node"]))
+
+    leaders = shared.join(sets.select("node", "weight"), "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    pairs = spread_join(shared.select("node", "key"), leaders, "key", sizes).filter("node <> leader").select("node", "leader").distinct()
+    pairs = cut(pairs)
+    per = cut(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))
+    members = spread_join(pairs, per.select("leader", "parts"), "leader", per).select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
+    heads = per.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("node"))
+    rows = heads.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1))).join(sets.select("node", "fp", "set"), "node")
+    stars = cut(_in_groups(rows.select("leader", "part", "side", "fp", "set"), ["leader", "part"], _with_the_first, "a long, b long").distinct())
+
+    edges = known.unionByName(stars)
+    labels = components(edges)
+    own = sets.join(labels, sets["fp"] == labels["node"], "left").select(sets["node"], "fp", F.coalesce("label", "fp").alias("label"), F.octet_length("set").alias("bytes"))
+    placed = cut(shared.select("node", "key").join(own, "node"))
+    of_label = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    mixed = of_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("top"), F.max_by("bytes", F.struct("n", "label")).alias("top_bytes"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"))
+    mixed = cut(mixed.filter(F.col("top") < F.col("all")).select("key", "most", F.col("all").alias("n"), blocks(F.col("all") - F.col("top"), F.col("all_bytes") - F.col("top_bytes")).alias("minor"), blocks(F.col("all"), F.col("all_bytes")).alias("whole")))
+    if mixed.isEmpty():
+        return edges
+    rows = spread_join(placed, mixed.drop("n"), "key", mixed.select("key", "n"))
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    right = rows.select("key", "node", "label", F.lit(1).alias("side"), block(F.col("whole")).alias("j"), F.explode(span(F.col("minor"))).alias("i"))
+    left = rows.filter("label <> most").select("key", "node", "label", F.lit(0).alias("side"), block(F.col("minor")).alias("i"), F.explode(span(F.col("whole"))).alias("j"))
+    both = left.unionByName(right).join(sets.select("node", "fp", "set"), "node")
+    return edges.unionByName(_in_groups(both.select("key", "i", "j", "side", "fp", "label", "set"), ["key", "i", "j"], _two_blocks, "a long, b long").distinct())
+
+
+def _sets():
+    return lambda b: {"node": b["node"], "fp": b["fp"], "weight": b["weight"], "set": [shingle_set(t).astype("<u8").tobytes() for t in b["text"]]}
 
 
 def _marked(width: int):
@@ -235,7 +366,7 @@ def _marked(width: int):
         sets = [shingle_set(t) for t in b["text"]]
         return {
             "doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": [fingerprint(t, width) for t in b["text"]],
-            "shingles": [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], "bands": list(map(bands, sets)),
+            "shingles": [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], "sig": list(map(signature, sets)),
         }
 
     return own
@@ -249,13 +380,13 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     size, since their number grows with the input.
     """
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    marks = cut(map_batches(marked, ["doc_id", "text", "text_hash"], _marked, "doc_id long, text_hash long, fp long, shingles long, bands array<long>", width))
+    marks = cut(map_batches(marked, ["doc_id", "text", "text_hash"], _marked, "doc_id long, text_hash long, fp long, shingles long, sig binary", width))
     rows = marks.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
     distinct = cut(rows.groupBy("fp").agg(F.min(own).alias("first")))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "bands")).alias("one")
-    nodes = cut(marks.groupBy("fp", "shingles").agg(one).select("fp", "shingles", "one.doc_id", "one.text_hash", "one.bands"))
-    labels = components(links(distinct.select("fp")).unionByName(set_links(docs, nodes)))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "sig")).alias("one")
+    nodes = cut(marks.groupBy("fp", "shingles").agg(one).select("fp", "shingles", "one.doc_id", "one.text_hash", "one.sig"))
+    labels = components(set_links(docs, nodes, cut(links(distinct.select("fp")))))
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp")).agg(F.min("first").alias("first"))
     kept = cut(named.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), F.col("first.n").alias("kept_n")))
 
