@@ -1,18 +1,23 @@
 """Vertex programs as Column factories, and the loop of joins that runs them.
 
-A round is one plan: frontier joined to edges on the source, messages combined by destination (map-side first), joined to the
-state. State is written to the shared folder each round, so plans stay small and a lost executor costs one round. Infinity
-is null inside. The driver reads back one row of metrics a round.
+Edges are written once, bucketed and sorted by source, and the state of the vertices is bucketed by id. A round is one job:
+active vertices are joined to the edges where they lie, messages combined by destination (map-side first) and joined to the
+state where it lies, and the new state is written; only the combined messages are shuffled. Counts of the round (mapped edges,
+active vertices, sums) are observed on that job. The state before the last is deleted, so disk holds two states. A lost
+executor costs tasks of one round. Infinity is null inside.
+
+mapped_edges counts the edges whose source was active, round by round; applied_updates the vertices that a round changed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .materialize import cut
+from .materialize import Bucketed
 
 
 @dataclass
@@ -22,28 +27,69 @@ class Result:
     converged: bool
     frontier_sizes: list[int] = field(default_factory=list)
     mapped_edges: int = 0
+    applied_updates: int = 0
+
+
+def _observed(seen: Observation) -> dict:
+    """What was observed; nothing where the plan was cut off as its rows were found to be none while it ran."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
+class _Loop:
+    """Bucketed edges and state, and what the last round observed."""
+
+    def __init__(self, state: DataFrame, edges: DataFrame, *counts):
+        self.edges, self.counts, self.mapped = Bucketed(edges, "src"), counts, 0
+        seen = Observation()
+        self.state = Bucketed(state.observe(seen, *counts), "id")
+        self.seen = _observed(seen)
+
+    def messages(self, active: DataFrame, *value) -> DataFrame:
+        """dst and value of each edge whose source is in active(src, ...)."""
+        self.at = Observation()
+        return active.join(self.edges.rows, "src").observe(self.at, F.count(F.lit(1)).alias("n")).select("dst", *value)
+
+    def replace(self, state: DataFrame) -> None:
+        seen = Observation()
+        old, self.state = self.state, Bucketed(state.observe(seen, *self.counts), "id", placed=True)
+        old.drop()
+        self.seen, self.mapped = _observed(seen), self.mapped + (_observed(self.at).get("n") or 0)
 
+    def end(self) -> DataFrame:
+        self.edges.drop()
+        return self.state.plain()
 
-def relax(state: DataFrame, edges: DataFrame, weighted: bool, rounds: int | None = None, most: int = 10_000) -> Result:
-    """Min-propagation from active vertices until none is active, or exactly `rounds` rounds."""
-    sizes, mapped, k = [], 0, 0
-    state = cut(state)
-    while k < (rounds if rounds is not None else most):
-        sizes.append(state.filter("active").count())
+
+def relax(state: DataFrame, edges: DataFrame, weighted: bool, rounds: int | None = None, capacity: int | None = None) -> Result:
+    """Min-propagation from active vertices until none is active, or exactly `rounds` rounds.
+
+    With a `capacity` an offer that reaches it is infinity (saturating arithmetic of a machine word).
+    """
+    loop = _Loop(state.select("id", "value", "active"), edges.select("src", "dst", *(["weight"] if weighted else [])), F.count_if("active").alias("active"))
+    sizes, applied, k = [], 0, 0
+    while rounds is None or k < rounds:
+        sizes.append(loop.seen.get("active", 0))
         if rounds is None and not sizes[-1]:
             break
-        front = state.filter("active").select(F.col("id").alias("src"), "value")
-        message = F.col("value") + F.col("weight") if weighted else F.col("value")
-        best = front.join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min(message).alias("offer"))
+        front = loop.state.rows.filter("active").select(F.col("id").alias("src"), "value")
+        offer = F.col("value") + F.col("weight") if weighted else F.col("value")
+        if capacity is not None:
+            offer = F.when(offer < capacity, offer)
+        best = loop.messages(front.filter("value is not null"), offer.alias("offer")).groupBy(F.col("dst").alias("id")).agg(F.min("offer").alias("offer"))
         better = F.coalesce(F.col("offer") < F.col("value"), F.col("offer").isNotNull())
-        state = cut(state.join(best, "id", "left").select("id", F.when(better, F.col("offer")).otherwise(F.col("value")).alias("value"), better.alias("active")))
+        loop.replace(loop.state.rows.join(best, "id", "left").select("id", F.when(better, F.col("offer")).otherwise(F.col("value")).alias("value"), better.alias("active")))
+        applied += loop.seen.get("active", 0)
         k += 1
-    return Result(state, k, state.filter("active").isEmpty(), sizes, mapped)
+    done = not loop.seen.get("active", 0)
+    return Result(loop.end(), k, done, sizes, loop.mapped, applied)
 
 
-def sssp(vertices: DataFrame, edges: DataFrame, source: int, rounds: int | None = None) -> Result:
+def sssp(vertices: DataFrame, edges: DataFrame, source: int, rounds: int | None = None, capacity: int | None = None) -> Result:
     start = F.col("id") == source
-    return relax(vertices.select("id", F.when(start, F.lit(0).cast("long")).alias("value"), start.alias("active")), edges, True, rounds)
+    return relax(vertices.select("id", F.when(start, F.lit(0).cast("long")).alias("value"), start.alias("active")), edges, True, rounds, capacity)
 
 
 def components(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> Result:
@@ -55,59 +101,78 @@ def with_degree(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src").select("src", "dst", "degree")
 
 
-def _incoming(mass: DataFrame, spread: DataFrame, damping: float) -> DataFrame:
-    return mass.join(spread, mass.id == spread.src).groupBy(F.col("dst").alias("id")).agg(F.sum(damping * (F.col("mass") / F.col("degree"))).alias("incoming"))
+def _with_sinks(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """vertices with `sink`: whether no edge leaves."""
+    left = edges.select(F.col("src").alias("id"), F.lit(True).alias("leaves")).distinct()
+    return vertices.join(left, "id", "left").withColumn("sink", F.col("leaves").isNull()).drop("leaves")
 
 
-def _dangling(mass: DataFrame, spread: DataFrame) -> float:
-    lost = mass.join(spread, mass.id == spread.src, "left_anti").agg(F.sum("mass").alias("m")).first()["m"]
-    return float(lost or 0.0)
+def _incoming(loop: _Loop, mass: DataFrame, damping: float) -> DataFrame:
+    share = damping * (F.col("mass") / F.col("degree"))
+    return loop.messages(mass, share.alias("share")).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("incoming"))
 
 
-def pagerank_step(ranks: DataFrame, spread: DataFrame, n: int, damping: float) -> DataFrame:
-    """id, rank, old after one application of the full operator."""
-    mass = ranks.select("id", F.col("rank").alias("mass"))
-    base = (1 - damping) / n + damping * _dangling(mass, spread) / n
-    return ranks.join(_incoming(mass, spread, damping), "id", "left").select("id", (F.lit(base) + F.coalesce("incoming", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, rounds: int | None = None, start: DataFrame | None = None, most: int | None = None) -> Result:
+    """Full PageRank, cold or from the ranks of `start` (id, rank), until the L1 change is at most epsilon.
 
-
-def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, rounds: int | None = None, start: DataFrame | None = None, most: int = 200) -> Result:
-    """Full PageRank, cold or from the ranks of `start` (id, rank)."""
-    n, spread = vertices.count(), cut(with_degree(edges))
-    ranks = cut(start if start is not None else vertices.select("id", F.lit(1.0 / max(n, 1)).alias("rank")))
-    done = False
-    for k in range(1, (rounds if rounds is not None else most) + 1):
-        ranks = cut(pagerank_step(ranks.select("id", "rank"), spread, n, damping))
-        if rounds is None:
-            error = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("e")).first()["e"] or 0.0
-            if done := error <= epsilon:
-                return Result(ranks.select("id", "rank"), k, True)
-    return Result(ranks.select("id", "rank"), k, done)
+    The change shrinks by the damping each round, so it always ends; `most` may stop it earlier, which `converged` tells.
+    """
+    n = vertices.count()
+    ranks = start.select("id", "rank") if start is not None else vertices.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    counts = F.sum(F.when(F.col("sink"), F.col("rank"))).alias("lost"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("error")
+    loop = _Loop(_with_sinks(ranks, edges).withColumn("old", F.lit(None).cast("double")), with_degree(edges), *counts)
+    k, done = 0, False
+    while n and not done and (k < rounds if rounds is not None else most is None or k < most):
+        base = (1 - damping) / n + damping * (loop.seen.get("lost") or 0.0) / n
+        incoming = _incoming(loop, loop.state.rows.select(F.col("id").alias("src"), F.col("rank").alias("mass")), damping)
+        after = F.lit(base) + F.coalesce("incoming", F.lit(0.0))
+        loop.replace(loop.state.rows.join(incoming, "id", "left").select("id", after.alias("rank"), "sink", F.col("rank").alias("old")))
+        k += 1
+        done = rounds is None and (loop.seen.get("error") or 0.0) <= epsilon
+    return Result(loop.end().select("id", "rank"), k, done or not n, [], loop.mapped)
 
 
 def signed_residual(ranks: DataFrame, edges: DataFrame, damping: float = 0.85) -> DataFrame:
     """Residual of old ranks on a changed graph: one application of the operator less the ranks, of either sign."""
-    n, spread = ranks.count(), with_degree(edges)
-    return pagerank_step(ranks.select("id", "rank"), spread, n, damping).select("id", F.col("old").alias("rank"), (F.col("rank") - F.col("old")).alias("residual"))
+    spread, owned = with_degree(edges), _with_sinks(ranks.select("id", "rank"), edges)
+    total = owned.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("sink"), F.col("rank"))).alias("lost")).first()
+    base = (1 - damping + damping * (total["lost"] or 0.0)) / max(total["n"], 1)
+    incoming = owned.join(spread, owned["id"] == spread["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(damping * (F.col("rank") / F.col("degree"))).alias("incoming"))
+    return owned.join(incoming, "id", "left").select("id", "rank", (F.lit(base) + F.coalesce("incoming", F.lit(0.0)) - F.col("rank")).alias("residual"))
+
+
+def contribution_difference(state: DataFrame, before: DataFrame, after: DataFrame, damping: float = 0.85) -> DataFrame:
+    """id, rank, residual to go on from on a changed sink-free graph: for each changed source its rank spread over the new
+    edges less that over the old ones, added to the residual that was left. Only edges of changed sources are read for it."""
+    old, new = with_degree(before), with_degree(after)
+    both = old.withColumn("own", F.lit(-1.0)).unionByName(new.withColumn("own", F.lit(1.0)))
+    moved = both.groupBy("src", "dst").agg(F.sum(F.col("own") / F.col("degree")).alias("move")).filter("move <> 0")
+    change = state.select(F.col("id").alias("src"), "rank").join(moved, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(damping * F.col("rank") * F.col("move")).alias("change"))
+    return state.join(change, "id", "left").select("id", "rank", (F.col("residual") + F.coalesce("change", F.lit(0.0))).alias("residual"))
+
 
+def residual_pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, rounds: int | None = None, start: DataFrame | None = None, sink_free: bool = False, most: int | None = None) -> Result:
+    """Residual push, cold or from start(id, rank, residual). Active: |residual| > epsilon / n (sink-free contract: epsilon, no dangling mass).
 
-def residual_pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, rounds: int | None = None, start: DataFrame | None = None, sink_free: bool = False, most: int = 300) -> Result:
-    """Residual push, cold or from start(id, rank, residual). Active: |residual| > epsilon / n (sink-free contract: epsilon, no dangling mass)."""
-    n, spread = vertices.count(), cut(with_degree(edges))
+    Each push takes a share of the residual away, so it ends; `most` may stop it earlier, which `converged` tells.
+    """
+    n = vertices.count()
     least = epsilon if sink_free else epsilon / max(n, 1)
     cold = vertices.select("id", F.lit(0.0).alias("rank"), F.lit((1 - damping) / max(n, 1)).alias("residual"))
-    state = cut((start if start is not None else cold).withColumn("active", F.lit(True) if start is None else F.abs("residual") > least))
+    first = (start.select("id", "rank", "residual") if start is not None else cold).withColumn("active", F.lit(True) if start is None else F.abs("residual") > least)
+    counts = F.count_if("active").alias("active"), F.sum(F.when(F.col("active") & F.col("sink"), F.col("residual"))).alias("lost")
+    loop = _Loop(_with_sinks(first, edges), with_degree(edges), *counts)
     sizes, k = [], 0
-    while k < (rounds if rounds is not None else most):
-        active = state.filter("active")
-        sizes.append(active.count())
+    while rounds is not None and k < rounds or rounds is None and (most is None or k < most):
+        sizes.append(loop.seen.get("active", 0))
         if rounds is None and not sizes[-1]:
             break
-        mass = active.select("id", F.col("residual").alias("mass"))
-        share = 0.0 if sink_free else damping * _dangling(mass, spread) / n
+        share = 0.0 if sink_free else damping * (loop.seen.get("lost") or 0.0) / max(n, 1)
+        incoming = _incoming(loop, loop.state.rows.filter("active").select(F.col("id").alias("src"), F.col("residual").alias("mass")), damping)
         kept = F.when(F.col("active"), F.lit(0.0)).otherwise(F.col("residual"))
         rank = F.when(F.col("active"), F.col("rank") + F.col("residual")).otherwise(F.col("rank"))
-        after = state.join(_incoming(mass, spread, damping), "id", "left").select("id", rank.alias("rank"), (kept + (F.coalesce("incoming", F.lit(0.0)) + F.lit(share))).alias("residual"))
-        state = cut(after.withColumn("active", F.abs("residual") > least))
+        after = loop.state.rows.join(incoming, "id", "left").select("id", rank.alias("rank"), (kept + (F.coalesce("incoming", F.lit(0.0)) + F.lit(share))).alias("residual"), "sink")
+        loop.replace(after.withColumn("active", F.abs("residual") > least).select("id", "rank", "residual", "active", "sink"))
         k += 1
-    return Result(state, k, state.filter("active").isEmpty(), sizes)
+    done = not loop.seen.get("active", 0)
+    return Result(loop.end().drop("sink"), k, done, sizes, loop.mapped)

@@ -1,4 +1,4 @@
-"""Cutting lineage and numbering rows without a single-task sort."""
+"""Cutting lineage, bucketed tables for loops, and numbering rows without a single-task sort."""
 
 from __future__ import annotations
 
@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, one on this machine for a local master; a cluster needs a shared one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="rillgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -24,6 +27,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Bucketed:
+    """A table in the shared folder whose rows are bucketed and sorted by `key`, so joins and aggregations on it don't shuffle it.
+
+    `placed` says that the rows already lie in as many partitions by the hash of key (the result of such a join); else they
+    are dealt once.
+    """
+
+    def __init__(self, df: DataFrame, key: str, placed: bool = False):
+        self.spark, self.schema = df.sparkSession, df.schema
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"rg_{uuid.uuid4().hex}"
+        self.at = f"{shared_dir(self.spark)}/{self.name}"
+        rows = df if placed else df.repartition(buckets, key)
+        rows.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", self.at).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def plain(self) -> DataFrame:
+        """The rows as plain files, without the table's name in the session."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return self.spark.read.schema(self.schema).parquet(self.at)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.at)
+
+
 def numbered(df: DataFrame, keys: list[str], name: str = "pos") -> DataFrame:
     """df with `name` = 0, 1, 2 ... in the order of keys (which must be total).
 

@@ -110,6 +110,45 @@ def test_residual_equals_full_and_signed_update(spark):
     assert min(residual) < 0 < max(residual)
 
 
+def test_rounds_count_frontiers_and_mapped_edges(spark):
+    """Eight edges of a chain with shortcuts; a 10-edge star out of one vertex; ten fixed rounds over a ring."""
+    chain = engine.sssp(spark.range(6), edges(spark, [(0, 1, 10), (0, 2, 2), (0, 3, 9), (2, 1, 1), (1, 3, 4), (3, 4, 1), (4, 5, 2), (2, 5, 40)]), 0)
+    assert values(chain, 6) == [0, 3, 2, 7, 8, 10] and chain.frontier_sizes[0] == 1 and chain.frontier_sizes[-1] == 0 and chain.converged
+    star = engine.sssp(spark.range(12), edges(spark, [(0, k, k) for k in range(1, 11)]), 0)
+    assert (star.mapped_edges, star.applied_updates, star.iterations) == (10, 10, 2)
+    ring = engine.pagerank(spark.range(3), edges(spark, [(0, 1, 1), (1, 2, 1), (2, 0, 1)]), rounds=10)
+    assert (ring.iterations, ring.mapped_edges) == (10, 30)
+
+
+def test_a_round_shuffles_messages_only(spark):
+    """The plan of a round: edges and state are read in their buckets, and the one exchange is of messages by destination."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = edges(spark, [(k % 50, k * 7 % 50, 1) for k in range(400)])
+        loop = engine._Loop(spark.range(50).select("id", F.lit(0).alias("value"), F.lit(True).alias("active")), e, F.count_if("active").alias("active"))
+        front = loop.state.rows.filter("active").select(F.col("id").alias("src"), "value")
+        best = loop.messages(front, F.col("weight").alias("offer")).groupBy(F.col("dst").alias("id")).agg(F.min("offer").alias("offer"))
+        plan = loop.state.rows.join(best, "id", "left")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(dst") == plan.count("Exchange ") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_saturating_capacity(spark):
+    e = edges(spark, [(0, 1, 2**32 - 2), (1, 2, 10)])
+    assert values(engine.sssp(spark.range(3), e, 0), 3) == [0, 2**32 - 2, 2**32 + 8]
+    assert values(engine.sssp(spark.range(3), e, 0, capacity=2**32 - 1), 3) == [0, 2**32 - 2, None]
+
+
+def test_contribution_difference_goes_on_to_the_cold_answer(spark):
+    before = [(0, 1, 1), (1, 2, 1), (2, 0, 1), (2, 1, 1)]
+    e, f, v = edges(spark, before), edges(spark, [*before, (0, 2, 1)]), spark.range(3)
+    old = engine.residual_pagerank(v, e, epsilon=1e-3, sink_free=True)
+    warm = engine.residual_pagerank(v, f, epsilon=1e-3, sink_free=True, start=engine.contribution_difference(old.state, e, f))
+    cold = {x["id"]: x["rank"] for x in engine.residual_pagerank(v, f, epsilon=1e-3, sink_free=True).state.collect()}
+    assert all(abs(x["rank"] - cold[x["id"]]) < 2e-2 for x in warm.state.collect())
+
+
 def test_components_take_the_smallest_label(spark):
     pairs = [(2, 3), (3, 2), (4, 5), (5, 4), (2, 4), (4, 2)]
     got = values(engine.components(spark.range(7), edges(spark, [(a, b, 1) for a, b in pairs])), 7)
