@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., Callable],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = fn(*args)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at, rows in slices(batch):
+                part = batch.slice(at, rows)
                 yield made(own({c: part.column(i).to_pylist() for i, c in enumerate(columns)}))
         if last:
             yield made(own(None))
@@ -63,6 +65,20 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[..., Callable],
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 2048, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of rows that are at most `rows` and hold about `size` bytes of text at most, or one longer row."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            weight += pc.fill_null(pc.cast(pc.binary_length(column), pa.int64()), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(weight), 0
+    while at < batch.num_rows:
+        before = ends[at] - weight[at]
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield at, end - at
+        at = end
+
+
 class WordCache(dict):
     """word -> value by a function, forgotten as a whole when it holds `most` words, so memory stays bounded."""
 
@@ -82,14 +98,24 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, allowed=None) -> list[tuple]:
-    """(text, target) of at most `bound` labelled documents for a fit on the driver: those of the smallest hash of their id.
+def _sampled(make: Callable):
+    def own(b: dict) -> dict:
+        rows = [make(t) for t in b["text"]]
+        return {"doc_id": b["doc_id"], "y": b["y"], "places": [list(map(int, p)) for p, _ in rows], "features": [list(map(float, v)) for _, v in rows]}
+
+    return own
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, make: Callable, allowed=None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(places, values) by make(text) and targets of at most `bound` labelled documents for a fit on the driver: those of the smallest hash of their id.
 
-    The ids are chosen from labels alone; the text column is read for these ids only, by a broadcast of at most `bound` rows.
+    The ids are chosen from labels alone; the text column is read for these ids only, by a broadcast of at most `bound` rows,
+    and turned into features where it is read, so no text reaches the driver. Of rows that share an id one is taken.
     """
     chosen = labels.select("doc_id", F.col(target).alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         chosen = chosen.filter(allowed)
-    chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    return [(r["text"] or "", r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))[: 2 * bound]]
+    chosen = chosen.groupBy("doc_id").agg(F.min("y").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    rows = map_batches(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "text", "y"], _sampled, "doc_id long, y double, places array<int>, features array<float>", make)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "places", "features")).alias("r")).orderBy("doc_id").collect()
+    return [(np.array(r["r"]["places"], np.int64), np.array(r["r"]["features"])) for r in rows], np.array([r["r"]["y"] for r in rows])

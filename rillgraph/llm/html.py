@@ -3,19 +3,27 @@
 1. Every page is parsed and each container scored: the text directly inside its block children, less link text. The best
    containers vote, in Spark, for their generalised path (tag and classes, digit runs as `#`) on the page's host.
 2. Votes are summed before the shuffle, so a host with a third of the pages costs one row a task.
-3. Every page is parsed again and the text taken from the container at its host's winning path; a page without that
-   path falls back to its own best container, then to its body.
+3. Every page is parsed again and the text taken from the container at its host's winning path, raised to the `article`
+   around it, or to the container that it shares with the `h1`; a page without that path falls back to its own best
+   container, then to its body.
 
-Winners (one short row a host) are counted: up to `BROADCAST_HOSTS` they are broadcast; beyond, pages and winners are
-joined by host and salt, so a hot host is spread over `SALTS` tasks.
+The parser reads each character about once: a quote opens a value only behind `=`, and nodes name their parent, so stray quotes
+and deep nesting cost no more than their length. An element that is not the article by its tag or by a word of its class or id is
+judged by what it holds: a form, or a word that a layout may carry too, is no noise where it holds most of the page's text
+(words of menus, adverts or comments: only with a heading `h1` in it as well), and a `header` with paragraphs or headings inside an article
+belongs to it.
+
+Winners (one short row a host) are counted and measured: up to `BROADCAST_HOSTS` rows and `BROADCAST_BYTES` of paths they are
+broadcast; beyond, pages and winners are joined by host and salt, so a hot host is spread over `SALTS` tasks.
 
 Defined results: null or empty html gives an empty text; a null url is host '' and votes like any host; repeated rows
-come back as often; ties go to the path that sorts first; unclosed, nested and unknown tags are closed as browsers roughly
-do. An empty table gives no rows. Other columns are not read.
+come back as often; ties of votes go to the path that sorts first; unclosed, nested and unknown tags are closed as browsers roughly
+do, and a tag without its `>` ends with the page. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from html import unescape
 
@@ -24,68 +32,188 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_batches
 
-BROADCAST_HOSTS, SALTS, VOTES = 100_000, 64, 3
+BROADCAST_HOSTS, BROADCAST_BYTES, SALTS, VOTES = 100_000, 16 << 20, 64, 3
 
 # Elements by their standard role, and words by which pages mark what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed"}
-DROPPED = set("script style noscript template svg math iframe object canvas video audio title head nav header footer aside form button select textarea input option label menu dialog".split())
+DROPPED = set("script style noscript template svg math iframe object canvas video audio title head nav footer aside button select textarea input option label menu dialog".split())
 BLOCK = set("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt", "b", "br", "table", "ul", "ol", "tr", "tbody", "dl", "i", "em", "strong", "a", "span"}
+# Words of a class or id; those of layouts too are judged by the text that they hold.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side|header|masthead|footer|foot|"
-    r"comments?|commentlist|disqus|respond|replies|reply|notice|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
-    r"related|recommend\w*|widget|toolbar|pagination|pager|skip|search|form|alert|disclaimer|copyright)(?=$|[\s_-])", re.I)
-NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar", "toolbar", "alertdialog"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|footer|"
+    r"comments?|commentlist|disqus|respond|replies|reply|cookies?|consent|gdpr|newsletter|subscribe|related|recommend\w*|pagination|pager)(?=$|[\s_-])", re.I)
+LAYOUT = re.compile(
+    r"(?:^|[\s_-])(?:banner|side|header|masthead|foot|notice|popup|modal|overlay|signup|login|share|sharing|social|widget|toolbar|skip|search|form|alert|"
+    r"disclaimer|copyright)(?=$|[\s_-])", re.I)
+NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "toolbar", "alertdialog"}
+OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:entry|post|article|story|content)[_-]header", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*)?")
+BARE = re.compile(r"[^\s>]*")
 DIGITS = re.compile(r"\d+")
+#: What an element is by its tag and words: text, never text, noise unless it holds an h1 and most of the text, noise unless it holds most, a header.
+TEXT, NEVER, WORD, SOFT, HEADER = range(5)
 
 
 class Node:
-    __slots__ = ("tag", "path", "items", "noise")
-
-    def __init__(self, tag: str, path: str, noise: bool):
-        self.tag, self.path, self.noise, self.items = tag, path, noise, []
-
-
-def parse(html: str) -> Node:
-    root = Node("", "", False)
-    stack, at = [root], 0
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            stack[-1].items.append(html[at : m.start()])
-        at = m.end()
-        if not (tag := m[2]):
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if any(n.tag == tag for n in stack):
-                while stack.pop().tag != tag:
-                    pass
-            continue
-        if tag in BLOCK and tag != "br":
-            while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag in ("b", "i", "em", "strong", "span", "font", "u") and any(n.tag == "p" for n in stack[-3:])):
-                stack.pop()
-        if tag in ("li", "tr", "td", "th", "dd", "dt", "option") and stack[-1].tag == tag:
-            stack.pop()
-        given = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
+    """An element. `path` numbers its generalised path within its page; `size` is the text in it outside links and scripts."""
+
+    __slots__ = ("tag", "parent", "path", "items", "kind", "noise", "size", "h1", "paragraphs", "article")
+
+    def __init__(self, tag: str, parent: Node | None, path: int, kind: int):
+        self.tag, self.parent, self.path, self.kind = tag, parent, path, kind
+        self.items, self.noise, self.size, self.h1, self.paragraphs, self.article = [], False, 0, False, False, None
+
+
+class Page:
+    """The elements of a page in their order, the root first, and its paths as (path of the parent, name)."""
+
+    def __init__(self, html: str):
+        self.nodes: list[Node] = [Node("", None, 0, TEXT)]
+        self.paths: list[tuple[int, str]] = [(-1, "")]
+        self.known: dict[tuple[int, str], int] = {}
+        self._read(html)
+        self._judge()
+
+    @property
+    def root(self) -> Node:
+        return self.nodes[0]
+
+    def path_text(self, path: int) -> str:
+        names = []
+        while path > 0:
+            path, name = self.paths[path]
+            names.append(name)
+        return ">".join(reversed(names))
+
+    def path_of(self, text: str | None) -> int | None:
+        """The number of a path; None if this page doesn't have it."""
+        at = 0
+        for name in (text or "").split(">"):
+            if (at := self.known.get((at, name))) is None:
+                return None
+        return at
+
+    def _read(self, html: str) -> None:
+        stack, opened, at = [self.root], {}, 0
+        last = {quote: html.rfind(quote) for quote in "\"'"}
+        lower = None
+        while (start := html.find("<", at)) >= 0:
+            if start > at:
+                stack[-1].items.append(html[at:start])
+            mark = html[start + 1 : start + 2]
+            if mark in "!?" and mark:
+                comment = html.startswith("<!--", start)
+                end = html.find("-->", start + 2) if comment else html.find(">", start)
+                at = len(html) if end < 0 else end + (3 if comment else 1)
+                continue
+            closing = mark == "/"
+            if not (name := NAME.match(html, start + 1 + closing)):
+                if closing and html[start + 2 : start + 3]:  # a bogus comment
+                    end = html.find(">", start)
+                    at = len(html) if end < 0 else end + 1
+                else:
+                    stack[-1].items.append("<")
+                    at = start + 1
+                continue
+            tag = name[0].lower()
+            if closing:
+                end = html.find(">", name.end())
+                at = len(html) if end < 0 else end + 1
+                if opened.get(tag):
+                    while True:
+                        opened[(top := stack.pop()).tag] -= 1
+                        if top.tag == tag:
+                            break
+                continue
+            given, empty, at = self._attributes(html, name.end(), last)
+            if tag in BLOCK and tag != "br":
+                while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag in ("b", "i", "em", "strong", "span", "font", "u") and any(n.tag == "p" for n in stack[-3:])):
+                    opened[stack.pop().tag] -= 1
+            if tag in ("li", "tr", "td", "th", "dd", "dt", "option") and stack[-1].tag == tag:
+                opened[stack.pop().tag] -= 1
+            node = self._node(tag, stack[-1], given)
+            if tag in RAW:
+                lower = html.lower() if lower is None else lower  # same length but for a few letters, which the check below sees
+                close = lower.find(f"</{tag}", at) if len(lower) == len(html) else next((m.start() for m in re.compile(f"</{tag}", re.I).finditer(html, at)), -1)
+                end = len(html) if close < 0 else close
+                node.items.append(html[at:end])
+                at = end
+            elif tag not in VOID and not empty:
+                stack.append(node)
+                opened[tag] = opened.get(tag, 0) + 1
+        if at < len(html):
+            stack[-1].items.append(html[at:])
+
+    @staticmethod
+    def _attributes(html: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], bool, int]:
+        """Attributes by name, whether the tag ends in `/>`, and the place behind it. A quote without its end is a plain character."""
+        given: dict[str, str] = {}
+        while m := ATTRIBUTE.match(html, at):
+            at, value = m.end(), ""
+            if html[m.end(1) : at].strip() == "=":
+                quote = html[at : at + 1]
+                if quote and quote in last and last[quote] > at:
+                    end = html.index(quote, at + 1)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    bare = BARE.match(html, at)
+                    value, at = bare[0], bare.end()
+            given.setdefault(m[1].lower(), value)
+        end = html.find(">", at)
+        return given, end > 0 and html[end - 1] == "/" and not (given and next(reversed(given.values())).endswith("/")), len(html) if end < 0 else end + 1
+
+    def _node(self, tag: str, parent: Node, given: dict[str, str]) -> Node:
         classes = unescape(given.get("class", ""))
-        noise = tag in DROPPED or (tag not in ("html", "body", "article", "main") and bool(NOISE.search(classes) or NOISE.search(given.get("id", ""))))
-        noise = noise or given.get("role", "").lower() in NOISE_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        name = DIGITS.sub("#", ".".join([tag, *sorted(classes.lower().split())]))
-        node = Node(tag, f"{stack[-1].path}>{name}" if stack[-1].path else name, noise)
-        stack[-1].items.append(node)
-        if tag in RAW:
-            close = re.compile(f"</{tag}", re.I).search(html, at)
-            end = close.start() if close else len(html)
-            node.items.append(html[at:end])
-            at = end
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    if at < len(html):
-        stack[-1].items.append(html[at:])
-    return root
+        words = (classes, given.get("id", ""))
+        kind = TEXT
+        if tag in DROPPED or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
+            kind = NEVER
+        elif tag == "header":
+            kind = HEADER
+        elif tag not in ("html", "body", "article", "main"):
+            if any(map(NOISE.search, words)):
+                kind = WORD
+            elif tag == "form" or given.get("role", "").lower() in {*NOISE_ROLES, "form"} or any(map(LAYOUT.search, words)):
+                kind = SOFT
+        if kind == HEADER and OWN_HEADER.search(classes):
+            kind = TEXT
+        name = DIGITS.sub("#", ".".join([tag, *sorted(classes.lower().split())])).replace(">", "")
+        if (path := self.known.get((parent.path, name))) is None:
+            path = self.known[parent.path, name] = len(self.paths)
+            self.paths.append((parent.path, name))
+        node = Node(tag, parent, path, kind)
+        parent.items.append(node)
+        self.nodes.append(node)
+        return node
+
+    def _judge(self) -> None:
+        """Decide what is noise: sizes are summed from the last element to the first, so children come before their parents."""
+        for node in reversed(self.nodes):
+            if node.kind == NEVER:
+                node.size = 0
+            elif node.tag != "a":
+                node.size += sum(len(x.strip()) for x in node.items if isinstance(x, str))
+            if node.kind != NEVER and (up := node.parent):
+                up.size += node.size
+                up.h1 |= node.h1 or node.tag == "h1"
+                up.paragraphs |= node.paragraphs or node.tag in ("p", "h1", "h2", "h3")
+        most = self.root.size / 2
+        for node in self.nodes:
+            up = node.parent
+            node.article = node if node.tag == "article" or node.tag == "main" and not (up and up.article) else up and up.article
+            large = node.size > most
+            if node.kind == NEVER:
+                node.noise = True
+            elif node.kind == WORD:
+                node.noise = not (large and node.h1)
+            elif node.kind == SOFT:
+                node.noise = not large
+            elif node.kind == HEADER:
+                node.noise = not (large or node.article and node.paragraphs)
+            node.noise |= up is not None and up.noise
 
 
 def text_of(node: Node) -> str:
@@ -111,76 +239,82 @@ def text_of(node: Node) -> str:
     return " ".join(w for w in words if w)
 
 
-def scores(root: Node) -> dict[str, float]:
-    """Score by path of each container: characters of text in it that no deeper container holds, less link text."""
-    out: dict[str, float] = {}
-    todo: list = [(root, root.path, False)]
+def scores(page: Page) -> dict[int, float]:
+    """Score by path of each container: characters of text in it that no deeper container holds, less link text; a container also
+    stands for four fifths of what its children hold, so an article in parts beats its longest part."""
+    found: dict[int, float] = {}
+    todo: list = [(page.root, page.root.path, False)]
     while todo:
         node, home, link = todo.pop()
         for item in node.items:
             if isinstance(item, str):
-                out[home] = out.get(home, 0) + (-1 if link else 1) * len(item.strip())
+                found[home] = found.get(home, 0) + (-1 if link else 1) * len(item.strip())
             elif not item.noise:
                 at = home if item.tag in PARAGRAPHS else item.path
-                bonus = 200 if item.tag in ("article", "main") else 0
-                if bonus:
-                    out[at] = out.get(at, 0) + bonus
+                if item.tag in ("article", "main"):
+                    found[at] = found.get(at, 0) + 200
                 todo.append((item, at, link or item.tag == "a"))
-    return out
-
-
-def raised(found: dict[str, float]) -> dict[str, float]:
-    """A container also stands for four fifths of what its children hold, so an article in parts beats its longest part."""
-    total: dict[str, float] = {}
+    total: dict[int, float] = {}
     for path, score in found.items():
         share = 1.0
-        while path and share > 0.2:
+        while path > 0 and share > 0.2:
             total[path] = total.get(path, 0) + share * score
-            path, share = path.rpartition(">")[0], share * 0.8
+            path, share = page.paths[path][0], share * 0.8
     return total
 
 
-def host_of(url: str | None) -> str:
-    return (re.sub(r"^[a-zA-Z][\w+.-]*:", "", url or "").lstrip("/").partition("/")[0].partition("?")[0].partition("#")[0].rpartition("@")[2]).lower()
+def ranked(page: Page, n: int) -> list[tuple[str, float]]:
+    """The n best paths and their scores; ties go to the path that the page has first."""
+    best = heapq.nsmallest(n, ((-s, p) for p, s in scores(page).items() if s > 0))
+    return [(page.path_text(p), -s) for s, p in best]
 
 
-def at_path(root: Node, path: str) -> list[Node]:
-    found, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.path == path and path:
-            found.append(node)
-        elif not node.noise and (not node.path or path.startswith(node.path + ">")):
-            todo += [x for x in reversed(node.items) if not isinstance(x, str)]
-    return found
+def at_path(page: Page, path: str | None) -> list[Node]:
+    """Elements at this path that lie in no noise."""
+    if not path or (at := page.path_of(path)) is None:
+        return []
+    return [n for n in page.nodes if n.path == at and not n.noise]
+
+
+def raised(found: list[Node]) -> list[Node]:
+    """Each container raised to the nearest article around it, or else to the one that it shares with the page's h1 (or to `main`)
+    if that adds less than half of its own text; never to the body."""
+    out: dict[int, Node] = {}
+    for node in found:
+        best = node.article if node.article and node.article.tag == "article" else node
+        if best is node and len(found) == 1:
+            up = node
+            for _ in range(4):
+                if up is None or up.tag in ("", "html", "body"):
+                    break
+                if (up.h1 or up.tag == "main") and 2 * (up.size - node.size) < node.size:
+                    best = up
+                    break
+                up = up.parent
+        out[id(best)] = best
+    return list(out.values())
+
+
+def extract(html: str | None, path: str | None) -> str:
+    page = Page(html or "")
+    for found in (at_path(page, path), *(at_path(page, p) for p, _ in ranked(page, 1))):
+        if text := " ".join(t for n in raised(found) if (t := text_of(n))):
+            return text
+    return text_of(page.root)
 
 
 def _votes():
     def own(b: dict) -> dict:
         votes: dict = {}
-        for url, html in zip(b["url"], b["html"]):
-            ranked = sorted(raised(scores(parse(html or ""))).items(), key=lambda x: (-x[1], x[0]))[:VOTES]
-            for place, (path, score) in enumerate(ranked):
-                if score > 0:
-                    key = host_of(url), path
-                    votes[key] = votes.get(key, 0) + VOTES - place + (place == 0)
+        for host, html in zip(b["host"], b["html"]):
+            for place, (path, _) in enumerate(ranked(Page(html or ""), VOTES)):
+                key = host, path
+                votes[key] = votes.get(key, 0) + VOTES - place + (place == 0)
         return {"host": [k[0] for k in votes], "path": [k[1] for k in votes], "votes": list(votes.values())}
 
     return own
 
 
-def extract(html: str | None, path: str | None) -> str:
-    root = parse(html or "")
-    found = at_path(root, path or "")
-    text = " ".join(t for n in found if (t := text_of(n)))
-    if text:
-        return text
-    best = sorted(raised(scores(root)).items(), key=lambda x: (-x[1], x[0]))
-    for p, _ in best[:1]:
-        text = " ".join(t for n in at_path(root, p) if (t := text_of(n)))
-    return text or text_of(root)
-
-
 def _extract():
     def own(b: dict) -> dict:
         texts = [extract(h, p) for h, p in zip(b["html"], b["path"])]
@@ -191,15 +325,14 @@ def _extract():
 
 def winners(pages: DataFrame) -> DataFrame:
     """host, path: the path with most votes of each host."""
-    votes = map_batches(pages, ["url", "html"], _votes, "host string, path string, votes long")
+    votes = map_batches(pages.select(host_column("url").alias("host"), "html"), ["host", "html"], _votes, "host string, path string, votes long")
     votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
 
 
 def host_column(url: str):
-    host = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][\w+.-]*:", "")
-    host = F.regexp_extract(F.regexp_replace(host, "^/+", ""), r"^([^/?#]*)", 1)
-    return F.lower(F.substring_index(host, "@", -1))
+    host = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//+", "")
+    return F.lower(F.substring_index(F.regexp_extract(host, r"^([^/?#]*)", 1), "@", -1))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -207,7 +340,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     won = cut(winners(pages))
     keyed = pages.withColumn("host", host_column("url"))
-    if won.count() <= BROADCAST_HOSTS:
+    size = won.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("host") + F.octet_length("path")).alias("bytes")).first()
+    if size["n"] <= BROADCAST_HOSTS and (size["bytes"] or 0) <= BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(won), "host", "left")
     else:
         salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

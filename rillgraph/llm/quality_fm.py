@@ -83,8 +83,7 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
-    sample = labelled_sample(docs, labels, "quality", bound, ~held_out("doc_id", 3, 1))
-    return Machine().fit([inputs(t) for t, _ in sample], np.array([float(y) for _, y in sample]))
+    return Machine().fit(*labelled_sample(docs, labels, "quality", bound, inputs, ~held_out("doc_id", 3, 1)))
 
 
 def _scores(machine: Machine):

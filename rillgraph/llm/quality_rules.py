@@ -152,10 +152,14 @@ def _walk(model: Trees, root: int, x: np.ndarray) -> np.ndarray:
     return v[at]
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Trees:
-    sample = labelled_sample(docs, labels, "quality", bound)
-    x = np.array([statistics(t)[1] for t, _ in sample]).reshape(len(sample), len(FEATURES))
-    return fit(x, np.array([float(y) for _, y in sample]))
+def _inputs(text: str | None) -> tuple[range, list[float]]:
+    return range(len(FEATURES)), statistics(text)[1]
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, allowed=None) -> Trees:
+    """Trees fitted on at most `bound` labelled documents, of which `allowed` (a condition on labels) may leave some out."""
+    rows, y = labelled_sample(docs, labels, "quality", bound, _inputs, allowed)
+    return fit(np.array([v for _, v in rows]).reshape(len(rows), len(FEATURES)), y)
 
 
 def _judge(model: Trees):
