@@ -3,10 +3,12 @@
 Words are runs of letters, in lower case. Features: the word if it is in the learned lexicon, prefixes and suffixes of one to
 three letters, bigrams and trigrams, hashed to `PLACES`; learned transitions bind neighbouring words, so short words
 inside a switched passage follow their surroundings. Forward-backward gives each word's marginals; a document's language is
-the one with the largest sum of marginals weighted by letters, its score that share.
+the one with the largest sum of its words' marginals, its score that share.
 
-Fitted on the driver by Adam on at most `SAMPLE` documents per language (smallest hash of the id), only on those whose
-crc32(doc_id) mod 4 is not 2; each word carries its document's language.
+Fitted on the driver by Adam on passages of at most `PASSAGE` words of about `SAMPLE` documents per language (smallest hash
+of the id; cut out where they are read, at a place by the hash), only on documents whose crc32(doc_id) mod 4 is not 2. Every
+learned lang value of the table is a label. Besides the passages themselves, as many chains are spliced from pieces of
+passages of different languages, so the transitions learn how rarely, and between which languages, a text switches.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is everything if nothing could be learned;
 null ids count as not held out; ties go to the language that sorts first; repeated rows come back; an empty table gives no
@@ -24,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches
 
-SAMPLE, LANGUAGES, PLACES, ROUNDS, KNOWN = 100, 64, 1 << 15, 18, 100_000
+SAMPLE, PASSAGE, PLACES, ROUNDS, KNOWN = 100, 600, 1 << 15, 18, 100_000
+# Words of a spliced piece, and pieces of a spliced chain.
+PIECE, PIECES = (3, 40), 12
+# The share that a kept document needs, and the number of words at which half of it is asked.
+LEAST, SHORT = 0.5, 10
 SLICE = 1_000_000  # characters labelled at once, or one longer text
 BLOCK = 96  # words of a chain that step together; longer chains are cut, and joined by the products of their blocks
 LETTERS = regex.compile(r"\p{L}+")
@@ -167,26 +173,33 @@ class Field:
             out.append((self.languages[k], float(min(mass[k] / mass.sum(), 1.0))))
         return out
 
+    def sure(self, text: str | None, score: float, least: float = LEAST) -> bool:
+        """Whether a text's share is enough for its length: least * n / (n + SHORT) for n words, as few words show less."""
+        n = len((text or "").split(None, 20 * SHORT))
+        return score * (n + SHORT) >= least * n
+
     def fit(self, sample: list[tuple[str, str]]) -> Field:
-        chains = [(words_of(t), self.languages.index(y)) for t, y in sample]
-        chains = [(c, y) for c, y in chains if c]
+        """Learn from (passage, language) pairs and from chains spliced of them."""
+        passages = [(words_of(t), self.languages.index(y)) for t, y in sample]
+        chains = [([w], [np.full(len(w), y)]) for w, y in passages if w]
         if not chains:
             return self
+        chains += spliced([p for p in passages if p[0]])
         kinds: dict[str, int] = {}
-        ids = np.array([kinds.setdefault(w, len(kinds)) for c, _ in chains for w in c])
+        ids = np.array([kinds.setdefault(w, len(kinds)) for pieces, _ in chains for c in pieces for w in c])
         often = np.bincount(ids)
-        self.lexicon = frozenset(w for w, k in kinds.items() if often[k] >= 5)
-        lengths = np.array([len(c) for c, _ in chains])
-        gold = np.repeat([y for _, y in chains], lengths)
+        self.lexicon = frozenset(w for w, k in kinds.items() if often[k] >= 10)  # pieces repeat words of passages
+        lengths = np.array([sum(map(len, pieces)) for pieces, _ in chains])
+        gold = np.concatenate([g for _, golds in chains for g in golds])
         flat, begins = features(list(kinds), self.lexicon)
         of = np.repeat(np.arange(len(kinds)), np.diff(np.append(begins, len(flat))))
         m = len(self.languages)
         truth = np.zeros((len(ids), m))
         truth[np.arange(len(ids)), gold] = 1
-        own = np.bincount(gold[:-1] * m + gold[1:], minlength=m * m) * 0.0
-        for k, n in zip(gold[np.cumsum(lengths) - 1], lengths):
-            own[k * m + k] += n - 1
-        pairs = own.reshape(m, m)
+        inner = np.ones(len(gold), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        left = np.flatnonzero(inner)
+        pairs = np.bincount(gold[left] * m + gold[left + 1], minlength=m * m).reshape(m, m).astype(float)
         theta = [np.zeros((PLACES, m)), np.zeros((m, m))]
         first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
         for step in range(1, ROUNDS + 1):
@@ -200,10 +213,25 @@ class Field:
                 f += 0.2 * (g - f)
                 q += 0.05 * (g * g - q)
                 t -= 0.15 * (f / (1 - 0.8**step)) / (np.sqrt(q / (1 - 0.95**step)) + 1e-7)
-        self.weights, self.move = theta[0].astype(np.float32), np.clip(theta[1], -3, 3)
+        self.weights, self.move = theta[0].astype(np.float32), theta[1]
         return self
 
 
+def spliced(passages: list[tuple[list[str], int]], seed: int = 5) -> list[tuple[list[list[str]], list[np.ndarray]]]:
+    """As many chains as passages, each of pieces of random passages; neighbouring pieces may have one language or two."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in passages:
+        pieces, golds = [], []
+        for _ in range(int(rng.integers(2, PIECES))):
+            words, y = passages[int(rng.integers(len(passages)))]
+            n = int(rng.integers(*PIECE))
+            at = int(rng.integers(max(len(words) - n, 0) + 1))
+            pieces.append(words[at : at + n])
+            golds.append(np.full(len(pieces[-1]), y))
+        out.append((pieces, golds))
+    return out
+
+
 def marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
     """The first result of forward_backward alone; the steps taken one after another are at most 2 BLOCK, and two a block of the longest chain."""
     lengths = lengths[lengths > 0]
@@ -258,21 +286,34 @@ def _products(p: np.ndarray, sizes: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, bound: int = SAMPLE) -> Field:
-    """Learn from about `bound` documents of each of at most LANGUAGES languages (the most frequent)."""
+def _passages(length: int):
+    def own(b: dict) -> dict:
+        out = []
+        for text, h in zip(b["text"], b["h"]):
+            words = words_of(text)
+            at = h % (max(len(words) - length, 0) + 1)
+            out.append(" ".join(words[at : at + length]))
+        return {"doc_id": b["doc_id"], "lang": b["lang"], "passage": out}
+
+    return own
+
+
+def train(docs: DataFrame, bound: int = SAMPLE, length: int = PASSAGE) -> Field:
+    """Learn from passages of at most `length` words of about `bound` documents of each language; one passage for each id."""
     rows = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    model = Field(sorted(counts))
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sorted(r["lang"] for r in counts.collect())
+    model = Field(languages)
+    if not languages:
         return model
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * bound / n))).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    chosen = rows.filter(place < share).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound * len(counts)).select("doc_id")
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter(F.col("lang").isNotNull()).collect()
-    sample = sorted(((r["doc_id"], r["text"] or "", r["lang"]) for r in sample if r["lang"] in counts))[: 4 * bound * len(counts)]
-    return model.fit([(t, y) for _, t, y in sample])
+    chosen = rows.join(F.broadcast(counts), "lang").filter(place * F.col("n") < 1.5 * bound).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound * len(languages)).select("doc_id")
+    read = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter(F.col("lang").isNotNull())
+    read = read.withColumn("h", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)))
+    passages = map_batches(read, ["doc_id", "text", "lang", "h"], _passages, "doc_id long, lang string, passage string", length)
+    sample = passages.groupBy("doc_id").agg(F.min(F.struct("lang", "passage")).alias("r")).orderBy("doc_id").collect()
+    return model.fit([(r["r"]["passage"], r["r"]["lang"]) for r in sample])
 
 
 def _predict(model: Field):
@@ -305,12 +346,12 @@ def label_words(docs: DataFrame, model: Field) -> DataFrame:
 
 def _filter(model: Field, least: float):
     def own(b: dict) -> dict:
-        take = [k for k, (lang, s) in enumerate(model.predict(b["text"])) if lang != "und" and s >= least]
+        take = [k for k, (lang, s) in enumerate(model.predict(b["text"])) if lang != "und" and model.sure(b["text"][k], s, least)]
         return {name: [column[k] for k in take] for name, column in b.items()}
 
     return own
 
 
-def keep(docs: DataFrame, model: Field, least: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known with a share of at least `least`."""
+def keep(docs: DataFrame, model: Field, least: float = LEAST) -> DataFrame:
+    """The rows of docs, with all their columns, that have letters and whose language has the share that their length asks for (Field.sure)."""
     return map_batches(docs, docs.columns, _filter, docs.schema, model, least)
