@@ -45,12 +45,24 @@ FACTORS, ADDED = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS
 FACTORS |= np.uint64(1)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the shingles of words; fewer words than `width` are one shingle."""
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else (b" ".join(words),)
+    return np.fromiter(map(_hash, shingles), np.uint64)
+
+
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return fingerprint_of(words_of(text), width)
+
+
+def fingerprint_of(words: list[bytes], width: int) -> int:
     if not words:
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else (b" ".join(words),)
-    h = np.fromiter(map(_hash, shingles), np.uint64)
+    h = _hashes(words, width)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):  # bounded memory for very long texts
         ones += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -178,12 +190,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def shingle_set(text: str | None, width: int = SET_WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; fewer words than `width` are one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else (b" ".join(words),)
-    return np.unique(np.fromiter(map(_hash, shingles), np.uint64))
+    return set_of(words_of(text), width)
+
+
+def set_of(words: list[bytes], width: int = SET_WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of words."""
+    return np.unique(_hashes(words, width)) if words else np.empty(0, np.uint64)
 
 
 def signature(own: np.ndarray) -> bytes | None:
@@ -363,9 +375,10 @@ def _sets():
 
 def _marked(width: int):
     def own(b: dict) -> dict:
-        sets = [shingle_set(t) for t in b["text"]]
+        words = list(map(words_of, b["text"]))
+        sets = list(map(set_of, words))
         return {
-            "doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": [fingerprint(t, width) for t in b["text"]],
+            "doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": [fingerprint_of(w, width) for w in words],
             "shingles": [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], "sig": list(map(signature, sets)),
         }
 

@@ -52,6 +52,56 @@ def test_pages_match_their_articles(spark):
     assert got == want
 
 
+LONG = "Some words of the article go on and on here. " * 8
+LAYOUTS = {
+    "form around the page": (f"<html><body><form id='aspnetForm'><div class='nav'>x</div><div class=c><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></form></body></html>", f"T {LONG}{LONG}"),
+    "search words inside an article": (f"<body><article><div class='content search'><h1>T</h1><p>{LONG}</p></div></article></body>", f"T {LONG}"),
+    "quotes in bare values": (f"<body><article><p><a href=x title=don't>a</a> one</p><p>{LONG}</p><p>it's two</p></article></body>", f"a one {LONG}it's two"),
+    "lead in a header": (f"<body><header><p>Site</p></header><article><header class=entry-header><h1>T</h1><p>Lead</p></header><p>{LONG}</p></article></body>", f"T Lead {LONG}"),
+    "heading and lead beside the content": (f"<body><div id=wrap><div class=menu>m</div><div class=post><h1>T</h1><div class=lead>Lead</div><div class=content><p>{LONG}</p><p>{LONG}</p></div></div></div></body>", f"T Lead {LONG}{LONG}"),
+    "content in an article": (f"<body><article><h1>T</h1><div class=content><p>{LONG * 5}</p></div></article></body>", f"T {LONG * 5}"),
+    "comments longer than the article": (f"<body><article><h1>T</h1><p>{LONG}</p></article><div class=comments><p>{LONG * 4}</p></div></body>", f"T {LONG}"),
+    "a layout's class": (f"<body><div class='page has-sidebar'><div class=text><h1>T</h1><p>{LONG}</p></div><div class=sidebar><p>s</p></div></div></body>", f"T {LONG}"),
+    "bare less-than and slashes": (f"<body><article><p>1 < 2 <br/>and <a href=/x/>b</a> {LONG}</p></article></body>", f"1 < 2 and b {LONG}"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, want = LAYOUTS[name]
+    assert html.extract(page, html.ranked(html.Page(page), 1)[0][0]) == " ".join(want.split())
+
+
+def test_long_and_deep_pages_cost_their_length():
+    import time
+
+    began = time.time()
+    for page in ('<a "' * 250_000, "<a x='" * 200_000, '<p title="' * 100_001, "<div class=a>" * 100_000 + "text", "</b>" * 200_000 + "<i>" * 50_000, "<!--" * 200_000, "<script>" * 50_000, "< " * 300_000):
+        html.extract(page, None)
+    assert time.time() - began < 40
+    assert html.extract("<div class=a>" * 100_000 + "text", None) == "text"
+
+
+def test_votes_and_joins_match_brute_force(spark, monkeypatch):
+    """Votes counted by a loop, and the same texts when the winners are joined by salt."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(-1, None, None), (-2, "example.com:8080/x", LAYOUTS["content in an article"][0]), (-2, "example.com:8080/x", "")], "page_id long, url string, html string"))
+    pages = pages.withColumn("path", F.lit("other")).withColumn("host", F.lit("other")).withColumn("salt", F.lit(1))
+    hosts = {r["url"]: r["h"] for r in pages.select("url", html.host_column("url").alias("h")).collect()}
+    assert hosts[None] == "" and hosts["example.com:8080/x"] == "example.com:8080"
+    votes = defaultdict(Counter)
+    for r in pages.collect():
+        for place, (path, _) in enumerate(html.ranked(html.Page(r["html"] or ""), html.VOTES)):
+            votes[hosts[r["url"]]][path] += html.VOTES - place + (place == 0)
+    want = {h: min(v, key=lambda p: (-v[p], p)) for h, v in votes.items()}
+    assert {r["host"]: r["path"] for r in html.winners(pages).collect()} == want
+    key = lambda r: (r["page_id"], r["url"] or "", r["text"])
+    first = sorted(map(key, html.main_text(pages).collect()))
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)
+    assert sorted(map(key, html.main_text(pages).collect())) == first and len(first) == pages.count()
+
+
 # 2: licences
 
 
@@ -458,6 +508,17 @@ def test_clean_documents_are_kept(spark):
     assert sum(agree) / len(agree) > 0.97
 
 
+def test_held_out_labels_of_the_trees(spark):
+    """The verdict on labelled documents that the fit never saw."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    from rillgraph.llm.common import held_out
+
+    model, want = quality_rules.train(docs, labels, allowed=~held_out("doc_id", 3, 1)), labels_of(spark)
+    rows = [r for r in quality_rules.judge(docs, model).collect() if r["doc_id"] in want and not r["base_failed"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert len(rows) > 50 and sum(r["kept"] == bool(want[r["doc_id"]]) for r in rows) / len(rows) > 0.95
+
+
 # 6: factorisation machine
 
 
@@ -593,6 +654,39 @@ def test_code_switched_words(spark, documents):
     assert model.predict([None, "", "12 !", "the and that"])[:3] == [("und", 0.0)] * 3
 
 
+def test_words_of_held_out_splices(spark):
+    """Word by word, over chains that switch language, of documents that training never saw; and switches are learned."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    held = [(language.words_of(r["text"]), model.languages.index(r["lang"])) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and r["lang"]]
+    right = total = 0
+    for pieces, golds in language.spliced([h for h in held if h[0]], seed=99):
+        gamma = model.label([" ".join(w for p in pieces for w in p)])[0]
+        gold = np.concatenate(golds)
+        right, total = right + int((gamma.argmax(axis=1) == gold).sum()), total + len(gold)
+    assert total > 5000 and right / total > 0.97
+    stay = np.diag(model.move).mean() - model.move[~np.eye(len(model.move), dtype=bool)].mean()
+    assert 0.5 < stay < 10
+
+
+@pytest.mark.parametrize("longest", [95, 96, 97, 500, 1000])
+def test_blocks_of_long_chains_are_joined_exactly(longest):
+    rng = np.random.default_rng(longest)
+    lengths = np.array([longest, 1, 40, 193, longest - 3])
+    emit, move = rng.normal(size=(lengths.sum(), 4)), rng.normal(size=(4, 4))
+    assert np.allclose(language.marginals(emit, lengths, move), language.forward_backward(emit, lengths, move)[0], atol=1e-12)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"q{k % 90}x{k % 90} zz{k % 90}", f"l{k % 90:02d}", "s", 3) for k in range(900)]
+    assert len(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")).languages) == 90
+
+
+def test_short_texts_need_a_smaller_share():
+    model = language.Field(["a", "b"])
+    assert model.sure("one two", 0.3) and not model.sure("word " * 200, 0.45) and model.sure("word " * 200, 0.5)
+
+
 # 10: chat
 
 
@@ -730,3 +824,15 @@ def test_pipeline(spark):
     assert kept < all_ids and len(kept) > len(all_ids) / 3
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
+    """Every stage takes nulls, repeated rows, long texts and other columns, and an empty table."""
+    import corpus_pipeline
+
+    docs = odd.filter("doc_id is null or doc_id <> 7")
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            out = stage(spark, rows, SF)
+            n = out.count()
+            assert n == 0 if rows is not docs else name == "packing" or out.columns == docs.columns and n <= docs.count()
