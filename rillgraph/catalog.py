@@ -1,7 +1,8 @@
 """One query per operator over the driver's tables, and DuckDB SQL for the same rows.
 
-Graph: the closed rows of lineitem (line status F) as src = orderkey mod 2000, dst = partkey mod 2000, without self loops, distinct;
-updates: all of lineitem in a total order, deletes where the return flag is R. The graph has 2000 vertices at any scale.
+Graph: all rows of lineitem as src = order key, dst = part key, without self loops, distinct; its vertices are the ids from 0 to the
+largest key, so it grows with the table. Updates: all of lineitem in a total order, deletes where the return flag is R; the
+queries that apply them start from the closed rows (line status F), the documented base part of that stream.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ from .functions import scalars as S
 from .operators import updates as U
 from .plans import engine
 from .plans.materialize import cut, numbered
+from .plans.ranks import average_ranks, medians
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-N = 2000
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 SQL_PARTS = {
-    "raw": "raw AS (SELECT l_orderkey % 2000 AS src, l_partkey % 2000 AS dst FROM lineitem)",
-    "edges": f"edges AS (SELECT DISTINCT src, dst, 1 + (131 * src + 17 * dst + 29 * {S.SEED}) % 64 AS weight FROM (SELECT l_orderkey % 2000 AS src, l_partkey % 2000 AS dst FROM lineitem WHERE l_linestatus = 'F') WHERE src <> dst)",
-    "updates": f"updates AS (SELECT row_number() OVER (ORDER BY {', '.join(ORDER)}) - 1 AS seq, l_orderkey % 2000 AS src, l_partkey % 2000 AS dst, l_quantity::BIGINT AS weight, l_returnflag = 'R' AS is_delete FROM lineitem)",
-    "records": "records AS (SELECT l_orderkey % 2000 AS src, l_partkey % 2000 AS dst, l_quantity::BIGINT AS weight, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS diff FROM lineitem)",
+    "raw": "raw AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem)",
+    "edges": f"edges AS (SELECT DISTINCT src, dst, 1 + (131 * src + 17 * dst + 29 * {S.SEED}) % 64 AS weight FROM raw WHERE src <> dst)",
+    "base": f"edges AS (SELECT DISTINCT src, dst, 1 + (131 * src + 17 * dst + 29 * {S.SEED}) % 64 AS weight FROM (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_linestatus = 'F') WHERE src <> dst)",
+    "vertices": "vertices AS (SELECT unnest(range(1 + (SELECT greatest(max(l_orderkey), max(l_partkey)) FROM lineitem))) AS v)",
+    "updates": f"updates AS (SELECT row_number() OVER (ORDER BY {', '.join(ORDER)}) - 1 AS seq, l_orderkey AS src, l_partkey AS dst, l_quantity::BIGINT AS weight, l_returnflag = 'R' AS is_delete FROM lineitem)",
+    "records": "records AS (SELECT l_orderkey AS src, l_partkey AS dst, l_quantity::BIGINT AS weight, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS diff FROM lineitem)",
     "recip": "recip AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges))",
     "firsts": "firsts AS (SELECT src, dst, min(seq) AS first_, count(*) AS n FROM updates GROUP BY ALL)",
     "degrees": "degrees AS (SELECT src, count(*) AS degree FROM edges GROUP BY src)",
@@ -58,26 +61,45 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def raw_edges(spark, sf) -> DataFrame:
-    return read(spark, sf, "lineitem").select((F.col("l_orderkey") % N).alias("src"), (F.col("l_partkey") % N).alias("dst"))
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
-def edges_of(spark, sf) -> DataFrame:
+def weighted(rows: DataFrame) -> DataFrame:
     src, dst = F.col("src"), F.col("dst")
-    closed = read(spark, sf, "lineitem").filter("l_linestatus = 'F'").select((F.col("l_orderkey") % N).alias("src"), (F.col("l_partkey") % N).alias("dst"))
-    return closed.filter(src != dst).distinct().withColumn("weight", S.edge_weight(src, dst))
+    return rows.filter(src != dst).distinct().withColumn("weight", S.edge_weight(src, dst))
+
+
+def edges_of(spark, sf) -> DataFrame:
+    return weighted(raw_edges(spark, sf))
+
+
+def base_of(spark, sf) -> DataFrame:
+    """The graph that the update stream meets: the closed rows, so the stream inserts, repeats and deletes."""
+    return weighted(read(spark, sf, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
-def vertices_of(spark) -> DataFrame:
-    return spark.range(N)
+def size_of(spark, sf) -> int:
+    """Number of vertices: the ids from 0 to the largest order or part."""
+    return read(spark, sf, "lineitem").agg(F.greatest(F.max("l_orderkey"), F.max("l_partkey")).alias("most")).first()["most"] + 1
+
+
+def vertices_of(spark, sf) -> DataFrame:
+    return spark.range(size_of(spark, sf))
 
 
 def updates_of(spark, sf) -> DataFrame:
     rows = read(spark, sf, "lineitem").select(*ORDER, "l_returnflag")
-    return numbered(rows, ORDER, "seq").select("seq", (F.col("l_orderkey") % N).alias("src"), (F.col("l_partkey") % N).alias("dst"), F.col("l_quantity").cast("long").alias("weight"), (F.col("l_returnflag") == "R").alias("is_delete"))
+    return numbered(rows, ORDER, "seq").select("seq", F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("weight"), (F.col("l_returnflag") == "R").alias("is_delete"))
+
+
+def ordered_of(spark, sf) -> DataFrame:
+    """The update stream with its order as a struct: enough to know which record is last, without numbering the table."""
+    rows = read(spark, sf, "lineitem")
+    return rows.select(F.struct(*ORDER).alias("seq"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("weight"), (F.col("l_returnflag") == "R").alias("is_delete"))
 
 
 def records_of(spark, sf) -> DataFrame:
-    return read(spark, sf, "lineitem").select((F.col("l_orderkey") % N).alias("src"), (F.col("l_partkey") % N).alias("dst"), F.col("l_quantity").cast("long").alias("weight"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("diff"))
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("weight"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("diff"))
 
 
 def reciprocal(edges: DataFrame) -> DataFrame:
@@ -137,17 +159,17 @@ def f17_f19_digest_interval(spark, sf):
 # Projections and validation
 
 
-@query("SELECT count(*) AS records, count(*) FILTER (src = dst) AS loops, count(DISTINCT CASE WHEN src <> dst THEN src * 2000 + dst END) AS unique_edges, count(DISTINCT src) AS unique_sources FROM raw", "raw")
+@query("SELECT count(*) AS records, count(*) FILTER (src = dst) AS loops, count(DISTINCT CASE WHEN src <> dst THEN (src << 32) | dst END) AS unique_edges, count(DISTINCT src) AS unique_sources FROM raw", "raw")
 def p1_normalise(spark, sf):
     s, d = F.col("src"), F.col("dst")
-    return raw_edges(spark, sf).agg(F.count(F.lit(1)).alias("records"), F.count_if(s == d).alias("loops"), F.count_distinct(F.when(s != d, s * N + d)).alias("unique_edges"), F.count_distinct(s).alias("unique_sources"))
+    return raw_edges(spark, sf).agg(F.count(F.lit(1)).alias("records"), F.count_if(s == d).alias("loops"), F.count_distinct(F.when(s != d, S.pack_edge(s, d))).alias("unique_edges"), F.count_distinct(s).alias("unique_sources"))
 
 
-@query("SELECT seq < 3 * (SELECT count(*) FROM updates) // 4 AS base, count(*) AS n, count(DISTINCT src * 2000 + dst) AS edges FROM updates GROUP BY 1", "updates")
+@query("SELECT seq < 3 * (SELECT count(*) FROM updates) // 4 AS base, count(*) AS n, count(DISTINCT (src << 32) | dst) AS edges FROM updates GROUP BY 1", "updates")
 def p3_base_split(spark, sf):
     u = updates_of(spark, sf)
     at = F.floor(3 * F.lit(read(spark, sf, "lineitem").count()) / 4)
-    return u.groupBy((F.col("seq") < at).alias("base")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("src") * N + F.col("dst")).alias("edges"))
+    return u.groupBy((F.col("seq") < at).alias("base")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(S.pack_edge(F.col("src"), F.col("dst"))).alias("edges"))
 
 
 @query("SELECT src, dst FROM recip", "recip")
@@ -190,21 +212,21 @@ LWW = "lww AS (SELECT src, dst, arg_max(weight, seq) AS given, arg_max(is_delete
 
 
 @query(f"""+ {LWW}, j AS (SELECT l.src, l.dst, l.is_delete, e.weight AS old_weight, CASE WHEN NOT l.is_delete THEN given END AS new_weight FROM lww l LEFT JOIN edges e ON e.src = l.src AND e.dst = l.dst)
-SELECT *, coalesce(new_weight IS NOT NULL AND (old_weight IS NULL OR new_weight < old_weight), false) AS insert_or_decrease, coalesce(old_weight IS NOT NULL AND (new_weight IS NULL OR new_weight > old_weight), false) AS delete_or_increase FROM j""", "edges updates")
+SELECT *, coalesce(new_weight IS NOT NULL AND (old_weight IS NULL OR new_weight < old_weight), false) AS insert_or_decrease, coalesce(old_weight IS NOT NULL AND (new_weight IS NULL OR new_weight > old_weight), false) AS delete_or_increase FROM j""", "base updates")
 def j2_changes(spark, sf):
-    return U.changes(edges_of(spark, sf), updates_of(spark, sf))
+    return U.changes(base_of(spark, sf), ordered_of(spark, sf))
 
 
 @query(f"""+ {LWW}, j AS (SELECT l.*, e.weight AS o, CASE WHEN NOT l.is_delete THEN given END AS w FROM lww l LEFT JOIN edges e ON e.src = l.src AND e.dst = l.dst)
 SELECT count(*) FILTER (o IS NULL AND w IS NOT NULL) AS inserted, count(*) FILTER (o IS NOT NULL AND w IS NULL) AS deleted, count(*) FILTER (w < o) AS decreased, count(*) FILTER (w > o) AS increased, count(*) FILTER (w = o) AS unchanged, count(*) FILTER (is_delete AND o IS NULL) AS missing_deletes,
-count(DISTINCT CASE WHEN w IS DISTINCT FROM o THEN src END) AS changed_sources, count(DISTINCT CASE WHEN w IS DISTINCT FROM o THEN dst END) AS changed_destinations FROM j""", "edges updates")
+count(DISTINCT CASE WHEN w IS DISTINCT FROM o THEN src END) AS changed_sources, count(DISTINCT CASE WHEN w IS DISTINCT FROM o THEN dst END) AS changed_destinations FROM j""", "base updates")
 def a7_batch_effect(spark, sf):
-    return U.effect(U.changes(edges_of(spark, sf), updates_of(spark, sf)))
+    return U.effect(U.changes(base_of(spark, sf), ordered_of(spark, sf)))
 
 
-@query(f"+ {LWW} SELECT coalesce(e.src, l.src) AS src, coalesce(e.dst, l.dst) AS dst, CASE WHEN l.src IS NULL THEN weight WHEN NOT is_delete THEN given END AS weight FROM edges e FULL JOIN lww l ON e.src = l.src AND e.dst = l.dst WHERE l.src IS NULL OR NOT is_delete", "edges updates")
+@query(f"+ {LWW} SELECT coalesce(e.src, l.src) AS src, coalesce(e.dst, l.dst) AS dst, CASE WHEN l.src IS NULL THEN weight WHEN NOT is_delete THEN given END AS weight FROM edges e FULL JOIN lww l ON e.src = l.src AND e.dst = l.dst WHERE l.src IS NULL OR NOT is_delete", "base updates")
 def d1_apply_batch(spark, sf):
-    return U.apply_batch(edges_of(spark, sf), updates_of(spark, sf))
+    return U.apply_batch(base_of(spark, sf), ordered_of(spark, sf))
 
 
 @query("SELECT src, dst, min(weight) AS weight, sum(diff)::BIGINT AS diff FROM records GROUP BY ALL HAVING sum(diff) <> 0", "records")
@@ -212,27 +234,27 @@ def a3_coalesce_differential(spark, sf):
     return U.coalesce_differential(records_of(spark, sf))
 
 
-@query("+ net AS (SELECT src, dst, min(weight) AS given, sum(diff) AS diff FROM records GROUP BY ALL HAVING sum(diff) <> 0) SELECT coalesce(e.src, l.src) AS src, coalesce(e.dst, l.dst) AS dst, CASE WHEN l.src IS NULL THEN weight ELSE given END AS weight FROM edges e FULL JOIN net l ON e.src = l.src AND e.dst = l.dst WHERE l.src IS NULL OR diff > 0", "edges records")
+@query("+ net AS (SELECT src, dst, min(weight) AS given, sum(diff) AS diff FROM records GROUP BY ALL HAVING sum(diff) <> 0) SELECT coalesce(e.src, l.src) AS src, coalesce(e.dst, l.dst) AS dst, CASE WHEN l.src IS NULL THEN weight ELSE given END AS weight FROM edges e FULL JOIN net l ON e.src = l.src AND e.dst = l.dst WHERE l.src IS NULL OR diff > 0", "base records")
 def d2_apply_differential(spark, sf):
-    return U.apply_differential(edges_of(spark, sf), records_of(spark, sf))
+    return U.apply_differential(base_of(spark, sf), records_of(spark, sf))
 
 
 HISTORY = "h AS (SELECT *, lag(CASE WHEN NOT is_delete THEN weight END) OVER (PARTITION BY src, dst ORDER BY seq) AS live FROM (SELECT src, dst, -1 AS seq, weight, false AS is_delete FROM edges WHERE (src, dst) IN (SELECT (src, dst) FROM updates) UNION ALL SELECT src, dst, seq, weight, is_delete FROM updates))"
 
 
-@query(f"+ {HISTORY} SELECT * FROM (SELECT seq, src, dst, CASE WHEN is_delete AND live IS NULL THEN 'absent' WHEN is_delete AND live <> weight THEN 'other weight' WHEN NOT is_delete AND live IS NOT NULL THEN 'exists' END AS problem FROM h WHERE seq >= 0) WHERE problem IS NOT NULL", "edges updates")
+@query(f"+ {HISTORY} SELECT * FROM (SELECT seq, src, dst, CASE WHEN is_delete AND live IS NULL THEN 'absent' WHEN is_delete AND live <> weight THEN 'other weight' WHEN NOT is_delete AND live IS NOT NULL THEN 'exists' END AS problem FROM h WHERE seq >= 0) WHERE problem IS NOT NULL", "base updates")
 def d3_exact_violations(spark, sf):
-    return U.exact_violations(edges_of(spark, sf), updates_of(spark, sf))
+    return U.exact_violations(base_of(spark, sf), updates_of(spark, sf))
 
 
-@query(f"+ {HISTORY} SELECT seq, 0 AS step, src, dst, live AS weight, true AS is_delete FROM h WHERE seq >= 0 AND live IS NOT NULL AND (is_delete OR live <> weight) UNION ALL SELECT seq, CASE WHEN live IS NULL THEN 1 ELSE 1 END, src, dst, weight, false FROM h WHERE seq >= 0 AND NOT is_delete AND (live IS NULL OR live <> weight)", "edges updates")
+@query(f"+ {HISTORY} SELECT seq, 0 AS step, src, dst, live AS weight, true AS is_delete FROM h WHERE seq >= 0 AND live IS NOT NULL AND (is_delete OR live <> weight) UNION ALL SELECT seq, CASE WHEN live IS NULL THEN 1 ELSE 1 END, src, dst, weight, false FROM h WHERE seq >= 0 AND NOT is_delete AND (live IS NULL OR live <> weight)", "base updates")
 def d4_lower_physical(spark, sf):
-    return U.lower_physical(edges_of(spark, sf), updates_of(spark, sf))
+    return U.lower_physical(base_of(spark, sf), updates_of(spark, sf))
 
 
-@query("SELECT DISTINCT u.src, u.dst FROM updates u WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = u.src AND e.dst = u.dst)", "edges updates")
+@query("SELECT DISTINCT u.src, u.dst FROM updates u WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = u.src AND e.dst = u.dst)", "base updates")
 def j5_o2_difference(spark, sf):
-    return raw_edges(spark, sf).distinct().join(edges_of(spark, sf), ["src", "dst"], "left_anti")
+    return raw_edges(spark, sf).distinct().join(base_of(spark, sf), ["src", "dst"], "left_anti")
 
 
 @query("SELECT run_id, algorithm, a, b, a / b AS ratio, a IS NULL OR b IS NULL AS incomplete FROM pairs", "pairs")
@@ -254,22 +276,22 @@ def j11_locate_segment(spark, sf):
     return edges_of(spark, sf).withColumn("h", head).select("src", "dst", F.last("h", True).over(own).alias("head"))
 
 
-@query("SELECT e.dst // 100 AS tile, count(*) AS n, count(DISTINCT e.src) AS sources FROM edges e WHERE e.src IN (SELECT c_custkey % 2000 FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1", "edges")
+@query("SELECT e.dst // 100 AS tile, count(*) AS n, count(DISTINCT e.src) AS sources FROM edges e WHERE e.src IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1", "edges")
 def j13_j15_tile_semi(spark, sf):
-    chosen = read(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") % N).alias("src"))
+    chosen = read(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("src"))
     return edges_of(spark, sf).join(chosen, "src", "left_semi").groupBy(F.expr("dst div 100").alias("tile")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("sources"))
 
 
-@query("SELECT src, dst FROM edges UNION ALL SELECT v, v FROM (SELECT unnest(range(2000)) AS v) WHERE v NOT IN (SELECT src FROM edges)", "edges")
+@query("SELECT src, dst FROM edges UNION ALL SELECT v, v FROM vertices WHERE v NOT IN (SELECT src FROM edges)", "vertices edges")
 def o6_sink_completion(spark, sf):
     e = edges_of(spark, sf)
-    sinks = vertices_of(spark).join(e, F.col("id") == F.col("src"), "left_anti")
+    sinks = vertices_of(spark, sf).join(e, F.col("id") == F.col("src"), "left_anti")
     return e.select("src", "dst").unionByName(sinks.select(F.col("id").alias("src"), F.col("id").alias("dst")))
 
 
-@query("SELECT min(v) AS source FROM (SELECT unnest(range(2000)) AS v) WHERE v NOT IN (SELECT src FROM edges)", "edges")
+@query("SELECT min(v) AS source FROM vertices WHERE v NOT IN (SELECT src FROM edges)", "vertices edges")
 def o8_update_only_source(spark, sf):
-    return vertices_of(spark).join(edges_of(spark, sf), F.col("id") == F.col("src"), "left_anti").agg(F.min("id").alias("source"))
+    return vertices_of(spark, sf).join(edges_of(spark, sf), F.col("id") == F.col("src"), "left_anti").agg(F.min("id").alias("source"))
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, a.k IS NULL AS unexpected, b.k IS NULL AS missing FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) b FULL JOIN (SELECT p_partkey AS k FROM part WHERE p_size > 3) a ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
@@ -289,7 +311,7 @@ def a1_a5_reduce(spark, sf):
 
 @query("SELECT src, dst, arg_max(weight, seq) AS weight, arg_max(is_delete, seq) AS is_delete FROM updates GROUP BY ALL", "updates")
 def a4_last_write(spark, sf):
-    return U.last_write_wins(updates_of(spark, sf))
+    return U.last_write_wins(ordered_of(spark, sf))
 
 
 @query("SELECT dst // 500 AS part, dst // 50 AS tile, count(*) AS edges FROM edges GROUP BY ALL", "edges")
@@ -302,16 +324,18 @@ SUMMARY = "count(*) AS pairs, count(*) FILTER (a > b) AS wins, count(*) FILTER (
 
 @query(f"SELECT CASE grouping(algorithm, kind) WHEN 3 THEN 'all' WHEN 1 THEN 'algorithm' ELSE 'kind' END AS by_, coalesce(algorithm, kind::VARCHAR, 'all') AS value_, {SUMMARY} FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY GROUPING SETS ((), (algorithm), (kind))", "pairs")
 def a14_a16_pair_summaries(spark, sf):
-    pairs_of(spark, sf).filter("a is not null and b is not null").createOrReplaceTempView("rg_pairs")
-    return spark.sql("""SELECT CASE grouping_id(algorithm, kind) WHEN 3 THEN 'all' WHEN 1 THEN 'algorithm' ELSE 'kind' END AS by_, coalesce(algorithm, cast(kind as string), 'all') AS value_,
-      count(*) AS pairs, count_if(a > b) AS wins, count_if(a = b) AS ties, count_if(a < b) AS losses, round(exp(avg(ln(a / b))), 6) AS geomean, round(median(a / b), 6) AS middle,
-      round(min(a / b), 6) AS least, round(max(a / b), 6) AS most FROM rg_pairs GROUP BY GROUPING SETS ((), (algorithm), (kind))""")
+    p = pairs_of(spark, sf).filter("a is not null and b is not null").withColumn("r", F.col("a") / F.col("b"))
+    label = lambda by, value: F.struct(F.lit(by).alias("by_"), value.alias("value_"))
+    p = p.select("a", "b", "r", F.inline(F.array(label("all", F.lit("all")), label("algorithm", F.col("algorithm")), label("kind", F.col("kind").cast("string")))))
+    own = p.groupBy("by_", "value_").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("a") > F.col("b")).alias("wins"), F.count_if(F.col("a") == F.col("b")).alias("ties"), F.count_if(F.col("a") < F.col("b")).alias("losses"), F.round(F.exp(F.avg(F.ln("r"))), 6).alias("geomean"), F.round(F.min("r"), 6).alias("least"), F.round(F.max("r"), 6).alias("most"))
+    return own.join(medians(p, ["by_", "value_"], "r"), ["by_", "value_"]).withColumn("middle", F.round("middle", 6))
 
 
 @query("SELECT l_returnflag, round(sum(l_linenumber * l_quantity) / sum(l_linenumber), 6) AS weighted, round(stddev_pop(l_quantity) / avg(l_quantity) * 100, 6) AS variation, median(l_quantity) AS middle, round((max(l_quantity) - min(l_quantity)) / median(l_quantity) * 100, 6) AS jitter FROM lineitem GROUP BY 1")
 def a18_a21_repeats(spark, sf):
-    q = F.col("l_quantity")
-    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_linenumber") * q) / F.sum("l_linenumber"), 6).alias("weighted"), F.round(F.stddev_pop(q) / F.avg(q) * 100, 6).alias("variation"), F.median(q).alias("middle"), F.round((F.max(q) - F.min(q)) / F.median(q) * 100, 6).alias("jitter"))
+    rows, q = read(spark, sf, "lineitem"), F.col("l_quantity")
+    own = rows.groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_linenumber") * q) / F.sum("l_linenumber"), 6).alias("weighted"), F.round(F.stddev_pop(q) / F.avg(q) * 100, 6).alias("variation"), (F.max(q) - F.min(q)).alias("width"))
+    return own.join(medians(rows, ["l_returnflag"], "l_quantity"), "l_returnflag").withColumn("jitter", F.round(F.col("width") / F.col("middle") * 100, 6)).drop("width")
 
 
 @query("SELECT degree, count(*) AS n, min(src) AS representative FROM degrees GROUP BY 1", "degrees")
@@ -338,7 +362,9 @@ def a28_signed_multiset(spark, sf):
 def a29_trust_classes(spark, sf):
     e = pairs_of(spark, sf).filter("a is not null and b is not null").withColumn("e", S.error_percent(F.col("a"), F.col("b")))
     trust = F.when(F.col("e") <= 10, "trusted").when(F.col("e") <= 50, "borderline").otherwise("untrusted")
-    return e.groupBy("algorithm", trust.alias("trust")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("e"), 6).alias("middle"), F.round(F.max("e"), 6).alias("most"))
+    e = e.withColumn("trust", trust)
+    own = e.groupBy("algorithm", "trust").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("e"), 6).alias("most"))
+    return own.join(medians(e, ["algorithm", "trust"], "e"), ["algorithm", "trust"]).withColumn("middle", F.round("middle", 6))
 
 
 # Windows and order
@@ -360,15 +386,15 @@ def w2_first_seen_ids(spark, sf):
     return numbered(seen.groupBy("v").agg(F.min("p").alias("p")), ["p"], "local").select(F.col("v").alias("original"), "local")
 
 
-@query("""+ dense AS (SELECT v, coalesce(degree, 0) AS degree FROM (SELECT unnest(range(2000)) AS v) LEFT JOIN degrees ON src = v),
-w AS (SELECT v, sum(degree) OVER (ORDER BY v ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)::BIGINT AS total FROM dense) SELECT v AS start_, total FROM w WHERE v <= 1900 ORDER BY total DESC, v LIMIT 1""", "degrees")
+@query("""+ dense AS (SELECT v, coalesce(degree, 0) AS degree FROM vertices LEFT JOIN degrees ON src = v),
+w AS (SELECT v, sum(degree) OVER (ORDER BY v ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)::BIGINT AS total FROM dense) SELECT v AS start_, total FROM w WHERE v + 99 <= (SELECT max(v) FROM vertices) ORDER BY total DESC, v LIMIT 1""", "vertices degrees")
 def w3_densest_window(spark, sf):
     d = edges_of(spark, sf).groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     # A window of 100 ids ends in the next block of 100, so each block needs its own ids and the next block's.
-    dense = vertices_of(spark).join(d, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    dense = vertices_of(spark, sf).join(d, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
     both = dense.withColumn("block", F.explode(F.array(F.expr("id div 100"), F.expr("id div 100 - 1"))))
     w = Window.partitionBy("block").orderBy("id").rowsBetween(0, 99)
-    sums = both.withColumn("total", F.sum("degree").over(w)).filter("block = id div 100 and id <= 1900")
+    sums = both.withColumn("total", F.sum("degree").over(w)).filter("block = id div 100").filter(F.col("id") + 100 <= size_of(spark, sf))
     return sums.agg(F.max_by(F.struct(F.col("id").alias("start_"), "total"), F.struct("total", -F.col("id"))).alias("m")).select("m.start_", "m.total")
 
 
@@ -441,9 +467,9 @@ RANKS = "ranked AS (SELECT algorithm, rank() OVER (PARTITION BY algorithm ORDER
 
 @query(f"+ {RANKS} SELECT algorithm, round(corr(ra, rb), 6) AS spearman FROM ranked GROUP BY 1", "pairs")
 def w13_c9_spearman(spark, sf):
-    p = pairs_of(spark, sf).filter("a is not null and b is not null")
-    rank = lambda c: F.rank().over(Window.partitionBy("algorithm").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("algorithm", c)) - 1) / 2
-    return p.select("algorithm", rank("a").alias("ra"), rank("b").alias("rb")).groupBy("algorithm").agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+    p = cut(pairs_of(spark, sf).filter("a is not null and b is not null").select("algorithm", "a", "b"))
+    p = average_ranks(average_ranks(p, ["algorithm"], "a", "ra"), ["algorithm"], "b", "rb")
+    return p.groupBy("algorithm").agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"))
 
 
 @query("SELECT src, i // 16 AS segment, count(*) AS n, min(dst) AS head FROM (SELECT src, dst, row_number() OVER (PARTITION BY src % 64 ORDER BY src, dst) - 1 AS i FROM edges) GROUP BY ALL", "edges")
@@ -527,9 +553,10 @@ def l2_o1_carry_merge(spark, sf):
 
 @query("SELECT algorithm, count(*) AS n, round(regr_slope(b, a), 6) AS slope, round(regr_intercept(b, a), 3) AS intercept, round(regr_r2(b, a), 6) AS r2, round(avg(abs(a - b) / b) * 100, 6) AS mape, round(median(abs(a - b) / b) * 100, 6) AS middle FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1", "pairs")
 def c1_c8_fit(spark, sf):
-    p, a, b = pairs_of(spark, sf).filter("a is not null and b is not null"), F.col("a"), F.col("b")
-    e = F.abs(a - b) / b
-    return p.groupBy("algorithm").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(b, a), 6).alias("slope"), F.round(F.regr_intercept(b, a), 3).alias("intercept"), F.round(F.regr_r2(b, a), 6).alias("r2"), F.round(F.avg(e) * 100, 6).alias("mape"), F.round(F.median(e) * 100, 6).alias("middle"))
+    a, b = F.col("a"), F.col("b")
+    p = pairs_of(spark, sf).filter("a is not null and b is not null").withColumn("e", F.abs(a - b) / b)
+    own = p.groupBy("algorithm").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(b, a), 6).alias("slope"), F.round(F.regr_intercept(b, a), 3).alias("intercept"), F.round(F.regr_r2(b, a), 6).alias("r2"), F.round(F.avg("e") * 100, 6).alias("mape"))
+    return own.join(medians(p, ["algorithm"], "e"), "algorithm").withColumn("middle", F.round(F.col("middle") * 100, 6))
 
 
 @query("+ g AS (SELECT kind, sum(ln(a / b)) AS s, count(*) AS n FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1) SELECT x.kind, round(exp(sum(y.s) / sum(y.n)), 6) AS scale FROM g x JOIN g y ON x.kind <> y.kind GROUP BY 1", "pairs")
@@ -561,20 +588,20 @@ def sssp_sql(rounds: int) -> str:
 @query(sssp_sql(5), "degrees")
 def g1_sssp_rounds(spark, sf):
     e = cut(edges_of(spark, sf))
-    return engine.sssp(vertices_of(spark), e, hub(e), rounds=5).state.filter("value is not null").select(F.col("id").alias("vertex"), F.col("value").alias("distance"))
+    return engine.sssp(vertices_of(spark, sf), e, hub(e), rounds=5).state.filter("value is not null").select(F.col("id").alias("vertex"), F.col("value").alias("distance"))
 
 
 def pagerank_sql(rounds: int) -> str:
-    ctes = ["v AS (SELECT unnest(range(2000)) AS id)", "r0 AS (SELECT id, 1.0::DOUBLE / 2000 AS r FROM v)"]
+    ctes = ["v AS (SELECT v AS id FROM vertices)", "r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v)"]
     for k in range(rounds):
-        ctes.append(f"r{k + 1} AS (SELECT v.id, 0.15::DOUBLE / 2000 + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{k} WHERE id NOT IN (SELECT src FROM degrees)) / 2000 + coalesce(i.x, 0) AS r FROM v LEFT JOIN (SELECT e.dst, sum(0.85::DOUBLE * (r / degree)) AS x FROM r{k} JOIN edges e ON e.src = id JOIN degrees g ON g.src = e.src GROUP BY 1) i ON i.dst = v.id)")
-    return "+ " + ", ".join(ctes) + f" SELECT id AS vertex, round(r, 7) AS rank FROM r{rounds}"
+        ctes.append(f"r{k + 1} AS (SELECT v.id, 0.15::DOUBLE / (SELECT count(*) FROM v) + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{k} WHERE id NOT IN (SELECT src FROM degrees)) / (SELECT count(*) FROM v) + coalesce(i.x, 0) AS r FROM v LEFT JOIN (SELECT e.dst, sum(0.85::DOUBLE * (r / degree)) AS x FROM r{k} JOIN edges e ON e.src = id JOIN degrees g ON g.src = e.src GROUP BY 1) i ON i.dst = v.id)")
+    return "+ " + ", ".join(ctes) + f" SELECT id AS vertex, round(r, 9) AS rank FROM r{rounds}"
 
 
-@query(pagerank_sql(4), "degrees")
+@query(pagerank_sql(5), "vertices degrees")
 def g4_pagerank_rounds(spark, sf):
     e = cut(edges_of(spark, sf))
-    return engine.pagerank(vertices_of(spark), e, rounds=4).state.select(F.col("id").alias("vertex"), F.round("rank", 7).alias("rank"))
+    return engine.pagerank(vertices_of(spark, sf), e, rounds=5).state.select(F.col("id").alias("vertex"), F.round("rank", 9).alias("rank"))
 
 
 @query("""+ r(v, l) USING KEY (v) AS (SELECT src AS v, src AS l FROM (SELECT DISTINCT src FROM recip) UNION (SELECT u.dst, min(r.l) FROM r JOIN recip u ON u.src = r.v JOIN recurring.r q ON q.v = u.dst WHERE r.l < q.l GROUP BY u.dst))
@@ -585,7 +612,40 @@ def g9_components(spark, sf):
     return engine.components(vertices, e).state.select(F.col("id").alias("vertex"), F.col("value").alias("label"))
 
 
+SSSP = """+ r(v, x) USING KEY (v) AS (SELECT * FROM (SELECT src AS v, 0::BIGINT AS x FROM degrees ORDER BY degree DESC, src LIMIT 1) UNION (SELECT e.dst, min(r.x + e.weight) FROM r JOIN edges e ON e.src = r.v LEFT JOIN recurring.r q ON q.v = e.dst WHERE q.v IS NULL OR r.x + e.weight < q.x GROUP BY e.dst))
+SELECT v AS vertex, x AS distance FROM r"""
+
+
+@query(SSSP, "degrees")
+def g1_sssp(spark, sf):
+    """Shortest distances from the vertex of most edges, to convergence."""
+    e = cut(edges_of(spark, sf))
+    return engine.sssp(vertices_of(spark, sf), e, hub(e)).state.filter("value is not null").select(F.col("id").alias("vertex"), F.col("value").alias("distance"))
+
+
+@query()
+def g4_pagerank(spark, sf):
+    """Ranks to convergence: an L1 change of at most 1e-6."""
+    return engine.pagerank(vertices_of(spark, sf), cut(edges_of(spark, sf))).state.select(F.col("id").alias("vertex"), F.round("rank", 9).alias("rank"))
+
+
+def residual_sql(rounds: int, epsilon: float) -> str:
+    ctes = ["v AS (SELECT v AS id, v NOT IN (SELECT src FROM degrees) AS sink FROM vertices)", "n AS (SELECT count(*) AS n FROM v)", "s0 AS (SELECT id, sink, 0.0::DOUBLE AS rank, 0.15::DOUBLE / n AS residual, true AS active FROM v, n)"]
+    for k in range(rounds):
+        ctes.append(f"""m{k} AS (SELECT e.dst, sum(0.85::DOUBLE * (residual / degree)) AS x FROM s{k} JOIN edges e ON e.src = id JOIN degrees g ON g.src = e.src WHERE active GROUP BY 1),
+l{k} AS (SELECT 0.85::DOUBLE * coalesce(sum(residual), 0) / (SELECT n FROM n) AS y FROM s{k} WHERE active AND sink),
+t{k} AS (SELECT id, sink, CASE WHEN active THEN rank + residual ELSE rank END AS rank, CASE WHEN active THEN 0.0 ELSE residual END + coalesce(x, 0) + y AS residual FROM s{k} LEFT JOIN m{k} ON dst = id, l{k}),
+s{k + 1} AS (SELECT *, abs(residual) > {epsilon}::DOUBLE / (SELECT n FROM n) AS active FROM t{k})""")
+    return "+ " + ", ".join(ctes) + f" SELECT id AS vertex, round(rank, 9) AS rank, round(residual, 9) AS residual FROM s{rounds}"
+
+
+@query(residual_sql(5, 1e-1), "vertices degrees")
+def g6_residual_rounds(spark, sf):
+    """Five rounds with a wide epsilon, so some vertices rest while others push."""
+    found = engine.residual_pagerank(vertices_of(spark, sf), cut(edges_of(spark, sf)), epsilon=1e-1, rounds=5).state
+    return found.select(F.col("id").alias("vertex"), F.round("rank", 9).alias("rank"), F.round("residual", 9).alias("residual"))
+
+
 @query()
 def g6_residual_pagerank(spark, sf):
-    e = cut(edges_of(spark, sf))
-    return engine.residual_pagerank(vertices_of(spark), e, epsilon=1e-2).state.select(F.col("id").alias("vertex"), F.round("rank", 7).alias("rank"))
+    return engine.residual_pagerank(vertices_of(spark, sf), cut(edges_of(spark, sf))).state.select(F.col("id").alias("vertex"), F.round("rank", 9).alias("rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import N, ORACLES, QUERIES, edges_of, hub, pairs_of, query, raw_edges, read, records_of, reciprocal, spans_of, updates_of, vertices_of  # noqa: F401
+from .catalog import ORACLES, QUERIES, base_of, edges_of, hub, pairs_of, query, raw_edges, read, records_of, reciprocal, size_of, spans_of, updates_of, vertices_of  # noqa: F401
 from .functions import scalars as S
 from .operators import regression, selection
 from .operators import workloads as K
@@ -68,9 +68,9 @@ fresh AS (SELECT row_number() OVER (ORDER BY {BUCKET.replace('%%', '%').format(S
 z AS (SELECT unnest([16, 64]) AS size), k AS (SELECT size, 'delete' AS scenario, src, dst, -1 AS diff FROM gone, z WHERE r <= size UNION ALL SELECT size, 'insert', src, dst, 1 FROM fresh, z WHERE r <= size
 UNION ALL SELECT size, 'mixed', src, dst, -1 FROM gone, z WHERE r <= size // 2 UNION ALL SELECT size, 'mixed', src, dst, 1 FROM fresh, z WHERE r <= size - size // 2
 UNION ALL SELECT size, 'weight_change', src, dst, d FROM gone, z, (SELECT unnest([-1, 1]) AS d) WHERE r <= size)
-SELECT size, scenario, src, dst, CASE WHEN scenario = 'weight_change' AND diff = 1 THEN ({CANON}) % 64 + 1 ELSE {CANON} END AS weight, diff FROM k""", "edges")
+SELECT size, scenario, src, dst, CASE WHEN scenario = 'weight_change' AND diff = 1 THEN ({CANON}) % 64 + 1 ELSE {CANON} END AS weight, diff FROM k""", "raw base")
 def d5_update_batches(spark, sf):
-    return K.derive_batches(edges_of(spark, sf), raw_edges(spark, sf).filter("src <> dst"), [16, 64])
+    return K.derive_batches(base_of(spark, sf), raw_edges(spark, sf).filter("src <> dst"), [16, 64])
 
 
 @query("""+ f AS (SELECT src, dst, first_ FROM firsts WHERE src <> dst AND first_ >= (SELECT count(*) // 2 FROM updates)), p AS (SELECT *, row_number() OVER (ORDER BY first_) - 1 AS i, count(*) OVER () AS n FROM f)
@@ -84,13 +84,13 @@ def d6_temporal_pool(spark, sf):
     return pool.join(F.broadcast(wanted), "i").select("k", "src", "dst", "first_")
 
 
-@query("""+ own AS (SELECT dst, weight FROM edges WHERE src = (SELECT src FROM degrees ORDER BY degree DESC, src LIMIT 1)), i AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT unnest(range(128, 2000)) AS v) WHERE v NOT IN (SELECT dst FROM own) AND v <> (SELECT src FROM degrees ORDER BY degree DESC, src LIMIT 1)),
+@query("""+ own AS (SELECT dst, weight FROM edges WHERE src = (SELECT src FROM degrees ORDER BY degree DESC, src LIMIT 1)), i AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM vertices WHERE v >= 128 AND v NOT IN (SELECT dst FROM own) AND v <> (SELECT src FROM degrees ORDER BY degree DESC, src LIMIT 1)),
 lo AS (SELECT dst, weight, greatest(1, weight // 2) AS w FROM own WHERE weight > 1 ORDER BY dst LIMIT 4), hi AS (SELECT dst, weight, weight + 17 AS w FROM own WHERE dst NOT IN (SELECT dst FROM lo) ORDER BY dst DESC LIMIT 4), c AS (SELECT * FROM lo UNION ALL SELECT * FROM hi),
 a AS (SELECT 'insert' AS scenario, v AS dst, 1 + k * 7 % 31 AS weight, 1 AS diff FROM i WHERE k < 8 UNION ALL SELECT * FROM (SELECT 'delete', dst, weight, -1 FROM own ORDER BY dst LIMIT 8) UNION ALL SELECT 'weight_change', dst, weight, -1 FROM c UNION ALL SELECT 'weight_change', dst, w, 1 FROM c)
-SELECT scenario, (SELECT src FROM degrees ORDER BY degree DESC, src LIMIT 1) AS src, dst, weight, diff FROM a""", "degrees")
+SELECT scenario, (SELECT src FROM degrees ORDER BY degree DESC, src LIMIT 1) AS src, dst, weight, diff FROM a""", "vertices degrees")
 def d8_small_batches(spark, sf):
     e = cut(edges_of(spark, sf))
-    return K.small_batches(e, N, source=hub(e))
+    return K.small_batches(e, size_of(spark, sf), source=hub(e))
 
 
 @query("""+ p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(seq) AS f FROM updates WHERE src <> dst GROUP BY ALL), c AS (SELECT * FROM p ORDER BY f LIMIT 200), v AS (SELECT DISTINCT a AS v FROM c UNION SELECT b FROM c), ids AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM v)
@@ -150,11 +150,11 @@ def w14_round_gaps(spark, sf):
     return spans_of(spark, sf).select("user_id", "event_id", (after - F.col("end")).alias("gap")).filter("gap is not null")
 
 
-@query("SELECT v AS vertex, coalesce(degree, 0) AS degree, coalesce(sum(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_edge FROM (SELECT unnest(range(2000)) AS v) LEFT JOIN degrees ON src = v", "degrees")
+@query("SELECT v AS vertex, coalesce(degree, 0) AS degree, coalesce(sum(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_edge FROM vertices LEFT JOIN degrees ON src = v", "vertices degrees")
 def w16_row_offsets(spark, sf):
     """Offsets inside blocks of vertices, plus the sum of the blocks before: no window holds all vertices."""
     d = edges_of(spark, sf).groupBy("src").agg(count("degree"))
-    v = vertices_of(spark).join(d, F.col("id") == F.col("src"), "left").select(F.col("id").alias("vertex"), F.coalesce("degree", F.lit(0)).alias("degree"), F.expr("id div 256").alias("block"))
+    v = vertices_of(spark, sf).join(d, F.col("id") == F.col("src"), "left").select(F.col("id").alias("vertex"), F.coalesce("degree", F.lit(0)).alias("degree"), F.expr("id div 256").alias("block"))
     before = lambda part, by, c: F.coalesce(F.sum(c).over(part.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = v.groupBy("block").agg(F.sum("degree").alias("total"))
     # One row per block of 256 vertices.
@@ -194,31 +194,31 @@ def l4_history_levels(spark, sf):
     return h.groupBy(level.alias("level"), F.expr("dst div 125").alias("family")).agg(count(), F.min("seq").alias("oldest"), F.max("seq").alias("newest"))
 
 
-@query("""+ lv AS (SELECT src, dst, weight, diff, (weight % 3)::BIGINT AS level FROM records), f AS (SELECT DISTINCT c_custkey % 2000 AS src FROM customer WHERE c_mktsegment = 'MACHINERY')
+@query("""+ lv AS (SELECT src, dst, weight, diff, (weight % 3)::BIGINT AS level FROM records), f AS (SELECT DISTINCT c_custkey AS src FROM customer WHERE c_mktsegment = 'MACHINERY')
 SELECT src, dst, min(weight) AS weight, sum(diff)::BIGINT AS diff, count(DISTINCT level) AS levels FROM lv WHERE src IN (SELECT src FROM f) GROUP BY ALL HAVING sum(diff) <> 0""", "records")
 def l5_multi_level_read(spark, sf):
     """The snapshot of the frontier's sources: all levels, restricted before they are merged."""
-    f = read(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select((F.col("c_custkey") % N).alias("src")).distinct()
+    f = read(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("src")).distinct()
     own = records_of(spark, sf).withColumn("level", F.col("weight") % 3).join(f, "src", "left_semi")
     return own.groupBy("src", "dst").agg(F.min("weight").alias("weight"), F.sum("diff").alias("diff"), F.count_distinct("level").alias("levels")).filter("diff <> 0")
 
 
-@query("""+ d AS (SELECT dst, count(*) AS d FROM edges GROUP BY dst), r AS (SELECT v, coalesce(d, 0) AS d, row_number() OVER (ORDER BY coalesce(d, 0) DESC, v) - 1 AS place FROM (SELECT unnest(range(2000)) AS v) LEFT JOIN d ON dst = v),
-p AS (SELECT place // 128 AS part, sum(d)::BIGINT AS edges FROM r GROUP BY 1) SELECT part < 3 AS dense, CASE WHEN part < 3 THEN part ELSE (part - 3) // 8 END AS task, sum(edges)::BIGINT AS edges, count(*) AS parts FROM p GROUP BY ALL""", "edges")
+@query("""+ d AS (SELECT dst, count(*) AS d FROM edges GROUP BY dst), r AS (SELECT v, coalesce(d, 0) AS d, row_number() OVER (ORDER BY coalesce(d, 0) DESC, v) - 1 AS place FROM vertices LEFT JOIN d ON dst = v),
+p AS (SELECT place // 128 AS part, sum(d)::BIGINT AS edges FROM r GROUP BY 1) SELECT part < 3 AS dense, CASE WHEN part < 3 THEN part ELSE (part - 3) // 8 END AS task, sum(edges)::BIGINT AS edges, count(*) AS parts FROM p GROUP BY ALL""", "vertices edges")
 def l11_destination_tasks(spark, sf):
     """Vertices by falling degree in partitions of 128; the first three are dense tasks, the rest go in groups of eight."""
     d = edges_of(spark, sf).groupBy("dst").agg(count("d"))
-    v = vertices_of(spark).join(d, F.col("id") == F.col("dst"), "left").select("id", (-F.coalesce("d", F.lit(0))).alias("falling"))
+    v = vertices_of(spark, sf).join(d, F.col("id") == F.col("dst"), "left").select("id", (-F.coalesce("d", F.lit(0))).alias("falling"))
     p = numbered(v, ["falling", "id"], "place").groupBy(F.expr("place div 128").alias("part")).agg(F.sum(-F.col("falling")).alias("edges"))
     task = F.when(F.col("part") < 3, F.col("part")).otherwise(F.expr("(part - 3) div 8"))
     return p.groupBy((F.col("part") < 3).alias("dense"), task.alias("task")).agg(F.sum("edges").alias("edges"), count("parts"))
 
 
 @query("""+ every AS (SELECT src, dst, -1 AS seq, 1 AS d FROM edges UNION ALL SELECT src, dst, seq, CASE WHEN is_delete THEN -1 ELSE 1 END FROM updates), keys AS (SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 16 AS segment FROM (SELECT DISTINCT src, dst FROM every)),
-run AS (SELECT k.src, segment, seq, sum(d) OVER (PARTITION BY k.src, segment ORDER BY seq) AS held FROM every e JOIN keys k ON k.src = e.src AND k.dst = e.dst) SELECT src, segment, max(held)::BIGINT AS most, min(held)::BIGINT AS least, max(held) > 16 AS overflow FROM run GROUP BY ALL""", "edges updates")
+run AS (SELECT k.src, segment, seq, sum(d) OVER (PARTITION BY k.src, segment ORDER BY seq) AS held FROM every e JOIN keys k ON k.src = e.src AND k.dst = e.dst) SELECT src, segment, max(held)::BIGINT AS most, min(held)::BIGINT AS least, max(held) > 16 AS overflow FROM run GROUP BY ALL""", "base updates")
 def l8_l12_segment_prefixes(spark, sf):
     """How full every segment of 16 reserved keys is after each prefix of the updates, each record counting as it is."""
-    e = edges_of(spark, sf).select("src", "dst", F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("d"))
+    e = base_of(spark, sf).select("src", "dst", F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("d"))
     every = cut(e.unionByName(updates_of(spark, sf).select("src", "dst", "seq", F.when(F.col("is_delete"), -1).otherwise(1).alias("d"))))
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
     keys = every.select("src", "dst").distinct().withColumn("r", rank).select("src", "dst", F.expr("cast((r - 1) div 16 as bigint)").alias("segment"))
@@ -226,15 +226,15 @@ def l8_l12_segment_prefixes(spark, sf):
     return run.groupBy("src", "segment").agg(F.max("held").alias("most"), F.min("held").alias("least"), (F.max("held") > 16).alias("overflow"))
 
 
-@query("""+ t AS (SELECT dst // 50 AS tile, count(*) AS payload, count(DISTINCT src) AS sources FROM edges WHERE src IN (SELECT c_custkey % 2000 FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1) SELECT count(*) AS touched, sum(payload)::BIGINT AS payload, count(*) FILTER (payload <= 8) AS sparse, count(*) FILTER (payload > 8) AS dense, (sum(CASE WHEN payload > 8 THEN 50 ELSE payload END))::BIGINT AS swept FROM t""", "edges")
+@query("""+ t AS (SELECT dst // 50 AS tile, count(*) AS payload, count(DISTINCT src) AS sources FROM edges WHERE src IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1) SELECT count(*) AS touched, sum(payload)::BIGINT AS payload, count(*) FILTER (payload <= 8) AS sparse, count(*) FILTER (payload > 8) AS dense, (sum(CASE WHEN payload > 8 THEN 50 ELSE payload END))::BIGINT AS swept FROM t""", "edges")
 def a11_l7_tile_schedule(spark, sf):
-    f = read(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select((F.col("c_custkey") % N).alias("src"))
+    f = read(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("src"))
     t = edges_of(spark, sf).join(f, "src", "left_semi").groupBy(F.expr("dst div 50").alias("tile")).agg(count("payload"))
     heavy = F.col("payload") > 8
     return t.agg(count("touched"), F.sum("payload").alias("payload"), F.count_if(~heavy).alias("sparse"), F.count_if(heavy).alias("dense"), F.sum(F.when(heavy, 50).otherwise(F.col("payload"))).alias("swept"))
 
 
-@query("""+ d AS (SELECT dst, count(*) AS d FROM edges GROUP BY dst) SELECT d >= 40 AS hot, CASE WHEN d >= 40 THEN dst % 16 ELSE dst // 125 END AS family, count(*) AS vertices, sum(d)::BIGINT AS edges FROM d GROUP BY ALL""", "edges")
+@query("""+ d AS (SELECT dst, count(*) AS d FROM edges GROUP BY dst) SELECT d >= 40 AS hot, CASE WHEN d >= 40 THEN dst % 16 ELSE dst // 125 END AS family, count(*) AS vertices, sum(d)::BIGINT AS edges FROM d GROUP BY ALL""", "vertices edges")
 def a12_l3_families(spark, sf):
     d = edges_of(spark, sf).groupBy("dst").agg(count("d"))
     hot = F.col("d") >= 40
@@ -299,9 +299,9 @@ def j7_j8_group_pairing(spark, sf):
     return K.paired_with(rows, "run", "system", "cycles", "1", ["2", "3"]).withColumn("speedup", F.round("speedup", 9))
 
 
-@query("""+ k AS (SELECT o_custkey % 50 AS cohort, o_orderkey % 2000 AS src FROM orders GROUP BY ALL) SELECT cohort, count(*) AS edges, min(weight) AS least FROM edges JOIN k USING (src) GROUP BY 1""", "edges")
+@query("""+ k AS (SELECT o_custkey % 50 AS cohort, o_orderkey AS src FROM orders GROUP BY ALL) SELECT cohort, count(*) AS edges, min(weight) AS least FROM edges JOIN k USING (src) GROUP BY 1""", "edges")
 def j14_cohorts(spark, sf):
-    k = read(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("cohort"), (F.col("o_orderkey") % N).alias("src")).distinct()
+    k = read(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("cohort"), F.col("o_orderkey").alias("src")).distinct()
     return edges_of(spark, sf).join(k, "src").groupBy("cohort").agg(count("edges"), F.min("weight").alias("least"))
 
 
@@ -360,7 +360,7 @@ def w23_capped_prefix(spark, sf):
 
 @query()
 def d18_strided_inserts(spark, sf):
-    return selection.strided_inserts(edges_of(spark, sf), N, 64)
+    return selection.strided_inserts(edges_of(spark, sf), size_of(spark, sf), 64)
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["src", "dst"]
@@ -75,7 +75,10 @@ def exact_violations(edges: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def lower_physical(edges: DataFrame, updates: DataFrame) -> DataFrame:
-    """Logical upserts as physical records: a new weight is a delete of the old one and an insert. `problem` marks the rest."""
+    """Logical upserts as physical records: a new weight is a delete of the old one and an insert.
+
+    An upsert of the live weight and a delete of an absent edge need no record and have none; exact_violations() names them.
+    """
     steps = _history(edges, updates)
     delete = F.struct(F.lit(0).alias("step"), F.col("live").alias("weight"), F.lit(True).alias("is_delete"))
     insert = F.struct(F.lit(1).alias("step"), F.col("weight").alias("weight"), F.lit(False).alias("is_delete"))
@@ -90,3 +93,57 @@ def retire_vertices(vertices: DataFrame, asked: DataFrame, edges: DataFrame) ->
     used = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     free = asked.select("id").join(used, "id", "left_anti").withColumn("gone", F.lit(True))
     return vertices.join(free, "id", "left").select("id", (F.col("valid") & F.col("gone").isNull()).alias("valid"))
+
+
+def rejected(edges: DataFrame, sources: tuple, destinations: tuple, weights: tuple) -> DataFrame:
+    """Edges outside the given ranges (low, high; None: open), with the first `problem`: source, destination or weight. Nulls are outside."""
+    def outside(name: str, bounds: tuple) -> Column:
+        low, high = bounds
+        bad = F.col(name).isNull()
+        bad = bad if low is None else bad | (F.col(name) < low)
+        return bad if high is None else bad | (F.col(name) > high)
+
+    problem = F.when(outside("src", sources), "source").when(outside("dst", destinations), "destination").when(outside("weight", weights), "weight")
+    return edges.withColumn("problem", problem).filter("problem is not null")
+
+
+def ordered_float32_sum(order: str, value: str) -> Column:
+    """Aggregate: the values of a group added in float32 in the order of `order`, each sum rounded. Its group is one array, as the order asks."""
+    rows = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("float").alias("v"))))
+    return F.aggregate(rows, F.lit(0).cast("float"), lambda acc, r: (acc + r["v"]).cast("float"))
+
+
+def compacted(edges: DataFrame, width: int, block: int = 4096) -> DataFrame:
+    """src, live, padded, first_: the live edges of each source in whole segments, and where its first lies.
+
+    Offsets are summed inside blocks of sources and over the blocks' totals, so no window holds all sources but one row a block.
+    """
+    n = edges.groupBy("src").agg(F.count(F.lit(1)).alias("live")).withColumn("padded", F.ceil(F.col("live") / width) * width).withColumn("block_", F.expr(f"src div {block}"))
+    upto = lambda part, by: F.coalesce(F.sum("padded").over(part.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = n.groupBy("block_").agg(F.sum("padded").alias("padded"))
+    blocks = blocks.select("block_", upto(Window.partitionBy(), "block_").alias("start_"))
+    inside = n.withColumn("in_", upto(Window.partitionBy("block_"), "src")).join(blocks, "block_")
+    return inside.select("src", "live", "padded", (F.col("in_") + F.col("start_")).alias("first_"))
+
+
+def page_epochs(writes: DataFrame, bits: int) -> DataFrame:
+    """page, stored, cleared, valid from writes(page, epoch): what a page's `bits`-wide mark says in the running (largest) epoch.
+
+    A mark of an earlier round of the counter is cleared when the counter wraps, so it can't be taken for a new one.
+    """
+    last = writes.groupBy("page").agg(F.max("epoch").alias("epoch"))
+    now = last.agg(F.max("epoch").alias("now"))
+    round_of = lambda c: F.shiftright(c, bits)
+    return last.join(F.broadcast(now)).select("page", F.col("epoch").bitwiseAND((1 << bits) - 1).alias("stored"), (round_of("epoch") < round_of("now")).alias("cleared"), (F.col("epoch") == F.col("now")).alias("valid"))
+
+
+def place_buffers(sizes: dict[str, int], room: list[int]) -> dict[str, int]:
+    """Channel of each buffer: the largest first (ties by name), each to the channel with most room left (ties: the first). Raises if one fits nowhere."""
+    left, out = list(room), {}
+    for name in sorted(sizes, key=lambda n: (-sizes[n], n)):
+        at = max(range(len(left)), key=lambda k: (left[k], -k)) if left else -1
+        if at < 0 or left[at] < sizes[name]:
+            raise ValueError(f"no channel has room for {name}")
+        left[at] -= sizes[name]
+        out[name] = at
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import updates as U
@@ -23,6 +23,12 @@ def update_mode(algorithm: str, up: bool, down: bool) -> str:
     return "fallback" if down else "incremental"
 
 
+def mode_column(algorithm: Column, up: Column, down: Column) -> Column:
+    """update_mode of rows."""
+    mode = F.when(~up & ~down, "unchanged").when(algorithm == "pagerank", "warm_start").when(algorithm == "residual_pagerank", "signed_residual")
+    return mode.when(down, "fallback").otherwise("incremental")
+
+
 @dataclass
 class Step:
     mode: str

@@ -20,9 +20,92 @@ def _number(text):
 
 
 def metadata(spark: SparkSession, path: str) -> dict[str, str]:
-    """`# key=value` lines of a slice (a bounded header)."""
-    rows = _lines(spark, path).filter("line like '#%=%'").limit(1000).collect()
-    return {k.strip(): v.strip() for r in rows for k, _, v in [r["line"].lstrip("# ").partition("=")]}
+    """`# key=value` lines of a slice; the last of equal keys counts."""
+    rows = _in_order(spark, path).filter("line like '#%=%'").select(F.trim(F.regexp_replace(F.split("line", "=", 2)[0], "^#+", "")).alias("k"), F.trim(F.split("line", "=", 2)[1]).alias("v"), "at")
+    return {r["k"]: r["v"] for r in rows.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.min("at").alias("at")).orderBy("at").collect()}
+
+
+def _in_order(spark: SparkSession, path: str) -> DataFrame:
+    """line, and `at` that orders the lines of one file: where its split begins, then the place in the split. More files than one raise."""
+    rows = spark.read.text(path).select(F.trim(F.translate("value", "\t\r", " ")).alias("line"), "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    one = rows.agg(F.count_distinct("file_path").alias("n")).first()["n"]
+    if one > 1:
+        raise ValueError(f"{path}: {one} files have no order among them")
+    return rows.select("line", F.struct("start", "id").alias("at"))
+
+
+def slice_summary(spark: SparkSession, path: str) -> DataFrame:
+    """case, vertices, records, unique_sources, size_bytes, sha256 of a four-field slice of one file; its bytes are streamed through the hash.
+
+    Raises without a positive `vertices`, and for a line of other than four fields.
+    """
+    known = metadata(spark, path)
+    if not known.get("vertices", "").isdigit() or int(known["vertices"]) <= 0:
+        raise ValueError(f"{path}: missing positive vertices")
+    r = read_slice(spark, path, strict=True).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("src").alias("unique_sources")).first()
+    digest, size = _sha256(spark, path)
+    row = (known.get("case", path.rstrip("/").rpartition("/")[2].partition(".")[0]), int(known["vertices"]), r["records"], r["unique_sources"], size, digest)
+    return spark.createDataFrame([row], "case string, vertices long, records long, unique_sources long, size_bytes long, sha256 string")
+
+
+def _sha256(spark: SparkSession, path: str) -> tuple[str, int]:
+    """Hash and size of the one file at path, read by the JVM in blocks of 1 MB through any file system."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    inside = [s for s in fs.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    if len(inside) != 1:
+        raise ValueError(f"{path}: {len(inside)} files instead of one")
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    stream = jvm.java.security.DigestInputStream(fs.open(inside[0].getPath()), digest)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 20, True)
+    return jvm.java.util.HexFormat.of().formatHex(digest.digest()), inside[0].getLen()
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """CSV with a header; a table without rows is refused."""
+    if rows.isEmpty():
+        raise ValueError("refusing to write an empty table")
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """CSV with a header, whose names and types must be the schema's."""
+    return spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Lines of JSON that replace what was there; readers see the old rows or the new ones with _SUCCESS."""
+    rows.write.mode("overwrite").json(path)
+
+
+def append_json(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def ingest_temporal(spark: SparkSession, path: str, vertices: int | None = None, events: int | None = None) -> DataFrame:
+    """pos, src, dst, ts of a strict log: three whole numbers a line, ids below `vertices`, at most `events` lines (a limit of the source, not a sample)."""
+    found = read_temporal(spark, path, strict=True)
+    if events is not None:
+        found = found.filter(F.col("pos") < events)
+    if vertices is None:
+        return found
+    bad = (F.col("src") >= vertices) | (F.col("dst") >= vertices)
+    return found.withColumn("src", F.when(bad, F.raise_error(F.concat(F.lit("vertex out of range at "), F.col("pos").cast("string"))).cast("long")).otherwise(F.col("src")))
+
+
+def ingest_summary(log: DataFrame) -> DataFrame:
+    """events, first_, last_, inversions (later lines with a smaller time than the line before) and loops; neighbours are found in blocks of positions."""
+    from pyspark.sql import Window
+
+    blocks = log.withColumn("block", F.explode(F.array(F.expr("pos div 65536"), F.expr("(pos + 1) div 65536")))).dropDuplicates(["pos", "block"])
+    before = F.lag("ts").over(Window.partitionBy("block").orderBy("pos"))
+    own = blocks.withColumn("before", before).filter("block = pos div 65536")
+    return own.agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_"), F.max("ts").alias("last_"), F.count_if(F.col("ts") < F.col("before")).alias("inversions"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
 
 
 def read_slice(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -39,20 +122,23 @@ def read_slice(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """src, dst from 0 of a 1-based coordinate file; the size line is the first one without % or #."""
-    rows = _lines(spark, path).filter("line <> '' and not line like '\\%%' and not line like '#%'").withColumn("id", F.monotonically_increasing_id())
-    first = rows.agg(F.min("id").alias("first"))
+    rows = _in_order(spark, path).filter("line <> '' and not line like '\\%%' and not line like '#%'")
+    first = rows.agg(F.min("at").alias("first"))
     w = F.split("line", " +")
-    return rows.join(F.broadcast(first), rows["id"] > first["first"]).select((w[0].cast("long") - 1).alias("src"), (w[1].cast("long") - 1).alias("dst"))
+    return rows.join(F.broadcast(first), rows["at"] > first["first"]).select((w[0].cast("long") - 1).alias("src"), (w[1].cast("long") - 1).alias("dst"))
 
 
-def read_temporal(spark: SparkSession, path: str) -> DataFrame:
-    """pos, src, dst, ts in file order (gzip is read as it is); commas are spaces, # and % lines are skipped."""
-    rows = spark.read.text(path).select(F.trim(F.translate("value", ",\t", "  ")).alias("line"), F.monotonically_increasing_id().alias("id"))
-    rows = rows.filter("line <> '' and not line like '#%' and not line like '\\%%'")
+def read_temporal(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """pos, src, dst, ts in file order (gzip is read as it is); commas are spaces, # and % lines are skipped. strict: other than three whole numbers raise."""
     from ..plans.materialize import numbered
 
+    rows = _in_order(spark, path).select(F.trim(F.translate("line", ",", " ")).alias("line"), F.col("at.start").alias("start"), F.col("at.id").alias("id"))
+    rows = rows.filter("line <> '' and not line like '#%' and not line like '\\%%'")
     w = F.split("line", " +")
-    return numbered(rows, ["id"]).select("pos", w[0].cast("long").alias("src"), w[1].cast("long").alias("dst"), w[2].cast("long").alias("ts"))
+    src = w[0].cast("long")
+    if strict:
+        src = F.when((F.size(w) == 3) & F.regexp_like("line", F.lit("^[0-9 ]+$")), src).otherwise(F.raise_error(F.concat(F.lit("bad record: "), "line")).cast("long"))
+    return numbered(rows, ["start", "id"]).select("pos", src.alias("src"), w[1].cast("long").alias("dst"), w[2].cast("long").alias("ts"))
 
 
 def write_slice(records: DataFrame, path: str, **meta) -> None:
@@ -130,8 +216,8 @@ def read_update_graph(spark: SparkSession, path: str) -> tuple[int, DataFrame, D
     """
     from ..plans.materialize import numbered
 
-    text = spark.read.text(path).select(F.trim(F.translate("value", "\t\r", " ")).alias("line"), F.monotonically_increasing_id().alias("id"))
-    rows = numbered(text.filter("line <> '' and not line like '#%'"), ["id"]).select((F.col("pos") - 1).alias("pos"), F.split("line", " +").alias("w"), "line")
+    text = _in_order(spark, path).select("line", F.col("at.start").alias("start"), F.col("at.id").alias("id"))
+    rows = numbered(text.filter("line <> '' and not line like '#%'"), ["start", "id"]).select((F.col("pos") - 1).alias("pos"), F.split("line", " +").alias("w"), "line")
     head = rows.filter("pos = -1").first()
     if head is None or len(head["w"]) != 3:
         raise ValueError("the header must be: vertices static updates")

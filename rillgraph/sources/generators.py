@@ -82,3 +82,61 @@ def duplicate_heavy(spark: SparkSession, records: int) -> DataFrame:
     one = lambda dst, weight, diff: F.struct(dst.alias("dst"), weight.cast("long").alias("weight"), F.lit(diff).alias("diff"))
     four = F.array(one(keep, 11 + g.bitwiseAND(31), 1), one(keep, 1 + g.bitwiseAND(15), 2), one(keep + 1, F.lit(5), 1), one(keep + 1, F.lit(7), -1))
     return spark.range(records // 4).select((g % 128).alias("src"), F.inline(four))
+
+
+def _edges(spark: SparkSession, n: int) -> DataFrame:
+    if n < 0:
+        raise ValueError("the number of edges must not be negative")
+    return spark.range(n).withColumnRenamed("id", "i")
+
+
+def _beside(dst, src, span: int):
+    """dst, or the next place where it would be a loop."""
+    return F.when(dst == src, (dst + 1) % span).otherwise(dst)
+
+
+def spread(spark: SparkSession, vertices: int, edges: int, width: int = PARTITION) -> DataFrame:
+    """A sixteenth as many sources as edges, each reaching one destination after another of the first partition."""
+    sources, span = max(1, min(vertices, max(1, edges // 16))), max(1, min(vertices, width))
+    src = F.col("i") % sources
+    dst = F.floor(F.col("i") / sources) % span
+    return _edges(spark, edges).select(src.alias("src"), _beside(dst, src, span).alias("dst"), F.lit(1).alias("weight"))
+
+
+def hot_destination(spark: SparkSession, vertices: int, edges: int, source: int = 0) -> DataFrame:
+    return _edges(spark, edges).select(((F.col("i") + 1) % vertices).alias("src"), F.lit(source).cast("long").alias("dst"), F.lit(1).alias("weight"))
+
+
+def balanced_partitions(spark: SparkSession, vertices: int, edges: int, partitions: int, width: int = PARTITION, source: int = 0) -> DataFrame:
+    """Destinations go round the partitions; each source is the vertex after its destination."""
+    span = max(1, min(width, vertices))
+    dst = ((F.col("i") % partitions) * width + F.floor(F.col("i") / partitions) % span) % vertices
+    src = (dst + 1) % vertices
+    return _edges(spark, edges).select(F.when(src == dst, F.lit(source)).otherwise(src).cast("long").alias("src"), dst.alias("dst"), F.lit(1).alias("weight"))
+
+
+def dirty_boundary(spark: SparkSession, sources: int) -> DataFrame:
+    """A ring of sources, for the limits of the dirty frontier."""
+    if not 0 < sources <= 4097:
+        raise ValueError("1 to 4097 sources")
+    return _edges(spark, sources).select(F.col("i").alias("src"), ((F.col("i") + 1) % sources).alias("dst"), (1 + F.col("i").bitwiseAND(15)).alias("weight"), F.lit(1).alias("diff"))
+
+
+def task_capacity(spark: SparkSession, tasks: int = 65536, exceed: bool = False) -> DataFrame:
+    """As many (source, tile) pairs of one partition as range tasks are allowed, and one more if asked for."""
+    tiles = PARTITION // TILE
+    sources = tasks // tiles
+    src, tile = F.floor(F.col("i") / tiles), F.col("i") % tiles
+    made = _edges(spark, sources * tiles).select(src.alias("src"), (tile * TILE + 8192 + src).alias("dst"), F.lit(1).alias("weight"), F.lit(1).alias("diff"))
+    return made.unionByName(spark.range(1).select(F.lit(sources).cast("long").alias("src"), F.lit(4097).cast("long").alias("dst"), F.lit(1).alias("weight"), F.lit(1).alias("diff"))) if exceed else made
+
+
+def even_partitions(spark: SparkSession, edges: int, partitions: int = 16) -> DataFrame:
+    """Edges dealt over all partitions, with as many sources as there are edges up to half a partition."""
+    if not 0 < edges <= 131072:
+        raise ValueError("1 to 131072 edges")
+    span = max(1, min(edges, PARTITION // 2))
+    base = max(span + 16, PARTITION // 8)
+    base = PARTITION - span if base + span >= PARTITION else base
+    src = F.col("i") % span
+    return _edges(spark, edges).select(src.alias("src"), (F.col("i") % partitions * PARTITION + base + src).alias("dst"), (1 + F.col("i").bitwiseAND(15)).alias("weight"), F.lit(1).alias("diff"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators.updates import apply_batch
+from ..plans.materialize import remove
 
 
 class GraphStore:
@@ -44,6 +46,48 @@ class GraphStore:
 
 
 def fingerprint(keys: DataFrame, column: str) -> DataFrame:
-    """Order-free identity of a set of keys: count, sum and xor of 32-bit hashes."""
-    h = F.crc32(F.col(column).cast("string").cast("binary"))
-    return keys.select(column).distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
+    """Order-free identity of a set of keys: count, and sum and xor modulo 2^64 of two different 64-bit hashes."""
+    own = keys.select(F.col(column).cast("long").alias("k")).distinct()
+    total = F.sum(S.unsigned(S.dirty_sum_term(F.col("k"))).cast("decimal(38,0)")) % F.lit("18446744073709551616").cast("decimal(38,0)")
+    return own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(total, F.lit(0)).cast("decimal(20,0)").alias("hash_sum"), S.unsigned(F.coalesce(F.bit_xor(S.dirty_xor_term(F.col("k"))), F.lit(0).cast("long"))).alias("hash_xor"))
+
+
+class DirtyFrontier:
+    """Sources marked since the last acknowledged generation, kept in one folder.
+
+    mark() adds a batch's sources to the open generation (marking twice changes nothing). freeze() closes it and returns its
+    sources and identity; ack() clears it only for the identity it was frozen with, so a late or foreign answer is refused.
+    A source marked again after a freeze belongs to the next generation. Quiescent: nothing marked, nothing frozen.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.generation, self.frozen = spark, root, 0, None
+
+    def _at(self, generation: int) -> str:
+        return f"{self.root}/g{generation}"
+
+    def mark(self, sources: DataFrame, column: str = "src", batch: str | int = 0) -> None:
+        sources.select(F.col(column).cast("long").alias("src")).distinct().write.mode("overwrite").parquet(f"{self._at(self.generation)}/batch={batch}")
+
+    def _read(self, generation: int) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(generation))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], "src long")
+        return self.spark.read.schema("src long, batch string").parquet(self._at(generation)).select("src").distinct()
+
+    def freeze(self) -> tuple[DataFrame, tuple]:
+        if self.frozen is not None:
+            raise ValueError(f"generation {self.frozen[0]} is not acknowledged yet")
+        sources = self._read(self.generation)
+        self.frozen = (self.generation, *fingerprint(sources, "src").first())
+        self.generation += 1
+        return sources, self.frozen
+
+    def ack(self, identity: tuple) -> None:
+        if self.frozen is None or tuple(identity) != tuple(self.frozen):
+            raise ValueError("that is not the identity of the frozen generation")
+        remove(self.spark, self._at(self.frozen[0]))
+        self.frozen = None
+
+    def quiescent(self) -> bool:
+        return self.frozen is None and self._read(self.generation).isEmpty()

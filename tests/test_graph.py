@@ -3,13 +3,14 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from rillgraph.catalog_workloads import ORACLES, QUERIES
+from rillgraph import catalog_state, catalog_workloads  # noqa: F401
+from rillgraph.catalog import ORACLES, QUERIES
 from rillgraph.functions import scalars as S
 from rillgraph.operators import updates as U
-from rillgraph.plans import dynamic, engine
+from rillgraph.plans import dynamic, engine, oracles, ranks
 from rillgraph.plans.materialize import numbered
 from rillgraph.sources import files
-from rillgraph.streaming.batches import GraphStore, fingerprint
+from rillgraph.streaming.batches import DirtyFrontier, GraphStore, fingerprint
 from tests.conftest import SF, duck, same_rows
 
 
@@ -205,3 +206,108 @@ def test_stream_of_batches_applies_each_once(spark, tmp_path):
     assert rows_of(store.read()) == [(0, 1, 2), (1, 2, 8)]
     a = fingerprint(store.read(), "src").first()
     assert a == fingerprint(store.read().orderBy(F.desc("src")), "src").first() and a["n"] == 2
+
+
+def small_graph(seed, n=40, m=110):
+    import random
+
+    rng = random.Random(seed)
+    rows = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+    return n, sorted((a, b, rng.randrange(1, 20)) for a, b in rows if a != b)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_engine_agrees_with_independent_oracles(spark, seed):
+    """Breadth-first labels, Dijkstra's distances and plain ranks in two precisions."""
+    n, rows = small_graph(seed)
+    e, v = edges(spark, rows), spark.range(n)
+    assert values(engine.sssp(v, e, 0), n) == oracles.dijkstra(n, rows, 0)
+    assert oracles.relaxation_rounds(n, rows, 0) <= n
+    both = sorted({(a, b) for x, y, _ in rows for a, b in ((x, y), (y, x))})
+    assert values(engine.components(v, spark.createDataFrame(both, "src long, dst long")), n) == oracles.smallest_labels(n, both)
+    plain = [(a, b) for a, b, _ in rows]
+    double, single = oracles.pagerank(n, plain, epsilon=1e-4), oracles.pagerank(n, plain, epsilon=1e-4, single=True)
+    found = {x["id"]: x["rank"] for x in engine.pagerank(v, e, epsilon=1e-4).state.collect()}
+    assert oracles.compare(double, [found[k] for k in range(n)], single=False).within
+    both_precisions = oracles.compare(double, single)
+    assert both_precisions.within and not both_precisions.exact and both_precisions.l1 >= both_precisions.largest > 0
+    word = [2**32 - 1 if d is None else d for d in oracles.dijkstra(n, rows, 0)]
+    assert oracles.compare(oracles.dijkstra(n, rows, 0), word, infinity=2**32 - 1).exact
+
+
+def test_bits_of_floats(spark):
+    import struct
+
+    xs = [0.0, 1.0, -2.5, 3.14159, 1e-40, 1e30, -0.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x float").select("x", S.float_bits(F.col("x")).alias("b"), S.bits_float(S.float_bits(F.col("x"))).alias("y")).collect()
+    assert [r["b"] for r in rows] == [struct.unpack("<i", struct.pack("<f", x))[0] for x in xs] and [r["x"] for r in rows] == [r["y"] for r in rows]
+
+
+def test_json_sums_refuse_what_is_no_count(spark):
+    good = spark.createDataFrame([('{"a": {"b": [1, 2.5, {"c,}": 3}], "d": []}}',), ('{"a": 4}',)], "d string")
+    assert [r[0] for r in good.select(S.json_sum(F.col("d"), "a")).collect()] == [6.5, 4.0]
+    for bad in ('{"a": true}', '{"a": -1}', '{"b": 1}', '{"a": ["x"]}', None):
+        with pytest.raises(Exception, match="no numbers at a"):
+            spark.createDataFrame([(bad,)], "d string").select(S.json_sum(F.col("d"), "a")).collect()
+
+
+def test_buffers_are_placed_largest_first():
+    assert U.place_buffers({"a": 3, "b": 7, "c": 3, "d": 1}, [8, 8]) == {"b": 0, "a": 1, "c": 1, "d": 1}
+    with pytest.raises(ValueError, match="no channel"):
+        U.place_buffers({"a": 9}, [8, 8])
+
+
+def test_dirty_frontier_is_cleared_by_its_own_identity_only(spark, tmp_path):
+    frontier = DirtyFrontier(spark, str(tmp_path / "dirty"))
+    assert frontier.quiescent()
+    frontier.mark(edges(spark, [(3, 1, 1), (3, 2, 1), (5, 1, 1)]), batch=1)
+    frontier.mark(edges(spark, [(3, 1, 1), (3, 2, 1), (5, 1, 1)]), batch=1)  # the same batch again
+    sources, identity = frontier.freeze()
+    assert rows_of(sources) == [(3,), (5,)] and identity[:2] == (0, 2) and not frontier.quiescent()
+    frontier.mark(edges(spark, [(3, 9, 1)]), batch=2)  # belongs to the next generation
+    with pytest.raises(ValueError, match="identity"):
+        frontier.ack((0, 1, 0, 0))
+    frontier.ack(identity)
+    sources, identity = frontier.freeze()
+    assert rows_of(sources) == [(3,)] and identity[0] == 1
+    frontier.ack(identity)
+    assert frontier.quiescent()
+
+
+def test_tables_refuse_to_be_empty_and_keep_their_types(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a,b"), (2, None)], "k long, name string")
+    files.write_table(rows, str(tmp_path / "t"))
+    assert rows_of(files.read_table(spark, str(tmp_path / "t"), rows.schema).fillna("")) == [(1, "a,b"), (2, "")]
+    with pytest.raises(ValueError, match="empty"):
+        files.write_table(rows.limit(0), str(tmp_path / "u"))
+    with pytest.raises(Exception):
+        files.read_table(spark, str(tmp_path / "t"), "other long, name string").collect()
+
+
+def test_slice_summary_hashes_its_bytes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "s").mkdir()
+    text = b"# case=x\n# vertices=9\n0 1 2 1\n0 2 2 1\n4 1 7 -1\n"
+    (tmp_path / "s" / "a.slice").write_bytes(text)
+    r = files.slice_summary(spark, str(tmp_path / "s")).first()
+    assert tuple(r) == ("x", 9, 3, 2, len(text), hashlib.sha256(text).hexdigest())
+    (tmp_path / "s" / "b.slice").write_bytes(text)
+    with pytest.raises(ValueError, match="2 files"):
+        files.slice_summary(spark, str(tmp_path / "s"))
+    (tmp_path / "log").write_text("1 2 10\n3 x 5\n")
+    with pytest.raises(Exception, match="bad record"):
+        files.ingest_temporal(spark, str(tmp_path / "log")).collect()
+
+
+def test_medians_and_ranks_of_groups(spark):
+    import random
+    from statistics import median
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), float(rng.randrange(40))) for _ in range(700)] + [("d", 5.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    want = {k: median([x for j, x in rows if j == k]) for k in "abcd"}
+    assert {r["k"]: r["middle"] for r in ranks.medians(df, ["k"], "x").collect()} == want
+    got = ranks.average_ranks(df, ["k"], "x", "r").collect()
+    assert all(r["r"] == sum(x < r["x"] for k, x in rows if k == r["k"]) + (sum(x == r["x"] for k, x in rows if k == r["k"]) + 1) / 2 for r in got) and len(got) == len(rows)
