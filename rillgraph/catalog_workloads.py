@@ -273,18 +273,6 @@ def p8_case_class(spark, sf):
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", found.alias("class"))
 
 
-@query("""+ t AS (SELECT l_orderkey, count(*) AS requests, count(*) FILTER (l_linenumber = 1) AS first_, count(*) FILTER (l_linenumber > 1 AND l_returnflag <> 'N') AS repeated, count(*) FILTER (l_linestatus = 'O') AS reads, count(*) FILTER (l_linestatus = 'F') AS writes FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS run_id, list_filter([CASE WHEN NOT coalesce(o_orderstatus <> 'P', false) THEN 'status' END, CASE WHEN NOT coalesce(o_totalprice > 20000, false) THEN 'cycles' END, CASE WHEN NOT coalesce(first_ + repeated = requests, false) THEN 'traffic' END, CASE WHEN NOT coalesce(reads + writes = requests, false) THEN 'dram' END], lambda x: x IS NOT NULL) AS problems FROM orders LEFT JOIN t ON l_orderkey = o_orderkey""")
-def p10_admission(spark, sf):
-    c = F.col
-    t = read(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(
-        count("requests"), F.count_if(c("l_linenumber") == 1).alias("first_"), F.count_if((c("l_linenumber") > 1) & (c("l_returnflag") != "N")).alias("repeated"),
-        F.count_if(c("l_linestatus") == "O").alias("reads"), F.count_if(c("l_linestatus") == "F").alias("writes"),
-    )
-    problems = K.failed(status=c("o_orderstatus") != "P", cycles=c("o_totalprice") > 20000, traffic=c("first_") + c("repeated") == c("requests"), dram=c("reads") + c("writes") == c("requests"))
-    return read(spark, sf, "orders").join(t, "o_orderkey", "left").select(c("o_orderkey").alias("run_id"), problems.alias("problems"))
-
-
 @query("SELECT c_nationkey AS graph, count(*) AS vertices, sum(o.n)::BIGINT AS edges, count(*) <= 16777216 AND 8 * sum(o.n) + 4 * count(*) <= 10000 AS admitted FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey GROUP BY 1")
 def p12_vertex_admission(spark, sf):
     o = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count())
@@ -292,28 +280,14 @@ def p12_vertex_admission(spark, sf):
     return g.withColumn("admitted", (F.col("vertices") <= 1 << 24) & (8 * F.col("edges") + 4 * F.col("vertices") <= 10000))
 
 
-@query("""+ v AS (SELECT o_custkey AS run, left(o_orderpriority, 1) AS system, max(o_totalprice) AS cycles FROM orders GROUP BY ALL), ok AS (SELECT run FROM v GROUP BY run HAVING count(*) FILTER (system IN ('1', '2', '3')) = 3)
-SELECT b.run, b.system, round(a.cycles / b.cycles, 9) AS speedup FROM v a JOIN v b ON a.run = b.run AND a.system = '1' AND b.system <> '1' WHERE a.run IN (SELECT run FROM ok)""")
-def j7_j8_group_pairing(spark, sf):
-    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("run"), F.substring("o_orderpriority", 1, 1).alias("system"), F.col("o_totalprice").alias("cycles"))
-    return K.paired_with(rows, "run", "system", "cycles", "1", ["2", "3"]).withColumn("speedup", F.round("speedup", 9))
-
-
 @query("""+ k AS (SELECT o_custkey % 50 AS cohort, o_orderkey AS src FROM orders GROUP BY ALL) SELECT cohort, count(*) AS edges, min(weight) AS least FROM edges JOIN k USING (src) GROUP BY 1""", "edges")
 def j14_cohorts(spark, sf):
     k = read(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("cohort"), F.col("o_orderkey").alias("src")).distinct()
     return edges_of(spark, sf).join(k, "src").groupBy("cohort").agg(count("edges"), F.min("weight").alias("least"))
 
 
-@query("""SELECT feature, round(regr_r2(y, x), 6) AS r2 FROM (SELECT l_extendedprice AS y, unnest(['quantity', 'discount', 'tax', 'line']) AS feature, unnest([l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE, l_linenumber::DOUBLE]) AS x FROM lineitem) GROUP BY 1""")
-def c2_feature_ranking(spark, sf):
-    pair = lambda name, c: F.struct(F.lit(name).alias("feature"), F.col(c).cast("double").alias("x"))
-    rows = read(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("y"), F.inline(F.array(pair("quantity", "l_quantity"), pair("discount", "l_discount"), pair("tax", "l_tax"), pair("line", "l_linenumber"))))
-    return rows.groupBy("feature").agg(F.round(F.regr_r2("y", "x"), 6).alias("r2"))
-
-
 @query("""+ v AS (SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, count(*) AS steps, count(*) FILTER (value < before) AS falls, round(max(abs(value - before)), 9) AS linf FROM v WHERE before IS NOT NULL GROUP BY 1""")
-def a26_c11_state_deltas(spark, sf):
+def c11_state_deltas(spark, sf):
     before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
     v = read(spark, sf, "events").withColumn("before", before).filter("before is not null")
     return v.groupBy("user_id").agg(count("steps"), F.count_if(F.col("value") < F.col("before")).alias("falls"), F.round(F.max(F.abs(F.col("value") - F.col("before"))), 9).alias("linf"))

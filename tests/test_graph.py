@@ -3,7 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from rillgraph import catalog_state, catalog_workloads  # noqa: F401
+from rillgraph import catalog_reports, catalog_state, catalog_workloads  # noqa: F401
 from rillgraph.catalog import ORACLES, QUERIES
 from rillgraph.functions import scalars as S
 from rillgraph.operators import updates as U
