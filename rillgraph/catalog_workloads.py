@@ -332,7 +332,9 @@ def w23_capped_prefix(spark, sf):
     return selection.vertex_capped_prefix(updates_of(spark, sf).select(F.col("seq").alias("pos"), "src", "dst"), 500, 1000)[0]
 
 
-@query()
+@query("""+ n AS (SELECT count(*) AS n, greatest(1, count(*) // 64) AS stride FROM vertices), own AS (SELECT i, i * stride % n AS src, n FROM (SELECT unnest(range(64)) AS i), n),
+tries AS (SELECT src, k, (src + 17 + i * 131 + k) % n AS dst FROM own LEFT JOIN degrees USING (src), (SELECT unnest(range(2 + (SELECT max(degree) FROM degrees))) AS k) WHERE k <= coalesce(degree, 0) + 1),
+free AS (SELECT src, arg_min(dst, k) AS dst FROM tries WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM edges) GROUP BY src) SELECT src, dst, 1 + (131 * src + 17 * dst + 29 * 223) % 31 AS weight FROM free""", "vertices degrees")
 def d18_strided_inserts(spark, sf):
     return selection.strided_inserts(edges_of(spark, sf), size_of(spark, sf), 64)
 
