@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ORACLES, QUERIES, base_of, edges_of, hub, query, raw_edges, read, records_of, size_of, updates_of, vertices_of  # noqa: F401
+from .catalog import ORACLES, QUERIES, base_of, edges_of, hub, ordered_of, query, raw_edges, read, records_of, size_of, updates_of, vertices_of  # noqa: F401
 from .functions import scalars as S
 from .operators import updates as U
 from .plans import dynamic, engine
 from .plans.materialize import cut, shared_dir
-from .plans.ranks import positions
+from .plans.ranks import medians, positions
 from .sources import files
 from .sources import generators as G
 from .streaming.batches import fingerprint
@@ -135,6 +135,31 @@ def g3_fallback_sssp(spark, sf):
     return _distances(engine.sssp(vertices_of(spark, sf), cut(U.apply_batch(old, gone)), hub(old)).state)
 
 
+FAR = 60_000_000
+
+
+@query(f"""+ far AS (SELECT src, dst, weight * {FAR} AS weight FROM edges), r(v, x) USING KEY (v) AS (SELECT {HUB} AS v, 0::BIGINT AS x UNION (SELECT e.dst, min(r.x + e.weight) FROM r JOIN far e ON e.src = r.v LEFT JOIN recurring.r q ON q.v = e.dst WHERE r.x + e.weight < {S.WORD_INFINITY} AND (q.v IS NULL OR r.x + e.weight < q.x) GROUP BY e.dst))
+SELECT v AS vertex, coalesce(x, {S.WORD_INFINITY}) AS word FROM vertices LEFT JOIN r USING (v)""", "vertices base")
+def g15_distance_words(spark, sf):
+    """Distances in 31-bit words: long ones saturate and count as unreachable."""
+    e = cut(base_of(spark, sf))
+    found = engine.sssp(vertices_of(spark, sf), e.withColumn("weight", F.col("weight") * FAR), hub(e), capacity=S.WORD_INFINITY).state
+    return found.select(F.col("id").alias("vertex"), S.distance_word(F.col("value"), F.lit(False)).alias("word"))
+
+
+def fixed_sql(base: int, rounds: int) -> str:
+    share = lambda got: f"(({base} + ((108 * {got}) >> 7)) * CASE WHEN degree > 0 THEN 65536 // degree ELSE 0 END) >> 16"
+    ctes = [f"p0 AS (SELECT v AS id, coalesce(degree, 0) AS degree, {share('0')} AS value FROM vertices LEFT JOIN degrees ON src = v)".replace("degree > 0", "coalesce(degree, 0) > 0")]
+    for k in range(rounds):
+        ctes.append(f"p{k + 1} AS (SELECT id, degree, {share('coalesce(got, 0)')} AS value FROM p{k} LEFT JOIN (SELECT e.dst, sum(value)::BIGINT AS got FROM p{k} JOIN edges e ON e.src = id GROUP BY 1) ON dst = id)")
+    return "+ " + ", ".join(ctes) + f" SELECT id AS vertex, value FROM p{rounds}"
+
+
+@query(fixed_sql(100, 3), "vertices degrees")
+def g15_fixed_point_pagerank(spark, sf):
+    return engine.fixed_point_pagerank(vertices_of(spark, sf), cut(edges_of(spark, sf)), 100, 3).state.select(F.col("id").alias("vertex"), "value")
+
+
 ALL = "every AS (SELECT DISTINCT src, dst FROM (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem) WHERE src <> dst)"
 
 
@@ -193,6 +218,22 @@ def d17_compaction(spark, sf):
     return U.compacted(base_of(spark, sf).join(gone, ["src", "dst"], "left_anti"), 16)
 
 
+@query("""+ own AS (SELECT src, dst, arg_max(is_delete, seq) AS gone FROM updates GROUP BY ALL), every AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM own), p AS (SELECT e.src, e.dst, (row_number() OVER (PARTITION BY e.src ORDER BY e.dst) - 1) // 16 AS segment, NOT coalesce(gone, false) AS live FROM every e LEFT JOIN own o ON o.src = e.src AND o.dst = e.dst)
+SELECT src, segment, min(dst) AS head, coalesce(array_to_string(list(dst ORDER BY dst) FILTER (live), ','), '') AS keys FROM p GROUP BY ALL""", "base updates")
+def l12_final_segments(spark, sf):
+    found = U.reserved_segments(base_of(spark, sf), ordered_of(spark, sf))
+    return found.withColumn("keys", F.array_join("keys", ","))
+
+
+@query("+ t AS (SELECT dst // 64 AS tile, count(*) AS edges, count(DISTINCT src) AS sources, median(weight)::DOUBLE AS middle FROM edges GROUP BY 1) SELECT *, round(middle / (SELECT avg(middle) FROM t), 6) AS share FROM t", "edges")
+def c16_tile_medians(spark, sf):
+    """Per tile: its features and the median of its weights, and that against the mean of all tiles."""
+    e = edges_of(spark, sf).withColumn("tile", F.expr("dst div 64")).withColumn("weight", F.col("weight").cast("double"))
+    t = e.groupBy("tile").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources")).join(medians(e, ["tile"], "weight"), "tile")
+    mean = t.agg(F.avg("middle").alias("mean"))
+    return t.join(F.broadcast(mean)).select("tile", "edges", "sources", "middle", F.round(F.col("middle") / F.col("mean"), 6).alias("share"))
+
+
 @query("+ t AS (SELECT dst // 64 AS family, count(DISTINCT src) AS active, count(DISTINCT (src, dst // 8)) AS tasks, count(*) AS payload FROM edges GROUP BY 1) SELECT *, CASE WHEN active > 190 THEN 'dense: active' WHEN tasks > 200 THEN 'dense: tasks' WHEN payload > 210 THEN 'dense: payload' ELSE 'exact' END AS way FROM t", "edges")
 def l6_exact_or_dense(spark, sf):
     t = edges_of(spark, sf).groupBy(F.expr("dst div 64").alias("family")).agg(F.count_distinct("src").alias("active"), F.count_distinct("src", F.expr("dst div 8")).alias("tasks"), F.count(F.lit(1)).alias("payload"))

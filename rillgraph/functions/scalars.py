@@ -194,3 +194,17 @@ def float32_sum_tolerance(vertices: Column, tolerance: Column) -> Column:
 def apply_way(active: Column, tasks: Column, payload: Column, most_active: int = 16_384, most_tasks: int = 65_536, most_payload: int = 1_048_576) -> Column:
     """exact while active sources, range tasks and payload are within their budgets; else dense, and why."""
     return F.when(active > most_active, "dense: active").when(tasks > most_tasks, "dense: tasks").when(payload > most_payload, "dense: payload").otherwise("exact")
+
+
+# A distance word: bit 31 says that it is an update, the rest is the distance; this one means none.
+WORD_ACTIVE, WORD_INFINITY = 1 << 31, 0x7FFFFFFE
+
+
+def distance_word(distance: Column, active: Column) -> Column:
+    return F.least(F.coalesce(distance, F.lit(WORD_INFINITY)), F.lit(WORD_INFINITY)) + F.when(active, F.lit(WORD_ACTIVE)).otherwise(F.lit(0))
+
+
+def word_distance(word: Column) -> Column:
+    """Null for an infinite one."""
+    bare = word.bitwiseAND(WORD_ACTIVE - 1)
+    return F.when(bare < WORD_INFINITY, bare)

@@ -147,3 +147,16 @@ def place_buffers(sizes: dict[str, int], room: list[int]) -> dict[str, int]:
         left[at] -= sizes[name]
         out[name] = at
     return out
+
+
+def reserved_segments(edges: DataFrame, updates: DataFrame, width: int = 16) -> DataFrame:
+    """src, segment, head, keys: the live destinations, in order, of each segment after all updates.
+
+    Every key that the graph or an update ever holds has its place, `width` to a segment, so no insert can overflow one; a
+    segment's head is its first reserved key, live or not.
+    """
+    every = edges.select(*KEY).unionByName(updates.select(*KEY)).distinct()
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
+    placed = every.withColumn("segment", F.floor(place / width))
+    live = apply_batch(edges, updates).select(*KEY, F.lit(True).alias("live"))
+    return placed.join(live, KEY, "left").groupBy("src", "segment").agg(F.min("dst").alias("head"), F.array_sort(F.collect_list(F.when(F.col("live"), F.col("dst")))).alias("keys"))

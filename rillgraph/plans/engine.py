@@ -132,6 +132,26 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsil
     return Result(loop.end().select("id", "rank"), k, done or not n, [], loop.mapped)
 
 
+def _fixed_share(got, base: int):
+    """What a vertex passes on along each edge, in whole numbers: 108/128 damping, the degree's inverse in 16 bits. Raises beyond 31 bits."""
+    damped = got * 108
+    score = base + F.shiftright(damped, 7)
+    product = score * F.when(F.col("degree") > 0, F.floor(65536 / F.col("degree"))).otherwise(0)
+    fits = F.greatest(damped, score, product, F.col("degree")) < 1 << 31
+    return F.when(fits, F.shiftright(product, 16)).otherwise(F.raise_error(F.lit("beyond 31 bits")).cast("long"))
+
+
+def fixed_point_pagerank(vertices: DataFrame, edges: DataFrame, base: int, rounds: int) -> Result:
+    """id, degree, value after `rounds` rounds in whole numbers from what base alone gives; exact, so any order of sums agrees."""
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    start = vertices.join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    loop = _Loop(start.withColumn("value", _fixed_share(F.lit(0).cast("long"), base)), edges.select("src", "dst"), F.count(F.lit(1)).alias("n"))
+    for _ in range(rounds):
+        got = loop.messages(loop.state.rows.select(F.col("id").alias("src"), "value"), "value").groupBy(F.col("dst").alias("id")).agg(F.sum("value").alias("got"))
+        loop.replace(loop.state.rows.join(got, "id", "left").select("id", "degree", _fixed_share(F.coalesce("got", F.lit(0)), base).alias("value")))
+    return Result(loop.end(), rounds, False, [], loop.mapped)
+
+
 def signed_residual(ranks: DataFrame, edges: DataFrame, damping: float = 0.85) -> DataFrame:
     """Residual of old ranks on a changed graph: one application of the operator less the ranks, of either sign."""
     spread, owned = with_degree(edges), _with_sinks(ranks.select("id", "rank"), edges)
