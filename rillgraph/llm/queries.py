@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, language, license, ogg, packing, quality_fm, quality_rules, simhash
+from . import alignment, bpe, chat, divergence, html, language, license, ogg, packing, quality_fm, quality_rules, simhash, token_store
 from .common import table
 
 
@@ -64,11 +64,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(rows.unionByName(probe)))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_licenses, op3_near_duplicates, op4_packing, op5_quality_rules, op6_quality_score, op7_byte_bpe, op8_media, op9_language, op10_chat, pipeline)}
-ORACLES = {"op2_licenses": license.oracle(), "op10_chat": chat.oracle()}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_licenses, op3_near_duplicates, op4_packing, op5_quality_rules, op6_quality_score, op7_byte_bpe, op8_media, op9_language, op10_chat, op11_divergence, op12_token_store, op13_alignment, pipeline)}
+ORACLES = {"op2_licenses": license.oracle(), "op10_chat": chat.oracle(), "op11_divergence": divergence.oracle()}
