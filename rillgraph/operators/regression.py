@@ -79,3 +79,69 @@ def nonnegative_by_descent(rows: DataFrame, features: list[str], target: str, ro
         if most <= 1e-10 * max(1.0, found.max()):
             break
     return dict(zip(["fixed", *features], (found / scale).tolist()))
+
+
+def leave_one_out(rows: DataFrame, group: str, features: list[str], target: str, alpha: float = 0.0, weight: str | None = None) -> DataFrame:
+    """rows with `predicted`: by the ridge fit (on standardised features) of all other groups; null where these have too few rows.
+
+    One aggregate gives each group's sums of products about the overall means; all groups' less its own are the sums of its fit, so
+    no row is read once for each fit. Groups are solved in tasks, and a prediction is a column over coefficients joined by group.
+    Rows with a null feature, target or weight take no part in a fit; rows are weighted where `weight` is named.
+    """
+    n, w = len(features), F.col(weight).cast("double") if weight else F.lit(1.0)
+    names = [*features, target]
+    clean = rows.select(F.col(group).alias("g"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)), w.alias("w")).dropna(subset=[*(f"c{i}" for i in range(n + 1)), "w"])
+    middle = [x or 0.0 for x in clean.agg(*(F.sum(F.col("w") * F.col(f"c{i}")) / F.sum("w") for i in range(n + 1))).first()]
+    at = [F.col(f"c{i}") - middle[i] for i in range(n + 1)]
+    pairs = [(i, j) for i in range(n + 1) for j in range(i, n + 1)]
+    sums = clean.groupBy("g").agg(F.array(F.sum("w"), *(F.sum(F.col("w") * x) for x in at), *(F.sum(F.col("w") * at[i] * at[j]) for i, j in pairs)).alias("own"))
+    size = 1 + (n + 1) + len(pairs)
+    whole = sums.agg(F.array(*(F.sum(F.col("own")[k]) for k in range(size))).alias("whole"))
+    names_of = rows.select(F.col(group).alias("g")).distinct()
+    groups = names_of.join(sums.withColumnRenamed("g", "g_"), F.col("g").eqNullSafe(F.col("g_")), "left")
+
+    def solved(batches):
+        import pandas as pd
+
+        for frame in batches:
+            out = []
+            for own, whole in zip(frame["own"], frame["whole"]):
+                out.append(None if whole is None else _held_out_fit(np.array(whole) - (0.0 if own is None else np.array(own)), n, alpha, middle))
+            yield pd.DataFrame({"g": frame["g"], "coefficients": out})
+
+    kind = rows.schema[group].dataType.simpleString()
+    fits = groups.join(F.broadcast(whole)).select("g", "own", "whole").mapInPandas(solved, f"g {kind}, coefficients array<double>").withColumnRenamed("g", "g_")
+    found = rows.join(fits, rows[group].eqNullSafe(F.col("g_")), "left").drop("g_")
+    value = F.col("coefficients")[0]
+    for i, c in enumerate(features):
+        value = value + F.col("coefficients")[i + 1] * F.col(c).cast("double")
+    return found.withColumn("predicted", value)
+
+
+def _held_out_fit(sums: np.ndarray, n: int, alpha: float, middle: list[float]) -> list[float] | None:
+    """[intercept, coefficients] from weighted sums (weight, firsts, products) about `middle`; None with the weight of fewer than two rows or a singular system."""
+    weight, first, products = sums[0], sums[1 : n + 2], np.zeros((n + 1, n + 1))
+    if weight < 1.5:
+        return None
+    upper = np.triu_indices(n + 1)
+    products[upper] = products.T[upper] = sums[n + 2 :]
+    cov = products - np.outer(first, first) / weight
+    scale = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
+    scale[scale <= 1e-12 * np.sqrt(weight)] = 1.0
+    gram = cov[:-1, :-1] / np.outer(scale, scale) + alpha * np.eye(n)
+    if np.linalg.matrix_rank(gram) < n:
+        return None
+    beta = np.linalg.solve(gram, cov[:-1, -1] / scale) / scale
+    means = first / weight + np.array(middle)
+    return [float(means[-1] - beta @ means[:-1]), *beta.tolist()]
+
+
+def weighted_ridge(rows: DataFrame, features: list[str], target: str, weight: str, alpha: float = 1e-6) -> dict[str, float]:
+    """Intercept ("fixed") and coefficients of the ridge fit on standardised features, each row as often as its weight says; {} where none can be found."""
+    n, w = len(features), F.col("w")
+    own = rows.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*features, target])), F.col(weight).cast("double").alias("w")).dropna()
+    middle = [x or 0.0 for x in own.agg(*(F.sum(w * F.col(f"c{i}")) / F.sum(w) for i in range(n + 1))).first()]
+    at = [F.col(f"c{i}") - middle[i] for i in range(n + 1)]
+    sums = own.agg(F.sum(w), *(F.sum(w * x) for x in at), *(F.sum(w * at[i] * at[j]) for i in range(n + 1) for j in range(i, n + 1))).first()
+    fit = _held_out_fit(np.array([x or 0.0 for x in sums]), n, alpha, middle)
+    return dict(zip(["fixed", *features], fit)) if fit else {}

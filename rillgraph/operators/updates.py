@@ -45,6 +45,13 @@ def apply_batch(edges: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select(*KEY, weight.alias("weight")).filter("weight is not null")
 
 
+def refreshed_sources(edges: DataFrame, updates: DataFrame) -> DataFrame:
+    """src, before_, after_ (out-degrees) and edgeless of every source that the batch names, also where no edge of it is left or was."""
+    degree = lambda df, name: df.groupBy("src").agg(F.count(F.lit(1)).alias(name))
+    own = updates.select("src").distinct().join(degree(edges, "before_"), "src", "left").join(degree(apply_batch(edges, updates), "after_"), "src", "left")
+    return own.select("src", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("before_", "after_")), (F.coalesce("after_", F.lit(0)) == 0).alias("edgeless"))
+
+
 def coalesce_differential(records: DataFrame) -> DataFrame:
     """min(weight) over all records of an edge, sum(diff); nothing for a zero sum."""
     return records.groupBy(*KEY).agg(F.min("weight").alias("weight"), F.sum("diff").alias("diff")).filter("diff <> 0")
