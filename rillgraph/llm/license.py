@@ -162,24 +162,36 @@ def sentence_ids(text: Column) -> Column:
     return F.when(held, ids).otherwise(F.array().cast("array<int>"))
 
 
-def ordered_rules() -> list[tuple[str, str, str]]:
-    """(licence, pattern over marked identifiers, what a match leaves), the longest rules first."""
-    out = []
-    for name, places in sorted(MORE_RULES, key=lambda r: -len(r[1])):
-        each = ["<(?:" + "|".join(map(str, p if isinstance(p, tuple) else (p,))) + ")>" for p in places]
-        out.append((name, "(.*?)".join(each), "".join(f"${k}" for k in range(1, len(each)))))
-    return out
+def ordered_rules() -> list[tuple[str, list[str]]]:
+    """(licence, a pattern for each place of identifiers that fit there), the longest rules first."""
+    each = lambda places: ["|".join(map(str, p if isinstance(p, tuple) else (p,))) for p in places]
+    return [(name, each(places)) for name, places in sorted(MORE_RULES, key=lambda r: -len(r[1]))]
 
 
 def licenses(ids: Column) -> Column:
-    """Licences that the identifiers show, each once, in the order of MORE_RULES."""
-    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"), F.lit(r).alias("rest")) for n, p, r in ordered_rules()))
+    """Licences that the identifiers show, each once, in the order of MORE_RULES.
+
+    A rule takes the first identifier that fits its first place, then the first after it that fits the second, and so on, and begins anew behind
+    its last; what it takes, later rules don't see. It can begin up to the last place from which all its places still follow, which is found from
+    the end; first places behind that are marked apart, so every try that is made succeeds and time goes by the number of identifiers.
+    """
+    call, lit = F.call_function, F.lit
+    rules = F.array(*(
+        F.struct(
+            lit(name).alias("name"), F.array(*(lit(f"^(.*)<(?:{p})>") for p in reversed(places[1:])), lit(f"^(.*<(?:{places[0]})>)")).alias("ends"), lit(f"<({places[0]})>").alias("first"),
+            lit("(.*?)".join(f"<(?:{p})>" for p in places)).alias("pattern"), lit("".join(f"${k}" for k in range(1, len(places)))).alias("rest"),
+        ) for name, places in ordered_rules()
+    ))
     marks = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
     start = F.struct(marks.alias("marks"), F.array().cast("array<string>").alias("names"))
 
     def step(acc: Column, rule: Column) -> Column:
-        rest = F.struct(F.regexp_replace(acc["marks"], rule["pattern"], rule["rest"]).alias("marks"), F.array_append(acc["names"], rule["name"]).alias("names"))
-        return F.when(F.regexp_like(acc["marks"], rule["pattern"]), rest).otherwise(acc)
+        def taken(head: Column) -> Column:
+            tail = F.regexp_replace(F.substr(acc["marks"], F.length(head) + 1), rule["first"], F.lit("{$1}"))
+            rest = F.regexp_replace(F.regexp_replace(F.concat(head, tail), rule["pattern"], rule["rest"]), r"\{(\d+)\}", "<$1>")
+            return F.when(head == "", acc).otherwise(F.struct(rest.alias("marks"), F.array_append(acc["names"], rule["name"]).alias("names")))
+
+        return let(F.aggregate(rule["ends"], acc["marks"], lambda left, end: call("regexp_extract", left, end, lit(1))), taken)
 
     names = F.aggregate(rules, start, step)["names"]
     order = F.array(*map(F.lit, dict.fromkeys(n for n, _ in MORE_RULES)))

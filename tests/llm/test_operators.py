@@ -253,6 +253,47 @@ def test_licences_match_brute_force(spark):
         assert (r["sentence_ids"], r["licenses"], r["n_sentences"]) == (",".join(map(str, ids)), ",".join(names), len(ids))
 
 
+
+def taken_by_loop(ids: list[int]) -> str:
+    """Licences by one left-to-right walk a rule, longest rules first."""
+    left, names = list(ids), set()
+    for name, places in sorted(license.MORE_RULES, key=lambda r: -len(r[1])):
+        wanted, took, own = [set(p) if isinstance(p, tuple) else {p} for p in places], set(), []
+        for k, i in enumerate(left):
+            if i in wanted[len(own)]:
+                own.append(k)
+                if len(own) == len(wanted):
+                    took.update(own)
+                    names.add(name)
+                    own = []
+        left = [i for k, i in enumerate(left) if k not in took]
+    return ",".join(n for n in dict.fromkeys(n for n, _ in license.MORE_RULES) if n in names)
+
+
+def test_rules_match_a_walk_over_identifiers(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    often = [i for _, places in license.MORE_RULES if len(places) > 1 for p in places for i in (p if isinstance(p, tuple) else (p,))]
+    rows = [(k, [rnd.choice(often) if rnd.random() < 0.8 else rnd.randint(1, 70) for _ in range(rnd.choice([0, 1, 3, 8, 20, 60]))]) for k in range(300)]
+    got = {r["k"]: r["names"] for r in spark.createDataFrame(rows, "k int, ids array<int>").select("k", license.licenses(F.col("ids")).alias("names")).collect()}
+    assert got == {k: taken_by_loop(ids) for k, ids in rows}
+
+
+def test_repeated_partial_notices_cost_their_length(spark):
+    """100,000 identifiers of two of a rule's three sentences, and 1 MB of such text: no backtracking over them."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    ids = F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: (8 + i % 2).cast("int"))
+    text = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nUnless required by applicable law or agreed to in writing.\n' * 6000
+    began = time.time()
+    assert spark.range(1).select(license.licenses(ids).alias("names")).first()["names"] == ""
+    assert license.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licenses"] == ""
+    assert time.time() - began < 30
+
+
 # 3: SimHash
 
 
