@@ -10,8 +10,9 @@
 The parser reads each character about once: a quote opens a value only behind `=`, and nodes name their parent, so stray quotes
 and deep nesting cost no more than their length. An element that is not the article by its tag or by a word of its class or id is
 judged by what it holds: a form, or a word that a layout may carry too, is no noise where it holds most of the page's text
-(words of menus, adverts or comments: only with a heading `h1` in it as well), and a `header` with paragraphs or headings inside an article
-belongs to it.
+(words of menus, adverts or comments: only if the page's articles and h1 headings are in it, or none is anywhere), and a `header` with
+paragraphs or headings inside an article belongs to it. Names such as `has-sidebar` are no such words. Entries of one shape with a writer and a
+day each, beside the article, are comments without any word. A page whose whole text is noise by words alone gives its largest such part.
 
 Winners (one short row a host) are counted and measured: up to `BROADCAST_HOSTS` rows and `BROADCAST_BYTES` of paths they are
 broadcast; beyond, pages and winners are joined by host and salt, so a hot host is spread over `SALTS` tasks.
@@ -23,6 +24,7 @@ do, and a tag without its `>` ends with the page. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from html import unescape
@@ -40,14 +42,19 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noe
 DROPPED = set("script style noscript template svg math iframe object canvas video audio title head nav footer aside button select textarea input option label menu dialog".split())
 BLOCK = set("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt", "b", "br", "table", "ul", "ol", "tr", "tbody", "dl", "i", "em", "strong", "a", "span"}
-# Words of a class or id; those of layouts too are judged by the text that they hold.
+# Words of class and id names. Those of layouts too are judged by the text that they hold; after some words a name tells of a page's layout.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|footer|"
-    r"comments?|commentlist|disqus|respond|replies|reply|cookies?|consent|gdpr|newsletter|subscribe|related|recommend\w*|pagination|pager)(?=$|[\s_-])", re.I)
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|footer|comments?|commentlist|disqus|respond|replies|reply|"
+    r"remarks?|guestbook|cookies?|consent|gdpr|newsletter|subscribe|related|recommend\w*|pagination|pager")
 LAYOUT = re.compile(
-    r"(?:^|[\s_-])(?:banner|side|header|masthead|foot|notice|popup|modal|overlay|signup|login|share|sharing|social|widget|toolbar|skip|search|form|alert|"
-    r"disclaimer|copyright)(?=$|[\s_-])", re.I)
+    r"banner|side|header|masthead|foot|notice|popup|modal|overlay|signup|login|share|sharing|social|widget|toolbar|skip|search|form|alert|disclaimer|copyright")
+TELLS_LAYOUT = set("has with no not without non is free less hide hides hidden layout page template theme open opened closed active enabled disabled ready on off toggled collapsed expanded sticky fixed".split())
+#: What names the writer and the day of a comment.
+WRITER = set("author user username name avatar by byline nick nickname poster who".split())
+DAY = set("date time timestamp day when posted ago published".split())
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "toolbar", "alertdialog"}
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+PARTS = re.compile(r"[_-]+")
 OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:entry|post|article|story|content)[_-]header", re.I)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*)?")
@@ -57,14 +64,37 @@ DIGITS = re.compile(r"\d+")
 TEXT, NEVER, WORD, SOFT, HEADER = range(5)
 
 
+@functools.lru_cache(maxsize=65_536)
+def kind_of(names: str) -> int:
+    """TEXT, WORD or SOFT by the names in a class and id. A name counts by its parts (`main-nav`, `sidebarLeft`) unless one of them
+    tells of a layout: `has-sidebar`, `no-comments` and `ad-free` say what a page is like, not what an element holds."""
+    kind = TEXT
+    for name in CAMEL.sub("-", names).lower().split():
+        parts = PARTS.split(name)
+        if not TELLS_LAYOUT.intersection(parts):
+            if any(map(NOISE.fullmatch, parts)):
+                return WORD
+            if any(map(LAYOUT.fullmatch, parts)):
+                kind = SOFT
+    return kind
+
+
+@functools.lru_cache(maxsize=65_536)
+def signs_of(names: str) -> int:
+    """1 if a class names a writer, 2 if a day, 3 if both."""
+    parts = {p for name in CAMEL.sub("-", names).lower().split() for p in PARTS.split(name)}
+    return (not WRITER.isdisjoint(parts)) + 2 * (not DAY.isdisjoint(parts))
+
+
 class Node:
-    """An element. `path` numbers its generalised path within its page; `size` is the text in it outside links and scripts."""
+    """An element. `path` numbers its generalised path within its page; `size` is the text in it outside links and scripts; `heads`
+    counts articles and headings h1 in it, `signs` says whether it names a writer and a day."""
 
-    __slots__ = ("tag", "parent", "path", "items", "kind", "noise", "size", "h1", "paragraphs", "article")
+    __slots__ = ("tag", "parent", "path", "items", "kind", "noise", "size", "h1", "paragraphs", "article", "heads", "signs")
 
     def __init__(self, tag: str, parent: Node | None, path: int, kind: int):
         self.tag, self.parent, self.path, self.kind = tag, parent, path, kind
-        self.items, self.noise, self.size, self.h1, self.paragraphs, self.article = [], False, 0, False, False, None
+        self.items, self.noise, self.size, self.h1, self.paragraphs, self.article, self.heads, self.signs = [], False, 0, False, False, None, 0, 0
 
 
 class Page:
@@ -167,16 +197,15 @@ class Page:
 
     def _node(self, tag: str, parent: Node, given: dict[str, str]) -> Node:
         classes = unescape(given.get("class", ""))
-        words = (classes, given.get("id", ""))
-        kind = TEXT
+        kind, words = TEXT, kind_of(f"{classes} {given.get('id', '')}")
         if tag in DROPPED or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
             kind = NEVER
         elif tag == "header":
             kind = HEADER
         elif tag not in ("html", "body", "article", "main"):
-            if any(map(NOISE.search, words)):
+            if words == WORD:
                 kind = WORD
-            elif tag == "form" or given.get("role", "").lower() in {*NOISE_ROLES, "form"} or any(map(LAYOUT.search, words)):
+            elif tag == "form" or given.get("role", "").lower() in {*NOISE_ROLES, "form"} or words == SOFT:
                 kind = SOFT
         if kind == HEADER and OWN_HEADER.search(classes):
             kind = TEXT
@@ -185,6 +214,8 @@ class Page:
             path = self.known[parent.path, name] = len(self.paths)
             self.paths.append((parent.path, name))
         node = Node(tag, parent, path, kind)
+        node.heads = int(tag in ("h1", "main") or tag == "article" and words != WORD)
+        node.signs = signs_of(classes) | (2 if tag == "time" else 1 if given.get("rel") == "author" else 0)
         parent.items.append(node)
         self.nodes.append(node)
         return node
@@ -200,7 +231,10 @@ class Page:
                 up.size += node.size
                 up.h1 |= node.h1 or node.tag == "h1"
                 up.paragraphs |= node.paragraphs or node.tag in ("p", "h1", "h2", "h3")
+                up.heads += node.heads
+                up.signs |= node.signs
         most = self.root.size / 2
+        self._find_comments()
         for node in self.nodes:
             up = node.parent
             node.article = node if node.tag == "article" or node.tag == "main" and not (up and up.article) else up and up.article
@@ -208,7 +242,7 @@ class Page:
             if node.kind == NEVER:
                 node.noise = True
             elif node.kind == WORD:
-                node.noise = not (large and node.h1)
+                node.noise = not large or not self._holds_the_page(node)
             elif node.kind == SOFT:
                 node.noise = not large
             elif node.kind == HEADER:
@@ -216,6 +250,36 @@ class Page:
             node.noise |= up is not None and up.noise
 
 
+    def _holds_the_page(self, node: Node) -> bool:
+        """Of an element with most of the text: whether the article is in it, or at least none is beside it."""
+        beside = self.root.heads - node.heads
+        return node.heads > 0 or not beside and 4 * (self.root.size - node.size) < node.size
+
+    def _find_comments(self) -> None:
+        """Lists of reader comments without a known word: two or more children of one path and shape, each with a writer, a day and
+        text, beside what has the page's articles and headings."""
+        for node in self.nodes:
+            if node.kind != TEXT or node.signs != 3 or node.heads or not self.root.heads:
+                continue
+            own = [n for n in node.items if isinstance(n, Node)]
+            entries = [n for n in own if n.signs == 3 and n.size and n.tag not in ("p", "tr", "td")]
+            if len(entries) > 1 and len({n.path for n in entries}) == 1 and len({tuple(c.path for c in n.items if isinstance(c, Node) and c.tag != "p") for n in entries}) == 1 and len(own) - len(entries) <= 2:
+                node.kind = WORD
+
+    def rescued(self) -> Node | None:
+        """Where all text lies in noise: the largest element that is noise by a word alone and holds paragraphs or much text; its
+        words, and those of what it lies in, no longer count."""
+        found = [n for n in self.nodes if n.kind in (WORD, SOFT, HEADER) and n.size and (n.paragraphs or n.size >= 200)]
+        best = max(found, key=lambda n: n.size, default=None)
+        if best:
+            best.noise, inside = False, {id(best)}
+            for n in self.nodes:
+                if id(n.parent) in inside:
+                    inside.add(id(n))
+                    n.noise = n.parent.noise or n.kind in (NEVER, WORD) or n.kind in (SOFT, HEADER) and 2 * n.size <= best.size
+        return best
+
+
 def text_of(node: Node) -> str:
     """References decoded, white space inside a block one space, blocks joined by one space."""
     blocks: list[list[str]] = [[]]
@@ -300,7 +364,7 @@ def extract(html: str | None, path: str | None) -> str:
     for found in (at_path(page, path), *(at_path(page, p) for p, _ in ranked(page, 1))):
         if text := " ".join(t for n in raised(found) if (t := text_of(n))):
             return text
-    return text_of(page.root)
+    return text_of(page.root) or ((best := page.rescued()) and text_of(best)) or ""
 
 
 def _votes():
