@@ -315,7 +315,7 @@ def s1_s3_s12_slice(spark, sf):
 def s4_slice_summary(spark, sf):
     at = _file(spark)
     files.write_slice(records_of(spark, sf).select("src", "dst", F.col("weight").cast("int"), "diff"), at, case="records", vertices=size_of(spark, sf))
-    return files.slice_summary(spark, at).select("records", "unique_sources", "vertices")
+    return files.slice_summary(spark, at, whole=False).select("records", "unique_sources", "vertices")
 
 
 @query("SELECT src, dst FROM raw", "raw")
@@ -323,7 +323,7 @@ def s5_matrix_market(spark, sf):
     at, r = _file(spark), raw_edges(spark, sf)
     head = spark.sql("SELECT * FROM VALUES (0, '%%MatrixMarket matrix'), (1, '% a comment'), (2, '9 9 9') AS t(k, value)")
     body = r.select(F.lit(3).alias("k"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1).alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(at)
+    files.write_ordered(head.unionByName(body), ["k", "value"], at)
     return files.read_matrix_market(spark, at)
 
 
@@ -332,7 +332,7 @@ def s6_s7_temporal_gzip(spark, sf):
     """A gzip log of src,dst,ts lines keeps its order; commas are spaces."""
     at = _file(spark)
     e = read(spark, sf, "events").select("ts", "event_id", F.concat_ws(",", "user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000")).alias("value"))
-    e.coalesce(1).sortWithinPartitions("ts", "event_id").select("value").write.option("compression", "gzip").text(at)
+    files.write_ordered(e, ["ts", "event_id"], at, "gzip")
     return files.read_temporal(spark, at)
 
 
@@ -341,7 +341,7 @@ def s17_temporal_ingest(spark, sf):
     """The log in the order of event ids, so its times are out of order here and there."""
     at = _file(spark)
     e = read(spark, sf, "events").select("event_id", F.concat_ws(" ", "user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000")).alias("value"))
-    e.coalesce(1).sortWithinPartitions("event_id").select("value").write.option("compression", "gzip").text(at)
+    files.write_ordered(e, ["event_id"], at, "gzip")
     return files.ingest_summary(files.ingest_temporal(spark, at))
 
 
@@ -352,7 +352,7 @@ def s8_update_graph(spark, sf):
     n = spark.sql(f"SELECT 0 AS k, -1L AS seq, '{size_of(spark, sf)} {e.count()} {u.count()}' AS value")
     lines = n.unionByName(e.select(F.lit(1).alias("k"), F.lit(0).cast("long").alias("seq"), F.concat_ws(" ", "src", "dst", "weight").alias("value")))
     lines = lines.unionByName(u.select(F.lit(2).alias("k"), "seq", F.concat_ws(" ", "src", "dst", "weight", F.when(F.col("is_delete"), 0).otherwise(1)).alias("value")))
-    lines.coalesce(1).sortWithinPartitions("k", "seq").select("value").write.text(at)
+    files.write_ordered(lines, ["k", "seq", "value"], at)
     _, static, updates = files.read_update_graph(spark, at)
     total = lambda df, name: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum("src").alias("sources"), F.sum(F.col("dst") * F.col("weight")).alias("weights"), F.count_if(F.col("diff") < 0).alias("deletes"))
     return total(static, "static").unionByName(total(updates, "updates"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Names the files of an ordered text in their order; Spark's readers pass over it.
+MANIFEST = "_order.json"
+DATA_LINE = "trim(translate(line, ',', ' ')) <> '' and not trim(translate(line, ',', ' ')) rlike '^[#%]'"
 NUMBER = r"^[+-]?(0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+|\d+)$"
 
 
@@ -25,41 +31,102 @@ def metadata(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["k"]: r["v"] for r in rows.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.min("at").alias("at")).orderBy("at").collect()}
 
 
-def _in_order(spark: SparkSession, path: str) -> DataFrame:
-    """line, and `at` that orders the lines of one file: where its split begins, then the place in the split. More files than one raise."""
-    rows = spark.read.text(path).select(F.trim(F.translate("value", "\t\r", " ")).alias("line"), "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
-    one = rows.agg(F.count_distinct("file_path").alias("n")).first()["n"]
-    if one > 1:
-        raise ValueError(f"{path}: {one} files have no order among them")
-    return rows.select("line", F.struct("start", "id").alias("at"))
+def write_ordered(lines: DataFrame, order: list, path: str, compression: str = "none") -> None:
+    """lines(value, ...) as text in the order of these columns: as many part files as the sort has ranges, and a manifest of their order and lengths."""
+    lines.orderBy(*order).select("value").write.option("compression", compression).text(path)
+    spark = lines.sparkSession
+    # Spark numbers the files of a sorted write by their range; an empty range may have none.
+    found = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("lines")).orderBy("file").collect()
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(json.dumps([{"file": r["file"], "lines": r["lines"]} for r in found]).encode()))
+    out.close()
+
+
+def _manifest(spark: SparkSession, path: str) -> list[dict] | None:
+    """Files and their numbers of lines in order (a row a file); None without a manifest."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    held = jvm.java.io.ByteArrayOutputStream()
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(at), held, 1 << 16, True)
+    return json.loads(held.toString("UTF-8"))
 
 
-def slice_summary(spark: SparkSession, path: str) -> DataFrame:
-    """case, vertices, records, unique_sources, size_bytes, sha256 of a four-field slice of one file; its bytes are streamed through the hash.
+def _in_order(spark: SparkSession, path: str, keep: str = "true") -> DataFrame:
+    """line, and `at` that orders the lines: the file's place in the manifest, where its split begins, the place in the split.
 
-    Raises without a positive `vertices`, and for a line of other than four fields.
+    Several files without a manifest raise, and so does a file that a manifest names and that is not there, or the other way round.
+    Only lines for which `keep` holds count, so places in a split have no gaps.
+    """
+    rows = spark.read.text(path).select(F.trim(F.translate("value", "\t\r", " ")).alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")).filter(keep)
+    files = [r["file"] for r in spark.read.text(path).select(F.col("_metadata.file_name").alias("file")).distinct().collect()]
+    known = _manifest(spark, path) if len(files) > 1 else None
+    if known is None and len(files) > 1:
+        raise ValueError(f"{path}: {len(files)} files have no order among them")
+    names = files if known is None else [r["file"] for r in known]
+    if sorted(names) != sorted(files):  # a file without lines is in neither
+        raise ValueError(f"{path}: the files are not those of the manifest")
+    places = spark.createDataFrame(list(zip(names, range(len(names)))), "file string, place int")
+    rows = rows.withColumn("id", F.monotonically_increasing_id()).join(F.broadcast(places), "file")  # a row a file
+    return rows.select("line", F.struct("place", "start", "id").alias("at"))
+
+
+def numbered_lines(spark: SparkSession, path: str, keep: str = "true") -> DataFrame:
+    """pos, line of the kept lines in their order. Splits are counted (a row a split) and their counts summed up; no line is sorted."""
+    rows = _in_order(spark, path, keep).select("line", "at.*")
+    before = Window.orderBy("place", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("place", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    splits = splits.select("place", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(splits, ["place", "start"]).select((F.col("shift") + F.col("id")).alias("pos"), "line")
+
+
+def tree_sha256(lines: DataFrame, block: int = 4096) -> str:
+    """One hash for lines(pos, line) of any number: blocks of neighbours are hashed, then blocks of their hashes, until one is left."""
+    level = lines.select("pos", F.col("line").alias("h"))
+    while True:
+        level = level.groupBy(F.floor(F.col("pos") / block).alias("pos")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+        top = level.agg(F.max("pos").alias("most"), F.max("h").alias("h")).first()
+        if not top["most"]:
+            return top["h"] or hashlib.sha256(b"").hexdigest()
+
+
+def slice_summary(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """case, vertices, records, unique_sources, size_bytes, sha256 of a four-field slice.
+
+    whole: the hash is that of all bytes, which go through one stream, file by file in their order; else it is `tree_sha256` of
+    the lines, made in tasks. Raises without a positive `vertices`, and for a line of other than four fields.
     """
     known = metadata(spark, path)
     if not known.get("vertices", "").isdigit() or int(known["vertices"]) <= 0:
         raise ValueError(f"{path}: missing positive vertices")
     r = read_slice(spark, path, strict=True).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("src").alias("unique_sources")).first()
-    digest, size = _sha256(spark, path)
+    if whole:
+        digest, size = _sha256(spark, path)
+    else:
+        size = spark.read.text(path).agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("n")).first()["n"]
+        digest = tree_sha256(numbered_lines(spark, path))
     row = (known.get("case", path.rstrip("/").rpartition("/")[2].partition(".")[0]), int(known["vertices"]), r["records"], r["unique_sources"], size, digest)
     return spark.createDataFrame([row], "case string, vertices long, records long, unique_sources long, size_bytes long, sha256 string")
 
 
 def _sha256(spark: SparkSession, path: str) -> tuple[str, int]:
-    """Hash and size of the one file at path, read by the JVM in blocks of 1 MB through any file system."""
+    """Hash and size of the file at path, or of its files in the manifest's order, read by the JVM in blocks of 1 MB through any file system."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    inside = [s for s in fs.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-    if len(inside) != 1:
+    inside = {s.getPath().getName(): s for s in fs.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", "."))}
+    known = _manifest(spark, path)
+    if known is None and len(inside) != 1:
         raise ValueError(f"{path}: {len(inside)} files instead of one")
-    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
-    stream = jvm.java.security.DigestInputStream(fs.open(inside[0].getPath()), digest)
-    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 20, True)
-    return jvm.java.util.HexFormat.of().formatHex(digest.digest()), inside[0].getLen()
+    digest, size = jvm.java.security.MessageDigest.getInstance("SHA-256"), 0
+    for name in inside if known is None else [r["file"] for r in known]:
+        stream = jvm.java.security.DigestInputStream(fs.open(inside[name].getPath()), digest)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 20, True)
+        size += inside[name].getLen()
+    return jvm.java.util.HexFormat.of().formatHex(digest.digest()), size
 
 
 def write_table(rows: DataFrame, path: str) -> None:
@@ -122,34 +189,28 @@ def read_slice(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """src, dst from 0 of a 1-based coordinate file; the size line is the first one without % or #."""
-    rows = _in_order(spark, path).filter("line <> '' and not line like '\\%%' and not line like '#%'")
-    first = rows.agg(F.min("at").alias("first"))
+    rows = numbered_lines(spark, path, DATA_LINE)
     w = F.split("line", " +")
-    return rows.join(F.broadcast(first), rows["at"] > first["first"]).select((w[0].cast("long") - 1).alias("src"), (w[1].cast("long") - 1).alias("dst"))
+    return rows.filter("pos > 0").select((w[0].cast("long") - 1).alias("src"), (w[1].cast("long") - 1).alias("dst"))
 
 
 def read_temporal(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """pos, src, dst, ts in file order (gzip is read as it is); commas are spaces, # and % lines are skipped. strict: other than three whole numbers raise."""
-    from ..plans.materialize import numbered
-
-    rows = _in_order(spark, path).select(F.trim(F.translate("line", ",", " ")).alias("line"), F.col("at.start").alias("start"), F.col("at.id").alias("id"))
-    rows = rows.filter("line <> '' and not line like '#%' and not line like '\\%%'")
+    rows = numbered_lines(spark, path, DATA_LINE).select("pos", F.trim(F.translate("line", ",", " ")).alias("line"))
     w = F.split("line", " +")
     src = w[0].cast("long")
     if strict:
         src = F.when((F.size(w) == 3) & F.regexp_like("line", F.lit("^[0-9 ]+$")), src).otherwise(F.raise_error(F.concat(F.lit("bad record: "), "line")).cast("long"))
-    return numbered(rows, ["start", "id"]).select("pos", src.alias("src"), w[1].cast("long").alias("dst"), w[2].cast("long").alias("ts"))
+    return rows.select("pos", src.alias("src"), w[1].cast("long").alias("dst"), w[2].cast("long").alias("ts"))
 
 
 def write_slice(records: DataFrame, path: str, **meta) -> None:
-    """One file: metadata, then records by (src, dst, deletes first, weight)."""
-    head = records.sparkSession.createDataFrame([(f"# {k}={v}", k_) for k_, (k, v) in enumerate(meta.items())], "value string, k long") if meta else None
-    line = F.concat_ws(" ", "src", "dst", "weight", "diff")
-    body = records.select(line.alias("value"), F.lit(1 << 40).alias("k"), "src", "dst", "diff", "weight").orderBy("src", "dst", F.col("diff") > 0, "weight")
-    own = body.select("value", "k", "src", "dst", (F.col("diff") > 0).alias("late"), "weight")
-    if head is not None:
+    """Metadata, then records by (src, dst, deletes first, weight): ranges of records in part files, in the order of a manifest."""
+    own = records.select(F.concat_ws(" ", "src", "dst", "weight", "diff").alias("value"), F.lit(1 << 40).alias("k"), "src", "dst", (F.col("diff") > 0).alias("late"), "weight")
+    if meta:
+        head = records.sparkSession.createDataFrame([(f"# {k}={v}", k_) for k_, (k, v) in enumerate(meta.items())], "value string, k long")
         own = head.select("value", "k", F.lit(-1).alias("src"), F.lit(-1).alias("dst"), F.lit(False).alias("late"), F.lit(-1).alias("weight")).unionByName(own)
-    own.orderBy("k", "src", "dst", "late", "weight").coalesce(1).select("value").write.mode("overwrite").text(path)
+    write_ordered(own, ["k", "src", "dst", "late", "weight"], path)
 
 
 def chain(spark: SparkSession, n: int) -> DataFrame:
@@ -214,10 +275,8 @@ def read_update_graph(spark: SparkSession, path: str) -> tuple[int, DataFrame, D
     A static line is `src dst [weight]`, an update `src dst [weight] operation` (0 deletes, 1 inserts). A bad line or
     another number of lines than the header says raises.
     """
-    from ..plans.materialize import numbered
-
-    text = _in_order(spark, path).select("line", F.col("at.start").alias("start"), F.col("at.id").alias("id"))
-    rows = numbered(text.filter("line <> '' and not line like '#%'"), ["start", "id"]).select((F.col("pos") - 1).alias("pos"), F.split("line", " +").alias("w"), "line")
+    lines = numbered_lines(spark, path, "line <> '' and not line like '#%'")
+    rows = lines.select((F.col("pos") - 1).alias("pos"), F.split("line", " +").alias("w"), "line")
     head = rows.filter("pos = -1").first()
     if head is None or len(head["w"]) != 3:
         raise ValueError("the header must be: vertices static updates")
