@@ -5,6 +5,7 @@ Spans are events: they begin at the event's second and last 60 seconds to a day.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import SQL_PARTS, base_of, edges_of, ordered_of, pagerank_sql, query, read, records_of, spans_of, vertices_of
@@ -12,6 +13,7 @@ from .catalog_reports import systems_of
 from .operators import intervals, regression, vectors
 from .operators import updates as U
 from .plans import engine
+from .plans.components import components
 from .plans.materialize import cut
 
 SQL_PARTS["pieces"] = "pieces AS (SELECT user_id, t, nxt FROM (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM (SELECT user_id, start_ AS t FROM spans UNION SELECT user_id, end_ FROM spans)) WHERE nxt IS NOT NULL)"
@@ -173,3 +175,23 @@ touched AS (SELECT DISTINCT src FROM updates) SELECT t.src, coalesce(b.n, 0) AS
 def d14_refreshed_sources(spark, sf):
     """Every source that the batch touches, with its degree before and after; sources left without edges stay in the list."""
     return U.refreshed_sources(cut(base_of(spark, sf)), cut(ordered_of(spark, sf)))
+
+
+# G9, A23 over a graph that falls apart: edges of weight up to three
+
+SQL_PARTS["cheap"] = "cheap AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges WHERE weight <= 3 UNION ALL SELECT dst, src FROM edges WHERE weight <= 3))"
+CHEAP = """r(v, l) USING KEY (v) AS (SELECT src AS v, src AS l FROM (SELECT DISTINCT src FROM cheap) UNION (SELECT u.dst, min(r.l) FROM r JOIN cheap u ON u.src = r.v JOIN recurring.r q ON q.v = u.dst WHERE r.l < q.l GROUP BY u.dst))"""
+
+
+@query(f"+ {CHEAP} SELECT v AS vertex, l AS label FROM r", "edges cheap")
+def g9_sparse_components(spark, sf):
+    """Components by hooking and jumping where there are many of them."""
+    labels, _ = components(edges_of(spark, sf).filter("weight <= 3"))
+    return labels.select(F.col("id").alias("vertex"), "label")
+
+
+@query(f"+ {CHEAP} SELECT l AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l) AS place FROM r GROUP BY l ORDER BY place LIMIT 20", "edges cheap")
+def a23_t7_sparse_components(spark, sf):
+    """The twenty largest of them, ties by label."""
+    top = g9_sparse_components(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(20)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))  # twenty rows

@@ -12,6 +12,7 @@ from rillgraph import catalog_joins
 from rillgraph.catalog import ORACLES, QUERIES
 from rillgraph.operators import intervals, regression, updates, vectors
 from rillgraph.plans import prefixes
+from rillgraph.plans.components import components
 from tests.conftest import SF, duck, same_rows
 
 NAMES = [n for n in QUERIES if QUERIES[n].__module__ == catalog_joins.__name__]
@@ -153,6 +154,33 @@ def test_newest_admitted_rows_replace_older_ones(spark):
     }
 
 
+def test_components_take_few_rounds(spark):
+    """A path of 3,000 vertices in shuffled order, a star, pairs, a self loop and repeated edges, against a union-find."""
+    rnd = random.Random(8)
+    names = list(range(3000))
+    rnd.shuffle(names)
+    rows = list(zip(names, names[1:])) + [(5000, 5000 + k) for k in range(1, 200)] + [(9001, 9000), (9000, 9001), (9500, 9500), (None, 3), (7000, 6999)]
+    top: dict[int, int] = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in rows:
+        if a is not None:
+            x, y = sorted((root(a), root(b)))
+            top[y] = x
+    labels, rounds = components(spark.createDataFrame(rows, "src long, dst long"))
+    assert {r["id"]: r["label"] for r in labels.collect()} == {v: root(v) for v in list(top)} and rounds <= 13
+    assert components(spark.createDataFrame([], "src long, dst long"))[0].collect() == []
+
+
+def test_a_ledger_that_lost_cycles_is_not_closed(spark):
+    rows = QUERIES["a25_c12_energy_ledger"](spark, SF).groupBy("closed").count().collect()
+    assert {r["closed"] for r in rows} == {True, False}
+
+
 def test_sources_without_edges_stay_in_a_refresh(spark):
     edges = spark.createDataFrame([(1, 2, 5), (1, 3, 5), (4, 1, 5), (9, 1, 5)], "src long, dst long, weight long")
     batch = spark.createDataFrame([(0, 4, 1, 0, True), (1, 1, 2, 0, True), (2, 7, 8, 3, False), (3, 6, 6, 0, True)], "seq long, src long, dst long, weight long, is_delete boolean")
