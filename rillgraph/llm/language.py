@@ -31,6 +31,7 @@ SAMPLE, PASSAGE, PLACES, ROUNDS, KNOWN = 100, 600, 1 << 15, 18, 100_000
 PIECE, PIECES = (3, 40), 12
 # The share that a kept document needs, and the number of words at which half of it is asked.
 LEAST, SHORT = 0.5, 10
+FIT_CELLS = 1 << 20  # words times languages of a batch of the fit
 SLICE = 1_000_000  # characters labelled at once, or one longer text
 BLOCK = 96  # words of a chain that step together; longer chains are cut, and joined by the products of their blocks
 LETTERS = regex.compile(r"\p{L}+")
@@ -104,17 +105,24 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) ->
         backward[at] = back / back.sum(axis=1, keepdims=True)
     gamma = forward * backward
     gamma /= gamma.sum(axis=1, keepdims=True)
-    inner = np.ones(len(p), bool)
-    inner[np.cumsum(lengths) - 1] = False
-    left = np.flatnonzero(inner)
+    left = inside(lengths)
     pair = np.zeros_like(a)
     for at in range(0, len(left), 65536):
+        # A pair's share is forward * move * behind over its own sum; summed over pairs it is one product of two matrices.
         i = left[at : at + 65536]
-        each = forward[i][:, :, None] * a[None] * (p[i + 1] * backward[i + 1])[:, None, :]
-        pair += (each / each.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        behind = p[i + 1] * backward[i + 1]
+        behind /= ((forward[i] @ a) * behind).sum(axis=1, keepdims=True)
+        pair += a * (forward[i].T @ behind)
     return gamma, pair, total
 
 
+def inside(lengths: np.ndarray) -> np.ndarray:
+    """Places of all words of chains laid end to end but the last of each."""
+    inner = np.ones(int(lengths.sum()), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    return np.flatnonzero(inner)
+
+
 class Field:
     """The learned model; `words` remembers emission scores of at most KNOWN words."""
 
@@ -179,36 +187,49 @@ class Field:
         return score * (n + SHORT) >= least * n
 
     def fit(self, sample: list[tuple[str, str]]) -> Field:
-        """Learn from (passage, language) pairs and from chains spliced of them."""
-        passages = [(words_of(t), self.languages.index(y)) for t, y in sample]
-        chains = [([w], [np.full(len(w), y)]) for w, y in passages if w]
-        if not chains:
-            return self
-        chains += spliced([p for p in passages if p[0]])
+        """Learn from (passage, language) pairs and from chains spliced of them.
+
+        Words are numbers from the start, and a round goes through the chains in batches of about FIT_CELLS words times languages, whose
+        gradients are summed; so memory grows with the passages and with places times languages, never with words times languages.
+        """
         kinds: dict[str, int] = {}
-        ids = np.array([kinds.setdefault(w, len(kinds)) for pieces, _ in chains for c in pieces for w in c])
+        number = {y: k for k, y in enumerate(self.languages)}
+        passages = [(np.array([kinds.setdefault(w, len(kinds)) for w in words_of(t)], np.int32), number[y]) for t, y in sample]
+        passages = [(w, y) for w, y in passages if len(w)]
+        if not passages:
+            return self
+        chains = [([w], [np.full(len(w), y)]) for w, y in passages] + spliced(passages)
+        ids = np.concatenate([c for pieces, _ in chains for c in pieces])
+        gold = np.concatenate([g for _, golds in chains for g in golds]).astype(np.int32)
+        lengths = np.array([sum(map(len, pieces)) for pieces, _ in chains])
         often = np.bincount(ids)
         self.lexicon = frozenset(w for w, k in kinds.items() if often[k] >= 10)  # pieces repeat words of passages
-        lengths = np.array([sum(map(len, pieces)) for pieces, _ in chains])
-        gold = np.concatenate([g for _, golds in chains for g in golds])
-        flat, begins = features(list(kinds), self.lexicon)
-        of = np.repeat(np.arange(len(kinds)), np.diff(np.append(begins, len(flat))))
-        m = len(self.languages)
-        truth = np.zeros((len(ids), m))
-        truth[np.arange(len(ids)), gold] = 1
-        inner = np.ones(len(gold), bool)
-        inner[np.cumsum(lengths) - 1] = False
-        left = np.flatnonzero(inner)
-        pairs = np.bincount(gold[left] * m + gold[left + 1], minlength=m * m).reshape(m, m).astype(float)
+        names, parts = list(kinds), []
+        for at in range(0, len(names), 16384):
+            parts.append(features(names[at : at + 16384], self.lexicon))
+        flat = np.concatenate([f for f, _ in parts])
+        counts = np.concatenate([np.diff(np.append(b, len(f))) for f, b in parts])
+        begins, m = np.cumsum(counts) - counts, len(self.languages)
+        left = inside(lengths)
+        pairs = np.bincount(gold[left].astype(np.int64) * m + gold[left + 1], minlength=m * m).reshape(m, m).astype(float)
+        batches = [(ids[x:y], gold[x:y], lengths[i:j]) for x, y, i, j in _batches(lengths, max(1, FIT_CELLS // m))]
+        del chains, passages, sample
         theta = [np.zeros((PLACES, m)), np.zeros((m, m))]
         first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
         for step in range(1, ROUNDS + 1):
-            emit = np.add.reduceat(theta[0][flat], begins, axis=0)[ids]
-            gamma, pair, _ = forward_backward(emit, lengths, theta[1])
-            miss = gamma - truth
-            by_kind = np.stack([np.bincount(ids, miss[:, k], len(kinds)) for k in range(m)], axis=1)
-            grad = np.stack([np.bincount(flat, by_kind[of, k], PLACES) for k in range(m)], axis=1)
-            for t, g, f, q in zip(theta, (grad + 1e-2 * theta[0], pair - pairs + theta[1]), first, second):
+            grad, pair = 1e-2 * theta[0], theta[1] - pairs
+            for own, right, sizes in batches:
+                kind, word = np.unique(own, return_inverse=True)
+                n = counts[kind]
+                starts = np.cumsum(n) - n
+                at = flat[np.repeat(begins[kind] - starts, n) + np.arange(n.sum())]
+                gamma, found, _ = forward_backward(np.add.reduceat(theta[0][at], starts, axis=0)[word], sizes, theta[1])
+                gamma[np.arange(len(own)), right] -= 1
+                of = np.repeat(np.arange(len(kind)), n)
+                for k in range(m):
+                    grad[:, k] += np.bincount(at, np.bincount(word, gamma[:, k], len(kind))[of], PLACES)
+                pair += found
+            for t, g, f, q in zip(theta, (grad, pair), first, second):
                 g = g / len(ids)
                 f += 0.2 * (g - f)
                 q += 0.05 * (g * g - q)
@@ -217,7 +238,17 @@ class Field:
         return self
 
 
-def spliced(passages: list[tuple[list[str], int]], seed: int = 5) -> list[tuple[list[list[str]], list[np.ndarray]]]:
+def _batches(lengths: np.ndarray, words: int):
+    """(first word, end, first chain, end) of runs of chains of about so many words, or of one longer chain."""
+    ends, i = np.cumsum(lengths), 0
+    while i < len(lengths):
+        x = int(ends[i] - lengths[i])
+        j = max(i + 1, int(np.searchsorted(ends, x + words, side="right")))
+        yield x, int(ends[j - 1]), i, j
+        i = j
+
+
+def spliced(passages: list[tuple], seed: int = 5) -> list[tuple[list, list[np.ndarray]]]:
     """As many chains as passages, each of pieces of random passages; neighbouring pieces may have one language or two."""
     rng, out = np.random.default_rng(seed), []
     for _ in passages:

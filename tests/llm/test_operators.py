@@ -741,6 +741,33 @@ def test_every_language_is_learned(spark):
     assert len(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")).languages) == 90
 
 
+def test_a_fit_of_many_languages_needs_little_memory(monkeypatch):
+    """100 languages of 15 passages of 600 words: the peak is far below words times languages, which alone would be 1.4 GB each time."""
+    import tracemalloc
+
+    monkeypatch.setattr(language, "ROUNDS", 1)
+    rnd = random.Random(4)
+    own = lambda k: ["".join(chr(97 + (k * 7 + rnd.randrange(9)) % 26) for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    names = [f"l{k:03}" for k in range(100)]
+    sample = [(" ".join(rnd.choice(words) for _ in range(600)), name) for k, name in enumerate(names) for words in [own(k)] for _ in range(15)]
+    tracemalloc.start()
+    field = language.Field(names).fit(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 << 20 and field.weights.any() and field.move.any()
+
+
+def test_batches_of_a_fit_change_nothing(documents, monkeypatch):
+    """Gradients are sums over chains, so one batch and many learn the same."""
+    sample = [(r["text"][:3000], r["lang"]) for r in documents.filter("length(text) > 300 and lang is not null").orderBy("doc_id").limit(24).collect()]
+    names = sorted({y for _, y in sample})
+    fits = []
+    for cells in (1 << 30, 700):
+        monkeypatch.setattr(language, "FIT_CELLS", cells)
+        fits.append(language.Field(names).fit(sample))
+    assert np.allclose(fits[0].move, fits[1].move, atol=1e-6) and np.allclose(fits[0].weights, fits[1].weights, atol=1e-4) and fits[0].lexicon == fits[1].lexicon
+
+
 def test_short_texts_need_a_smaller_share():
     model = language.Field(["a", "b"])
     assert model.sure("one two", 0.3) and not model.sure("word " * 200, 0.45) and model.sure("word " * 200, 0.5)
