@@ -93,9 +93,9 @@ def f20_rank_sum_bounds(spark, sf):
 
 @query("+ c AS (SELECT dst, src, (weight / 7)::FLOAT AS c FROM edges) SELECT dst, list_reduce(list_prepend(0::FLOAT, list(c ORDER BY src)), lambda a, b: (a + b)::FLOAT)::DOUBLE AS total FROM c GROUP BY dst", "edges")
 def a2_ordered_float32(spark, sf):
-    """A float32 sum in the order of sources, each step rounded; the messages of one destination are one array, as its order asks."""
+    """A float32 sum in the order of sources, each step rounded."""
     own = edges_of(spark, sf).select("dst", "src", (F.col("weight") / 7).cast("float").alias("c"))
-    return own.groupBy("dst").agg(U.ordered_float32_sum("src", "c").alias("total")).withColumn("total", F.col("total").cast("double"))
+    return U.ordered_float32_sums(own, "dst", "src", "c").withColumn("total", F.col("total").cast("double"))
 
 
 # Incremental runs: the closed rows are the old graph

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +118,41 @@ def rejected(edges: DataFrame, sources: tuple, destinations: tuple, weights: tup
     return edges.withColumn("problem", problem).filter("problem is not null")
 
 
-def ordered_float32_sum(order: str, value: str) -> Column:
-    """Aggregate: the values of a group added in float32 in the order of `order`, each sum rounded. Its group is one array, as the order asks."""
-    rows = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("float").alias("v"))))
-    return F.aggregate(rows, F.lit(0).cast("float"), lambda acc, r: (acc + r["v"]).cast("float"))
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the runs of equal keys in sorted batches; the run that a batch ends in is carried on."""
+    last, total = None, np.float32(0)
+    out = lambda keys, sums: pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.float32())], ["key", "total"])
+    for batch in batches:
+        keys, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes, sums = np.diff(np.append(starts, len(keys))), np.zeros(len(starts), np.float32)
+        if last is not None and last == keys[0]:
+            sums[0] = total
+        elif last is not None:
+            yield out([last], [total])
+        # The first places of all runs together, what long runs have beyond them run by run.
+        for k in range(min(int(sizes.max()), 64)):
+            at = np.flatnonzero(sizes > k)
+            sums[at] += values[starts[at] + k]
+        for g in np.flatnonzero(sizes > 64):
+            sums[g] = np.add.accumulate(np.concatenate([sums[g : g + 1], values[starts[g] + 64 : starts[g] + sizes[g]]]), dtype=np.float32)[-1]
+        last, total = int(keys[-1]), sums[-1]
+        if len(starts) > 1:
+            yield out(keys[starts[:-1]], sums[:-1])
+    if last is not None:
+        yield out([last], [total])
+
+
+def ordered_float32_sums(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, total: the values of a key added in float32 in the order of `order`, each sum rounded. Null keys and values are passed over.
+
+    Rows are dealt by key and sorted; a task reads them as a stream with one running sum, so a key of any size takes no memory.
+    """
+    own = rows.select(F.col(key).cast("long").alias(key), F.col(order).alias("order_"), F.col(value).cast("float").alias("v_")).filter(F.col(key).isNotNull() & F.col("v_").isNotNull())
+    placed = own.repartition(key).sortWithinPartitions(key, "order_").select(key, "v_")
+    return placed.mapInArrow(_summed, "key long, total float").withColumnRenamed("key", key)
 
 
 def compacted(edges: DataFrame, width: int, block: int = 4096) -> DataFrame:

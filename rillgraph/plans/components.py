@@ -36,3 +36,30 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
         near = links.join(up("src"), F.col("src") == F.col("src_")).join(up("dst"), F.col("dst") == F.col("dst_"))
         links = cut(near.select(F.col("src_up").alias("src"), F.col("dst_up").alias("dst")).filter("src <> dst").distinct())
     return labels, rounds
+
+
+def repaired(labels: DataFrame, edges: DataFrame, deleted: DataFrame, inserted: DataFrame) -> DataFrame:
+    """labels(id, label) of a graph whose edges(src, dst) are those after a batch; deleted and inserted (src, dst) are its changes.
+
+    Deletes: only the components that held a deleted pair are computed anew, from the edges inside them; the others are not read.
+    Inserts: no edge is read at all; the labels that inserted pairs join are merged as vertices of a graph of their own. Ids that
+    the labels lack come in with the inserted pairs. Every id stays, alone if no edge is left. Batches of both do the deletes first.
+    """
+    labels = labels.select("id", "label")
+    ends = lambda pairs: pairs.select(F.explode(F.array("src", "dst")).alias("id")).filter("id is not null").distinct()
+    new = ends(inserted).join(labels, "id", "left_anti")
+    labels = labels.unionByName(new.select("id", F.col("id").alias("label")))
+    hit = cut(labels.join(ends(deleted), "id", "left_semi").select("label").distinct())
+    if not hit.isEmpty():
+        region = cut(labels.join(hit, "label", "left_semi").select("id"))
+        inside = lambda name: region.select(F.col("id").alias(name))
+        own, _ = components(edges.join(inside("src"), "src", "left_semi").join(inside("dst"), "dst", "left_semi").select("src", "dst"))
+        redone = region.join(own, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        labels = cut(labels.join(hit, "label", "left_anti").select("id", "label").unionByName(redone))
+    at = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+    joins = inserted.select("src", "dst").join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).filter("src <> dst").distinct()
+    joins = cut(joins)
+    if not joins.isEmpty():
+        merged, _ = components(joins)
+        labels = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+    return cut(labels)

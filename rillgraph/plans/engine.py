@@ -2,22 +2,32 @@
 
 Edges are written once, bucketed and sorted by source, and the state of the vertices is bucketed by id. A round is one job:
 active vertices are joined to the edges where they lie, messages combined by destination (map-side first) and joined to the
-state where it lies, and the new state is written; only the combined messages are shuffled. Counts of the round (mapped edges,
-active vertices, sums) are observed on that job. The state before the last is deleted, so disk holds two states. A lost
-executor costs tasks of one round. Infinity is null inside.
+state where it lies. Rank programs change every vertex, so they write the new state; only the combined messages are shuffled, and
+the state before the last is deleted. Min programs change few: they write the lowered ids alone, as a delta beside the state,
+and merge the deltas once they hold a quarter of it. Counts of the round (mapped edges, active vertices, sums) are observed on
+its job. A lost executor costs tasks of one round. Infinity is null inside.
+
+Edges of a source with more than a ten-thousandth of all edges (and at least HEAVY) are kept apart in plain files, which are
+read in splits, and meet a broadcast of their sources' rows: of such sources there are fewer than 10,000, whatever the graph.
 
 mapped_edges counts the edges whose source was active, round by round; applied_updates the vertices that a round changed.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .materialize import Bucketed
+from ..operators.updates import ordered_float32_sums
+from .materialize import Bucketed, cut, remove, shared_dir
+
+#: The least out-degree of a source whose edges are dealt over many tasks.
+HEAVY = 100_000
 
 
 @dataclass
@@ -38,11 +48,36 @@ def _observed(seen: Observation) -> dict:
         return {}
 
 
+class _Edges:
+    """Edges bucketed by source, those of heavy sources apart."""
+
+    def __init__(self, edges: DataFrame):
+        degree = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY))
+        self.heavy = None
+        if not degree.isEmpty():
+            least = max(HEAVY, edges.count() // 10_000)
+            self.heavy = cut(degree.filter(F.col("n") > least).select("src"))
+            own = F.broadcast(self.heavy)
+            self.hubs, edges = cut(edges.join(own, "src", "left_semi")), edges.join(own, "src", "left_anti")
+        self.light = Bucketed(edges, "src")
+
+    def of(self, active: DataFrame) -> DataFrame:
+        """active(src, ...) joined to its edges."""
+        rows = active.join(self.light.rows, "src")
+        if self.heavy is not None:
+            few = active.join(F.broadcast(self.heavy), "src", "left_semi")
+            rows = rows.unionByName(self.hubs.join(F.broadcast(few), "src"))
+        return rows
+
+    def drop(self) -> None:
+        self.light.drop()
+
+
 class _Loop:
     """Bucketed edges and state, and what the last round observed."""
 
     def __init__(self, state: DataFrame, edges: DataFrame, *counts):
-        self.edges, self.counts, self.mapped = Bucketed(edges, "src"), counts, 0
+        self.edges, self.counts, self.mapped = _Edges(edges), counts, 0
         seen = Observation()
         self.state = Bucketed(state.observe(seen, *counts), "id")
         self.seen = _observed(seen)
@@ -50,7 +85,7 @@ class _Loop:
     def messages(self, active: DataFrame, *value) -> DataFrame:
         """dst and value of each edge whose source is in active(src, ...)."""
         self.at = Observation()
-        return active.join(self.edges.rows, "src").observe(self.at, F.count(F.lit(1)).alias("n")).select("dst", *value)
+        return self.edges.of(active).observe(self.at, F.count(F.lit(1)).alias("n")).select("dst", *value)
 
     def replace(self, state: DataFrame) -> None:
         seen = Observation()
@@ -63,28 +98,86 @@ class _Loop:
         return self.state.plain()
 
 
+class _Falling:
+    """State of a min program: a bucketed base, and for each round since the ids that it lowered, in files of their own.
+
+    Values only fall, so the current one is the least of base and deltas. Deltas are merged into a new base once they hold a
+    quarter of its rows, or there are 24 of them; so what they add to a round's shuffle is bounded by the state, and what
+    merges write by four times the rows that changed.
+    """
+
+    def __init__(self, state: DataFrame):
+        self.spark, seen = state.sparkSession, Observation()
+        self.base = Bucketed(state.observe(seen, F.count_if("active").alias("active"), F.count(F.lit(1)).alias("n")), "id")
+        found = _observed(seen)
+        self.active, self.size = found.get("active") or 0, found.get("n") or 0
+        self.front, self.deltas, self.held = self.base.rows.filter("active").select("id", "value"), [], 0
+
+    def _known(self) -> DataFrame | None:
+        return self.spark.read.schema("id long, value long").parquet(*self.deltas) if self.deltas else None
+
+    def lower(self, best: DataFrame) -> None:
+        """Take the offers of best(id, offer) that are below the current values; they are the next front."""
+        known = self._known()
+        if known is not None:
+            both = best.select("id", "offer", F.lit(None).cast("long").alias("had")).unionByName(known.select("id", F.lit(None).cast("long").alias("offer"), F.col("value").alias("had")))
+            best = both.groupBy("id").agg(F.min("offer").alias("offer"), F.min("had").alias("had")).filter("offer is not null")
+        else:
+            best = best.groupBy("id").agg(F.min("offer").alias("offer")).filter("offer is not null").withColumn("had", F.lit(None).cast("long"))
+        now = F.least("value", "had")
+        rows = self.base.rows.select("id", "value").join(best, "id").filter(now.isNull() | (F.col("offer") < now)).select("id", F.col("offer").alias("value"))
+        at, seen = f"{shared_dir(self.spark)}/delta-{uuid.uuid4().hex}", Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+        self.active = _observed(seen).get("n") or 0
+        self.deltas.append(at)
+        self.held += self.active
+        self.front = self.spark.read.schema("id long, value long").parquet(at)
+
+    def full(self) -> bool:
+        return self.held * 4 > self.size or len(self.deltas) >= 24
+
+    def merge(self) -> None:
+        """Deltas go into the base; the last one stays the front, as `active`."""
+        if not self.deltas:
+            return
+        low = self._known().groupBy("id").agg(F.min("value").alias("low"))
+        last = self.front.select("id", F.lit(True).alias("now"))
+        low = low.join(last, "id", "left")
+        state = self.base.rows.select("id", "value").join(low, "id", "left").select("id", F.least("value", "low").alias("value"), F.coalesce("now", F.lit(False)).alias("active"))
+        old, self.base = self.base, Bucketed(state, "id", placed=True)
+        old.drop()
+        for at in self.deltas:
+            remove(self.spark, at)
+        self.front, self.deltas, self.held = self.base.rows.filter("active").select("id", "value"), [], 0
+
+
 def relax(state: DataFrame, edges: DataFrame, weighted: bool, rounds: int | None = None, capacity: int | None = None) -> Result:
     """Min-propagation from active vertices until none is active, or exactly `rounds` rounds.
 
-    With a `capacity` an offer that reaches it is infinity (saturating arithmetic of a machine word).
+    With a `capacity` an offer that reaches it is infinity (saturating arithmetic of a machine word). Offers to ids that the
+    state lacks are lost.
     """
-    loop = _Loop(state.select("id", "value", "active"), edges.select("src", "dst", *(["weight"] if weighted else [])), F.count_if("active").alias("active"))
-    sizes, applied, k = [], 0, 0
+    own, now = _Edges(edges.select("src", "dst", *(["weight"] if weighted else []))), _Falling(state.select(F.col("id").cast("long"), F.col("value").cast("long"), "active"))
+    offer = F.col("value") + F.col("weight") if weighted else F.col("value")
+    if capacity is not None:
+        offer = F.when(offer < capacity, offer)
+    sizes, mapped, applied, k = [], 0, 0, 0
     while rounds is None or k < rounds:
-        sizes.append(loop.seen.get("active", 0))
-        if rounds is None and not sizes[-1]:
+        sizes.append(now.active)
+        if not now.active:
+            if rounds is None:
+                break
+            sizes, k = sizes + [0] * (rounds - k - 1), rounds
             break
-        front = loop.state.rows.filter("active").select(F.col("id").alias("src"), "value")
-        offer = F.col("value") + F.col("weight") if weighted else F.col("value")
-        if capacity is not None:
-            offer = F.when(offer < capacity, offer)
-        best = loop.messages(front.filter("value is not null"), offer.alias("offer")).groupBy(F.col("dst").alias("id")).agg(F.min("offer").alias("offer"))
-        better = F.coalesce(F.col("offer") < F.col("value"), F.col("offer").isNotNull())
-        loop.replace(loop.state.rows.join(best, "id", "left").select("id", F.when(better, F.col("offer")).otherwise(F.col("value")).alias("value"), better.alias("active")))
-        applied += loop.seen.get("active", 0)
-        k += 1
-    done = not loop.seen.get("active", 0)
-    return Result(loop.end(), k, done, sizes, loop.mapped, applied)
+        at = Observation()
+        front = now.front.filter("value is not null").select(F.col("id").alias("src"), "value")
+        now.lower(own.of(front).observe(at, F.count(F.lit(1)).alias("n")).select(F.col("dst").alias("id"), offer.alias("offer")))
+        mapped, applied, k = mapped + (_observed(at).get("n") or 0), applied + now.active, k + 1
+        if now.full():
+            now.merge()
+    now.merge()
+    own.drop()
+    return Result(now.base.plain(), k, not now.active, sizes, mapped, applied)
 
 
 def sssp(vertices: DataFrame, edges: DataFrame, source: int, rounds: int | None = None, capacity: int | None = None) -> Result:
@@ -132,6 +225,26 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsil
     return Result(loop.end().select("id", "rank"), k, done or not n, [], loop.mapped)
 
 
+def float32_pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 1) -> Result:
+    """Full PageRank in float32: every product, quotient and sum is rounded, and a vertex adds its messages in the order of their sources.
+
+    Only the mass of sinks is summed in float64 and rounded once. Ranks are doubles that hold float32 values.
+    """
+    n = max(vertices.count(), 1)
+    single = lambda c: c.cast("float").cast("double")
+    rounded = lambda x: float(np.float32(x))
+    lost = F.sum(F.when(F.col("sink"), F.col("rank"))).alias("lost")
+    loop = _Loop(_with_sinks(vertices.select("id", F.lit(rounded(1.0 / n)).alias("rank")), edges), with_degree(edges), lost)
+    for _ in range(rounds):
+        base = rounded(rounded((1 - damping) / n) + rounded(damping * rounded(loop.seen.get("lost") or 0.0) / n))
+        share = single(damping * single(F.col("rank") / F.col("degree")))
+        sent = loop.messages(loop.state.rows.select(F.col("id").alias("src"), "rank"), "src", share.alias("share"))
+        got = ordered_float32_sums(sent, "dst", "src", "share").withColumnRenamed("dst", "id")
+        rank = single(F.lit(base) + F.coalesce(F.col("total").cast("double"), F.lit(0.0)))
+        loop.replace(loop.state.rows.join(got, "id", "left").select("id", rank.alias("rank"), "sink"))
+    return Result(loop.end().select("id", "rank"), rounds, False, [], loop.mapped)
+
+
 def _fixed_share(got, base: int):
     """What a vertex passes on along each edge, in whole numbers: 108/128 damping, the degree's inverse in 16 bits. Raises beyond 31 bits."""
     damped = got * 108
