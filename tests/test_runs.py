@@ -108,5 +108,5 @@ def test_kept_ranks(spark):
     e = edges(spark, [(0, 1, 1), (1, 2, 1), (2, 0, 1), (2, 3, 1)])
     b = [spark.createDataFrame([r], "seq long, src long, dst long, weight long, is_delete boolean") for r in ((0, 2, 0, 1, True), (0, 2, 0, 1, True))]
     for run in (dynamic.run_pagerank, dynamic.run_residual):
-        steps = run(spark.range(4), e, b, epsilon=1e-2)
+        steps = run(spark.range(4), e, b, 0.5, 1e-2)
         assert all(s.within and s.l1 <= 0.14 for s in steps) and [s.mode == "unchanged" for s in steps] == [False, True] and steps[1].iterations == 0
