@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,44 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder and read it again: lineage ends, a lost executor costs nothing."""
+#: Places written in each open `scratch`, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("_SCOPES", default=())
+
+
+def place(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What `cut` writes inside is deleted at the end, so nothing that is read later may rest on it."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for at in own:
+            remove(spark, at)
+
+
+def cut(df: DataFrame, at: str | None = None, outlives: bool = False) -> DataFrame:
+    """Write df once into the shared folder and read it again: lineage ends, a lost executor costs nothing.
+
+    The files belong to the innermost `scratch`, to the one around it if they outlive that, and to the caller if it names their place.
+    """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if at is None:
+        at = place(spark)
+        scopes = _SCOPES.get()[: -1 if outlives else None]
+        if scopes:
+            scopes[-1].append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -20,25 +20,29 @@ component id unless a component has no other. An empty table gives no rows. Othe
 bits do not show. Texts that share one of `BANDS` MinHash bands of `ROWS` values are candidates (a pair at 0.8 shares none
 with a chance of (1 - 0.8^5)^32, 3 in a million; nearer pairs with less), and every link is checked on the whole sets. First
 each bucket of candidates is compared with its most popular member only, so a large group of copies costs one comparison a
-copy. Then, in buckets whose members aren't all in one component, those outside the most frequent component are compared with
-all others, in blocks of at most `BLOCK` sets, and only links that join two components are told. Neither step gathers a
-bucket in one task or writes all its pairs, and no bucket is left out.
+copy. Buckets of more than a block whose members aren't all in one component then get rounds of new leaders: the most popular
+sets of their `LEADERS` most frequent components against all members, as long as a round leaves at most three quarters of the
+members outside. Last, in buckets of several components, members outside the most frequent one are compared with all others, in
+blocks of at most `BLOCK` sets, and only links that join two components are told. No step gathers a bucket in one task or
+writes all its pairs, and no bucket is left out. The last step is quadratic in members that share a band but are not alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, map_batches, place, remove, scratch
 
 RADIUS, CAP, WIDTH, SEED = 3, 256, 3, 42
 # Five-word sets link at a Jaccard similarity of 4/5.
 SET_WIDTH, BANDS, ROWS = 5, 32, 5
 # Sets of a block and their bytes; members compared with one copy of their bucket's most popular set.
 BLOCK, BLOCK_BYTES, PART = 512, 16 << 20, 4096
+#: Labels of a bucket whose most popular sets are compared with all its members in a round.
+LEADERS = 16
 #: A key is hot beyond the larger of HOT rows and a HOT_KEYS-th of all rows, so at most HOT_KEYS keys are; each HOT rows of it make a part.
 HOT, HOT_KEYS = 2_000, 10_000
 FACTORS, ADDED = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
@@ -150,38 +154,56 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node reachable; smallest neighbour label and pointer jumping until stable."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
-    while True:
-        low = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        best = labels.join(low, labels.node == low.a).select("node", F.col("label").alias("old"), F.least("label", "low").alias("via"))
-        of = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
-        after = cut(best.join(of, "via", "left").select("node", "old", F.least("via", F.coalesce("jump", "via")).alias("label")))
-        labels = after.select("node", "label")
-        if after.filter("label <> old").isEmpty():
-            return labels
-
-
-def spread_join(rows: DataFrame, few: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """rows joined to few (one row a key) on key; rows of hot keys are dealt over parts, so no task gets more than about HOT of them.
+    """(node, label): label is the smallest node reachable; smallest neighbour label and pointer jumping until stable.
 
-    counts: key and n, its number of rows. The hot keys are at most HOT_KEYS by the choice of their threshold, so their list is broadcast.
+    Edges of hot nodes are dealt over parts once for all rounds; what a round writes is deleted at the end.
+    """
+    with scratch(edges.sparkSession):
+        both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        hot = hot_keys(cut(both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))), "b")
+        labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
+        while True:
+            low = dealt_join(both, labels.withColumnRenamed("node", "b"), "b", hot).groupBy("a").agg(F.min("label").alias("low"))
+            best = labels.join(low, labels.node == low.a).select("node", F.col("label").alias("old"), F.least("label", "low").alias("via"))
+            of = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+            after = cut(best.join(of, "via", "left").select("node", "old", F.least("via", F.coalesce("jump", "via")).alias("label")))
+            labels = after.select("node", "label")
+            if after.filter("label <> old").isEmpty():
+                return cut(labels, outlives=True)
+
+
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """hot_key and hot_parts for the hot keys of counts (key and n, its number of rows); None if there are none.
+
+    They are at most HOT_KEYS by the choice of their threshold, so joins broadcast their list.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.filter(F.col("n") > max(HOT, total // HOT_KEYS)).select(F.col(key).alias("hot_key"), F.ceil(F.col("n") / HOT).cast("int").alias("hot_parts"))
-    if hot.isEmpty():
+    return None if hot.isEmpty() else hot
+
+
+def dealt_join(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """rows joined to few (one row a key) on key; rows of hot keys are dealt over parts, so no task gets more than about HOT of them."""
+    if hot is None:
         return rows.join(few, key)
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("hot_part", F.coalesce(F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), F.col("hot_parts")).cast("int"), F.lit(0)))
     copies = few.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), F.coalesce("hot_parts", F.lit(1)) - 1)))
     return dealt.drop("hot_key", "hot_parts").join(copies.drop("hot_key", "hot_parts"), [key, "hot_part"]).drop("hot_part")
 
 
+def spread_join(rows: DataFrame, few: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    return dealt_join(rows, few, key, hot_keys(counts, key))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs(doc_id, text)."""
     fps = cut(map_batches(docs, ["doc_id", "text"], _fingerprints, "doc_id long, fp long", width))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    labels = components(links(distinct))
+    at = place(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        edges = cut(links(distinct), at)
+    labels = components(edges)
+    remove(docs.sparkSession, at)
     named = labels.join(distinct, labels.node == distinct.fp).select("fp", "label", "first")
     named = named.join(named.groupBy("label").agg(F.min("first").alias("least")), "label").select("fp", "least")
     named = distinct.join(named, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
@@ -307,26 +329,26 @@ def _with_the_first():
 
 
 def _two_blocks():
-    """Links between a block of sides 0 and 1 that join labels; told when both are complete."""
+    """Pairs of labels that sets of a block of sides 0 and 1 join; told when both are complete."""
     held: tuple = ([], [])
 
     def own(r):
         if r is not None:
-            held[r["side"]].append((r["fp"], r["label"], _set(r["set"])))
+            held[r["side"]].append((r["label"], _set(r["set"])))
             return []
         if not held[0] or not held[1]:
             return []
-        sets = [[x[2] for x in h] for h in held]
+        sets = [[x[1] for x in h] for h in held]
         sizes = [np.array(list(map(len, s))) for s in sets]
         near = alike(common_counts(*sets), sizes[0][:, None], sizes[1][None, :])
-        pairs = joining(near, *(np.array([x[1] for x in h]) for h in held))
+        pairs = joining(near, *(np.array([x[0] for x in h]) for h in held))
         return [(held[0][i][0], held[1][j][0]) for i, j in pairs]
 
     return own
 
 
-def set_links(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints; with `known` their components are those of all pairs of texts that are similar as sets.
+def set_labels(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, label): components of fingerprints by the links `known` and all pairs of texts that are similar as sets; nodes without links are left out.
 
     nodes: doc_id and text_hash of one row of each distinct (fp, shingles), with its signature. The texts of candidates alone
     are shuffled, once.
@@ -350,23 +372,70 @@ def set_links(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
     rows = heads.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1))).join(sets.select("node", "fp", "set"), "node")
     stars = cut(_in_groups(rows.select("leader", "part", "side", "fp", "set"), ["leader", "part"], _with_the_first, "a long, b long").distinct())
 
-    edges = known.unionByName(stars)
-    labels = components(edges)
-    own = sets.join(labels, sets["fp"] == labels["node"], "left").select(sets["node"], "fp", F.coalesce("label", "fp").alias("label"), F.octet_length("set").alias("bytes"))
+    labels = components(known.unionByName(stars))
+    own = sets.join(labels, sets["fp"] == labels["node"], "left").select(sets["node"], "weight", F.coalesce("label", "fp").alias("label"), F.octet_length("set").alias("bytes"))
     placed = cut(shared.select("node", "key").join(own, "node"))
-    of_label = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    before = None
+    while True:
+        mixed = cut(_mixed(placed))
+        left, large = mixed.agg(F.count(F.lit(1)), F.sum(F.when(F.col("whole") > 1, F.col("n") - F.col("top")))).first()
+        if not left:
+            return labels
+        if not large or before is not None and 4 * large > 3 * before:
+            return _merged(labels, components(_links_outside(placed, mixed, sets)))
+        found = components(_links_to_leaders(placed, mixed.filter("whole > 1"), sets))
+        labels, placed, before = cut(_merged(labels, found)), cut(_renamed(placed, found)), large
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Keys whose members have several labels: the most frequent one, members with it and in all, blocks of the members outside it and of all."""
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
-    mixed = of_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("top"), F.max_by("bytes", F.struct("n", "label")).alias("top_bytes"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"))
-    mixed = cut(mixed.filter(F.col("top") < F.col("all")).select("key", "most", F.col("all").alias("n"), blocks(F.col("all") - F.col("top"), F.col("all_bytes") - F.col("top_bytes")).alias("minor"), blocks(F.col("all"), F.col("all_bytes")).alias("whole")))
-    if mixed.isEmpty():
-        return edges
-    rows = spread_join(placed, mixed.drop("n"), "key", mixed.select("key", "n"))
-    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    span = lambda n: F.sequence(F.lit(0), n - 1)
-    right = rows.select("key", "node", "label", F.lit(1).alias("side"), block(F.col("whole")).alias("j"), F.explode(span(F.col("minor"))).alias("i"))
-    left = rows.filter("label <> most").select("key", "node", "label", F.lit(0).alias("side"), block(F.col("minor")).alias("i"), F.explode(span(F.col("whole"))).alias("j"))
-    both = left.unionByName(right).join(sets.select("node", "fp", "set"), "node")
-    return edges.unionByName(_in_groups(both.select("key", "i", "j", "side", "fp", "label", "set"), ["key", "i", "j"], _two_blocks, "a long, b long").distinct())
+    of_label = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("bytes"))
+    of_key = of_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("top"), F.max_by("bytes", F.struct("k", "label")).alias("top_bytes"), F.sum("k").alias("n"), F.sum("bytes").alias("bytes"))
+    minor = blocks(F.col("n") - F.col("top"), F.col("bytes") - F.col("top_bytes"))
+    return of_key.filter("top < n").select("key", "most", "top", "n", minor.alias("minor"), blocks(F.col("n"), F.col("bytes")).alias("whole"))
+
+
+def _span(n):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _block(n):
+    return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+
+def _links_of_blocks(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of labels that blocks (key, i, j) of left and right join."""
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).join(sets.select("node", "set"), "node")
+    return _in_groups(both.select("key", "i", "j", "side", "label", "set"), ["key", "i", "j"], _two_blocks, "a long, b long").distinct()
+
+
+def _links_outside(placed: DataFrame, mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members outside the most frequent label of their key against all members of the key."""
+    rows = spread_join(placed, mixed.select("key", "most", "minor", "whole"), "key", mixed.select("key", "n"))
+    left = rows.filter("label <> most").select("key", "node", "label", _block("minor").alias("i"), _span("whole").alias("j"))
+    right = rows.select("key", "node", "label", _block("whole").alias("j"), _span("minor").alias("i"))
+    return _links_of_blocks(left, right, sets)
+
+
+def _links_to_leaders(placed: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of each key the most popular sets of its LEADERS most frequent labels against all members of the key."""
+    rows = cut(spread_join(placed, large.select("key", "whole"), "key", large.select("key", "n")))
+    best = rows.groupBy("key", "label", "whole").agg(F.count(F.lit(1)).alias("k"), F.max_by("node", F.struct("weight", "node")).alias("node"))
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("k"), "label"))).filter(F.col("rank") <= LEADERS)
+    left = first.select("key", "node", "label", F.lit(0).alias("i"), _span("whole").alias("j"))
+    return _links_of_blocks(left, rows.select("key", "node", "label", F.lit(0).alias("i"), _block("whole").alias("j")), sets)
+
+
+def _renamed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows whose label is a node of found(node, label) get the label found for it."""
+    to = found.select(F.col("node").alias("was"), F.col("label").alias("now"))
+    return rows.join(to, rows["label"] == to["was"], "left").withColumn("label", F.coalesce("now", "label")).drop("was", "now")
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels(node, label) after the merges of labels in found; a node that had no link until now was its own label."""
+    return _renamed(labels, found).unionByName(found.join(labels.select("node"), "node", "left_anti"))
 
 
 def _sets():
@@ -392,16 +461,17 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     doc_id but not a text are told apart. The rows that stay are named by id and text hash and found by a merge join at every
     size, since their number grows with the input.
     """
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    marks = cut(map_batches(marked, ["doc_id", "text", "text_hash"], _marked, "doc_id long, text_hash long, fp long, shingles long, sig binary", width))
-    rows = marks.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
-    distinct = cut(rows.groupBy("fp").agg(F.min(own).alias("first")))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "sig")).alias("one")
-    nodes = cut(marks.groupBy("fp", "shingles").agg(one).select("fp", "shingles", "one.doc_id", "one.text_hash", "one.sig"))
-    labels = components(set_links(docs, nodes, cut(links(distinct.select("fp")))))
-    named = distinct.join(labels, distinct["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp")).agg(F.min("first").alias("first"))
-    kept = cut(named.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), F.col("first.n").alias("kept_n")))
+    with scratch(docs.sparkSession):
+        marked = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        marks = cut(map_batches(marked, ["doc_id", "text", "text_hash"], _marked, "doc_id long, text_hash long, fp long, shingles long, sig binary", width))
+        rows = marks.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+        own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
+        distinct = cut(rows.groupBy("fp").agg(F.min(own).alias("first")))
+        one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "sig")).alias("one")
+        nodes = cut(marks.groupBy("fp", "shingles").agg(one).select("fp", "shingles", "one.doc_id", "one.text_hash", "one.sig"))
+        labels = set_labels(docs, nodes, cut(links(distinct.select("fp"))))
+        named = distinct.join(labels, distinct["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp")).agg(F.min("first").alias("first"))
+        kept = cut(named.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), F.col("first.n").alias("kept_n")), outlives=True)
 
     def found(chosen: DataFrame) -> DataFrame:
         same = docs["doc_id"].eqNullSafe(chosen["kept_id"]) & (F.xxhash64(docs["text"]) == chosen["kept_hash"])

@@ -8,6 +8,8 @@ import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rillgraph.llm import bpe, chat, html, language, license, ogg, packing, quality_fm, quality_rules, simhash
 from rillgraph.llm.queries import ORACLES, QUERIES, vocabulary
@@ -405,6 +407,48 @@ def test_near_copies_of_many_edits_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label)) and len(set(label)) > 12
 
 
+def test_leaders_join_groups_without_a_hub(spark, monkeypatch):
+    """Variants of which no one is near all others, several groups, all in common buckets: rounds of leaders and blocks lose no link."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    monkeypatch.setattr(simhash, "PART", 5)
+    monkeypatch.setattr(simhash, "HOT", 6)
+    monkeypatch.setattr(simhash, "signature", lambda own: bytes(2 * simhash.BANDS * simhash.ROWS) if len(own) else None)
+    rng, texts = random.Random(9), []
+    for _ in range(4):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(15):
+            at = set(rng.sample(range(200), rng.choice((1, 3, 4, 9))))
+            texts.append(" ".join("x%d" % rng.randrange(5000) if i in at else w for i, w in enumerate(words)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [simhash.set_of(simhash.words_of(t)) for t in texts]
+    nodes = spark.createDataFrame([(simhash.fingerprint(t), k, k, simhash.signature(s)) for k, (t, s) in enumerate(zip(texts, sets))], "fp long, shingles long, doc_id long, sig binary")
+    nodes = nodes.join(df, "doc_id").select("fp", "shingles", "doc_id", F.xxhash64("text").alias("text_hash"), "sig")
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert len(set(fps)) == len(fps)
+    pairs = [(fps[i], fps[j]) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    calls = []
+    leaders = simhash._links_to_leaders
+    monkeypatch.setattr(simhash, "_links_to_leaders", lambda *a: calls.append(1) or leaders(*a))
+    got = {r["node"]: r["label"] for r in simhash.set_labels(df, nodes, spark.createDataFrame([], "a long, b long")).collect()}
+    assert calls and {frozenset(g) for g in groups_of(fps, pairs)} == {frozenset(f for f in fps if got.get(f, f) == label) for label in {got.get(f, f) for f in fps}}
+
+
+def test_files_of_a_scope_go_and_results_stay(spark):
+    from pathlib import Path
+
+    from rillgraph.llm.common import cut, scratch
+
+    with scratch(spark):
+        inner = cut(spark.range(3))
+        stays = cut(spark.range(4), outlives=True)
+        with scratch(spark):
+            up = cut(inner, outlives=True)
+        assert up.count() == 3
+    assert stays.count() == 4
+    assert not any(Path(f.removeprefix("file://")).exists() for f in inner.inputFiles() + up.inputFiles())
+
+
 def test_common_counts_and_joining_pairs_match_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
     base = [rng.integers(0, 10**6, 50).astype(np.uint64) for _ in range(5)]
@@ -900,6 +944,51 @@ def test_empty_pages_and_conversations(spark):
     assert chat.digests(chat.windows(spark.createDataFrame([], "conv_id long, turn int, role string, text string, k int"))).collect() == []
 
 
+def test_pipeline_matches_brute_force_on_200_documents(spark, documents, tmp_path):
+    """All four stages by plain loops over 200 documents (trained parts judge one document at a time), and nothing of the stages stays on disk."""
+    from pathlib import Path
+
+    import corpus_pipeline
+
+    docs = documents.orderBy("doc_id").limit(200)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(simhash.place(spark)).parent
+    there = {p.name for p in shared.iterdir()} if shared.exists() else set()
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({p.name for p in shared.iterdir()} - there) <= 2
+
+    tongue = language.train(docs)
+    known = [r["doc_id"] for r in language.keep(docs, tongue).select("doc_id").collect()]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(any(c.isalpha() for c in texts[i]) for i in known)
+    first = docs.filter(docs["doc_id"].isin(known))
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.judge(first, quality_rules.train(first, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
+    good = sorted(i for i in known if verdict[i])
+    fps = {i: simhash.fingerprint(texts[i]) for i in good}
+    near = [(i, j) for i in good for j in good if j < i and (((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 3 or jaccard(texts[i], texts[j]) >= 0.8)]
+    label = {i: i for i in good}
+    for _ in good:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    kept = set(label.values())
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    pieces: dict = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert set(pieces) == kept and len(kept) < len(good)
+    for i, own in pieces.items():
+        ids, at = [*library.encode(texts[i], add_special_tokens=False).ids, 1], 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            part = np.array(ids[at : at + r["length"]], "<u4")
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(part.tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
