@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rillgraph.llm import language, packing, quality_rules, simhash
-from rillgraph.llm.common import cut, table
+from rillgraph.llm.common import cut, place, remove, scratch, table
 from rillgraph.llm.queries import vocabulary
 
 
@@ -53,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    """The rows of the last stage. What a stage wrote is deleted when the next one has been written; the last result rests on its input alone."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        at = place(spark)
+        with scratch(spark):
+            docs = cut(stage(spark, docs, sf_dir), at)
+        if before:
+            remove(spark, before)
+        before = at
+    return STAGES[-1][1](spark, docs, sf_dir)
