@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Rows that one task of a shuffle takes at most (on average), and below which rows aren't dealt over more tasks.
+MOST, LEAST = 1_000_000, 100_000
+
+
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """The session's number of shuffle partitions, or more where a task would get over MOST of so many rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // MOST))
+
+
+@contextmanager
+def dealt_for(spark: SparkSession, rows: int):
+    """Jobs run in here deal so many rows over as many tasks as they need: one task takes LEAST to MOST of them, if there are as many."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, min(parts_of(spark, rows), -(-rows // LEAST)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, at: str) -> None:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
