@@ -42,6 +42,7 @@ class Step:
     l1: float = 0.0
     linf: float = 0.0
     within: bool = True
+    edges: int = 0
 
 
 def compared(mode: str, warm: engine.Result, cold: engine.Result, column: str, epsilon: float | None = None) -> Step:
@@ -55,7 +56,7 @@ def compared(mode: str, warm: engine.Result, cold: engine.Result, column: str, e
     return Step(mode, warm.state, float(lone + d["beyond"]), warm.iterations, cold.iterations, d["l1"], d["linf"], within)
 
 
-def incremental_sssp(state: DataFrame, edges: DataFrame, changed: DataFrame) -> engine.Result:
+def incremental_sssp(state: DataFrame, edges: DataFrame | engine._Edges, changed: DataFrame) -> engine.Result:
     """Old distances, all changed sources active (unreachable ones too); right only for inserts and decreases."""
     hot = changed.select(F.col("src").alias("id")).distinct().withColumn("hot", F.lit(True))
     warm = state.select("id", "value").join(hot, "id", "left").select("id", "value", F.coalesce("hot", F.lit(False)).alias("active"))
@@ -70,14 +71,26 @@ def _touched(edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, bool, bool]
 
 
 def run_sssp(vertices: DataFrame, edges: DataFrame, batches: list[DataFrame], source: int) -> list[Step]:
-    """After each batch the answer by its mode, held against a cold run (every value must be the same)."""
-    state, out = engine.sssp(vertices, edges, source).state, []
+    """After each batch the answer by its mode, held against a cold run (every value must be the same).
+
+    A batch that changes no edge leaves the cold run before it the cold run of its graph. Warm and cold runs share the bucketed edges.
+    """
+    cold, out = engine.sssp(vertices, edges, source), []
+    state, n = cold.state, edges.count()
     for batch in batches:
         touched, up, down = _touched(edges, batch)
-        edges, mode = cut(U.apply_batch(edges, batch)), update_mode("sssp", up, down)
-        cold = engine.sssp(vertices, edges, source)
-        warm = cold if mode == "fallback" else engine.Result(state, 0, True) if mode == "unchanged" else incremental_sssp(state, edges, touched)
-        out.append(compared(mode, warm, cold, "value"))
+        mode = update_mode("sssp", up, down)
+        if mode == "unchanged":
+            warm = engine.Result(state, 0, True)
+        else:
+            edges = cut(U.apply_batch(edges, batch))
+            n = edges.count()
+            with engine.prepared(edges.select("src", "dst", "weight")) as own:
+                cold = engine.sssp(vertices, own, source)
+                warm = cold if mode == "fallback" else incremental_sssp(state, own, touched)
+        step = compared(mode, warm, cold, "value")
+        step.edges = n
+        out.append(step)
         state = warm.state
     return out
 

@@ -126,3 +126,12 @@ def test_cold_push_to_rest_gives_back_what_sinks_lose(spark):
     for k in range(n):
         true = (0.15 + 0.85 * lost) / n + sum(0.85 * rank[s] / degree[s] for s, d in rows if d == k) - rank[k]
         assert abs(true - left[k]) < 1e-12 and abs(true) <= eps / n * (1 + 1e-9)
+
+
+def test_runner_shares_edges_and_skips_the_cold_run_of_an_unchanged_graph(spark, monkeypatch):
+    e = edges(spark, [(0, 1, 5), (1, 2, 5)])
+    b = [spark.createDataFrame([r], "seq long, src long, dst long, weight long, is_delete boolean") for r in ((0, 0, 2, 3, False), (0, 2, 0, 1, True))]
+    made, real = [], engine._Edges
+    monkeypatch.setattr(engine, "_Edges", type("Counted", (real,), {"__init__": lambda self, rows: (made.append(1), real.__init__(self, rows))[1]}))
+    steps = dynamic.run_sssp(spark.range(3), e, b, 0)
+    assert [(s.mode, s.edges, s.difference) for s in steps] == [("incremental", 3, 0), ("unchanged", 3, 0)] and len(made) == 2
