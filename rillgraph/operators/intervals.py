@@ -48,7 +48,8 @@ def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
     places = F.when(F.col("start") == F.col("end"), F.array_distinct(F.array(_bin(F.col("start"), F.col("width_")), _bin(F.col("start") - 1, F.col("width_"))))).otherwise(F.array(_bin(F.col("start"), F.col("width_"))))
     i = i.withColumn("bin_", F.explode(places))
     same = (F.col("key") == F.col("key_")) & (i["width_"] == o["width_"]) & (i["bin_"] == o["bin_"]) & (F.col("outer_start") <= F.col("start")) & (F.col("end") <= F.col("outer_end"))
-    found = i.join(o, same).select("key", "start", "end", "item", "outer_start", "outer_end", "outer_item", i["bin_"].alias("bin_"))
+    # Both sides hold more rows than their files tell, so neither is broadcast.
+    found = i.join(o.hint("merge"), same).select("key", "start", "end", "item", "outer_start", "outer_end", "outer_item", i["bin_"].alias("bin_"))
     # An empty one between two bins of an outer interval meets it in both: the later bin that both have counts.
     first = (F.col("start") != F.col("end")) | (F.col("bin_") == F.least(_bin(F.col("start"), _own(found)), _bin(F.greatest(F.col("outer_start"), F.col("outer_end") - 1), _own(found))))
     return found.filter(first).drop("bin_")
@@ -68,7 +69,7 @@ def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
         widths = [r[0] for r in e.select("w_").distinct().collect()] or [0]
         probe = late.filter("end > start").withColumn("w", F.explode(F.array(*map(F.lit, widths)))).withColumn("b", _bin(F.col("start"), F.col("w")))
         order = F.col("s_") < F.col("start") if strict else F.col("s_") <= F.col("start")
-        return probe.join(e, (F.col("key") == F.col("key_")) & (F.col("w") == F.col("w_")) & (F.col("b") == F.col("b_")) & order & (F.col("start") < F.col("e_")))
+        return probe.join(e.hint("merge"), (F.col("key") == F.col("key_")) & (F.col("w") == F.col("w_")) & (F.col("b") == F.col("b_")) & order & (F.col("start") < F.col("e_")))
 
     a = half(left, right, False).select("key", F.col("early_").alias("left_item"), F.col("item").alias("right_item"), "start", F.least("end", "e_").alias("end"))
     b = half(right, left, True).select("key", F.col("item").alias("left_item"), F.col("early_").alias("right_item"), "start", F.least("end", "e_").alias("end"))

@@ -185,3 +185,10 @@ def test_sources_without_edges_stay_in_a_refresh(spark):
     edges = spark.createDataFrame([(1, 2, 5), (1, 3, 5), (4, 1, 5), (9, 1, 5)], "src long, dst long, weight long")
     batch = spark.createDataFrame([(0, 4, 1, 0, True), (1, 1, 2, 0, True), (2, 7, 8, 3, False), (3, 6, 6, 0, True)], "seq long, src long, dst long, weight long, is_delete boolean")
     assert sorted(tuple(r) for r in updates.refreshed_sources(edges, batch).collect()) == [(1, 2, 1, False), (4, 1, 0, True), (6, 0, 0, True), (7, 0, 1, False)]
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    """An inner interval goes to a bin of each width, so a small file may be many rows: neither side may go through the driver."""
+    rows = spark.createDataFrame([(k % 3, k, k + (1 << k % 12), k) for k in range(50)], "key long, start long, end long, item long")
+    for joined in (intervals.containing(rows, rows), intervals.overlapping(rows, rows)):
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
