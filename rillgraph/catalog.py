@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import updates as U
 from .plans import engine
-from .plans.materialize import cut, numbered
+from .plans.materialize import cut, numbered, parts_of
 from .plans.ranks import average_ranks, medians
 
 QUERIES: dict = {}
@@ -64,18 +64,24 @@ def raw_edges(spark, sf) -> DataFrame:
     return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
-def weighted(rows: DataFrame) -> DataFrame:
+def spread(df: DataFrame, sf: str, *keys: str, times: int = 1) -> DataFrame:
+    """df by keys over as many parts as `times` the rows of lineitem need, before it is grouped by them: what a task groups doesn't grow with the table."""
+    spark = df.sparkSession
+    return df.repartition(parts_of(spark, times * read(spark, sf, "lineitem").count()), *keys)
+
+
+def weighted(rows: DataFrame, sf: str) -> DataFrame:
     src, dst = F.col("src"), F.col("dst")
-    return rows.filter(src != dst).distinct().withColumn("weight", S.edge_weight(src, dst))
+    return spread(rows.filter(src != dst), sf, "src", "dst").distinct().withColumn("weight", S.edge_weight(src, dst))
 
 
 def edges_of(spark, sf) -> DataFrame:
-    return weighted(raw_edges(spark, sf))
+    return weighted(raw_edges(spark, sf), sf)
 
 
 def base_of(spark, sf) -> DataFrame:
     """The graph that the update stream meets: the closed rows, so the stream inserts, repeats and deletes."""
-    return weighted(read(spark, sf, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+    return weighted(read(spark, sf, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")), sf)
 
 
 def size_of(spark, sf) -> int:
@@ -102,8 +108,12 @@ def records_of(spark, sf) -> DataFrame:
     return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("weight"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("diff"))
 
 
+def both_ways():
+    return F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def reciprocal(edges: DataFrame) -> DataFrame:
-    return edges.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct()
+    return edges.select(F.inline(both_ways())).distinct()
 
 
 def pairs_of(spark, sf) -> DataFrame:
@@ -174,7 +184,8 @@ def p3_base_split(spark, sf):
 
 @query("SELECT src, dst FROM recip", "recip")
 def p5_reciprocal(spark, sf):
-    return reciprocal(edges_of(spark, sf))
+    e = edges_of(spark, sf)
+    return spread(e.select(F.inline(both_ways())), sf, "src", "dst", times=2).distinct()
 
 
 @query("SELECT count(*) AS unpaired FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges r WHERE r.src = e.dst AND r.dst = e.src)", "edges")
