@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import ORACLES, QUERIES, base_of, edges_of, hub, pairs_of, query, raw_edges, read, records_of, reciprocal, size_of, spans_of, updates_of, vertices_of  # noqa: F401
+from .catalog import ORACLES, QUERIES, base_of, edges_of, hub, pairs_of, query, raw_edges, read, reciprocal, records_of, size_of, spans_of, spread, updates_of, vertices_of  # noqa: F401
 from .functions import scalars as S
 from .operators import regression, selection
 from .operators import workloads as K
@@ -119,7 +119,7 @@ def o4_multiset(spark, sf):
 def o5_reciprocal_closure(spark, sf):
     e = edges_of(spark, sf)
     both = e.select(F.inline(F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))))
-    return both.groupBy("src", "dst").agg(F.min("weight").alias("weight"), (F.min("weight") != F.max("weight")).alias("conflict"))
+    return spread(both, sf, "src", "dst", times=2).groupBy("src", "dst").agg(F.min("weight").alias("weight"), (F.min("weight") != F.max("weight")).alias("conflict"))
 
 
 @query("SELECT count(*) AS shared FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
