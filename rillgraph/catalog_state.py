@@ -11,7 +11,7 @@ from .catalog import ORACLES, QUERIES, base_of, edges_of, hub, ordered_of, query
 from .functions import scalars as S
 from .operators import updates as U
 from .plans import dynamic, engine
-from .plans.materialize import cut, shared_dir
+from .plans.materialize import cut, parts_of, shared_dir
 from .plans.ranks import medians, positions
 from .sources import files
 from .sources import generators as G
@@ -191,7 +191,8 @@ SELECT id AS vertex, round(coalesce(c, 0), 9) AS residual FROM v LEFT JOIN (SELE
 def g8_contribution_seed(spark, sf):
     """The seed of the sink-free contract: ranks over the new edges less those over the old ones."""
     state = vertices_of(spark, sf).select("id", F.lit(0.5).alias("rank"), F.lit(0.0).alias("residual"))
-    return engine.contribution_difference(state, base_of(spark, sf), edges_of(spark, sf)).select(F.col("id").alias("vertex"), F.round("residual", 9).alias("residual"))
+    parts = parts_of(spark, 2 * read(spark, sf, "lineitem").count())
+    return engine.contribution_difference(state, base_of(spark, sf), edges_of(spark, sf), parts=parts).select(F.col("id").alias("vertex"), F.round("residual", 9).alias("residual"))
 
 
 MODES = ["sssp", "cc", "pagerank", "residual_pagerank"]

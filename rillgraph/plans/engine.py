@@ -316,11 +316,14 @@ def signed_residual(ranks: DataFrame, edges: DataFrame, damping: float = 0.85) -
     return owned.join(incoming, "id", "left").select("id", "rank", (F.lit(base) + F.coalesce("incoming", F.lit(0.0)) - F.col("rank")).alias("residual"))
 
 
-def contribution_difference(state: DataFrame, before: DataFrame, after: DataFrame, damping: float = 0.85) -> DataFrame:
+def contribution_difference(state: DataFrame, before: DataFrame, after: DataFrame, damping: float = 0.85, parts: int | None = None) -> DataFrame:
     """id, rank, residual to go on from on a changed sink-free graph: for each changed source its rank spread over the new
-    edges less that over the old ones, added to the residual that was left. Only edges of changed sources are read for it."""
+    edges less that over the old ones, added to the residual that was left. Only edges of changed sources are read for it.
+    `parts`: over how many parts both graphs are dealt by edge (none: as the session says)."""
     old, new = with_degree(before), with_degree(after)
     both = old.withColumn("own", F.lit(-1.0)).unionByName(new.withColumn("own", F.lit(1.0)))
+    if parts is not None:
+        both = both.repartition(parts, "src", "dst")
     moved = both.groupBy("src", "dst").agg(F.sum(F.col("own") / F.col("degree")).alias("move")).filter("move <> 0")
     change = state.select(F.col("id").alias("src"), "rank").join(moved, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(damping * F.col("rank") * F.col("move")).alias("change"))
     return state.join(change, "id", "left").select("id", "rank", (F.col("residual") + F.coalesce("change", F.lit(0.0))).alias("residual"))
