@@ -84,6 +84,12 @@ def base_of(spark, sf) -> DataFrame:
     return weighted(read(spark, sf, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")), sf)
 
 
+def grown_of(spark, sf) -> DataFrame:
+    """All edges, and `closed`: whether they are of the graph that the update stream meets; so both graphs are made distinct at once."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_linestatus") == "F").alias("closed")).filter("src <> dst")
+    return spread(rows, sf, "src", "dst").groupBy("src", "dst").agg(F.coalesce(F.bool_or("closed"), F.lit(False)).alias("closed")).withColumn("weight", S.edge_weight(F.col("src"), F.col("dst")))
+
+
 def size_of(spark, sf) -> int:
     """Number of vertices: the ids from 0 to the largest order or part."""
     return read(spark, sf, "lineitem").agg(F.greatest(F.max("l_orderkey"), F.max("l_partkey")).alias("most")).first()["most"] + 1

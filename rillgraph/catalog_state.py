@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ORACLES, QUERIES, base_of, edges_of, hub, ordered_of, query, raw_edges, read, records_of, size_of, spread, updates_of, vertices_of  # noqa: F401
+from .catalog import ORACLES, QUERIES, base_of, edges_of, grown_of, hub, ordered_of, query, raw_edges, read, records_of, size_of, spread, updates_of, vertices_of  # noqa: F401
 from .functions import scalars as S
 from .operators import updates as U
 from .plans import dynamic, engine
@@ -115,10 +115,10 @@ def _distances(state: DataFrame) -> DataFrame:
 @query("+ " + distances_sql("edges"), "edges")
 def g2_incremental_sssp(spark, sf):
     """The open rows are inserted: old distances go on from the changed sources to the answer on the whole graph."""
-    old, new = cut(base_of(spark, sf)), cut(edges_of(spark, sf))
-    source = hub(old)
-    state = engine.sssp(vertices_of(spark, sf), old, source).state
-    return _distances(dynamic.incremental_sssp(state, new, new.join(old, ["src", "dst"], "left_anti")).state)
+    new = cut(grown_of(spark, sf))
+    old = new.filter("closed")
+    state = engine.sssp(vertices_of(spark, sf), old, hub(old)).state
+    return _distances(dynamic.incremental_sssp(state, new, new.filter("not closed")).state)
 
 
 LEFT = "kept AS (SELECT * FROM edges WHERE (src, dst) NOT IN (SELECT (l_orderkey, l_partkey) FROM lineitem WHERE l_returnflag = 'R'))"

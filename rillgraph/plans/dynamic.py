@@ -60,7 +60,7 @@ def incremental_sssp(state: DataFrame, edges: DataFrame | engine._Edges, changed
     """Old distances, all changed sources active (unreachable ones too); right only for inserts and decreases."""
     hot = changed.select(F.col("src").alias("id")).distinct().withColumn("hot", F.lit(True))
     warm = state.select("id", "value").join(hot, "id", "left").select("id", "value", F.coalesce("hot", F.lit(False)).alias("active"))
-    return engine.relax(warm, edges, True)
+    return engine.relax(cut(warm), edges, True)
 
 
 def _touched(edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, bool, bool]:

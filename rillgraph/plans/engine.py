@@ -134,11 +134,14 @@ class _Falling:
     merges write by four times the rows that changed.
     """
 
-    def __init__(self, state: DataFrame):
-        self.spark, seen = state.sparkSession, Observation()
-        self.base = Bucketed(state.observe(seen, F.count_if("active").alias("active"), F.count(F.lit(1)).alias("n")), "id")
-        found = _observed(seen)
-        self.active, self.size = found.get("active") or 0, found.get("n") or 0
+    def __init__(self, state: DataFrame, moving: DataFrame | None = None):
+        """`moving`: the ids that can be active with a value in some round; others are counted, but not kept."""
+        self.spark, seen, kept = state.sparkSession, Observation(), Observation()
+        rows = state.observe(seen, F.count_if("active").alias("active"))
+        if moving is not None:
+            rows = rows.join(moving.hint("shuffle_hash"), "id", "left_semi")
+        self.base = Bucketed(rows.observe(kept, F.count(F.lit(1)).alias("n")), "id")
+        self.active, self.size = _observed(seen).get("active") or 0, _observed(kept).get("n") or 0
         self.front, self.deltas, self.held = self.base.rows.filter("active").select("id", "value"), [], 0
 
     def _known(self) -> DataFrame | None:
@@ -185,14 +188,37 @@ def relax(state: DataFrame, edges: DataFrame | _Edges, weighted: bool, rounds: i
     With a `capacity` an offer that reaches it is infinity (saturating arithmetic of a machine word). Offers to ids that the
     state lacks are lost.
     """
-    if not isinstance(edges, _Edges):
-        edges = edges.select("src", "dst", *(["weight"] if weighted else []))
-    with prepared(edges) as own:
-        return _relax(state, own, weighted, rounds, capacity)
+    state = state.select(F.col("id").cast("long"), F.col("value").cast("long"), "active")
+    if isinstance(edges, _Edges):
+        return _relax(state, edges, weighted, rounds, capacity)
+    if not weighted:
+        with prepared(edges.select("src", "dst")) as own:
+            return _relax(state, own, weighted, rounds, capacity)
+    moving, edges, size = _moving(state, edges.select("src", "dst", "weight"))
+    with dealt_for(state.sparkSession, size), prepared(edges) as own:
+        found = _relax(state, own, weighted, rounds, capacity, moving)
+    still = state.join(moving.hint("shuffle_hash"), "id", "left_anti").select("id", "value", F.lit(False).alias("active"))
+    found.state = found.state.select("id", "value", "active").unionByName(still)
+    return found
+
+
+def _moving(state: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The ids that can be active with a value in some round (an edge leads to them, or they are so at the start), the edges that leave them, and how many there are.
+
+    What leads to an id only from outside of that set moves nothing either, so the choice is made again while it halves the edges.
+    """
+    first, most = cut(state.filter("active and value is not null").select("id")), None
+    while True:
+        moving = cut(edges.select(F.col("dst").alias("id")).unionByName(first).filter("id is not null").distinct())
+        edges = cut(edges.join(moving.withColumnRenamed("id", "src").hint("shuffle_hash"), "src", "left_semi"))
+        n = edges.count()
+        if n < HEAVY or most is not None and n * 2 > most:
+            return moving, edges, max(n, moving.count())
+        most = n
 
 
-def _relax(state: DataFrame, own: _Edges, weighted: bool, rounds: int | None, capacity: int | None) -> Result:
-    now = _Falling(state.select(F.col("id").cast("long"), F.col("value").cast("long"), "active"))
+def _relax(state: DataFrame, own: _Edges, weighted: bool, rounds: int | None, capacity: int | None, moving: DataFrame | None = None) -> Result:
+    now = _Falling(state, moving)
     offer = F.col("value") + F.col("weight") if weighted else F.col("value")
     if capacity is not None:
         offer = F.when(offer < capacity, offer)

@@ -135,3 +135,18 @@ def test_runner_shares_edges_and_skips_the_cold_run_of_an_unchanged_graph(spark,
     monkeypatch.setattr(engine, "_Edges", type("Counted", (real,), {"__init__": lambda self, rows: (made.append(1), real.__init__(self, rows))[1]}))
     steps = dynamic.run_sssp(spark.range(3), e, b, 0)
     assert [(s.mode, s.edges, s.difference) for s in steps] == [("incremental", 3, 0), ("unchanged", 3, 0)] and len(made) == 2
+
+
+def test_only_what_can_move_is_in_the_loop(spark, monkeypatch):
+    """Sources that no edge leads to, and their edges, are neither bucketed nor read round by round; every id keeps its row and every count is the same."""
+    written, real = [], engine.Bucketed
+    monkeypatch.setattr(engine, "Bucketed", type("Counted", (real,), {"__init__": lambda self, df, key, placed=False: (written.append((key, df.count())), real.__init__(self, df, key, placed))[1]}))
+    rows = [(1, 2, 4), (2, 3, 5), *((k, 2, 1) for k in range(10, 60)), (60, 10, 1)]
+    got = engine.sssp(spark.range(100), edges(spark, rows), 1)
+    assert {x["id"]: x["value"] for x in got.state.collect()} == {k: {1: 0, 2: 4, 3: 9}.get(k) for k in range(100)}
+    assert (got.frontier_sizes, got.mapped_edges) == ([1, 1, 1, 0], 2)
+    assert max(n for key, n in written if key == "src") <= 3 and max(n for key, n in written if key == "id") <= 5
+    warm = got.state.select("id", "value", (F.col("id") % 2 == 0).alias("active"))
+    again = engine.relax(warm, edges(spark, [*rows, (2, 4, 1), (50, 51, 1)]), True)
+    assert again.frontier_sizes[0] == 50 and {x["id"]: x["value"] for x in again.state.filter("value is not null").collect()} == {1: 0, 2: 4, 3: 9, 4: 5}
+    assert again.state.filter("active").isEmpty() and again.state.count() == 100
