@@ -247,11 +247,10 @@ def a12_l3_families(spark, sf):
 @query("""+ r(v, l) USING KEY (v) AS (SELECT src AS v, src AS l FROM (SELECT DISTINCT src FROM recip) UNION (SELECT u.dst, min(r.l) FROM r JOIN recip u ON u.src = r.v JOIN recurring.r q ON q.v = u.dst WHERE r.l < q.l GROUP BY u.dst))
 SELECT l AS label, count(*) AS n FROM r GROUP BY l ORDER BY n DESC, label LIMIT 20""", "recip")
 def a23_t7_largest_components(spark, sf):
-    from .plans import engine
+    from .plans.components import components
 
-    e = cut(reciprocal(edges_of(spark, sf)))
-    found = engine.components(e.select(F.col("src").alias("id")).distinct(), e).state
-    return found.groupBy(F.col("value").alias("label")).agg(count()).orderBy(F.desc("n"), "label").limit(20)
+    labels, _ = components(raw_edges(spark, sf).filter("src <> dst"))
+    return labels.groupBy("label").agg(count()).orderBy(F.desc("n"), "label").limit(20)
 
 
 @query("""+ c AS (SELECT o_custkey AS label, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT min(label) AS a FROM c), p AS (SELECT a, label FROM c, a WHERE label <> a AND label NOT IN (SELECT dst FROM edges WHERE src = a) AND label NOT IN (SELECT src FROM edges WHERE dst = a) ORDER BY n DESC, label LIMIT 12)

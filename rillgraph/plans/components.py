@@ -22,19 +22,22 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
 
     Each round hooks every id to its smallest neighbour, jumps to the roots and contracts the edges to pairs of roots. Of the ids
     that still have edges at most half are smaller than all neighbours, so at least half go each round. Self loops count as vertices; null ends
-    don't. Joins on a hub or a large component's label are plain equi-joins, whose skew Spark splits at run time.
+    don't. Edges lie in one direction and may repeat until the first contraction: only the smallest neighbours, combined before the shuffle, need both.
+    Joins on a hub or a large component's label are plain equi-joins, whose skew Spark splits at run time.
     """
-    both = edges.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).filter("src is not null and dst is not null").distinct()
-    links, rounds = cut(both), 0
-    labels = links.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
-    links = links.filter("src <> dst")
-    while not links.isEmpty():
-        rounds += 1
-        roots = _jumped(cut(links.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("up"))))
+    links, rounds, labels = cut(edges.select("src", "dst").filter("src is not null and dst is not null")), 0, None
+    while labels is None or not links.isEmpty():
+        both = links.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+        roots = _jumped(cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("up"))))
         up = lambda name: roots.select(F.col("id").alias(f"{name}_"), F.col("up").alias(f"{name}_up"))
-        labels = cut(labels.join(up("label"), F.col("label") == F.col("label_"), "left").select("id", F.coalesce("label_up", "label").alias("label")))
-        near = links.join(up("src"), F.col("src") == F.col("src_")).join(up("dst"), F.col("dst") == F.col("dst_"))
-        links = cut(near.select(F.col("src_up").alias("src"), F.col("dst_up").alias("dst")).filter("src <> dst").distinct())
+        if labels is None:
+            labels, links = roots.select("id", F.col("up").alias("label")), links.filter("src <> dst")
+            rounds = int(not links.isEmpty())
+        else:
+            labels = cut(labels.join(up("label"), F.col("label") == F.col("label_"), "left").select("id", F.coalesce("label_up", "label").alias("label")))
+            rounds += 1
+        near = links.join(up("src"), F.col("src") == F.col("src_")).join(up("dst"), F.col("dst") == F.col("dst_")).filter("src_up <> dst_up")
+        links = cut(near.select(F.least("src_up", "dst_up").alias("src"), F.greatest("src_up", "dst_up").alias("dst")).distinct())
     return labels, rounds
 
 
