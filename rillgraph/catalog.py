@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import updates as U
 from .plans import engine
+from .plans.components import components
 from .plans.materialize import cut, numbered, parts_of
 from .plans.ranks import average_ranks, medians
 
@@ -624,9 +625,9 @@ def g4_pagerank_rounds(spark, sf):
 @query("""+ r(v, l) USING KEY (v) AS (SELECT src AS v, src AS l FROM (SELECT DISTINCT src FROM recip) UNION (SELECT u.dst, min(r.l) FROM r JOIN recip u ON u.src = r.v JOIN recurring.r q ON q.v = u.dst WHERE r.l < q.l GROUP BY u.dst))
 SELECT v AS vertex, l AS label FROM r""", "recip")
 def g9_components(spark, sf):
-    e = cut(reciprocal(edges_of(spark, sf)))
-    vertices = e.select(F.col("src").alias("id")).distinct()
-    return engine.components(vertices, e).state.select(F.col("id").alias("vertex"), F.col("value").alias("label"))
+    """Rows that repeat an edge change no component, so they are not made distinct."""
+    labels, _ = components(raw_edges(spark, sf).filter("src <> dst"))
+    return labels.select(F.col("id").alias("vertex"), "label")
 
 
 SSSP = """+ r(v, x) USING KEY (v) AS (SELECT * FROM (SELECT src AS v, 0::BIGINT AS x FROM degrees ORDER BY degree DESC, src LIMIT 1) UNION (SELECT e.dst, min(r.x + e.weight) FROM r JOIN edges e ON e.src = r.v LEFT JOIN recurring.r q ON q.v = e.dst WHERE q.v IS NULL OR r.x + e.weight < q.x GROUP BY e.dst))
