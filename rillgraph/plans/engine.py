@@ -273,21 +273,49 @@ def pagerank(vertices: DataFrame, edges: DataFrame | _Edges, damping: float = 0.
     """Full PageRank, cold or from the ranks of `start` (id, rank), until the L1 change is at most epsilon.
 
     The change shrinks by the damping each round, so it always ends; `most` may stop it earlier, which `converged` tells.
+    Vertices that no edge leads to have the same rank after any round, which is one number; so they stay out of the loop, and what they send is a
+    factor of that number for each destination (`fed`), summed up once. Only the first round from given ranks reads them one by one.
     """
-    n = vertices.count()
-    ranks = start.select("id", "rank") if start is not None else vertices.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    if isinstance(edges, _Edges):
+        degrees, edges = edges.degrees.withColumnRenamed("n", "degree"), edges.rows()
+    else:
+        degrees = None
+    edges, n = edges.select("src", "dst"), vertices.count()
+    if degrees is None:
+        degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    reached = edges.select(F.col("dst").alias("id")).distinct().withColumn("core", F.lit(True))
+    ids = start.select("id", "rank") if start is not None else vertices.select("id")
+    own = ids.join(degrees.select(F.col("src").alias("id"), "degree").hint("shuffle_hash"), "id", "left").join(reached.hint("shuffle_hash"), "id", "left")
+    own = cut(own.select(*ids.columns, F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("core", F.lit(False)).alias("core")))
+    outside = own.filter("not core")
+    rank = F.col("rank") if start is not None else F.lit(1.0 / max(n, 1))
+    of = own.agg(
+        F.count_if(~F.col("core")).alias("outer"), F.count_if(~F.col("core") & F.expr(SINK)).alias("sinks"), F.sum(F.when(~F.col("core"), F.col("degree"))).alias("mapped"),
+        F.sum(F.when(F.expr(SINK), rank)).alias("lost"),
+    ).first()
+    sends = outside.filter("degree > 0").select(F.col("id").alias("src"), *([rank.alias("from_")] if start is not None else []), (damping / F.col("degree")).alias("part"))
+    first = [F.sum(F.col("from_") * F.col("part")).alias("first")] if start is not None else []
+    fed = edges.join(sends.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("fed"), *first)
+    state = own.filter("core").select("id", "degree", rank.alias("rank")).join(fed.hint("shuffle_hash"), "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    state = state.select("id", "rank", "degree", zero("fed").alias("fed"), (zero("first") if first else F.lit(None).cast("double")).alias("first"), F.lit(None).cast("double").alias("old"))
+    inner = edges.join(own.filter("core").select(F.col("id").alias("src")).hint("shuffle_hash"), "src", "left_semi")
     counts = F.sum(F.when(F.expr(SINK), F.col("rank"))).alias("lost"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("error")
-    with prepared(edges if isinstance(edges, _Edges) else edges.select("src", "dst")) as own:
-        loop = _Loop(_with_degrees(ranks, own).withColumn("old", F.lit(None).cast("double")), own, *counts)
-        k, done = 0, False
-        while n and not done and (k < rounds if rounds is not None else most is None or k < most):
-            base = (1 - damping) / n + damping * (loop.seen.get("lost") or 0.0) / n
-            incoming = _incoming(loop, loop.state.rows.select(F.col("id").alias("src"), F.col("rank").alias("mass"), "degree"), damping)
-            after = F.lit(base) + F.coalesce("incoming", F.lit(0.0))
-            loop.replace(loop.with_messages(incoming).select("id", after.alias("rank"), "degree", F.col("rank").alias("old")))
-            k += 1
-            done = rounds is None and (loop.seen.get("error") or 0.0) <= epsilon
-        return Result(loop.end().select("id", "rank"), k, done or not n, [], loop.mapped)
+    loop, k, done, lost, before, at = _Loop(state, inner, *counts), 0, False, of["lost"] or 0.0, None if start is not None else 1.0 / max(n, 1), None
+    while n and not done and (k < rounds if rounds is not None else most is None or k < most):
+        base = (1 - damping) / n + damping * lost / n
+        incoming = _incoming(loop, loop.state.rows.select(F.col("id").alias("src"), F.col("rank").alias("mass"), "degree"), damping)
+        came = F.col("first") if before is None else F.col("fed") * F.lit(before)
+        after = F.lit(base) + (zero("incoming") + came)
+        loop.replace(loop.with_messages(incoming).select("id", after.alias("rank"), "degree", "fed", "first", F.col("rank").alias("old")))
+        if before is None:
+            error = (outside.agg(F.sum(F.abs(F.col("rank") - F.lit(base)))).first()[0] or 0.0) if rounds is None else 0.0
+        else:
+            error = of["outer"] * abs(base - before)
+        before, k, lost = base, k + 1, (loop.seen.get("lost") or 0.0) + of["sinks"] * base
+        done = rounds is None and (loop.seen.get("error") or 0.0) + error <= epsilon
+    rest = outside.select("id", (F.lit(before) if before is not None else F.col("rank")).cast("double").alias("rank"))
+    return Result(loop.end().select("id", "rank").unionByName(rest), k, done or not n, [], loop.mapped + k * (of["mapped"] or 0))
 
 
 def float32_pagerank(vertices: DataFrame, edges: DataFrame | _Edges, damping: float = 0.85, rounds: int = 1) -> Result:

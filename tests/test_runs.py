@@ -150,3 +150,26 @@ def test_only_what_can_move_is_in_the_loop(spark, monkeypatch):
     again = engine.relax(warm, edges(spark, [*rows, (2, 4, 1), (50, 51, 1)]), True)
     assert again.frontier_sizes[0] == 50 and {x["id"]: x["value"] for x in again.state.filter("value is not null").collect()} == {1: 0, 2: 4, 3: 9, 4: 5}
     assert again.state.filter("active").isEmpty() and again.state.count() == 100
+
+
+def test_ranks_keep_what_no_edge_leads_to_out_of_the_loop(spark, monkeypatch):
+    """Rounds write the ids that edges lead to, and read the edges that leave those; ranks, rounds and counts are those of the whole graph, cold and warm."""
+    written, real = [], engine.Bucketed
+    monkeypatch.setattr(engine, "Bucketed", type("Counted", (real,), {"__init__": lambda self, df, key, placed=False: (written.append((key, df.count())), real.__init__(self, df, key, placed))[1]}))
+    rows, n = [(0, 1), (1, 2), (2, 0), (2, 3), *((k, k % 4) for k in range(5, 40)), (38, 0), (77, 1)], 42
+
+    def plain(ranks, rounds):
+        out = {v: [d for s, d in rows if s == v] for v in range(n)}
+        for _ in range(rounds):
+            lost = sum(r for v, r in enumerate(ranks) if not out[v])
+            ranks = [0.15 / n + 0.85 * lost / n + sum(0.85 * ranks[v] / len(out[v]) for v in range(n) for d in out[v] if d == u) for u in range(n)]
+        return ranks
+
+    e = spark.createDataFrame(rows, "src long, dst long")
+    for start in ([1 / n] * n, [(v + 1) / 903 for v in range(n)]):
+        given = None if start[0] == start[1] else spark.createDataFrame(list(enumerate(start)), "id long, rank double")
+        got = engine.pagerank(spark.range(n), e, rounds=3, start=given)
+        found = {r["id"]: r["rank"] for r in got.state.collect()}
+        assert [found[v] for v in range(n)] == pytest.approx(plain(start, 3), abs=1e-15) and len(found) == n
+        assert got.mapped_edges == 3 * (len(rows) - 1)
+    assert max(c for key, c in written if key == "id") <= 4 and max(c for key, c in written if key == "src") <= 4
