@@ -1,7 +1,7 @@
 """Joins of intervals without range joins, probes of sorted runs, and integer shares that close to their total.
 
-Outer intervals lie in at most two bins, as wide as the next power of two of their length; what looks for them goes to its bin of each width
-that occurs (at most 63). So the work is that of an equi-join on key, width and bin: long intervals are not copied often,
+Outer intervals lie in at most two bins, as wide as the next power of four of their length; what looks for them goes to its bin of each width
+that occurs (at most 33). So the work is that of an equi-join on key, width and bin: long intervals are not copied often,
 short ones do not meet in wide bins, and a hot key is dealt by bin. Intervals are whole numbers, half-open, ends at or after starts; others and nulls match nothing.
 """
 
@@ -14,8 +14,9 @@ from ..plans.prefixes import last_seen, running_sum
 
 
 def _power(length: Column) -> Column:
-    """The least k with 2 ** k >= length, exactly."""
-    return F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1)))
+    """The least even k with 2 ** k >= length, exactly: half as many widths as powers of two, so half as many copies of what looks for them."""
+    bits = F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1)))
+    return F.least(bits + bits % 2, F.lit(63))
 
 
 def _bin(at: Column, power: Column) -> Column:
@@ -30,7 +31,7 @@ def _outer(outer: DataFrame) -> DataFrame:
 
 
 def _widths(outer: DataFrame) -> list[int]:
-    """Widths that occur: at most 63 rows whatever the size."""
+    """Widths that occur: at most 33 rows whatever the size."""
     return [r[0] for r in outer.select("width_").distinct().collect()]
 
 

@@ -204,3 +204,11 @@ def test_components_keep_edges_in_one_direction(spark, monkeypatch):
     labels, rounds = C.components(spark.createDataFrame(rows, "src long, dst long"))
     assert {r["id"]: r["label"] for r in labels.collect()} == {**dict.fromkeys(range(41), 0), 99: 99} and rounds == 1
     assert max(written) <= len(rows)
+
+
+def test_widths_of_bins_are_powers_of_four(spark):
+    """What looks for intervals is copied once for each width, so lengths from 1 to 2 ** 20 give 11 widths; each bin is at least as wide as its interval."""
+    rows = [(1, 5, 5 + length, length) for k in range(21) for length in {1 << k, (1 << k) + 1 if k < 20 else 1 << k}]
+    outer = intervals._outer(spark.createDataFrame(rows, "key long, start long, end long, item long"))
+    assert sorted(intervals._widths(outer)) == list(range(0, 21, 2))
+    assert outer.filter("shiftleft(1L, width_) < item").isEmpty() and max(r["n"] for r in outer.groupBy("item").agg(F.count(F.lit(1)).alias("n")).collect()) <= 2
