@@ -84,13 +84,15 @@ class Bucketed:
 def numbered(df: DataFrame, keys: list[str], name: str = "pos") -> DataFrame:
     """df with `name` = 0, 1, 2 ... in the order of keys (which must be total).
 
-    Rows are range-partitioned and ranked inside their partitions; the sizes of the partitions before (one row each) give
-    the offsets. The partitioned rows are written once, so both uses see the same partitions.
+    Rows are range-partitioned, sorted and written once with their task and place in it, so they are shuffled once and no window
+    reads them; the sizes of the partitions before (one row each) give the offsets.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(parts, *keys).withColumn("part_", F.spark_partition_id()))
-    sizes = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
+    # The id's upper bits are the partition (in the order of the ranges), the lower 33 the row's place in it.
+    placed = cut(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("id_", F.monotonically_increasing_id()))
+    part = F.shiftright("id_", 33)
+    sizes = placed.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("size_"))
     offsets = sizes.select("part_", (F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("offset_"))
-    inside = F.row_number().over(Window.partitionBy("part_").orderBy(*keys)) - 1
-    return placed.withColumn("in_", inside).join(F.broadcast(offsets), "part_").withColumn(name, (F.col("in_") + F.col("offset_")).cast("long")).drop("part_", "in_", "offset_")
+    in_ = F.col("id_").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("part_", part).join(F.broadcast(offsets), "part_").withColumn(name, (in_ + F.col("offset_")).cast("long")).drop("part_", "id_", "offset_")

@@ -12,3 +12,12 @@ from tests.conftest import SF
 def test_parts_grow_with_the_table(spark, monkeypatch, name, parts):
     monkeypatch.setattr(materialize, "MOST", 500)  # of 6,000 rows
     assert f", {parts}), REPARTITION_BY_NUM" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_come_from_the_sorted_write(spark):
+    rows = spark.range(0, 3_000, 1, 5).selectExpr("(id * 7919) % 3000 AS k", "id % 3 AS g")
+    found = materialize.numbered(rows, ["g", "k"], "pos")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and found.columns == ["k", "g", "pos"]
+    assert [tuple(r) for r in found.orderBy("pos").select("g", "k", "pos").collect()] == [(g, k, i) for i, (g, k) in enumerate(sorted((r["g"], r["k"]) for r in rows.collect()))]
+    assert materialize.numbered(rows.limit(0), ["g", "k"]).count() == 0
