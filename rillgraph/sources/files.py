@@ -4,25 +4,35 @@ from __future__ import annotations
 
 import hashlib
 import json
+from urllib.parse import unquote
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import cut
+
 #: Names the files of an ordered text in their order; Spark's readers pass over it.
 MANIFEST = "_order.json"
 DATA_LINE = "trim(translate(line, ',', ' ')) <> '' and not trim(translate(line, ',', ' ')) rlike '^[#%]'"
 NUMBER = r"^[+-]?(0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+|\d+)$"
 
 
+def _trimmed():
+    """The line without white space around it, tabs as spaces; few lines have any, so the others are not read character by character."""
+    value = F.col("value")
+    return F.trim(F.when(F.contains(value, F.lit("\t")) | F.contains(value, F.lit("\r")), F.translate(value, "\t\r", " ")).otherwise(value)).alias("line")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim(F.translate("value", "\t\r", " ")).alias("line"))
+    return spark.read.text(path).select(_trimmed())
 
 
 def _number(text):
     bare = F.regexp_replace(text, "^[+-]?0[xX]", "")
     hexed = F.conv(bare, 16, 10).cast("long")
-    value = F.when(text.rlike("^[+-]?0[xX]"), F.when(text.startswith("-"), -hexed).otherwise(hexed)).otherwise(text.try_cast("long"))
-    return value
+    # No hexadecimal number casts, so only what does not cast is looked at again.
+    return F.coalesce(text.try_cast("long"), F.when(text.rlike("^[+-]?0[xX]"), F.when(text.startswith("-"), -hexed).otherwise(hexed)))
 
 
 def metadata(spark: SparkSession, path: str) -> dict[str, str]:
@@ -31,9 +41,12 @@ def metadata(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["k"]: r["v"] for r in rows.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.min("at").alias("at")).orderBy("at").collect()}
 
 
-def write_ordered(lines: DataFrame, order: list, path: str, compression: str = "none") -> None:
-    """lines(value, ...) as text in the order of these columns: as many part files as the sort has ranges, and a manifest of their order and lengths."""
-    lines.orderBy(*order).select("value").write.option("compression", compression).text(path)
+def write_ordered(lines: DataFrame, order: list, path: str, compression: str = "none", value=None) -> None:
+    """lines(value, ...) as text in the order of these columns: as many part files as the sort has ranges, and a manifest of their order and lengths.
+
+    A `value` (a Column) of other columns is made after the sort, so neither its sample nor its shuffle holds text.
+    """
+    lines.orderBy(*order).select((F.col("value") if value is None else value).alias("value")).write.option("compression", compression).text(path)
     spark = lines.sparkSession
     # Spark numbers the files of a sorted write by their range; an empty range may have none.
     found = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("lines")).orderBy("file").collect()
@@ -61,33 +74,77 @@ def _in_order(spark: SparkSession, path: str, keep: str = "true") -> DataFrame:
     Several files without a manifest raise, and so does a file that a manifest names and that is not there, or the other way round.
     Only lines for which `keep` holds count, so places in a split have no gaps.
     """
-    rows = spark.read.text(path).select(F.trim(F.translate("value", "\t\r", " ")).alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")).filter(keep)
-    files = [r["file"] for r in spark.read.text(path).select(F.col("_metadata.file_name").alias("file")).distinct().collect()]
-    known = _manifest(spark, path) if len(files) > 1 else None
-    if known is None and len(files) > 1:
-        raise ValueError(f"{path}: {len(files)} files have no order among them")
-    names = files if known is None else [r["file"] for r in known]
-    if sorted(names) != sorted(files):  # a file without lines is in neither
-        raise ValueError(f"{path}: the files are not those of the manifest")
+    read = spark.read.text(path)
+    rows = read.select(_trimmed(), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")).filter(keep)
+    known = _manifest(spark, path)
+    if known is None:
+        names = [r["file"] for r in read.select(F.col("_metadata.file_name").alias("file")).distinct().collect()]
+        if len(names) > 1:
+            raise ValueError(f"{path}: {len(names)} files have no order among them")
+    else:
+        names, there = [r["file"] for r in known], {unquote(at.rpartition("/")[2]): at for at in read.inputFiles()}
+        others = [at for name, at in there.items() if name not in set(names)]
+        # A file without lines may lie there too.
+        if not set(names) <= set(there) or others and not spark.read.text(others).isEmpty():
+            raise ValueError(f"{path}: the files are not those of the manifest")
     places = spark.createDataFrame(list(zip(names, range(len(names)))), "file string, place int")
     rows = rows.withColumn("id", F.monotonically_increasing_id()).join(F.broadcast(places), "file")  # a row a file
     return rows.select("line", F.struct("place", "start", "id").alias("at"))
 
 
 def numbered_lines(spark: SparkSession, path: str, keep: str = "true") -> DataFrame:
-    """pos, line of the kept lines in their order. Splits are counted (a row a split) and their counts summed up; no line is sorted."""
+    """pos, line of the kept lines in their order. Splits are counted once (a row a split) and their counts summed up; no line is sorted or shuffled."""
     rows = _in_order(spark, path, keep).select("line", "at.*")
     before = Window.orderBy("place", "start").rowsBetween(Window.unboundedPreceding, -1)
     splits = rows.groupBy("place", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    splits = splits.select("place", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return rows.join(splits, ["place", "start"]).select((F.col("shift") + F.col("id")).alias("pos"), "line")
+    splits = cut(splits.select("place", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")))
+    return rows.join(F.broadcast(splits), ["place", "start"]).select((F.col("shift") + F.col("id")).alias("pos"), "line")
+
+
+def _runs(block: int):
+    """Of (pos, line) the runs of neighbours inside a block, as they come: a whole block as its hash, a part of one as its first position and text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("pos", pa.int64()), ("first", pa.int64()), ("text", pa.string()), ("h", pa.string())])
+        held, first = [], 0
+
+        def row():
+            text, at = "\n".join(held), int(first)
+            whole = len(held) == block
+            return at // block, at, None if whole else text, hashlib.sha256(text.encode()).hexdigest() if whole else None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos, lines, done = batch.column(0).to_numpy(), batch.column(1).to_pylist(), []
+            cuts = np.flatnonzero((np.diff(pos) != 1) | (pos[1:] % block == 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)]):
+                if held and (pos[a] != first + len(held) or pos[a] % block == 0):
+                    done.append(row())
+                    held = []
+                if not held:
+                    first = pos[a]
+                held += lines[a:b]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row(), schema)], schema=schema)
+
+    return run
 
 
 def tree_sha256(lines: DataFrame, block: int = 4096) -> str:
-    """One hash for lines(pos, line) of any number: blocks of neighbours are hashed, then blocks of their hashes, until one is left."""
-    level = lines.select("pos", F.col("line").alias("h"))
+    """One hash for lines(pos, line) of any number: blocks of neighbours are hashed, then blocks of their hashes, until one is left.
+
+    Lines that come in their order are hashed where they are read; only blocks that lie in several tasks are put together after a shuffle.
+    """
+    level = lines.select(F.col("pos").cast("long"), F.col("line").alias("h"))
     while True:
-        level = level.groupBy(F.floor(F.col("pos") / block).alias("pos")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+        runs = level.mapInArrow(_runs(block), "pos long, first long, text string, h string")
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("first", "text")))), lambda x: x["text"]), "\n")
+        level = cut(runs.groupBy("pos").agg(F.coalesce(F.max("h"), F.sha2(joined, 256)).alias("h")))
         top = level.agg(F.max("pos").alias("most"), F.max("h").alias("h")).first()
         if not top["most"]:
             return top["h"] or hashlib.sha256(b"").hexdigest()
@@ -206,11 +263,11 @@ def read_temporal(spark: SparkSession, path: str, strict: bool = False) -> DataF
 
 def write_slice(records: DataFrame, path: str, **meta) -> None:
     """Metadata, then records by (src, dst, deletes first, weight): ranges of records in part files, in the order of a manifest."""
-    own = records.select(F.concat_ws(" ", "src", "dst", "weight", "diff").alias("value"), F.lit(1 << 40).alias("k"), "src", "dst", (F.col("diff") > 0).alias("late"), "weight")
+    own = records.select(F.lit(None).cast("string").alias("meta"), F.lit(1 << 40).alias("k"), "src", "dst", (F.col("diff") > 0).alias("late"), "weight", "diff")
     if meta:
-        head = records.sparkSession.createDataFrame([(f"# {k}={v}", k_) for k_, (k, v) in enumerate(meta.items())], "value string, k long")
-        own = head.select("value", "k", F.lit(-1).alias("src"), F.lit(-1).alias("dst"), F.lit(False).alias("late"), F.lit(-1).alias("weight")).unionByName(own)
-    write_ordered(own, ["k", "src", "dst", "late", "weight"], path)
+        head = records.sparkSession.createDataFrame([(f"# {k}={v}", k_) for k_, (k, v) in enumerate(meta.items())], "meta string, k long")
+        own = head.select("meta", "k", F.lit(-1).alias("src"), F.lit(-1).alias("dst"), F.lit(False).alias("late"), F.lit(-1).alias("weight"), F.lit(1).alias("diff")).unionByName(own)
+    write_ordered(own, ["k", "src", "dst", "late", "weight"], path, value=F.coalesce("meta", F.concat_ws(" ", "src", "dst", "weight", "diff")))
 
 
 def chain(spark: SparkSession, n: int) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rillgraph.sources import files
 
 
@@ -85,3 +87,32 @@ def test_an_empty_text(spark, tmp_path):
     at = str(tmp_path / "none")
     files.write_ordered(spark.range(0).selectExpr("id", "'' AS value"), ["id"], at)
     assert files.read_temporal(spark, at).collect() == []
+
+
+def test_numbering_lines_moves_none_of_them(spark, tmp_path):
+    """Only the counts of splits are joined to the lines, by broadcast, however large the text is told to be."""
+    at = str(tmp_path / "text")
+    files.write_ordered(spark.range(5_000).selectExpr("id", "concat_ws(' ', id, id, id) AS value").repartition(5), ["id"], at)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = files.numbered_lines(spark, at)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == [(i, f"{i} {i} {i}") for i in range(5_000)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_in_their_order_are_hashed_where_they_are_read(spark):
+    lines = spark.range(0, 10_000, 1, 3).selectExpr("id AS pos", "concat('line ', id) AS line")
+    runs = lines.mapInArrow(files._runs(100), "pos long, first long, text string, h string").collect()
+    # 98 whole blocks, and the two that a partition's end cuts in two.
+    assert len(runs) == 102 and sum(r["h"] is not None for r in runs) == 98
+    whole = hashlib.sha256("\n".join(hashlib.sha256("\n".join(f"line {i}" for i in range(a, a + 100)).encode()).hexdigest() for a in range(0, 10_000, 100)).encode()).hexdigest()
+    assert files.tree_sha256(lines, 100) == whole == files.tree_sha256(lines.repartition(5), 100)
+    assert files.tree_sha256(lines.limit(3)) == hashlib.sha256(b"line 0\nline 1\nline 2").hexdigest()
+
+
+def test_numbers_of_every_base_are_read(spark):
+    words = ["17", "-17", "+17", "0x1f", "-0X1F", "+0x1F", "0", "1.5", "abc", "", None]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(files._number(F.col("w"))).collect()]
+    assert got == [17, -17, 17, 31, -31, 31, 0, None, None, None, None]
