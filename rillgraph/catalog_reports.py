@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ORACLES, QUERIES, SQL_PARTS, query, read
+from .catalog import ORACLES, QUERIES, SQL_PARTS, query, read, spread
 from .functions import scalars as S
 from .operators import workloads as K
 
@@ -31,7 +31,7 @@ def systems_of(spark, sf) -> DataFrame:
     """One row for each (run, system)."""
     li, q, line = read(spark, sf, "lineitem"), F.col("l_quantity").cast("long"), F.col("l_linenumber")
     pick = lambda names, k: F.get(F.array(*map(F.lit, names)), k)
-    per = li.groupBy("l_orderkey", (line % 3).alias("s")).agg(
+    per = spread(li.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_partkey", "l_suppkey", "l_discount"), sf, "l_orderkey", times=4).groupBy("l_orderkey", (line % 3).alias("s")).agg(
         (1 + F.sum(q * (1000 + line))).alias("cycles"), F.sum(q).alias("requests"), F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(0)).alias("reads"),
         F.sum(F.when((F.col("l_returnflag") != "N") & (line < 7), q).otherwise(0)).alias("writes"), F.count_if((F.col("l_returnflag") == "R") & (line > 5)).alias("mismatches"),
         (64 * (1 + F.max("l_partkey"))).alias("peak_bytes"), F.max((F.col("l_suppkey") % 13 == 0).cast("int")).alias("odd"), (F.max("l_discount") / 100000).alias("max_error"),

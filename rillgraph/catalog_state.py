@@ -209,7 +209,8 @@ def d9_update_modes(spark, sf):
 def d13_retired_vertices(spark, sf):
     """Customers' numbers ask to leave; those that no edge touches do."""
     v = vertices_of(spark, sf).select("id", (F.col("id") % 5 != 0).alias("valid"))
-    return U.retire_vertices(v, read(spark, sf, "customer").select(F.col("c_custkey").alias("id")), edges_of(spark, sf))
+    parts = parts_of(spark, 2 * read(spark, sf, "lineitem").count())
+    return U.retire_vertices(v, read(spark, sf, "customer").select(F.col("c_custkey").alias("id")), edges_of(spark, sf), parts)
 
 
 @query("+ n AS (SELECT src, count(*) AS live FROM kept GROUP BY 1), p AS (SELECT src, live, (live + 15) // 16 * 16 AS padded FROM n) SELECT src, live, padded, (sum(padded) OVER (ORDER BY src) - padded)::BIGINT AS first_ FROM p".replace("+ n", f"+ {LEFT}, n"), "base")

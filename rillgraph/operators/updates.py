@@ -99,9 +99,13 @@ def lower_physical(edges: DataFrame, updates: DataFrame) -> DataFrame:
     return steps.withColumn("record", F.explode(plan)).select("seq", "record.step", *KEY, "record.weight", "record.is_delete")
 
 
-def retire_vertices(vertices: DataFrame, asked: DataFrame, edges: DataFrame) -> DataFrame:
-    """vertices(id, valid) after deactivation of those asked for that have no incident edge left."""
-    used = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+def retire_vertices(vertices: DataFrame, asked: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """vertices(id, valid) after deactivation of those asked for that have no incident edge left.
+
+    `parts`: over how many parts ids are dealt, those of both joins too (none: as the session says).
+    """
+    used = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    used = (used if parts is None else used.repartition(parts, "id")).distinct()
     free = asked.select("id").join(used, "id", "left_anti").withColumn("gone", F.lit(True))
     return vertices.join(free, "id", "left").select("id", (F.col("valid") & F.col("gone").isNull()).alias("valid"))
 

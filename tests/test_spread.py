@@ -2,7 +2,7 @@
 
 import pytest
 
-from rillgraph import catalog_state, catalog_workloads  # noqa: F401
+from rillgraph import catalog_reports, catalog_state, catalog_workloads  # noqa: F401
 from rillgraph.catalog import QUERIES
 from rillgraph.plans import materialize
 from tests.conftest import SF
@@ -14,6 +14,16 @@ def test_parts_grow_with_the_table(spark, monkeypatch, name, parts):
     assert f", {parts}), REPARTITION_BY_NUM" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name, parts", [("d13_retired_vertices", 24), ("j8_system_groups", 48)])
+def test_what_joins_and_groups_hold_is_dealt_too(spark, monkeypatch, name, parts):
+    monkeypatch.setattr(materialize, "MOST", 500)
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert f", {parts}), REPARTITION_BY_NUM" in plan
+    # No other shuffle lies above it that the session's (4) parts would hold.
+    top = plan[: plan.index(f", {parts}), REPARTITION_BY_NUM")]
+    assert ", 4), ENSURE_REQUIREMENTS" not in top
+
+
 def test_numbers_come_from_the_sorted_write(spark):
     rows = spark.range(0, 3_000, 1, 5).selectExpr("(id * 7919) % 3000 AS k", "id % 3 AS g")
     found = materialize.numbered(rows, ["g", "k"], "pos")
