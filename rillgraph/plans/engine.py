@@ -139,7 +139,7 @@ class _Falling:
         self.spark, seen, kept = state.sparkSession, Observation(), Observation()
         rows = state.observe(seen, F.count_if("active").alias("active"))
         if moving is not None:
-            rows = rows.join(moving.hint("shuffle_hash"), "id", "left_semi")
+            rows = _within(rows, "id", moving).join(moving.hint("shuffle_hash"), "id", "left_semi")
         self.base = Bucketed(rows.observe(kept, F.count(F.lit(1)).alias("n")), "id")
         self.active, self.size = _observed(seen).get("active") or 0, _observed(kept).get("n") or 0
         self.front, self.deltas, self.held = self.base.rows.filter("active").select("id", "value"), [], 0
@@ -210,13 +210,19 @@ def _moving(state: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, i
     first, most = cut(state.filter("active and value is not null").select("id")), None
     while True:
         moving = cut(edges.select(F.col("dst").alias("id")).unionByName(first).filter("id is not null").distinct())
-        edges = cut(edges.join(moving.withColumnRenamed("id", "src").hint("shuffle_hash"), "src", "left_semi"))
+        edges = cut(_within(edges, "src", moving).join(moving.withColumnRenamed("id", "src").hint("shuffle_hash"), "src", "left_semi"))
         n = edges.count()
         if n < HEAVY or most is not None and n * 2 > most:
             return moving, edges, max(n, moving.count())
         most = n
 
 
+def _within(rows: DataFrame, name: str, moving: DataFrame) -> DataFrame:
+    """rows whose `name` is from the least to the largest id of moving: what cannot join it is not shuffled for that."""
+    ends = moving.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    return rows.filter(F.col(name).between(ends["low"], ends["high"])) if ends["low"] is not None else rows.filter(F.lit(False))
+
+
 def _relax(state: DataFrame, own: _Edges, weighted: bool, rounds: int | None, capacity: int | None, moving: DataFrame | None = None) -> Result:
     now = _Falling(state, moving)
     offer = F.col("value") + F.col("weight") if weighted else F.col("value")

@@ -311,3 +311,14 @@ def test_medians_and_ranks_of_groups(spark):
     assert {r["k"]: r["middle"] for r in ranks.medians(df, ["k"], "x").collect()} == want
     got = ranks.average_ranks(df, ["k"], "x", "r").collect()
     assert all(r["r"] == sum(x < r["x"] for k, x in rows if k == r["k"]) + (sum(x == r["x"] for k, x in rows if k == r["k"]) + 1) / 2 for r in got) and len(got) == len(rows)
+
+
+def test_rows_beyond_the_moving_ids_are_not_shuffled(spark):
+    """Edges and vertices outside of what any edge leads to are left out by a comparison, before the join that chooses."""
+    moving = spark.createDataFrame([(5,), (9,)], "id long")
+    rows = spark.range(100).select(F.col("id").alias("src"))
+    assert [r["src"] for r in engine._within(rows, "src", moving).orderBy("src").collect()] == [5, 6, 7, 8, 9]
+    assert engine._within(rows, "src", moving.limit(0)).isEmpty()
+    e = edges(spark, [(10, 2, 3), (2, 3, 4), (3, 2, 1), (50, 3, 1), (3, 4, 1), (7, 7, 1), (-4, -3, 1)])
+    found = engine.sssp(spark.createDataFrame([(i,) for i in (-4, -3, 2, 3, 4, 7, 10, 50)], "id long"), e, 10).state
+    assert {r["id"]: r["value"] for r in found.collect()} == {-4: None, -3: None, 2: 3, 3: 7, 4: 8, 7: None, 10: 0, 50: None}
