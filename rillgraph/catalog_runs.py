@@ -13,7 +13,7 @@ from .functions import scalars as S
 from .operators import vectors
 from .plans import dynamic, engine
 from .plans.components import components, repaired
-from .plans.materialize import cut, numbered
+from .plans.materialize import cut, dealt_for, numbered
 
 # G13, G2, G3, D9: open rows of odd lines come, returned rows of odd lines go, the same go again, open rows of even lines come
 
@@ -106,21 +106,29 @@ s{k}(v, l) USING KEY (v) AS (SELECT v, v AS l FROM ids UNION (SELECT u.dst, min(
     f"SELECT '{step}' AS step, (SELECT any_value({b} * n // 8 - {a} * n // 8) FROM bank) AS pairs, (SELECT count(DISTINCT l) FROM s{b}) AS components, (SELECT count(*) FROM s{a} x JOIN s{b} y USING (v) WHERE x.l <> y.l) AS relabelled, 0 AS unlike" for step, a, b in CHAIN
 ), "edges bank")
 def d7_nested_batches(spark, sf):
-    """Deletions and insertions in nested batches; after each the labels are mended from what the batch touched, and held against all anew."""
+    """Deletions and insertions in nested batches; after each the labels are mended from what the batch touched, and held against all anew.
+
+    The graphs of the chain are labelled in one loop, both deletions are mended in one and both insertions in another.
+    """
     cheap = edges_of(spark, sf).filter("weight <= 3").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     bank = cut(numbered(cheap.withColumn("h", F.expr("(131 * a + 17 * b) % 1009")), ["h", "a", "b"], "i").select(F.col("a").alias("src"), F.col("b").alias("dst"), "i"))
     n = bank.count()
-    ids = cut(bank.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
-    graph = lambda k: bank.filter(F.col("i") >= k * n // 8)
-    cold = {k: cut(ids.join(components(graph(k))[0], "id", "left").select("id", F.coalesce("label", "id").alias("label"))) for k in {k for _, *both in CHAIN for k in both}}
-    rows = []
-    for step, a, b in CHAIN:
-        low, high = sorted((a * n // 8, b * n // 8))
-        moved = bank.filter((F.col("i") >= low) & (F.col("i") < high))
-        none = moved.limit(0)
-        got = repaired(cold[a], graph(b), *((moved, none) if b > a else (none, moved)))
-        value = lambda df: df.select("id", F.col("label").alias("value"))
-        unlike = vectors.distances(value(got), value(cold[b])).first()
-        changed = vectors.distances(value(cold[a]), value(got)).first()["beyond"]
-        rows.append((step, b * n // 8 - a * n // 8, got.select("label").distinct().count(), changed, unlike["missing_a"] + unlike["missing_b"] + unlike["beyond"]))
+    lost = lambda k: k * n // 8
+    each = lambda rows: F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.items())) for r in rows)))
+    value = lambda df: df.select("step", "id", F.col("label").alias("value"))
+    with dealt_for(spark, len(CHAIN) * n):
+        # A pair that a graph lacks leaves its ends there as loops, so every graph has every id.
+        pair, alone = F.array(F.struct("src", "dst")), F.array(F.struct("src", F.col("src").alias("dst")), F.struct(F.col("dst").alias("src"), "dst"))
+        graphs = bank.select("*", each([{"k": k, "lost": lost(k)} for k in sorted({k for _, *both in CHAIN for k in both})]))
+        cold, _ = components(graphs.select("k", F.inline(F.when(F.col("i") >= F.col("lost"), pair).otherwise(alone))), ["k"])
+        labels = lambda at, *gone: cold.select("k", "id", "label", each([{"step": j, "of": own[at]} for j, own in enumerate(CHAIN) if not gone or gone[0] == (own[2] > own[1])])).filter("k = of")
+        moved = bank.select("*", each([{"step": j, "low": lost(min(a, b)), "high": lost(max(a, b)), "gone": b > a} for j, (_, a, b) in enumerate(CHAIN)])).filter("low <= i and i < high")
+        after = bank.select("*", each([{"step": j, "lost": lost(b)} for j, (_, a, b) in enumerate(CHAIN) if b > a])).filter("i >= lost")
+        gone, came, none = moved.filter("gone"), moved.filter("not gone"), moved.limit(0)
+        got = repaired(labels(1, True), after, gone, none, ["step"]).unionByName(repaired(labels(1, False), after.limit(0), none, came, ["step"]))
+        unlike, changed = ({r["step"]: r for r in vectors.distances(value(x), value(y), by=["step"]).collect()} for x, y in ((got, labels(2)), (labels(1), got)))
+        sizes = {r["step"]: r["n"] for r in got.groupBy("step").agg(F.count_distinct("label").alias("n")).collect()}
+    same = {"missing_a": 0, "missing_b": 0, "beyond": 0}
+    wrong = lambda d: d["missing_a"] + d["missing_b"] + d["beyond"]
+    rows = [(step, lost(b) - lost(a), sizes.get(j, 0), changed.get(j, same)["beyond"], wrong(unlike.get(j, same))) for j, (step, a, b) in enumerate(CHAIN)]
     return spark.createDataFrame(rows, "step string, pairs long, components long, relabelled long, unlike int")

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def distances(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """One row over two vectors (id, value): n, missing_a, missing_b, unlike, beyond, l1, linf, worst.
+def distances(a: DataFrame, b: DataFrame, tolerance: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+    """One row (one for each `by`, never null) over two vectors (id, value): n, missing_a, missing_b, unlike, beyond, l1, linf, worst.
 
     A missing id and a null value are the same. Equal infinities and two NaNs differ by nothing; an infinity or NaN against
     anything else is `unlike` and in no sum. l1 and linf are over values that both have; `beyond` counts those over the tolerance
     (beside the unlike ones), worst is the smallest id of the largest difference (null: no difference). One join, one aggregate.
     """
     x, y = F.col("a_").cast("double"), F.col("b_").cast("double")
-    both = a.select("id", F.col("value").alias("a_")).join(b.select("id", F.col("value").alias("b_")), "id", "full").filter("a_ is not null or b_ is not null")
+    both = a.select(*by, "id", F.col("value").alias("a_")).join(b.select(*by, "id", F.col("value").alias("b_")), ["id", *by], "full").filter("a_ is not null or b_ is not null")
     odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
     same = (x == y) | (F.isnan(x) & F.isnan(y))
     have = x.isNotNull() & y.isNotNull()
     d = F.when(have & same, 0.0).when(have & ~odd(x) & ~odd(y), F.abs(x - y))
-    rows = both.select("id", x.isNull().alias("no_a"), y.isNull().alias("no_b"), (have & ~same & (odd(x) | odd(y))).alias("unlike"), d.alias("d"))
-    return rows.agg(
+    rows = both.select(*by, "id", x.isNull().alias("no_a"), y.isNull().alias("no_b"), (have & ~same & (odd(x) | odd(y))).alias("unlike"), d.alias("d"))
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("no_a").alias("missing_a"), F.count_if("no_b").alias("missing_b"), F.count_if("unlike").alias("unlike"), F.count_if(F.col("d") > tolerance).alias("beyond"),
         F.coalesce(F.sum("d"), F.lit(0.0)).alias("l1"), F.coalesce(F.max("d"), F.lit(0.0)).alias("linf"), F.max_by("id", F.when(F.col("d") > 0, F.struct("d", -F.col("id")))).alias("worst"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rillgraph import catalog_runs
 from rillgraph.catalog import ORACLES, QUERIES
 from rillgraph.operators import updates as U
+from rillgraph.operators import vectors
 from rillgraph.plans import components as C
 from rillgraph.plans import dynamic, engine
 from tests.conftest import SF, duck, same_rows
@@ -94,6 +95,37 @@ def test_repaired_labels(spark, seed):
     assert {r["id"]: r["label"] for r in got.collect()} == plain_labels(ids | {v for p in came for v in p}, after)
 
 
+def test_graphs_that_share_ids_are_mended_at_once(spark):
+    """Three graphs over the same ids, each with its own batch; nothing crosses from one to another, and values are compared graph by graph."""
+    rng = random.Random(11)
+    before = {g: {tuple(sorted(rng.sample(range(30), 2))) for _ in range(18 + g)} for g in range(3)}
+    gone = {0: set(rng.sample(sorted(before[0]), 6)), 1: set(), 2: set(rng.sample(sorted(before[2]), 3))}
+    came = {g: {tuple(sorted(rng.sample(range(34), 2))) for _ in range(4)} - before[g] for g in (1, 2)} | {0: set()}
+    after = {g: before[g] - gone[g] | came[g] for g in before}
+    frame = lambda of: spark.createDataFrame([(g, *p) for g in of for p in sorted(of[g])], "g int, src long, dst long")
+    ends = lambda pairs: {v for p in pairs for v in p}
+    read = lambda df: {(r["g"], r["id"]): r["label"] for r in df.collect()}
+    plain = lambda of, more: {(g, v): l for g in of for v, l in plain_labels(ends(of[g]) | ends(more[g]), of[g]).items()}
+    cold, _ = C.components(frame(before), ["g"])
+    assert read(cold) == plain(before, {g: () for g in before})
+    got = C.repaired(cold, frame({g: after[g] for g in (0, 2)}), frame(gone), frame(came), ["g"])
+    assert read(got) == plain(after, before)
+    value = lambda df: df.select("g", "id", F.col("label").alias("value"))
+    changed = {r["g"]: (r["beyond"], r["missing_a"]) for r in vectors.distances(value(cold), value(got), by=["g"]).collect()}
+    was, now = read(cold), read(got)
+    assert changed == {g: (sum(was[k] != now[k] for k in was if k[0] == g), sum(k not in was for k in now if k[0] == g)) for g in before}
+
+
+def test_nested_batches_need_the_loops_of_three_graphs(spark, monkeypatch):
+    """All graphs anew, all deletions, all insertions: a graph and a batch more does not add a loop (twelve before)."""
+    loops, real = [], C.components
+    counted = lambda *a: (loops.append(1), real(*a))[1]
+    monkeypatch.setattr(C, "components", counted)
+    monkeypatch.setattr(catalog_runs, "components", counted)
+    rows = catalog_runs.d7_nested_batches(spark, SF).collect()
+    assert len(loops) == 3 and all(r["unlike"] == 0 for r in rows)
+
+
 def test_runner_tells_a_wrong_answer(spark):
     state = spark.range(4).select("id", F.col("id").cast("double").alias("rank"))
     other = state.withColumn("rank", F.when(F.col("id") == 2, 2.1).otherwise(F.col("rank")))
