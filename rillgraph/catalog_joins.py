@@ -5,7 +5,9 @@ Spans are events: they begin at the event's second and last 60 seconds to a day.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import SQL_PARTS, base_of, edges_of, ordered_of, pagerank_sql, query, read, records_of, spans_of, vertices_of
@@ -25,10 +27,8 @@ def keyed_spans(spark, sf):
 
 
 def held_of(spark, sf):
-    """Every elementary piece of a user's time with every span that is open over it."""
-    spans = cut(keyed_spans(spark, sf))
-    pieces = intervals.elementary(spans).withColumn("item", F.lit(None).cast("long"))
-    return intervals.containing(pieces, spans)
+    """Every elementary piece of a user's time with every span that is open over it, in frames that share no user."""
+    return intervals.held(keyed_spans(spark, sf))
 
 
 # J10
@@ -37,7 +37,7 @@ def held_of(spark, sf):
 @query("SELECT user_id, t AS start, nxt AS \"end\", event_id FROM held", "spans pieces held")
 def j10_containment(spark, sf):
     """All matches of pieces and the spans that contain them."""
-    return held_of(spark, sf).select(F.col("key").alias("user_id"), "start", "end", F.col("outer_item").alias("event_id"))
+    return reduce(DataFrame.unionByName, held_of(spark, sf)).select(F.col("key").alias("user_id"), "start", "end", F.col("outer_item").alias("event_id"))
 
 
 @query("""+ orders_ AS (SELECT user_id % 10 AS k, event_id AS item, start_ AS s, start_ + event_id % 50 AS e FROM spans), outer_ AS (SELECT user_id % 10 AS k, event_id AS o, start_ AS s, end_ - 40000 AS e FROM spans WHERE end_ - 40000 >= start_)
@@ -96,8 +96,15 @@ p AS (SELECT user_id, t, any_value(n) AS n, sum(share)::BIGINT AS counted, max({
 SELECT user_id, stage, sum(n)::BIGINT AS seconds, sum(counted)::BIGINT AS counted FROM p GROUP BY ALL""", "spans pieces held")
 def w11_counter_ledger(spark, sf):
     """Ten stages: a piece belongs to the open span that ends last, and a span's counter is shared out over its pieces in whole numbers, so the ledger closes to the counters."""
-    held = held_of(spark, sf).withColumn("n", F.col("end") - F.col("start")).withColumn("total", F.col("outer_item") * 31 % 1000)
-    parts = intervals.shared(held, ["outer_item"], "n", "total", ["start"], "share")
+    frames, item = held_of(spark, sf), ["key", "outer_item"]
+    if not keyed_spans(spark, sf).groupBy("item").agg((F.min("key") < F.max("key")).alias("many")).filter("many").isEmpty():
+        frames, item = [reduce(DataFrame.unionByName, frames)], ["outer_item"]  # an item of several users has one counter for all of them
+    return reduce(DataFrame.unionByName, (ledger(held, item) for held in frames))
+
+
+def ledger(held: DataFrame, item: list[str]) -> DataFrame:
+    held = held.withColumn("n", F.col("end") - F.col("start")).withColumn("total", F.col("outer_item") * 31 % 1000)
+    parts = intervals.shared(held, item, "n", "total", ["start"], "share")
     last = F.max(F.struct("outer_end", "outer_item"))["outer_item"]
     pieces = parts.groupBy("key", "start").agg(F.max("n").alias("n"), F.sum("share").alias("counted"), (last % 10).alias("stage"))
     return pieces.groupBy(F.col("key").alias("user_id"), "stage").agg(F.sum("n").alias("seconds"), F.sum("counted").alias("counted"))

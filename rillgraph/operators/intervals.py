@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import cut, parts_of
 from ..plans.prefixes import last_seen, running_sum
 
 
@@ -83,6 +84,33 @@ def elementary(spans: DataFrame) -> DataFrame:
     return marks.withColumn("end", F.lead("start").over(Window.partitionBy("key").orderBy("start"))).filter("end is not null")
 
 
+#: Spans of a key up to which all its pieces are made in one row: even if all of them overlap they make at most about MOST pairs.
+WHOLE = 700
+
+
+def held(spans: DataFrame) -> list[DataFrame]:
+    """key, start, end, outer_start, outer_end, outer_item: every elementary piece with every one of spans(key, start, end, item) of its key that
+    holds it, in frames that share no key.
+
+    Keys of few spans (WHOLE at most) are dealt once by key, and what is grouped by key and more afterwards needs no other shuffle.
+    The others, if there are any, come in a second frame, whose pieces meet spans in bins.
+    """
+    spark, s = spans.sparkSession, spans.select("key", "start", "end", "item").filter("key is not null")
+    large = cut(s.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select("key"))
+    frames = []
+    if not large.isEmpty():
+        rest = cut(s.join(large, "key", "left_semi"))
+        pieces = elementary(rest).withColumn("item", F.lit(None).cast("long"))
+        frames, s = [containing(pieces, rest).drop("item")], s.join(large, "key", "left_anti")
+    # A span makes some more rows: its two marks and its pieces.
+    s = s.repartition(parts_of(spark, 4 * spans.count()), "key")
+    own = s.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("start", "end")))))).alias("marks"), F.collect_list(F.when(F.col("end") > F.col("start"), F.struct("start", "end", "item"))).alias("spans"))
+    each = own.select("key", "marks", F.inline("spans")).select("key", "marks", F.col("start").alias("outer_start"), F.col("end").alias("outer_end"), F.col("item").alias("outer_item"))
+    first, last = (F.array_position("marks", F.col(c)).cast("int") for c in ("outer_start", "outer_end"))
+    pieces = F.arrays_zip(F.slice("marks", first, last - first).alias("start"), F.slice("marks", first + 1, last - first).alias("end"))
+    return [each.select("key", "outer_start", "outer_end", "outer_item", F.inline(pieces).alias("start", "end")).select("key", "start", "end", "outer_start", "outer_end", "outer_item"), *frames]
+
+
 def probed(rows: DataFrame, probes: DataFrame, run: list[str]) -> DataFrame:
     """probes(probe, run..., low, high) with begin, end and n: the positions, among the rows(run..., at) of their run sorted by `at`, of
     the rows from low to high, both included.

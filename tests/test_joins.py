@@ -212,3 +212,43 @@ def test_widths_of_bins_are_powers_of_four(spark):
     outer = intervals._outer(spark.createDataFrame(rows, "key long, start long, end long, item long"))
     assert sorted(intervals._widths(outer)) == list(range(0, 21, 2))
     assert outer.filter("shiftleft(1L, width_) < item").isEmpty() and max(r["n"] for r in outer.groupBy("item").agg(F.count(F.lit(1)).alias("n")).collect()) <= 2
+
+
+@pytest.mark.parametrize("most", [700, 8, 0])
+def test_held_pieces_match_loops(spark, monkeypatch, most):
+    """Keys made whole, some of each kind, and all in bins give the same pieces; frames share no key; nulls and ends before starts only cut."""
+    monkeypatch.setattr(intervals, "WHOLE", most)
+    rows = some_spans(6, 50)
+    frames = [f.collect() for f in intervals.held(spark.createDataFrame(rows, SPAN))]
+    assert len(frames) == (1 if most == 700 else 2)
+    want = []
+    for key in {r[0] for r in rows if r[0] is not None}:
+        marks = sorted({v for r in rows if r[0] == key for v in r[1:3] if v is not None})
+        want += [(key, a, b, *r[1:]) for a, b in zip(marks, marks[1:]) for r in rows if r[0] == key and None not in r and r[1] <= a and b <= r[2]]
+    columns = ["key", "start", "end", "outer_start", "outer_end", "outer_item"]
+    assert sorted(tuple(r[c] for c in columns) for f in frames for r in f) == sorted(want)
+    assert len(set.intersection(*({r["key"] for r in f} for f in frames))) == (len({r[0] for r in want}) if len(frames) == 1 else 0)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_a_ledger_of_large_users_and_repeated_events_matches_sql(spark, tmp_path, monkeypatch, repeated):
+    """A user with more spans than are made in one row, and events whose id stands under several users, who share one counter."""
+    monkeypatch.setattr(intervals, "WHOLE", 20)
+    rnd = random.Random(9)
+    at = rnd.sample(range(0, 400_000), 130)
+    rows = [(k if not repeated or k % 7 else 7 * (k % 3), at[k], 0 if k < 60 else 1 + k % 6) for k in range(130)]
+    rows = list({(e, u): (e, t, u) for e, t, u in rows}.values())  # an event at most once for a user
+    df = spark.createDataFrame(rows, "event_id long, t long, user_id long").select("event_id", F.timestamp_seconds(F.col("t") + 1_704_067_200).cast("timestamp_ntz").alias("ts"), "user_id")
+    df.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    for name in ("parts/_SUCCESS", *(f"parts/{p.name}" for p in (tmp_path / "parts").iterdir() if p.name.startswith("."))):
+        (tmp_path / name).unlink(missing_ok=True)
+    (tmp_path / "parts").rmdir()
+    for name in ("w11_counter_ledger", "j10_containment"):
+        same_rows(QUERIES[name](spark, str(tmp_path)), duck(str(tmp_path)), ORACLES[name])
+
+
+def test_a_ledger_shuffles_spans_once(spark):
+    """Pieces, shares and sums of a user stay where its spans were dealt; each of these steps was dealt anew before."""
+    plan = QUERIES["w11_counter_ledger"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
