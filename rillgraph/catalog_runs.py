@@ -13,7 +13,7 @@ from .functions import scalars as S
 from .operators import vectors
 from .plans import dynamic, engine
 from .plans.components import components, repaired
-from .plans.materialize import cut, dealt_for, numbered
+from .plans.materialize import cut, dealt_for, hashed, numbered
 
 # G13, G2, G3, D9: open rows of odd lines come, returned rows of odd lines go, the same go again, open rows of even lines come
 
@@ -116,7 +116,7 @@ def d7_nested_batches(spark, sf):
     lost = lambda k: k * n // 8
     each = lambda rows: F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.items())) for r in rows)))
     value = lambda df: df.select("step", "id", F.col("label").alias("value"))
-    with dealt_for(spark, len(CHAIN) * n):
+    with dealt_for(spark, len(CHAIN) * n), hashed(spark):
         # A pair that a graph lacks leaves its ends there as loops, so every graph has every id.
         pair, alone = F.array(F.struct("src", "dst")), F.array(F.struct("src", F.col("src").alias("dst")), F.struct(F.col("dst").alias("src"), "dst"))
         graphs = bank.select("*", each([{"k": k, "lost": lost(k)} for k in sorted({k for _, *both in CHAIN for k in both})]))

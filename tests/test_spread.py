@@ -31,3 +31,12 @@ def test_numbers_come_from_the_sorted_write(spark):
     assert "row_number" not in plan and found.columns == ["k", "g", "pos"]
     assert [tuple(r) for r in found.orderBy("pos").select("g", "k", "pos").collect()] == [(g, k, i) for i, (g, k) in enumerate(sorted((r["g"], r["k"]) for r in rows.collect()))]
     assert materialize.numbered(rows.limit(0), ["g", "k"]).count() == 0
+
+
+def test_joins_hash_only_inside(spark):
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(key)
+    a, b = (spark.range(0, 20_000, 1, 4).selectExpr("id", f"id % {k} AS {n}").repartition(4, "id") for k, n in ((3, "g"), (5, "h")))
+    with materialize.hashed(spark):
+        assert spark.conf.get(key) != before and a.join(b.filter("h < 4"), "id").count() == 16_000
+    assert spark.conf.get(key) == before
