@@ -169,6 +169,26 @@ def test_runner_shares_edges_and_skips_the_cold_run_of_an_unchanged_graph(spark,
     assert [(s.mode, s.edges, s.difference) for s in steps] == [("incremental", 3, 0), ("unchanged", 3, 0)] and len(made) == 2
 
 
+def test_runner_takes_runs_that_wait_for_nothing_together(spark, monkeypatch):
+    """Five graphs are answered cold in one loop, three warm runs in two (one waits for another); eight loops before. Ids begin below 0, edges lead beyond them."""
+    loops, real, rng = [], engine._relax, random.Random(3)
+    monkeypatch.setattr(engine, "_relax", lambda *a, **k: (loops.append(1), real(*a, **k))[1])
+    graph = {(rng.randrange(-2, 12), rng.randrange(-2, 12)): rng.randrange(1, 20) for _ in range(30)} | {(0, 13): 1, (13, 5): 1, (0, -3): 1, (-3, 6): 1}
+    put = [{(0, 9): 2, (9, 4): 1}, {}, {(4, 7): 1}, {(0, 11): 1, (11, -2): 1}]
+    b, want = [], []
+    for k, new in enumerate(put):
+        gone = sorted(graph)[::3] if k == 1 else []
+        graph = {e: w for e, w in (graph | new).items() if e not in gone}
+        b.append(spark.createDataFrame([(0, *e, w, False) for e, w in new.items()] + [(0, *e, 1, True) for e in gone], "seq long, src long, dst long, weight long, is_delete boolean"))
+        inside = [(s + 2, d + 2, w) for (s, d), w in graph.items() if -2 <= min(s, d) and max(s, d) < 12]
+        want.append({v - 2: x for v, x in enumerate(plain_distances(14, inside, 2))})
+        if not k:
+            first = {e: w for e, w in graph.items() if e not in new}
+    steps = dynamic.run_sssp(spark.range(-2, 12), edges(spark, [(*e, w) for e, w in first.items()]), b, 0)
+    assert [s.mode for s in steps] == ["incremental", "fallback", "incremental", "incremental"] and len(loops) == 3
+    assert all(s.within and s.difference == 0 for s in steps) and [{r["id"]: r["value"] for r in s.state.collect()} for s in steps] == want
+
+
 def test_only_what_can_move_is_in_the_loop(spark, monkeypatch):
     """Sources that no edge leads to, and their edges, are neither bucketed nor read round by round; every id keeps its row and every count is the same."""
     written, real = [], engine.Bucketed
