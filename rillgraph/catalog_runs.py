@@ -90,9 +90,9 @@ def g12_dual_ranks(spark, sf):
     return d.select("n", ((F.col("missing_a") + F.col("missing_b") + F.col("unlike") == 0) & (F.col("linf") <= 2e-5) & (F.col("l1") <= 2e-5 * F.col("n"))).alias("within"), F.round("linf", 7).alias("linf"))
 
 
-# D7, G9: batches of which one is the prefix of the next, over edges of weight up to three as pairs
+# D7, G9: batches of which one is the prefix of the next, over all edges as pairs
 
-SQL_PARTS["bank"] = "bank AS (SELECT a, b, row_number() OVER (ORDER BY (131 * a + 17 * b) % 1009, a, b) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE weight <= 3))"
+SQL_PARTS["bank"] = "bank AS (SELECT a, b, row_number() OVER (ORDER BY (131 * a + 17 * b) % 1009, a, b) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges))"
 #: Eighths of the bank that each graph of the chain lacks, as (step, eighths before, eighths after).
 CHAIN = [("delete 1", 0, 1), ("delete 2", 0, 4), ("insert 1", 4, 3), ("insert 2", 4, 0)]
 
@@ -110,8 +110,8 @@ def d7_nested_batches(spark, sf):
 
     The graphs of the chain are labelled in one loop, both deletions are mended in one and both insertions in another.
     """
-    cheap = edges_of(spark, sf).filter("weight <= 3").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    bank = cut(numbered(cheap.withColumn("h", F.expr("(131 * a + 17 * b) % 1009")), ["h", "a", "b"], "i").select(F.col("a").alias("src"), F.col("b").alias("dst"), "i"))
+    pairs = edges_of(spark, sf).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    bank = cut(numbered(pairs.withColumn("h", F.expr("(131 * a + 17 * b) % 1009")), ["h", "a", "b"], "i").select(F.col("a").alias("src"), F.col("b").alias("dst"), "i"))
     n = bank.count()
     lost = lambda k: k * n // 8
     each = lambda rows: F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.items())) for r in rows)))

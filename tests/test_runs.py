@@ -126,6 +126,13 @@ def test_nested_batches_need_the_loops_of_three_graphs(spark, monkeypatch):
     assert len(loops) == 3 and all(r["unlike"] == 0 for r in rows)
 
 
+def test_nested_batches_are_of_all_pairs(spark):
+    """The bank holds every pair of lineitem, whatever the weight of its edge (three in 64 of them before), in the query and in its SQL."""
+    n = duck(SF).execute("SELECT count(*) FROM (SELECT DISTINCT least(l_orderkey, l_partkey), greatest(l_orderkey, l_partkey) FROM lineitem WHERE l_orderkey <> l_partkey)").fetchone()[0]
+    rows = {r["step"]: r["pairs"] for r in catalog_runs.d7_nested_batches(spark, SF).collect()}
+    assert rows == {step: b * n // 8 - a * n // 8 for step, a, b in catalog_runs.CHAIN} and "weight <= 3" not in ORACLES["d7_nested_batches"]
+
+
 def test_runner_tells_a_wrong_answer(spark):
     state = spark.range(4).select("id", F.col("id").cast("double").alias("rank"))
     other = state.withColumn("rank", F.when(F.col("id") == 2, 2.1).otherwise(F.col("rank")))
