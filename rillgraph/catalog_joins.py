@@ -47,8 +47,7 @@ def j10_held_counts(spark, sf):
     s = cut(spans_of(spark, sf).withColumn("key", F.col("user_id") % 10))
     inner = s.select("key", "start", (F.col("start") + F.col("event_id") % 50).alias("end"), F.col("event_id").alias("item"))
     outer = s.select("key", "start", (F.col("end") - 40000).alias("end"), F.col("event_id").alias("item"))
-    found = intervals.containing(inner, outer)
-    return found.groupBy("outer_item").agg(F.count(F.lit(1)).alias("held"), F.min("item").alias("first_item"), F.sum(F.col("end") - F.col("start")).alias("seconds"))
+    return intervals.containing_totals(inner, outer).withColumnRenamed("total", "seconds")
 
 
 @query("""SELECT a.event_id AS event_id, count(*) AS others, sum(least(a.end_, b.end_) - greatest(a.start_, b.start_))::BIGINT AS seconds FROM spans a JOIN spans b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND a.start_ < b.end_ AND b.start_ < a.end_ GROUP BY 1""", "spans")

@@ -1,4 +1,4 @@
-"""Joins of intervals without range joins, probes of sorted runs, and integer shares that close to their total.
+"""Joins of intervals without range joins, totals of what intervals hold without pairs, probes of sorted runs, and integer shares that close to their total.
 
 Outer intervals lie in at most two bins, as wide as the next power of four of their length; what looks for them goes to its bin of each width
 that occurs (at most 33). So the work is that of an equi-join on key, width and bin: long intervals are not copied often,
@@ -7,6 +7,8 @@ short ones do not meet in wide bins, and a hot key is dealt by bin. Intervals ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,71 @@ def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return found.filter(first).drop("bin_")
 
 
+#: Bits of a block of places, and of each wider block over blocks.
+BITS = 6
+
+
+def containing_totals(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """outer_item, held, first_item and total of what `containing` finds: how many inner intervals each outer item holds, the least item and the sum of lengths, without making the pairs.
+
+    Places are cut into blocks as wide as the power of 64 of an inner length (lengths of one power together), so an inner interval ends in the block where it starts or the
+    next. An outer interval over three blocks or more takes what starts in its first block at or after its start, what ends in its last block at or before
+    its end, and whole blocks between, which are points in blocks of 64 blocks, and so on. First and last blocks are running totals inside a block, so the work
+    is some rows for each interval and width of blocks, however many pairs there are. Only outer intervals within two blocks, and ranges of points inside one block (at most
+    64 points), meet rows one by one, and equal inner intervals are one row before. Starts and ends are less than 2 ** 63 apart.
+    """
+    i, o = (df.filter("key is not null and end >= start").select("key", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "item") for df in (inner, outer))
+    ends = o.agg(F.min("start").alias("low"), F.max("end").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    length, start, end = F.col("end") - F.col("start"), F.col("start") - low, F.col("end") - low
+    bits = F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1)))
+    width = F.least(F.greatest(F.ceil(bits / BITS), F.lit(1)) * BITS, F.lit(63)).cast("int")
+    near = i.filter((F.col("start") >= low) & (F.col("end") <= high)).groupBy("key", "start", "end").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first"))
+    cells = cut(near.select("key", width.alias("width"), start.alias("start"), end.alias("end"), "n", "first", (F.col("n") * length).alias("total")))
+    # Rows of a block: where they lie in it (pos), before what is asked at the same place (asked: 0).
+    of = lambda level, side, block, pos: F.struct(F.lit(level).alias("level"), F.lit(side).alias("side"), block.alias("block"), pos.cast("long").alias("pos"))
+    within = lambda level, block, a, b: F.struct(F.lit(level).alias("level"), block.alias("block"), a.alias("a"), b.alias("b"))
+    sums = F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("total").alias("total")
+    held, rows, asked, points, ranges = ("n", "first", "total"), [], [], [], []
+    for w in (r[0] for r in cells.select("width").distinct().collect()):
+        own, level = cells.filter(F.col("width") == w), w * 16
+        at = lambda c: _bin(F.col(c), F.lit(w))  # noqa: E731, B023
+        rows.append(own.select("key", F.inline(F.array(of(level, 0, at("start"), -F.col("start")), of(level, 1, at("end"), F.col("end")))), *held))
+        points.append(own.select("key", F.lit(level).alias("level"), at("start").alias("block"), F.col("start").alias("s"), F.col("end").alias("e"), *held))
+        blocks = cut(own.groupBy("key", at("start").alias("c"), (at("start") == at("end")).alias("whole")).agg(*sums))
+        # What lies in the block before a last one as a whole comes before all that ends in the last.
+        rows.append(blocks.filter("whole").select("key", F.inline(F.array(of(level, 1, F.col("c") + 1, F.lit(-1)))), *held))
+        blocks = blocks.groupBy("key", "c").agg(*sums)
+        a, b = start, end
+        first, last = _bin(a, F.lit(w)), _bin(b, F.lit(w))
+        long = last >= first + 2
+        asks = [F.when(long, of(level, 0, first, -a)), F.when(long, of(level, 1, last, b))]
+        near = [F.when(~long, within(level, first, a, b)), F.when(~long & (last > first), within(level, last, a, b))]
+        a, b, live, shift = first + 1, last - 2, long & (first + 1 <= last - 2), w
+        while (high - low) >> shift:
+            level, shift = level + 1, shift + BITS
+            block = _bin(F.col("c"), F.lit(BITS))
+            rows.append(blocks.select("key", F.inline(F.array(of(level, 0, block, -F.col("c")), of(level, 1, block, F.col("c")))), *held))
+            points.append(blocks.select("key", F.lit(level).alias("level"), block.alias("block"), F.col("c").alias("s"), F.col("c").alias("e"), *held))
+            blocks = blocks.groupBy("key", block.alias("c")).agg(*sums)
+            first, last = _bin(a, F.lit(BITS)), _bin(b, F.lit(BITS))
+            apart = live & (last > first)
+            asks += [F.when(apart, of(level, 0, first, -a)), F.when(apart, of(level, 1, last, b))]
+            near.append(F.when(live & (first == last), within(level, first, a, b)))
+            a, b, live = first + 1, last - 1, apart & (first + 1 <= last - 1)
+        asked.append(o.select("key", "item", F.inline(F.array_compact(F.array(*asks)))))
+        ranges.append(o.select("key", "item", F.inline(F.array_compact(F.array(*near)))))
+    if not rows:
+        return o.limit(0).select(F.col("item").alias("outer_item"), F.lit(0).cast("long").alias("held"), F.col("item").alias("first_item"), F.lit(0).cast("long").alias("total"))
+    all_of = lambda frames: reduce(DataFrame.unionByName, frames)
+    given = all_of(rows).withColumn("asked", F.lit(0)).withColumn("item", F.lit(None).cast(o.schema["item"].dataType))
+    stream = given.unionByName(all_of(asked).withColumn("asked", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy("key", "level", "side", "block").orderBy("pos", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    ran = stream.select("asked", "item", F.sum("n").over(upto).alias("n"), F.min("first").over(upto).alias("first"), F.sum("total").over(upto).alias("total")).filter("asked = 1 and n is not null").drop("asked")
+    met = all_of(ranges).join(all_of(points), ["key", "level", "block"]).filter("s >= a and e <= b").select("item", *held)
+    return ran.unionByName(met).groupBy(F.col("item").alias("outer_item")).agg(F.sum("n").alias("held"), F.min("first").alias("first_item"), F.sum("total").alias("total"))
+
+
 def _own(found: DataFrame) -> Column:
     return _power(F.col("outer_end") - F.col("outer_start"))
 

@@ -50,6 +50,49 @@ def test_overlaps_match_loops(spark):
     assert got == sorted((a[0], a[3], b[3], max(a[1], b[1]), min(a[2], b[2])) for a in whole(left) for b in whole(right) if a[0] == b[0] and a[1] < b[2] and b[1] < a[2])
 
 
+@pytest.mark.parametrize("seed,unit", [(1, 1), (2, 1), (3, 40), (4, 5000)])
+def test_totals_of_containment_match_pairs(spark, seed, unit):
+    """Inner lengths of several powers of 64, ends on and off the bounds of blocks, repeats, empty ones; ranges over one, two and many blocks of every width."""
+    rnd = random.Random(seed)
+    far = [0, 0, 1, 2, 40, 63, 64, 65, 127, 128, 200, 4095, 4096, 5000, 300_000]
+    draw = lambda n, most: [(k % 3, a, a + rnd.choice(far[:most]), k % (n - 5)) for k in range(n) for a in [rnd.randrange(-40, 60) * unit + rnd.choice([0, 0, 1, 63])]]
+    inner, outer = draw(200, 14) + some_spans(seed, 40), draw(120, 15) + some_spans(seed + 9, 30)
+    want = defaultdict(list)
+    for o in outer:
+        for i in inner:
+            if None not in (*i, *o) and i[0] == o[0] and o[1] <= i[1] <= i[2] <= o[2]:
+                want[o[3]].append((i[3], i[2] - i[1]))
+    got = {r["outer_item"]: (r["held"], r["first_item"], r["total"]) for r in intervals.containing_totals(spark.createDataFrame(inner, SPAN), spark.createDataFrame(outer, SPAN)).collect()}
+    assert got == {k: (len(v), min(v)[0], sum(n for _, n in v)) for k, v in want.items()} and len(got) > 40
+
+
+def test_counts_of_what_is_held_make_no_pairs(spark, tmp_path):
+    """2,000 spans of one hot key make some 200,000 pairs; joins of the query give few rows an event, and the result is that of its SQL."""
+    at, last = str(tmp_path), 1_700_000_000_000_000
+    spark.range(2000).select(F.col("id").alias("event_id"), (F.col("id") * 0).alias("user_id"), F.timestamp_micros(last + F.col("id") * 7_000_000).alias("ts")).repartition(1).write.parquet(f"{at}/made")
+    part = next(f for f in (tmp_path / "made").iterdir() if f.suffix == ".parquet")
+    part.rename(tmp_path / "events.parquet")
+    for f in sorted((tmp_path / "made").iterdir()):
+        f.unlink()
+    (tmp_path / "made").rmdir()
+    got = QUERIES["j10_held_counts"](spark, at)
+    plan = got._jdf.queryExecution()
+    assert got.agg(F.sum("held")).first()[0] > 200_000
+    same_rows(got, duck(at), ORACLES["j10_held_counts"])
+    got.collect()
+    text = plan.executedPlan()
+
+    def joined(p):
+        own = [p.metrics().apply("numOutputRows").value()] if "Join" in p.nodeName() and p.metrics().contains("numOutputRows") else []
+        if p.nodeName() == "AdaptiveSparkPlan":
+            return joined(p.executedPlan())
+        if p.nodeName().endswith("QueryStage"):
+            return joined(p.plan())
+        return own + [n for k in range(p.children().size()) for n in joined(p.children().apply(k))]
+
+    assert joined(text) and sum(joined(text)) < 40 * 2000
+
+
 def test_a_long_interval_lies_in_few_bins(spark):
     """Copies of an outer interval are two at most, whatever its length, and no join has only a range."""
     outer = spark.createDataFrame([(1, k, k + (1 << 50), k) for k in range(100)], SPAN)
